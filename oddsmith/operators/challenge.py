@@ -58,11 +58,11 @@ def bets(risk_aversion: float, p="probs", q="odds") -> Column:
 
 
 def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0, compat: bool = False) -> DataFrame:
-    """Each option becomes YES or NO, whichever edge is larger (YES on ties); one unit is
+    """Each option becomes YES or NO, whichever edge is larger (YES on ties, up to rounding); one unit is
     dealt over them. A forecaster's later forecasts replace earlier ones."""
     yes = F.zip_with("probs", "odds", lambda p, q: p / q)
     no = F.zip_with("probs", "no_odds", lambda p, q: (1 - p) / q)
-    flip = F.zip_with(yes, no, lambda a, b: b > a)
+    flip = F.zip_with(yes, no, lambda a, b: b - a > 1e-9)
     x = forecasts.where("odds is not null and no_odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
     x = x.withColumn("flip", flip).withColumn("won", one_hot("correct_option_idx", "n_options"))
     x = x.withColumn("p", F.zip_with("probs", "flip", lambda p, f: F.when(f, 1 - p).otherwise(p))).withColumn("q", F.transform(F.arrays_zip("odds", "no_odds", "flip"), lambda m: F.when(m["flip"], m["no_odds"]).otherwise(m["odds"])))
@@ -122,8 +122,7 @@ def waterfill_bets(forecasts: DataFrame, risk_aversion: float) -> DataFrame:
     """forecasts with `stakes`; Arrow batches, since the level depends on a sorted prefix."""
     import pandas as pd
 
-    @F.pandas_udf("array<double>")
-    def stakes(p: pd.Series, q: pd.Series) -> pd.Series:
+    def stakes(p, q):
         return pd.Series([waterfill(list(x), list(y), risk_aversion) for x, y in zip(p, q)])
 
-    return forecasts.withColumn("stakes", stakes("probs", "odds"))
+    return forecasts.withColumn("stakes", F.pandas_udf(stakes, "array<double>", F.PandasUDFType.SCALAR)("probs", "odds"))
