@@ -220,8 +220,8 @@ def crowd_probs(spark, d):
 
 
 def _bets(spark, d, make):
-    x = derive_challenge(spark, d)[1].select("forecast_id", F.posexplode(make("probs", "odds")).alias("option", "bet"))
-    return _r(x, "bet", to=7)
+    x = derive_challenge(spark, d)[1].select("username", F.posexplode(make("probs", "odds")).alias("option", "bet"))
+    return _r(x.groupBy("username", "option").agg(F.avg("bet").alias("bet"), F.count("*").alias("n")), "bet")
 
 
 @query
