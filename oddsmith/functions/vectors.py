@@ -72,8 +72,8 @@ def normalized(a) -> Column:
 
 
 def bets_neutral(p, q) -> Column:
-    """Risk-neutral: all on the first best edge; edges are compared to nine decimals."""
-    best = argmax(F.zip_with(_c(p), _c(q), lambda x, y: F.round(x / y, 9)))
+    """Risk-neutral: all on the first best edge; edges are compared to nine decimals, off the halves."""
+    best = argmax(F.zip_with(_c(p), _c(q), lambda x, y: F.round(x / y + 3.3e-10, 9)))
     return F.transform(_c(q), lambda y, i: F.when(i == best, 1 / y).otherwise(0.0))
 
 

@@ -164,7 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "weighted_brier": _rule("1 - avg((p - o) * (p - o))", _pw),
         "rule_by_category": _chal + f", s AS (SELECT forecaster, event_ticker, category, avg((p - o) * (p - o)) AS score, 1.0::DOUBLE AS weight FROM c WHERE wins > 0 GROUP BY ALL), u AS (SELECT category, forecaster, score, weight FROM s UNION ALL SELECT '(overall)', forecaster, score, weight FROM s) {_rank('u', by='category')}",
         "crowd_probs": _chal + "SELECT event_ticker AS problem_id, mkt AS option, round(avg(p), 6) AS crowd_prob FROM c GROUP BY ALL",
-        "bets_neutral_stakes": _chal + ", y AS (SELECT forecaster, mkt, CASE WHEN row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(p / q, 9) DESC, mkt) = 1 THEN 1 / q ELSE 0 END AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
+        "bets_neutral_stakes": _chal + ", y AS (SELECT forecaster, mkt, CASE WHEN row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(p / q + 3.3e-10, 9) DESC, mkt) = 1 THEN 1 / q ELSE 0 END AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "bets_log_stakes": _chal + ", y AS (SELECT forecaster, mkt, p / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "bets_crra_stakes": _chal + ", y AS (SELECT forecaster, mkt, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker) / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY fp / fq DESC, mkt) = 1)," + _earn_tail,
