@@ -122,12 +122,14 @@ def _asked(query, has: Column) -> Column:
     return out
 
 
-_KEY = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+def _key() -> Column:
+    """doc_id, with a value of its own for null."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
 
 
 def postings(documents: DataFrame, vocabulary: set[str]) -> DataFrame:
     """(trigram, key): the texts that hold each trigram of the vocabulary."""
-    low = documents.select(_KEY.alias("key"), F.lower("text").alias("low"))
+    low = documents.select(_key().alias("key"), F.lower("text").alias("low"))
     has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(vocabulary))))
     return low.where("low is not null").select(F.explode(has).alias("trigram"), "key")
 
@@ -166,7 +168,7 @@ def secret_spans(documents: DataFrame, rules: list[Rule] | None = None) -> DataF
     found = cut(candidates(documents, rules))
     if found.count() <= MAX_BROADCAST_ROWS:
         found = F.broadcast(found)
-    x = documents.drop("_spans").withColumn("_key", _KEY).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    x = documents.drop("_spans").withColumn("_key", _key()).join(found.withColumnRenamed("key", "_key"), "_key", "left")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     text, parts = F.coalesce("text", F.lit("")), []
     for k, r in enumerate(rules):
