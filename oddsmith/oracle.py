@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "bets_neutral_stakes": _chal + ", y AS (SELECT forecaster, mkt, CASE WHEN row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(p / q + 3.3e-10, 9) DESC, mkt) = 1 THEN 1 / q ELSE 0 END AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "bets_log_stakes": _chal + ", y AS (SELECT forecaster, mkt, p / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "bets_crra_stakes": _chal + ", y AS (SELECT forecaster, mkt, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker) / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
-        "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY fp / fq DESC, mkt) = 1)," + _earn_tail,
+        "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(fp / fq + 3.3e-10, 9) DESC, mkt) = 1)," + _earn_tail,
         "avg_return_binary_log": _chal + _flip + ", " + _log_y + "," + _earn_tail,
         "avg_return_market_two_way": _chal + ", y AS (SELECT forecaster, event_ticker, avg(CASE WHEN o = 1 THEN p / q ELSE (1 - p) / n END) AS v FROM c GROUP BY forecaster, event_ticker)," + _earn_tail,
         "sharpe_of_earnings": _chal + _flip + ", " + _log_y + " SELECT forecaster AS username, round((avg(v) - 1) / (stddev_pop(v) + 1e-8), 6) AS score FROM y GROUP BY forecaster",

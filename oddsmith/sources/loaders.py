@@ -38,7 +38,7 @@ def asks(m: Column, side: str) -> Column:
 def stated(p: Column) -> Column:
     """Probabilities by market name; of repeated names the last counts."""
     keys = F.array_sort(F.array_distinct(F.transform(p, lambda x: x["market"])))
-    return F.transform(keys, lambda k: F.element_at(F.filter(p, lambda x: x["market"] == k), -1)["probability"])
+    return F.transform(keys, lambda k: F.try_element_at(F.filter(p, lambda x: x["market"] == k), F.lit(-1))["probability"])
 
 
 def nightly(spark: SparkSession, predictions: str, submissions: str, weight_fn=None, exclude=()) -> DataFrame:
@@ -121,7 +121,7 @@ class CsvChallenge(ChallengeLoader):
         when = F.array_max(F.transform("f.keys", lambda k: F.col("f.m")[k]["open_time" if self.use_open_time else "close_time"].try_cast("timestamp")))
         problems = first.select(F.col("event_ticker").alias("problem_id"), "problem_seq", F.col("event_ticker").alias("title"), F.col("f.keys").alias("options"), won.alias("correct_option_idx"), F.size("f.keys").alias("n_options"), when.alias("end_time"), (F.col("f.category") if "category" in x.columns else F.lit(None).cast("string")).alias("category"))
         s = lenient_json(F.col("prediction"), STATED)
-        said = F.transform("options", lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.element_at(F.filter("p", lambda y: y["market"] == k), -1)["probability"], F.lit(0.0)))))
+        said = F.transform("options", lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(F.filter("p", lambda y: y["market"] == k), F.lit(-1))["probability"], F.lit(0.0)))))
         f = x.withColumn("p", s["probabilities"]).drop("category").join(problems.select(F.col("problem_id").alias("event_ticker"), "options"), "event_ticker").withColumn("u", said)
         f = f.select(
             F.concat_ws("-", "event_ticker", "seq").alias("forecast_id"), F.col("event_ticker").alias("problem_id"), F.col("seq").alias("forecast_seq"), F.col("predictor_name").alias("username"),
