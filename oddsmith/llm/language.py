@@ -35,7 +35,9 @@ def _cells(data: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log P(cell | language), from at most MAX_TRAINING rows (lang, text)."""
-    chosen = documents.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING).select("lang", "text")
+    known = documents.where("lang is not null and text is not null")
+    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING).distinct()  # ids alone are sorted
+    chosen = known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
 
     def count(batches):
         for whole in batches:
@@ -48,8 +50,9 @@ def train(documents: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], ["lang", "n"])
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.mapInArrow(count, "lang string, n array<long>").toLocalIterator():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["n"])
+    parts = chosen.mapInArrow(count, "lang string, n array<long>").select("lang", F.posexplode("n").alias("cell", "n")).where("n > 0")
+    for r in parts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS rows for each language
+        total.setdefault(r["lang"], np.zeros(CELLS))[r["cell"]] = r["n"]
     langs = sorted(total)
     n = np.array([total[k] for k in langs], float).reshape(len(langs), CELLS) + 0.5
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
