@@ -2,80 +2,129 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
-def bradley_terry(problems: DataFrame, forecasts: DataFrame, iterations: int = 100, threshold: float = 1e-3) -> DataFrame:
-    """(username, score, rank): skills by minorization-maximization.
+def bradley_terry(problems: DataFrame, forecasts: DataFrame, iterations: int = 100, threshold: float = 1e-3, trajectory: bool = False) -> DataFrame:
+    """(username, score, rank): skills by minorization-maximization; with `trajectory`, (iteration, username, score).
 
-    The forecasts stay cached; each step broadcasts the skills (a value for each
-    forecaster) and aggregates. Problems without a correct option are left out.
+    The forecasts are laid out by problem once and stay cached; each step
+    broadcasts the skills (a value for each forecaster) and aggregates, with no
+    shuffle but that of partial sums. Problems without a correct option are left out.
     """
-    x = forecasts.join(problems.where("size(correct_option_idx) > 0").select("problem_id", "correct_option_idx"), "problem_id")
+    x = forecasts.join(problems.where("size(correct_option_idx) > 0").select("problem_id", "correct_option_idx"), "problem_id").repartition("problem_id")
     x = x.groupBy("problem_id", "username").agg(F.max_by(F.get("probs", F.get("correct_option_idx", F.lit(0))), "forecast_seq").alias("p")).persist()
     names = [r[0] for r in x.select("username").distinct().collect()]  # a row for each forecaster
     theta = dict.fromkeys(names, 1.0)
+    steps = [(0, u, 1.0) for u in names]
     spark = forecasts.sparkSession
     w = Window.partitionBy("problem_id")
-    for _ in range(iterations):
+    for k in range(iterations):
         skills = F.broadcast(spark.createDataFrame(list(theta.items()), "username string, theta double"))
         y = x.join(skills, "username").withColumn("s", F.col("theta") * F.col("p"))
         y = y.withColumn("win", F.try_divide("s", F.sum("s").over(w))).withColumn("part", 1 / F.sum("theta").over(w))
         new = {r["username"]: (r["w"] or 0.0) / r["d"] for r in y.groupBy("username").agg(F.sum("win").alias("w"), F.sum("part").alias("d")).collect()}
         scale = len(new) / (sum(new.values()) or 1.0)
-        new = {k: v * scale for k, v in new.items()}
-        far = max((abs(new[k] - theta[k]) for k in new), default=0.0)
+        new = {u: v * scale for u, v in new.items()}
+        far = max((abs(new[u] - theta[u]) for u in new), default=0.0)
         theta = new
+        steps += [(k + 1, u, v) for u, v in theta.items()]
         if far < threshold:
             break
     x.unpersist()
+    if trajectory:
+        return spark.createDataFrame(steps, "iteration int, username string, score double")
     out = spark.createDataFrame(list(theta.items()), "username string, score double")
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "username")))
 
 
-def item_response(scores: DataFrame, anchors: int = 6, steps: int = 300, rate: float = 0.05, seed: int = 3) -> DataFrame:
-    """(kind, id, ability | difficulty, discrimination) from (username, problem_id, score in [0, 1], low is good).
+def _levels(scores: DataFrame, anchors: int, strategy: str) -> list[float]:
+    if anchors < 2:
+        raise ValueError("at least two anchors are needed")
+    steps = [k / (anchors - 1) for k in range(anchors)]
+    if strategy == "uniform":
+        return steps
+    found = scores.agg(F.percentile("score", F.array(*map(F.lit, steps))).alias("q")).first()["q"]
+    return sorted(set(found or [])) or steps
 
-    Scores go to the nearest of `anchors` levels. Penalized maximum likelihood by
-    Adam over sufficient counts, fitted in one task: its size is forecasters x
-    problems x levels, so give it a bounded set of problems.
-    """
+
+def _slopes(rows: DataFrame, levels: list[float], shift: list[float], key: str) -> DataFrame:
+    """Rows (key, k, n, t, a, b) to their log-likelihood's derivatives, by Arrow batches: g and h
+    of the location; for problems also ga and ha of the log-discrimination, gp and hp of each shift."""
     import numpy as np
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        users, u = np.unique(pdf["username"].to_numpy(str), return_inverse=True)
-        items, i = np.unique(pdf["problem_id"].to_numpy(str), return_inverse=True)
-        level = np.linspace(0, 1, anchors)
-        k = np.abs(pdf["score"].to_numpy()[:, None] - level).argmin(1)
-        rng = np.random.default_rng(seed)
-        par = {"t": rng.normal(0, 0.1, len(users)), "a": np.zeros(len(items)), "b": np.zeros(len(items)), "p": np.zeros(anchors)}
-        m = {n: np.zeros_like(v) for n, v in par.items()}
-        v2 = {n: np.zeros_like(v) for n, v in par.items()}
-        for s in range(1, steps + 1):
-            a = np.exp(par["a"])[i]
-            gap = par["t"][u][:, None] - par["b"][i][:, None] - par["p"][None, :]
-            z = a[:, None] * (1 - level)[None, :] * gap
-            z -= z.max(1, keepdims=True)
-            q = np.exp(z)
+    import pyarrow as pa
+
+    c, p = 1 - np.array(levels), np.array(shift)
+    names = [key, "g", "h"] + (["ga", "ha", *(f"{s}{j}" for s in ("gp", "hp") for j in range(len(levels)))] if key == "problem_id" else [])
+
+    def run(batches):
+        for batch in batches:
+            k, n, t, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            at, d = np.arange(len(k)), np.exp(a)
+            z = d[:, None] * c * (t[:, None] - b[:, None] - p)
+            q = np.exp(z - z.max(1, keepdims=True)) if len(k) else z
             q /= q.sum(1, keepdims=True)
-            d = -q
-            d[np.arange(len(k)), k] += 1
-            slope = d * a[:, None] * (1 - level)[None, :]
-            g = {
-                "t": np.bincount(u, slope.sum(1), len(users)) - par["t"],
-                "a": np.bincount(i, (d * z).sum(1), len(items)) - par["a"],
-                "b": -np.bincount(i, slope.sum(1), len(items)) - par["b"] / 25,
-                "p": -slope.sum(0) - par["p"] / 25,
-            }
-            for n in par:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v2[n] = 0.999 * v2[n] + 0.001 * g[n] ** 2
-                par[n] = par[n] + rate * (m[n] / (1 - 0.9**s)) / (np.sqrt(v2[n] / (1 - 0.999**s)) + 1e-8)
-        people = pd.DataFrame({"kind": "forecaster", "id": users, "location": par["t"], "discrimination": np.nan})
-        tasks = pd.DataFrame({"kind": "problem", "id": items, "location": par["b"], "discrimination": np.exp(par["a"])})
-        return pd.concat([people, tasks])
-
-    x = scores.select(F.lit(0).alias("g"), F.col("username").cast("string").alias("username"), F.col("problem_id").cast("string").alias("problem_id"), "score")
-    return x.groupBy("g").applyInPandas(lambda pdf: fit(pdf), "kind string, id string, location double, discrimination double")
+            mean, mean_z = q @ c, (q * z).sum(1)
+            out = [n * d * (c[k] - mean), n * d * d * (q * (c - mean[:, None]) ** 2).sum(1)]
+            if key == "problem_id":
+                seen = np.zeros_like(q)
+                seen[at, k] = 1
+                out += [n * (z[at, k] - mean_z), n * (q * (z - mean_z[:, None]) ** 2).sum(1)]
+                out += list((n * d)[:, None].T * c[:, None] * (q - seen).T) + list((n * d * d)[:, None].T * c[:, None] ** 2 * (q * (1 - q)).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names)
+
+    return rows.select(key, "k", "n", "t", "a", "b").mapInArrow(run, ", ".join([f"{key} string", *(f"{x} double" for x in names[1:])])).groupBy(key).agg(*(F.sum(x).alias(x) for x in names[1:]))
+
+
+def _step(g: Column, h: Column, most: float = 1.0) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), g / h))
+
+
+def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform", rounds: int = 12, tolerance: float = 0.02) -> DataFrame:
+    """(kind, id, location, discrimination, sd) from (username, problem_id, score in [0, 1], low is good).
+
+    kind is forecaster (location: ability) or problem (location: difficulty).
+    Scores go to the nearest of the anchors (even levels, or quantiles). Level k
+    has logit a (1 - level) (ability - difficulty - shift[k]); priors are normal,
+    with deviation 1 for abilities and log a, 5 for the rest. The posterior mode
+    comes from rounds of Newton steps, first for all forecasters, then for all
+    problems and shifts; sd is the curvature's (Laplace). Every step is one join
+    and one grouped sum, so no task holds the rows of a forecaster or a problem,
+    and its state is two tables written between the steps. Null scores are dropped.
+    """
+    known = scores.where("score is not null and username is not null and problem_id is not null")
+    levels = _levels(known, anchors, strategy)
+    marks = F.array(*(F.lit(v) for v in levels))
+    k = F.array_min(F.transform(marks, lambda v, i: F.struct(F.abs(F.col("score") - v).alias("far"), i.alias("k"))))["k"]
+    x = known.select(F.col("username").cast("string").alias("username"), F.col("problem_id").cast("string").alias("problem_id"), k.alias("k"))
+    x = cut(x.groupBy("username", "problem_id", "k").agg(F.count("*").cast("double").alias("n")))
+    users = cut(x.select("username").distinct().select("username", F.lit(0.0).alias("t"), F.lit(0.0).alias("far"), F.lit(1.0).alias("sd")))
+    items = cut(x.select("problem_id").distinct().select("problem_id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(5.0).alias("sd")))
+    r = range(len(levels))
+    shift = [0.0 for _ in r]
+    for _ in range(rounds):
+        rows = lambda: x.join(items.select("problem_id", "a", "b"), "problem_id").join(users.select("username", "t"), "username")
+        sums = _slopes(rows(), levels, shift, "username")
+        move = _step(F.col("g") - F.col("t"), F.col("h") + 1)
+        users = cut(users.select("username", "t").join(sums, "username").select("username", (F.col("t") + move).alias("t"), F.abs(move).alias("far"), (1 / F.sqrt(F.col("h") + 1)).alias("sd")))
+        sums = _slopes(rows(), levels, shift, "problem_id")
+        b = F.col("b") + 0.5 * _step(-F.col("g") - F.col("b") / 25, F.col("h") + 1 / 25)
+        a = F.col("a") + 0.5 * _step(F.col("ga") - F.col("a"), F.col("ha") + 1)
+        items = cut(items.select("problem_id", "a", "b").join(sums, "problem_id").select("problem_id", a.alias("a"), b.alias("b"), (1 / F.sqrt(F.col("h") + 1 / 25)).alias("sd"), *(f"{s}{j}" for s in ("gp", "hp") for j in r)))
+        p = items.agg(*(F.sum(f"{s}{j}").alias(f"{s}{j}") for s in ("gp", "hp") for j in r)).first()  # one row
+        shift = [v + 0.5 * max(-1.0, min(1.0, ((p[f"gp{j}"] or 0.0) - v / 25) / ((p[f"hp{j}"] or 0.0) + 1 / 25))) for j, v in enumerate(shift)]
+        if (users.agg(F.max("far")).first()[0] or 0.0) < tolerance:
+            break
+    people = users.select(F.lit("forecaster").alias("kind"), F.col("username").alias("id"), F.col("t").alias("location"), F.lit(None).cast("double").alias("discrimination"), "sd")
+    return people.unionByName(items.select(F.lit("problem").alias("kind"), F.col("problem_id").alias("id"), F.col("b").alias("location"), F.exp("a").alias("discrimination"), "sd"))
+
+
+def posterior_summary(table: DataFrame) -> DataFrame:
+    """The fitted table with the 5, 25, 50, 75 and 95 % points of each location."""
+    z = {f"p{q}": NormalDist().inv_cdf(q / 100) for q in (5, 25, 50, 75, 95)}
+    return table.withColumns({k: F.col("location") + v * F.col("sd") for k, v in z.items()})

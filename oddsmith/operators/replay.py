@@ -7,22 +7,20 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
 from .ranking import ranked
 
 
 def batches(problems: DataFrame, increment: int = 100, order: str = "sequential", seed: int = 0) -> DataFrame:
-    """problems with `batch` from 0. Ids only are numbered: one narrow row for each problem."""
-    key = {"sequential": "problem_seq", "time": "end_time", "random": F.rand(seed)}[order]
-    n = F.row_number().over(Window.orderBy(key, "problem_seq"))
-    return problems.join(problems.select("problem_id", F.floor((n - 1) / increment).alias("batch")), "problem_id")
+    """problems with `batch` from 0, in the order of problem_seq, of end_time, or of a seeded hash.
+    Only narrow rows are numbered, in ranges."""
+    key = {"sequential": F.col("problem_seq"), "time": F.col("end_time"), "random": F.xxhash64("problem_id", F.lit(seed))}[order]
+    ids = numbered(problems.select("problem_id", "problem_seq", key.alias("key")), "key", "problem_seq", "problem_id")
+    return problems.join(ids.select("problem_id", F.floor(F.col("n") / increment).alias("batch")), "problem_id")
 
 
-def adaptive_windows(problems: DataFrame, step_days: int = 1, least: int = 1) -> DataFrame:
-    """problems with `window_end`: windows of step_days that widen until they hold `least`
-    problems. Boundaries come from one count for each date."""
-    counts = [(r["d"], r["count"]) for r in problems.groupBy(F.to_date("end_time").alias("d")).count().orderBy("d").collect()]
-    if not counts:
-        return problems.withColumn("window_end", F.lit(None).cast("date"))
+def _windows(counts: list[tuple[date, int]], step_days: int, least: int) -> list[tuple[date, date]]:
+    """(date, last date of its window) for dates in order with their numbers of problems."""
     rows: list[tuple[date, date]] = []
     start, k = counts[0][0], 0
     while k < len(counts):
@@ -36,30 +34,45 @@ def adaptive_windows(problems: DataFrame, step_days: int = 1, least: int = 1) ->
             end += timedelta(days=step_days)
         rows += [(d, end) for d, _ in counts[first:k]]
         start = end
-    labels = problems.sparkSession.createDataFrame(rows, "d date, window_end date")
-    return problems.withColumn("d", F.to_date("end_time")).join(labels, "d").drop("d")
+    return rows
+
+
+def adaptive_windows(problems: DataFrame, step_days: int = 1, least: int = 1, by: str | None = None) -> DataFrame:
+    """problems with `window_end`: windows of step_days that widen until they hold `least`
+    problems, for each value of `by` apart. Boundaries come from one count for each date (and value)."""
+    group = F.col(by).cast("string") if by else F.lit("")
+    dated = problems.where("end_time is not null").withColumn("_by", F.coalesce(group, F.lit(""))).withColumn("_d", F.to_date("end_time"))
+    counts: dict[str, list] = {}
+    for r in dated.groupBy("_by", "_d").count().orderBy("_by", "_d").collect():
+        counts.setdefault(r["_by"], []).append((r["_d"], r["count"]))
+    rows = [(v, d, end) for v, c in counts.items() for d, end in _windows(c, step_days, least)]
+    labels = problems.sparkSession.createDataFrame(rows, "_by string, _d date, window_end date")
+    return dated.join(labels, ["_by", "_d"]).drop("_by", "_d")
 
 
-def cumulative(scores: DataFrame, label: str, user: str = "username", ascending: bool = False) -> DataFrame:
-    """(label, user, score, n, rank) after each label, over all rows so far. A user
+def cumulative(scores: DataFrame, label: str, user: str = "username", ascending: bool = False, by=()) -> DataFrame:
+    """(*by, label, user, score, n, rank) after each label, over all rows so far. A user
     appears from the first label on and stays."""
-    part = scores.groupBy(label, user).agg(F.sum("score").alias("s"), F.count("score").alias("n"))
-    first = part.groupBy(user).agg(F.min(label).alias("since"))
-    grid = part.select(label).distinct().join(first, F.col(label) >= F.col("since")).select(label, user)  # labels x users
-    w = Window.partitionBy(user).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
-    x = grid.join(part, [label, user], "left").select(label, user, F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
-    return ranked(x.select(label, user, F.try_divide("s", "n").alias("score"), "n"), ascending, [label])
+    part = scores.groupBy(*by, label, user).agg(F.sum("score").alias("s"), F.count("score").alias("n"))
+    first = part.groupBy(*by, user).agg(F.min(label).alias("since"))
+    labels = part.select(*by, label).distinct()
+    grid = labels.join(first, list(by)).where(F.col(label) >= F.col("since")) if by else labels.join(first, F.col(label) >= F.col("since"))  # labels x users
+    w = Window.partitionBy(*by, user).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
+    x = grid.select(*by, label, user).join(part, [*by, label, user], "left").select(*by, label, user, F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
+    return ranked(x.select(*by, label, user, F.try_divide("s", "n").alias("score"), "n"), ascending, [*by, label])
 
 
-def every_days(scores: DataFrame, days: int, ascending: bool = True, by=(), include_tail: bool = False) -> DataFrame:
-    """Weighted means of scores (close_time, weight, score) up to each cutoff. Rows
-    after the last whole step appear with include_tail only."""
+def every_days(scores: DataFrame, days: int, ascending: bool = True, by=(), include_tail: bool = False, how: str = "mean") -> DataFrame:
+    """Weighted means of scores (close_time, weight, score) up to each cutoff, or with
+    how="roi" the summed score over the summed cost. Rows after the last whole
+    step appear with include_tail only."""
+    top, low = (F.col("score") * F.col("weight"), F.col("weight")) if how == "mean" else (F.col("score"), F.col("cost"))
     span = scores.groupBy(*by).agg(F.min("close_time").alias("lo"), F.max("close_time").alias("hi"))
     span = span.withColumn("last", F.floor(F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / 86_400_000_000) / days))
     x = scores.join(span, list(by)) if by else scores.crossJoin(F.broadcast(span))  # one row
     k = F.ceil((F.unix_micros("close_time") - F.unix_micros("lo")) / (86_400_000_000 * days))
     x = x.withColumn("k", k) if include_tail else x.withColumn("k", k).where("k <= last")
-    part = x.groupBy(*by, "forecaster", "k").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n"))
+    part = x.groupBy(*by, "forecaster", "k").agg(F.sum(top).alias("s"), F.sum(low).alias("w"), F.count("*").alias("n"))
     ends = span.select(*by, "lo", F.explode(F.sequence(F.lit(0), F.col("last") + int(include_tail))).alias("k"))
     grid = ends.join(part.groupBy(*by, "forecaster").agg(F.min("k").alias("since")), list(by)) if by else ends.crossJoin(part.groupBy("forecaster").agg(F.min("k").alias("since")))
     grid = grid.where("k >= since").select(*by, "forecaster", "k", "lo")

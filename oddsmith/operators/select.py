@@ -107,8 +107,14 @@ def rebalanced(df: DataFrame, quota: dict[str, float], seed: int = 7) -> DataFra
     events = df.select("event_ticker", cat.alias("cat")).distinct()
     counts = {r["cat"]: r["count"] for r in events.where(F.col("cat").isin(*quota)).groupBy("cat").count().collect()}  # a row for each category of the quota
     lowest = min(int(counts.get(c, 0) / q) for c, q in quota.items() if q > 0)
-    k = F.row_number().over(Window.partitionBy("cat").orderBy((F.col("event_ticker") * 48271 + seed) % 1000003, "event_ticker"))
+    # Events are numbered by hash value: at most 1,000,003 counts for each category are
+    # summed up in order, and only events of one value are sorted together.
+    events = events.withColumn("h", (F.col("event_ticker") * 48271 + seed) % 1000003)
+    before = F.sum("m").over(Window.partitionBy("cat").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    held = events.groupBy("cat", "h").agg(F.count("*").alias("m")).select("cat", "h", F.coalesce(before, F.lit(0)).alias("before"))
     take = F.lit(0)
     for c, q in quota.items():
         take = F.when(F.col("cat") == c, int(lowest * q)).otherwise(take)
-    return df.join(events.withColumn("k", k).where(F.col("k") <= take), "event_ticker", "left_semi")
+    held = held.withColumn("take", take).where("before < take")
+    k = F.col("before") + F.row_number().over(Window.partitionBy("cat", "h").orderBy("event_ticker"))
+    return df.join(events.join(held, ["cat", "h"]).withColumn("k", k).where("k <= take"), "event_ticker", "left_semi")

@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MAX_FORECASTERS = 100_000  # rows of region that are broadcast; more are joined by Spark's choice
+
+
 def forecasts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (forecaster, event, round) with vectors; no shuffle: rows are expanded in place."""
-    region = F.broadcast(spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.col("r_name").alias("forecaster")).limit(64))
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.col("r_name").alias("forecaster"))
+    if region.count() <= MAX_FORECASTERS:
+        region = F.broadcast(region)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("e"), F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("timestamp").alias("close_time"))
     x = orders.crossJoin(region).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round")).where("(e + r_regionkey * 3 + round) % 7 < 4")
     vector = lambda body: F.expr(f"transform(sequence(0, cast(e % 4 as int)), m -> cast({body} as double) / 100)")

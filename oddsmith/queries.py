@@ -403,8 +403,7 @@ def bradley_terry(spark, d):
 @query
 def irt_abilities(spark, d):
     problems, forecasts = derive_challenge(spark, d)
-    ids = problems.where("size(correct_option_idx) > 0").orderBy("problem_seq").limit(500)  # the model takes a bounded set of problems
-    x = challenge.rule_scores(ids, forecasts, "brier_raw").select("username", "problem_id", "score")
+    x = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier_raw").select("username", "problem_id", "score")
     return models.item_response(x)
 
 
