@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import markets
@@ -43,3 +43,9 @@ def reliability(df: DataFrame, bins: int = 10, strategy: str = "uniform", weight
 def calibration_error(df: DataFrame, bins: int = 10, strategy: str = "uniform", weight_event: bool = True) -> DataFrame:
     x = reliability(df, bins, strategy, weight_event).join(df.where("weight > 0").groupBy("forecaster").agg(F.sum(F.size("prediction")).alias("n")), "forecaster")
     return x.groupBy("forecaster").agg(F.sum(F.abs(F.col("confidence") - F.col("accuracy")) * F.col("count") / F.col("n")).alias("score"))
+
+
+def bin_details(table: DataFrame, bins: int = 10) -> DataFrame:
+    """A reliability table over uniform bins, with each bin's centre and width and its share of the forecaster's count."""
+    all_ = F.sum("count").over(Window.partitionBy("forecaster"))  # a row for each bin
+    return table.withColumns({"center": (F.col("bin") + 0.5) / bins, "width": F.lit(1.0 / bins), "share": F.try_divide("count", all_)})

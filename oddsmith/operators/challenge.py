@@ -126,3 +126,26 @@ def waterfill_bets(forecasts: DataFrame, risk_aversion: float) -> DataFrame:
         return pd.Series([waterfill(list(x), list(y), risk_aversion) for x, y in zip(p, q)])
 
     return forecasts.withColumn("stakes", F.pandas_udf(stakes, "array<double>", F.PandasUDFType.SCALAR)("probs", "odds"))
+
+
+def event_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0) -> DataFrame:
+    """One unit is dealt over the YES legs of all options. Later forecasts replace earlier ones."""
+    x = forecasts.where("odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
+    x = x.withColumn("earned", total(F.zip_with(bets(risk_aversion), one_hot("correct_option_idx", "n_options"), lambda b, y: b * y)))
+    return x.groupBy("username", "problem_id", "end_time", "category").agg(F.max_by("earned", "forecast_seq").alias("score"), F.max("forecast_seq").alias("forecast_seq"))
+
+
+def first_option_brier() -> Column:
+    """(1 - p)^2 of the first correct option."""
+    p = F.get("probs", F.get("correct_option_idx", F.lit(0)))
+    return (1 - p) * (1 - p)
+
+
+def calibration_ranking(problems: DataFrame, forecasts: DataFrame, bins: int = 10, weight_event: bool = False) -> DataFrame:
+    """(username, score, rank): calibration error of the probabilities as stated; ranks start at 0, ties by name."""
+    from .calibration import calibration_error
+
+    x = forecasts.join(problems.select("problem_id", "correct_option_idx", "n_options"), "problem_id")
+    x = x.select(F.col("username").alias("forecaster"), F.col("unnormalized_probs").alias("prediction"), one_hot("correct_option_idx", "n_options").alias("outcome"), "odds", "no_odds", "weight")
+    x = calibration_error(x, bins, weight_event=weight_event).withColumnRenamed("forecaster", "username")
+    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9), "username")) - 1)

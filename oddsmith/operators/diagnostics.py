@@ -82,3 +82,58 @@ def regression(df: DataFrame, target: str, regressors: list[str], by=()) -> Data
             out.append((*(r[c] for c in by), name, float(b), float(s), float(p), float(b - z_score(0.95) * s), float(b + z_score(0.95) * s), float(r2), float(1 - (1 - r2) * (n - 1) / (n - k)), n))
     schema = ", ".join([*(f"{c} string" for c in by), "term string, estimate double, se double, p_value double, low double, high double, r2 double, adjusted_r2 double, n long"])
     return df.sparkSession.createDataFrame(out, schema)
+
+
+def _mean_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
+    """(col, name): the rank of each distinct value, ties at their average. Values are counted before they are ordered."""
+    n = df.groupBy(col).agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.select(col, (before + (F.col("m") + 1) / 2).alias(name))
+
+
+def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, pearson, pearson_p, spearman, spearman_p; 0 where a correlation is undefined."""
+    full = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    full = full.join(_mean_ranks(full, "x", "rx"), "x").join(_mean_ranks(full, "y", "ry"), "y")
+    of = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
+    n, r, s = full.agg(F.count("*"), of("x", "y"), of("rx", "ry")).first()
+    p = lambda v: 1.0 if n < 3 else 0.0 if abs(v) >= 1 else t_p_value(v * math.sqrt((n - 2) / (1 - v * v)), n - 2)
+    return df.sparkSession.createDataFrame([(n, r, p(r), s, p(s))], "n long, pearson double, pearson_p double, spearman double, spearman_p double")
+
+
+def line_band(df: DataFrame, target: str, regressor: str, points: list[float], by=(), z: float = 1.96) -> DataFrame:
+    """(*by, x, fit, margin): the fitted line at the points and the margin of its mean."""
+    y, x = F.col(target), F.col(regressor)
+    s = df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("icept"), F.regr_avgx(y, x).alias("mx"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    mse = F.greatest(F.lit(0.0), F.try_divide(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.col("n") - 2))
+    s = s.withColumn("mse", mse).select("*", F.explode(F.array(*(F.lit(float(p)) for p in points))).alias("x"))
+    far = F.col("x") - F.col("mx")
+    return s.select(*by, "x", (F.col("icept") + F.col("slope") * F.col("x")).alias("fit"), (z * F.sqrt(F.col("mse") * (1 / F.col("n") + F.try_divide(far * far, "sxx")))).alias("margin"))
+
+
+def market_count_bins(df: DataFrame, edges: list[int], col: str = "num_markets") -> DataFrame:
+    """df with market_bin, the half-open range (low, high] that holds the number of markets; beyond the last edge `(last, inf]`, below the first null."""
+    label = F.lit(None).cast("string")
+    for lo, hi in zip(edges, [*edges[1:], None]):
+        inside = F.col(col) > lo
+        label = F.when(inside if hi is None else inside & (F.col(col) <= hi), f"({lo}, {'inf' if hi is None else hi}]").otherwise(label)
+    return df.withColumn("market_bin", label)
+
+
+def market_scatter(df: DataFrame, forecaster: str, won: bool = True, baseline: str = "market-baseline", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(event_ticker, market_index, market_prob, model_prob) on the markets that resolved YES (or
+    NO, as complements): the first row by round of each side; extreme probabilities go."""
+
+    def first(name, alias):
+        x = df.where(F.col("forecaster") == name).groupBy("event_ticker").agg(F.min_by(F.struct("prediction", "outcome"), "round").alias("f"))
+        return x.select("event_ticker", F.posexplode(F.arrays_zip(F.col("f.prediction").alias("p"), F.col("f.outcome").alias("o"))).alias("market_index", alias))
+
+    x = first(baseline, "b").where(F.col("b.o") == (1.0 if won else 0.0)).join(first(forecaster, "m"), ["event_ticker", "market_index"])
+    side = lambda c: c if won else 1 - c
+    x = x.select("event_ticker", "market_index", side(F.col("b.p")).alias("market_prob"), side(F.col("m.p")).alias("model_prob"))
+    return x.where(F.col("market_prob").between(low, high) & F.col("model_prob").between(low, high))
+
+
+def event_rollup(scores: DataFrame) -> DataFrame:
+    """Each event's number of scores, their mean and its number of markets."""
+    return scores.groupBy("event_ticker").agg(F.max("num_markets").alias("num_markets"), F.avg("score").alias("mean_score"), F.count("*").alias("n"))

@@ -95,3 +95,18 @@ def report(ranking: DataFrame, rows: int = 25) -> str:
     lines = [f"{'rank':>4}  {'forecaster':<28} {'score':>12}"]
     lines += [f"{r['rank']:>4}  {r['forecaster']:<28} {r['score']:>12.6f}" for r in ranking.orderBy("rank", "forecaster").limit(rows).collect()]
     return "\n".join(lines)
+
+
+def correlation_grid(rankings: dict[str, DataFrame], user: str = "forecaster") -> DataFrame:
+    """(method_a, method_b, n, spearman, kendall) of each pair of named rankings over their
+    common forecasters. Ranks of a pair are gathered into one row, one for each forecaster."""
+    parts = [r.select(F.lit(name).alias("method"), F.col(user).alias("forecaster"), F.col("rank").cast("double").alias("rank")) for name, r in rankings.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    a, b = (every.select("forecaster", F.col("method").alias(f"method_{s}"), F.col("rank").alias(s)) for s in "ab")
+    x = a.join(b, "forecaster").where("method_a < method_b").groupBy("method_a", "method_b")
+    rho = F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0))
+    x = x.agg(F.count("*").alias("n"), rho.alias("spearman"), F.collect_list(F.struct("forecaster", "a", "b")).alias("r"))
+    sign = "aggregate(r, 0D, (s, x) -> s + aggregate(filter(r, y -> y.forecaster > x.forecaster), 0D, (t, y) -> t + signum(x.a - y.a) * signum(x.b - y.b)))"
+    return x.select("method_a", "method_b", "n", "spearman", F.coalesce(F.try_divide(F.expr(sign), F.expr("n * (n - 1) / 2")), F.lit(0.0)).alias("kendall"))

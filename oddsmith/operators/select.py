@@ -118,3 +118,16 @@ def rebalanced(df: DataFrame, quota: dict[str, float], seed: int = 7) -> DataFra
     held = held.withColumn("take", take).where("before < take")
     k = F.col("before") + F.row_number().over(Window.partitionBy("cat", "h").orderBy("event_ticker"))
     return df.join(events.join(held, ["cat", "h"]).withColumn("k", k).where("k <= take"), "event_ticker", "left_semi")
+
+
+def frequent(df: DataFrame, least: int, user: str = "forecaster") -> DataFrame:
+    """Rows of forecasters that have at least `least` rows; counts are combined before they move."""
+    many = df.groupBy(user).count().where(F.col("count") >= least).select(user)  # a row for each forecaster
+    return df.join(many, user, "left_semi")
+
+
+def dataset_counts(df: DataFrame) -> DataFrame:
+    """One row: forecasters, events, submissions and markets (those of each event's first row)."""
+    n = df.agg(F.countDistinct("forecaster").alias("n_forecasters"), F.count("*").alias("n_submissions"))
+    m = first_per_event(df).agg(F.count("*").alias("n_events"), F.sum(F.size("odds")).alias("n_markets"))
+    return n.crossJoin(F.broadcast(m))  # one row each

@@ -194,4 +194,45 @@ SELECT category, count(*) AS n_events, CAST(sum(e * (SELECT count(*) FROM f WHER
         "json_props_parse": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS BIGINT)) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",
         "live_windows": "SELECT date_trunc('day', ts) AS window_start, event_type AS forecaster, round(sum(value) / count(*), 6) AS score, count(*) AS n FROM events GROUP BY ALL",
         "problem_violations": _with(_F, _M) + "SELECT 'weight is negative' AS rule, count(*) AS n FROM (SELECT DISTINCT forecaster, event_ticker FROM m WHERE round = 1 AND event_ticker % 10 = 3)",
+        "rule_median": _chal + """, y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+g AS (SELECT forecaster, median(v) AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g""",
+        "first_option_brier": _chal + """, y AS (SELECT forecaster, event_ticker, arg_min(p, mkt) FILTER (WHERE o = 1) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+g AS (SELECT forecaster, avg((1 - p) * (1 - p)) AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9), seen, forecaster) AS rank FROM g""",
+        "avg_return_event_bets": _chal + ", y AS (SELECT forecaster, event_ticker, sum(p / q * o) AS v FROM c GROUP BY forecaster, event_ticker)," + _earn_tail,
+        "calibration_ranking": _chal + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: u >= e)) - 1, 9)) AS bin, u, o FROM c), z AS (SELECT forecaster, bin, avg(u) AS a, avg(o) AS b, count(*) AS k FROM y GROUP BY ALL), r AS (SELECT forecaster, sum(abs(a - b) * k) / sum(k) AS v FROM z GROUP BY forecaster) SELECT forecaster AS username, round(v, 6) AS score, row_number() OVER (ORDER BY round(v, 9), forecaster) - 1 AS rank FROM r",
+        "reliability_details": _with(_F, _M) + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: p >= e)) - 1, 9)) AS bin, p, o FROM m) SELECT forecaster, bin, round(avg(p), 6) AS confidence, round(avg(o), 6) AS accuracy, count(*) AS count, round((bin + 0.5::DOUBLE) / 10, 6) AS center, 0.1::DOUBLE AS width, round(count(*) / sum(count(*)) OVER (PARTITION BY forecaster), 6) AS share FROM y GROUP BY forecaster, bin",
+        "correlation_grid": _chal + """, y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS brier, avg(ln(greatest(p, 0.01::DOUBLE))) FILTER (WHERE o = 1) AS log, sum(p * o) / sqrt(sum(p * p)) AS spherical FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+g AS (UNPIVOT (SELECT forecaster, avg(brier) AS brier, avg(log) AS log, avg(spherical) AS spherical FROM y GROUP BY forecaster) ON brier, log, spherical INTO NAME method VALUE v),
+s AS (SELECT forecaster, min(event_ticker) AS seen FROM y GROUP BY forecaster),
+r AS (SELECT method, forecaster, CAST(row_number() OVER (PARTITION BY method ORDER BY round(v, 9) DESC, seen, forecaster) AS DOUBLE) AS rank FROM g JOIN s USING (forecaster)),
+ab AS (SELECT a.method AS method_a, b.method AS method_b, forecaster, a.rank AS a, b.rank AS b FROM r a JOIN r b USING (forecaster) WHERE a.method < b.method),
+sp AS (SELECT method_a, method_b, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rho FROM ab GROUP BY ALL),
+kt AS (SELECT x.method_a, x.method_b, CAST(sum(sign(x.a - y.a) * sign(x.b - y.b)) AS DOUBLE) AS t FROM ab x JOIN ab y ON x.method_a = y.method_a AND x.method_b = y.method_b AND x.forecaster < y.forecaster GROUP BY ALL)
+SELECT method_a, method_b, n, round(rho, 6) AS spearman, round(t / (n * (n - 1) / 2), 6) AS kendall FROM sp JOIN kt USING (method_a, method_b)""",
+        "dilution_correlation": _event + """, e AS (SELECT event_ticker, CAST(count(*) AS DOUBLE) AS x, avg(o) AS y FROM fe GROUP BY event_ticker),
+r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM e)
+SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""",
+        "dilution_band": _base + """, y AS (SELECT forecaster, event_ticker, avg(o) AS g, avg((p - o) * (p - o)) AS v FROM x GROUP BY ALL),
+s AS (SELECT regr_count(v, g) AS n, regr_slope(v, g) AS k, regr_intercept(v, g) AS c, regr_avgx(v, g) AS mx, regr_sxx(v, g) AS sxx, regr_syy(v, g) AS syy FROM y)
+SELECT t.x AS x, round(c + k * t.x, 6) AS fit, round(1.96::DOUBLE * sqrt((syy - k * k * sxx) / (n - 2) * (1.0::DOUBLE / n + (t.x - mx) * (t.x - mx) / sxx)), 6) AS margin FROM s, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x) t""",
+        "market_count_bins": _event + ", e AS (SELECT event_ticker, count(*) AS k, avg(o) AS y FROM fe GROUP BY event_ticker) SELECT ['(0, 1]', '(1, 2]', '(2, 3]', '(3, inf]'][k] AS market_bin, count(*) AS n_events, round(avg(y), 6) AS mean_dilution FROM e GROUP BY ALL",
+        "market_scatter": _with(_F, _M, _base_m) + """, b1 AS (SELECT event_ticker, min(round) AS round FROM f2 WHERE forecaster = 'market-baseline' GROUP BY event_ticker), e1 AS (SELECT event_ticker, min(round) AS round FROM f2 WHERE forecaster = 'EUROPE' GROUP BY event_ticker),
+bm AS (SELECT m2.* FROM m2 JOIN b1 USING (event_ticker, round) WHERE forecaster = 'market-baseline' AND o = 1), em AS (SELECT m2.* FROM m2 JOIN e1 USING (event_ticker, round) WHERE forecaster = 'EUROPE')
+SELECT event_ticker, mkt AS market_index, round(bm.p, 6) AS market_prob, round(em.p, 6) AS model_prob FROM bm JOIN em USING (event_ticker, mkt) WHERE bm.p BETWEEN 0.01::DOUBLE AND 0.99::DOUBLE AND em.p BETWEEN 0.01::DOUBLE AND 0.99::DOUBLE""",
+        "event_rollup": _brier + "SELECT event_ticker, CAST(max(weight) AS INTEGER) AS num_markets, round(avg(score), 6) AS mean_score, count(*) AS n FROM s GROUP BY event_ticker",
+        "gap_bins": _with(_F) + f"SELECT CAST(least(50, floor({_hours} / 2) + 1) AS BIGINT) AS bin, count(*) AS n FROM f WHERE {_hours} BETWEEN 0 AND 100 GROUP BY ALL",
+        "frequent_forecasters": _with(_F) + "SELECT forecaster || '/' || (e % 97) AS forecaster, count(*) AS n FROM f GROUP BY ALL HAVING count(*) >= 36",
+        "dataset_counts": _with(_F) + "SELECT (SELECT count(DISTINCT forecaster) FROM f) AS n_forecasters, (SELECT count(*) FROM f) AS n_submissions, count(*) AS n_events, CAST(sum(e % 4 + 1) AS BIGINT) AS n_markets FROM (SELECT DISTINCT e FROM f)",
+        "time_bin_pivot": _with(_F) + f", y AS (SELECT forecaster, {_hours} AS h FROM f), z AS (SELECT *, {_bin} AS k FROM y) SELECT forecaster, " + ", ".join(f"count(*) FILTER (WHERE k = {k}) AS bin_{k}" for k in range(6)) + " FROM z GROUP BY forecaster",
+        "stream_roi_every_k_days": _bet + """, s AS (SELECT t.*, o.o_orderdate AS close_time FROM t JOIN orders o ON o.o_orderkey = t.event_ticker),
+sp AS (SELECT min(close_time) AS lo, (epoch_us(max(close_time)) - epoch_us(min(close_time))) // 86400000000 // 180 AS last FROM s),
+g AS (SELECT k, lo + to_days(CAST(k * 180 AS INTEGER)) AS at FROM (SELECT lo, unnest(range(0, last + 1)) AS k FROM sp)),
+a AS (SELECT s.forecaster, g.k * 180 AS day, sum(score) / sum(cost) AS v, count(*) AS n FROM g JOIN s ON s.close_time <= g.at GROUP BY ALL)
+SELECT forecaster, day, round(v, 6) AS score, n AS n_predictions, rank() OVER (PARTITION BY day ORDER BY round(v, 9) DESC) AS rank FROM a""",
+        "sql_functions": _with(_F, _M) + "SELECT forecaster, round(avg(v), 6) AS score, count(*) AS n FROM (SELECT forecaster, event_ticker, round, avg((p - o) * (p - o)) AS v FROM m GROUP BY ALL HAVING max(q + n) <= 1.03::DOUBLE) GROUP BY forecaster",
+        "live_sessions": """WITH a AS (SELECT event_type, ts, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, event_type AS forecaster, round(avg(value), 6) AS score, count(*) AS n FROM b GROUP BY event_type, g""",
     }

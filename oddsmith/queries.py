@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import sql as sql_scores
 from .functions.vectors import bets_crra, bets_log, bets_neutral, normalized
 from .operators import calibration, challenge, diagnostics, models, ranking, replay, resample, scores, select
 from .plans.derive import challenge as derive_challenge
@@ -407,5 +408,135 @@ def irt_abilities(spark, d):
     return models.item_response(x)
 
 
+@query
+def rule_median(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    return _ranking(challenge.rule_ranking(challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier"), "median"))
+
+
+@query
+def first_option_brier(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    x = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, challenge.first_option_brier)
+    return _ranking(challenge.rule_ranking(x, ascending=True))
+
+
+@query
+def avg_return_event_bets(spark, d):
+    return _earned(spark, d, challenge.event_earnings, 1.0)
+
+
+@query
+def calibration_ranking(spark, d):
+    return _ranking(challenge.calibration_ranking(*derive_challenge(spark, d)))
+
+
+@query
+def reliability_details(spark, d):
+    return _r(calibration.bin_details(calibration.reliability(forecasts_wide(spark, d), weight_event=False)), "confidence", "accuracy", "center", "width", "share")
+
+
+@query
+def correlation_grid(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    problems = problems.where("size(correct_option_idx) > 0")
+    rankings = {rule: challenge.rule_ranking(challenge.rule_scores(problems, forecasts, rule)) for rule in ("brier", "log", "spherical")}
+    return _r(ranking.correlation_grid(rankings, "username"), "spearman", "kendall")
+
+
+def _events(spark, d):
+    return diagnostics.dilution(select.first_per_event(forecasts_wide(spark, d)))
+
+
+@query
+def dilution_correlation(spark, d):
+    return _r(diagnostics.correlations(_events(spark, d), "num_markets", "dilution").drop("pearson_p", "spearman_p"), "pearson", "spearman")
+
+
+@query
+def dilution_band(spark, d):
+    return _r(diagnostics.line_band(_dilution(spark, d), "brier", "dilution", [0, 0.25, 0.5, 0.75, 1]), "fit", "margin")
+
+
+@query
+def market_count_bins(spark, d):
+    x = diagnostics.market_count_bins(_events(spark, d), [0, 1, 2, 3])
+    return x.groupBy("market_bin").agg(F.count("*").alias("n_events"), F.round(F.avg("dilution"), 6).alias("mean_dilution"))
+
+
+@query
+def market_scatter(spark, d):
+    return _r(diagnostics.market_scatter(scores.with_market_baseline(forecasts_wide(spark, d)), "EUROPE"), "market_prob", "model_prob")
+
+
+@query
+def event_rollup(spark, d):
+    return _r(diagnostics.event_rollup(scores.brier_score(forecasts_wide(spark, d)).withColumn("num_markets", F.col("weight").cast("int"))), "mean_score")
+
+
+@query
+def gap_bins(spark, d):
+    return diagnostics.histogram(select.hours_to_close(forecasts_wide(spark, d)), "hours", 50, 0.0, 100.0)
+
+
+@query
+def frequent_forecasters(spark, d):
+    x = forecasts_wide(spark, d).select(F.concat_ws("/", "forecaster", F.expr("event_ticker % 97")).alias("forecaster"))
+    return select.frequent(x, 36).groupBy("forecaster").agg(F.count("*").alias("n"))
+
+
+@query
+def dataset_counts(spark, d):
+    return select.dataset_counts(forecasts_wide(spark, d))
+
+
+@query
+def time_bin_pivot(spark, d):
+    names = [name for _, _, name in select.TIME_BINS]
+    x = select.time_bins(forecasts_wide(spark, d)).groupBy("forecaster").pivot("time_bin", names).count()
+    return x.select("forecaster", *(F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(f"bin_{k}") for k, n in enumerate(names)))
+
+
+@query
+def stream_roi_every_k_days(spark, d):
+    return _ranking(replay.every_days(scores.average_return(forecasts_wide(spark, d)), 180, ascending=False, how="roi"))
+
+
+@query
+def stream_windows_by_category(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    problems = problems.where("size(correct_option_idx) > 0")
+    x = challenge.rule_scores(problems, forecasts, "brier").join(replay.adaptive_windows(problems, 30, 200, "category").select("problem_id", "window_end"), "problem_id")
+    return _ranking(replay.cumulative(x, "window_end", by=("category",)))
+
+
+@query
+def sql_functions(spark, d):
+    sql_scores.register(spark)
+    forecasts_wide(spark, d).createOrReplaceTempView("oddsmith_forecasts")
+    return spark.sql("SELECT forecaster, round(avg(brier(prediction, outcome)), 6) AS score, count(*) AS n FROM oddsmith_forecasts WHERE NOT spread_exceeds(odds, no_odds, 1.03D) GROUP BY forecaster")
+
+
+@query
+def bootstrap_roi(spark, d):
+    return resample.bootstrap(scores.average_return(forecasts_wide(spark, d)), how="roi")
+
+
+@query
+def bootstrap_market_level(spark, d):
+    return resample.bootstrap(scores.brier_score(forecasts_wide(spark, d), per_market=True))
+
+
+@query
+def bradley_terry_trajectory(spark, d):
+    return models.bradley_terry(*derive_challenge(spark, d), iterations=5, trajectory=True)
+
+
+@query
+def live_sessions(spark, d):
+    x = spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("forecaster"), F.col("value").alias("score"))
+    return _r(live.sessions(x, gap="30 minutes"), "score")
+
+
 def queries() -> dict:
     return dict(_all)
