@@ -212,8 +212,9 @@ sp AS (SELECT method_a, method_b, count(*) AS n, covar_pop(a, b) / (stddev_pop(a
 kt AS (SELECT x.method_a, x.method_b, CAST(sum(sign(x.a - y.a) * sign(x.b - y.b)) AS DOUBLE) AS t FROM ab x JOIN ab y ON x.method_a = y.method_a AND x.method_b = y.method_b AND x.forecaster < y.forecaster GROUP BY ALL)
 SELECT method_a, method_b, n, round(rho, 6) AS spearman, round(t / (n * (n - 1) / 2), 6) AS kendall FROM sp JOIN kt USING (method_a, method_b)""",
         "dilution_correlation": _event + """, e AS (SELECT event_ticker, CAST(count(*) AS DOUBLE) AS x, avg(o) AS y FROM fe GROUP BY event_ticker),
-r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM e)
-SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r""",
+r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM e),
+c AS (SELECT count(*) AS n, corr(x, y) AS a, corr(rx, ry) AS b FROM r)
+SELECT n, CASE WHEN abs(a) < 5e-7 THEN 0.0::DOUBLE ELSE round(a, 6) END AS pearson, CASE WHEN abs(b) < 5e-7 THEN 0.0::DOUBLE ELSE round(b, 6) END AS spearman FROM c""",
         "dilution_band": _base + """, y AS (SELECT forecaster, event_ticker, avg(o) AS g, avg((p - o) * (p - o)) AS v FROM x GROUP BY ALL),
 s AS (SELECT regr_count(v, g) AS n, regr_slope(v, g) AS k, regr_intercept(v, g) AS c, regr_avgx(v, g) AS mx, regr_sxx(v, g) AS sxx, regr_syy(v, g) AS syy FROM y)
 SELECT t.x AS x, round(c + k * t.x, 6) AS fit, round(1.96::DOUBLE * sqrt((syy - k * k * sxx) / (n - 2) * (1.0::DOUBLE / n + (t.x - mx) * (t.x - mx) / sxx)), 6) AS margin FROM s, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x) t""",
