@@ -3,8 +3,8 @@
 A text is cut where a hash of the bytes just before a white-space byte hits a
 mask, so equal passages give equal chunks wherever they stand. A chunk is
 encoded once for as long as a worker's cache holds it (bounded by bytes). The
-join of two chunks is exact if the byte before the cut is ASCII and not white
-space: the pre-tokenizer always splits there. Any other join is checked: the
+join of two chunks is exact if the character before the cut is no white space:
+the pre-tokenizer always splits there. Any other join is checked: the
 text between the nearest certain splits around it is encoded again, and where
 the ids disagree with the chunks', the chunks are merged and encoded anew until
 they agree.
@@ -25,8 +25,14 @@ from .common import SPACE, kept, slices, text_buffer
 
 MASK = 63  # one cut in 64 words: about 400 bytes
 CACHE_BYTES = 48 << 20  # of chunk texts in each worker
-_CERTAIN = np.zeros(256, bool)
-_CERTAIN[33:127] = True
+_CERTAIN = np.ones(256, bool)  # last bytes of characters that are no white space
+_CERTAIN[[*range(9, 14), *range(28, 33)]] = False
+# Last byte, and the byte before it, of the white space beyond ASCII
+# (U+0085, U+00A0, U+1680, U+180E, U+2000 to 200A, U+2028, U+2029, U+202F, U+205F, U+3000).
+# Characters that share both bytes are only checked without need.
+_LAST, _PRIOR = np.zeros(256, bool), np.zeros(256, bool)
+_LAST[[*range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_PRIOR[[0x80, 0x81, 0x9A, 0xA0, 0xC2]] = True
 
 
 class Codec:
@@ -126,15 +132,24 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _certain(data: np.ndarray) -> np.ndarray:
-    """Places where the pre-tokenizer splits whatever stands around."""
-    return np.flatnonzero(_CERTAIN[data[:-1]] & SPACE[data[1:]]) + 1
+    """Places where the pre-tokenizer splits whatever stands around: white space after another character."""
+    fine = _CERTAIN[data[:-1]] & SPACE[data[1:]]
+    fine[1:] &= ~(_LAST[data[1:-1]] & _PRIOR[data[:-2]])
+    fine[:1] &= data[:1] < 128
+    return np.flatnonzero(fine) + 1
+
+
+def _splits(text: bytes, more: bytes) -> bool:
+    """Whether the join of the two is certain."""
+    tail = text[-2:]
+    return len(tail) in _certain(np.frombuffer(tail + more[:1], np.uint8))
 
 
 def repaired(codec: Codec, chunks: list[bytes], ids: list[np.ndarray]) -> list[np.ndarray]:
     """Ids of a text from those of its chunks, after checking each join that is not certain."""
     out, text = [ids[0]], chunks[0]
     for c, more in zip(chunks[1:], ids[1:]):
-        if _CERTAIN[text[-1]] and c[0] in b" \t\n\v\f\r":
+        if _splits(text, c):
             out.append(more)
             text = c
             continue

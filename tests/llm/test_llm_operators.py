@@ -158,6 +158,19 @@ def test_bpe(spark, docs):
     assert len(out) == len(TEXTS) + 3 and bpe.encode(x.limit(0), path).count() == 0
 
 
+def test_bpe_without_ascii_letters():
+    """Texts whose words end in other scripts or in wide white space; a long one takes linear time."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    codec, tok, r = bpe.Codec(Q.vocabulary()), Tokenizer.from_file(Q.vocabulary()), random.Random(3)
+    kinds = ["абвгдежзий", "漢字仮名交文", "ابتثجح", "\u00a0\u2003\u3000\u0085\u180e x", "🙂\u200b'12\x1c\x00", "a\u0300ก็"]
+    texts = ["".join("".join(r.choice(a) for _ in range(r.randint(1, 9))) + r.choice([" ", "  ", "\n", " \u3000", "\u00a0 "]) for _ in range(r.randint(0, 500))) for a in kinds for _ in range(8)]
+    texts.append(" ".join("".join(r.choice("абвгдежзий") for _ in range(6)) for _ in range(40000)))
+    got = bpe._rows(codec, pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]))
+    assert all(g.tolist() == tok.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts))
+
+
 def test_bpe_repairs_joins():
     codec = bpe.Codec(Q.vocabulary())
     for text in (b"alpha beta gamma delta", "x  y z".encode(), b"aaaaaaaaaaaaaaaa"):
