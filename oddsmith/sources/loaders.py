@@ -146,3 +146,60 @@ def comments(pages: DataFrame) -> DataFrame:
     x = x.select("problem_id", "k", F.regexp_extract("b", r'class="membership-username"[^>]*>\s*([^<]*?)\s*<', 1).alias("username"), F.regexp_extract("b", r'data-localizable-timestamp="([^"]*)"', 1).try_cast("timestamp").alias("timestamp"), share.alias("prediction"))
     x = x.where("username <> ''").groupBy("problem_id", "username").agg(F.min(F.struct("k", "timestamp", "prediction")).alias("f"))
     return x.select("problem_id", "username", "f.timestamp", "f.prediction")
+
+
+def _found(html, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+
+
+def _plain(html: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"\s+", " "))
+
+
+def question_list(pages: DataFrame) -> DataFrame:
+    """(problem_id, title, url, status, end_time, num_forecasters, num_forecasts) from pages (html) that list questions."""
+    head = r'<div[^>]*\bid="row-table-question-\d+"'
+    block = F.regexp_extract_all("html", F.lit(rf"(?s){head}.*?(?={head}|\z)"), F.lit(0))
+    x = pages.select(F.explode(block).alias("b"))
+    count = lambda kind: _found(F.col("b"), rf'(?s)<a[^>]*\bdata-sort="{kind}"[^>]*>\D*?(\d+)').try_cast("int")
+    return x.select(
+        _found(F.col("b"), r'\bid="row-table-question-(\d+)"').alias("problem_id"),
+        _plain(_found(F.col("b"), r"(?s)<h5[^>]*>.*?<a\b[^>]*>(.*?)</a>")).alias("title"),
+        _found(F.col("b"), r'(?s)<h5[^>]*>.*?<a\b[^>]*\bhref="([^"]*)"').alias("url"),
+        _plain(_found(F.col("b"), r'(?s)<span[^>]*\bclass="[^"]*\binfo-heading\b[^"]*"[^>]*>(.*?)</span>')).alias("status"),
+        _found(F.col("b"), r'data-localizable-timestamp="([^"]*)"').alias("end_time"),
+        count("predictors_count").alias("num_forecasters"),
+        count("prediction_sets_count").alias("num_forecasts"),
+    ).where("title is not null")
+
+
+def question_options(pages: DataFrame) -> DataFrame:
+    """(problem_id, options, correct_answer) from detail pages (problem_id, html): rows of
+    three cells or more of the consensus table, the last marked one being correct."""
+    body = _found(F.col("html"), r'(?s)<table[^>]*\bclass="[^"]*\bconsensus-table\b[^"]*"[^>]*>.*?<tbody[^>]*>(.*?)</tbody>')
+    rows = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cells = F.filter(F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))), lambda c: F.size(c) >= 3)
+    right = F.filter("c", lambda c: F.get(c, F.lit(1)).rlike(r'<i[^>]*class="[^"]*\bfa-check-circle\b'))
+    x = pages.select("problem_id", cells.alias("c"))
+    name = lambda c: _plain(F.get(c, F.lit(0)))
+    return x.select("problem_id", F.transform("c", name).alias("options"), F.try_element_at(F.transform(right, name), F.lit(-1)).alias("correct_answer"))
+
+
+def market_rows(rows: DataFrame, forecasters=()) -> DataFrame:
+    """rows (predictor_name, prediction, market_outcome as JSON) with num_markets, dilution and
+    brier: over the markets of the outcome, in which an unnamed prediction counts as 0 and all
+    are held to [0, 1]. Rows whose JSON cannot be read go."""
+    x = rows.where(F.col("predictor_name").isin(*forecasters)) if forecasters else rows
+    x = x.withColumn("_o", lenient_json(F.col("market_outcome"), "map<string, double>")).withColumn("_p", lenient_json(F.col("prediction"), STATED)["probabilities"])
+    said = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(F.filter("_p", lambda y: y["market"] == k), F.lit(-1))["probability"], F.lit(0.0))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    n = F.size("_o")
+    hits = F.transform(F.map_values("_o"), lambda v: F.when(v.cast("int") == 1, 1.0).otherwise(0.0))
+    error = F.transform(F.map_keys("_o"), lambda k: (said(k) - F.col("_o")[k]) * (said(k) - F.col("_o")[k]))
+    x = x.where("_o is not null and _p is not null and size(_o) > 0").withColumns({"num_markets": n, "dilution": total(hits) / n, "brier": total(error) / n})
+    return x.drop("_o", "_p").dropna(subset=["num_markets", "dilution", "brier"])
+
+
+def augmented(spark: SparkSession, path: str, forecasters=()) -> DataFrame:
+    """market_rows of a CSV file."""
+    return market_rows(_csv(spark, path), forecasters)

@@ -104,3 +104,46 @@ def test_violations(spark):
     problems = problems.withColumn("options", F.transform(F.sequence(F.lit(1), F.col("n_options")), lambda i: i.cast("string")))
     assert schema.violations(problems, forecasts).count() == 0
     assert schema.violations(problems, forecasts.withColumn("weight", F.lit(-1.0))).count() == 6
+
+
+def test_item_response_edge_cases(spark):
+    none = spark.createDataFrame([], "username string, problem_id string, score double")
+    assert models.item_response(none).count() == 0
+    rows = [("a", "p", 0.1), ("a", "p", 0.1), ("b", "p", None), (None, "p", 0.2), ("b", "q", 0.9)]
+    out = models.posterior_summary(models.item_response(spark.createDataFrame(rows, none.schema), strategy="quantile"))
+    r = {(x["kind"], x["id"]): x for x in out.collect()}
+    assert set(r) == {("forecaster", "a"), ("forecaster", "b"), ("problem", "p"), ("problem", "q")}
+    assert all(x["p5"] < x["location"] < x["p95"] and x["p50"] == pytest.approx(x["location"]) for x in r.values())
+    with pytest.raises(ValueError):
+        models.item_response(none, anchors=1)
+
+
+def test_batches_cover_all_orders(spark):
+    problems = spark.createDataFrame([(f"p{k}", 97 - k, f"2024-01-{1 + k % 28:02d}") for k in range(97)], "problem_id string, problem_seq long, end_time string")
+    for order in ("sequential", "time", "random"):
+        rows = replay.batches(problems, 10, order).collect()
+        sizes = [sum(r["batch"] == b for r in rows) for b in range(10)]
+        assert sizes == [10] * 9 + [7]
+        if order != "random":
+            key = {"sequential": "problem_seq", "time": "end_time"}[order]
+            assert all(max(r[key] for r in rows if r["batch"] == b) <= min(r[key] for r in rows if r["batch"] == b + 1) for b in range(9))
+    assert replay.batches(problems.limit(0)).count() == 0
+
+
+def test_windows_by_category(spark):
+    problems = spark.createDataFrame([("a", "2024-01-01", "x"), ("b", "2024-01-09", "x"), ("c", "2024-01-20", "y"), ("d", None, "y"), ("e", "2024-01-02", None)], "problem_id string, end_time string, category string").withColumn("end_time", F.col("end_time").cast("timestamp"))
+    got = {r["problem_id"]: str(r["window_end"]) for r in replay.adaptive_windows(problems, 2, 1, "category").collect()}
+    assert got == {"a": "2024-01-03", "b": "2024-01-09", "c": "2024-01-22", "e": "2024-01-04"}
+
+
+def test_correlation_p_values(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 4.0), (4, 3.0), (5, 5.0), (None, 1.0)], "x int, y double")
+    r = diagnostics.correlations(df, "x", "y").first()
+    assert r["n"] == 5 and r["pearson"] == pytest.approx(0.8) and r["spearman"] == pytest.approx(0.8) and r["pearson_p"] == pytest.approx(0.1041, abs=1e-3)
+    assert diagnostics.correlations(df.limit(0), "x", "y").first()["n"] == 0
+
+
+def test_bradley_terry_trajectory(spark):
+    problems, forecasts = challenge_frames(spark)
+    steps = models.bradley_terry(problems, forecasts, 3, trajectory=True)
+    assert steps.groupBy("iteration").count().where("count = 3").count() == 4

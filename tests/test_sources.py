@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from oddsmith.sources import loaders
+from oddsmith.sources import loaders, sinks
 
 
 def test_nightly(spark, tmp_path):
@@ -38,3 +38,32 @@ def test_comments(spark):
     html = one.format("ann", 25) + one.format("bob", 50) + one.format("ann", 99)
     r = {x["username"]: x["prediction"] for x in loaders.comments(spark.createDataFrame([("1", html)], "problem_id string, html string")).collect()}
     assert r == {"ann": [0.25, 0.0], "bob": [0.5, 0.0]}
+
+
+def test_question_pages(spark):
+    row = '<div class="question-row-component" id="row-table-question-{}"><h5><a href="/q/{}">Will <b>it</b> rain?</a></h5><span class="info-heading">Open</span><span data-localizable-timestamp="2024-05-01"></span><a data-sort="predictors_count">12 people</a><a data-sort="prediction_sets_count"> 40 sets</a></div>'
+    r = loaders.question_list(spark.createDataFrame([(row.format(7, 7) + row.format(8, 8),), ("",), (None,)], "html string")).orderBy("problem_id").collect()
+    assert [tuple(x) for x in r] == [(k, "Will it rain?", f"/q/{k}", "Open", "2024-05-01", 12, 40) for k in ("7", "8")]
+    page = '<table class="consensus-table x"><tbody><tr><td> Yes </td><td><i class="fa fa-check-circle"></i></td><td>1</td></tr><tr><td>No</td><td></td><td>2</td></tr><tr><td>short</td></tr></tbody></table>'
+    r = loaders.question_options(spark.createDataFrame([("7", page), ("8", None)], "problem_id string, html string")).orderBy("problem_id").collect()
+    assert r[0]["options"] == ["Yes", "No"] and r[0]["correct_answer"] == "Yes" and r[1]["options"] == [] and r[1]["correct_answer"] is None
+
+
+def test_market_rows(spark):
+    said = json.dumps({"probabilities": [{"market": "a", "probability": 1.5}]})
+    rows = [("x", said, '{"a": 1, "b": 1}'), ("x", "broken", '{"a": 1}'), ("y", said, '{"a": 1}')]
+    r = loaders.market_rows(spark.createDataFrame(rows, "predictor_name string, prediction string, market_outcome string"), ["x"]).collect()
+    assert [(x["num_markets"], x["dilution"], x["brier"]) for x in r] == [(2, 1.0, 0.5)]
+
+
+def test_sinks(spark, tmp_path, caplog):
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.25)], "rank int, forecaster string, score double")
+    with caplog.at_level("INFO"):
+        assert "a" in sinks.log_ranking(df) and "forecaster" in caplog.text
+    sinks.write_json(df, str(tmp_path / "j"))
+    sinks.write_parameters(df, str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2 and spark.read.parquet(str(tmp_path / "p")).count() == 2
+    stream = spark.readStream.schema("rank int, forecaster string, score double").json(str(tmp_path / "j"))
+    for _ in range(2):  # the second run finds nothing new
+        sinks.append_stream(stream, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    assert spark.read.schema("rank int, forecaster string, score double").json(str(tmp_path / "s")).count() == 2
