@@ -39,7 +39,7 @@ def _windows(counts: list[tuple[date, int]], step_days: int, least: int) -> list
 
 def adaptive_windows(problems: DataFrame, step_days: int = 1, least: int = 1, by: str | None = None) -> DataFrame:
     """problems with `window_end`: windows of step_days that widen until they hold `least`
-    problems, for each value of `by` apart. Boundaries come from one count for each date (and value)."""
+    problems, for each value of `by` apart. Boundaries come from one count for each date (and value); problems without an end time go."""
     group = F.col(by).cast("string") if by else F.lit("")
     dated = problems.where("end_time is not null").withColumn("_by", F.coalesce(group, F.lit(""))).withColumn("_d", F.to_date("end_time"))
     counts: dict[str, list] = {}

@@ -236,4 +236,13 @@ SELECT forecaster, day, round(v, 6) AS score, n AS n_predictions, rank() OVER (P
         "live_sessions": """WITH a AS (SELECT event_type, ts, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
 SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, event_type AS forecaster, round(avg(value), 6) AS score, count(*) AS n FROM b GROUP BY event_type, g""",
+        "stream_over_time_buckets": _with(_F).replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT d, count(*) AS n FROM (SELECT DISTINCT e, CAST(close_time AS DATE) AS d FROM f WHERE rnd = 1) GROUP BY d),
+x AS (SELECT min(d) AS first, max(d) AS last FROM c),
+w AS (
+  SELECT first - 1 AS lo, first + 7 AS hi, (SELECT sum(n) FROM c WHERE d <= (SELECT first + 7 FROM x)) AS held FROM x
+  UNION ALL
+  SELECT v.lo, v.hi, coalesce((SELECT sum(n) FROM c WHERE d > v.lo AND d <= v.hi), 0)
+  FROM (SELECT CASE WHEN held >= 50 THEN hi ELSE lo END AS lo, hi + 7 AS hi FROM w, x WHERE hi < x.last) v
+)
+SELECT hi AS window_end, CAST(held AS BIGINT) AS n_problems FROM w, x WHERE held >= 50 OR (hi >= x.last AND held > 0)""",
     }
