@@ -102,11 +102,17 @@ class Hasher:
         begin = int(offsets[0])
         while begin < total:
             end = min(total, begin + _SEGMENT)
-            if end < total:  # go back to a gap or to the end of a text; a longer word is hashed by pieces
+            if end < total:  # go back to a gap or to the end of a text
                 gap = np.flatnonzero(SPACE[data[begin:end]])
                 k = int(np.searchsorted(ends, end, side="right"))
                 stop = max(begin + int(gap[-1]) + 1 if len(gap) else 0, int(ends[k - 1]) if k else 0)
-                end = stop if stop > begin else end
+                if stop <= begin:  # one word fills the segment
+                    h, end = self._long(data, begin, int(ends[k]), lower)
+                    hashes.append(h)
+                    owners.append(np.searchsorted(offsets, [begin], side="right") - 1)
+                    begin = end
+                    continue
+                end = stop
             h, at = self._segment(data[begin:end], lower, offsets[(offsets > begin) & (offsets < end)] - begin)
             hashes.append(h)
             owners.append(np.searchsorted(offsets, at + begin, side="right") - 1)
@@ -132,6 +138,19 @@ class Hasher:
             np.cumsum(self.byte[LOWER[data] if lower else data] * self.power[: len(data)], out=total[1:], dtype=_U)
             return mix((total[e] - total[s]) * self.inverse[s]), s
 
+    def _long(self, data, begin, limit, lower):
+        """Hash and end of the word that begins at `begin`, read by pieces."""
+        total, at, gap = 0, begin, ()
+        with np.errstate(over="ignore"):
+            while at < limit and not len(gap):
+                x = data[at : min(limit, at + _SEGMENT)]
+                gap = np.flatnonzero(SPACE[x])
+                x = x[: gap[0]] if len(gap) else x
+                piece = int((self.byte[LOWER[x] if lower else x] * self.power[: len(x)]).sum(dtype=_U))
+                total = (total + piece * pow(self.BASE, at - begin, 1 << 64)) % (1 << 64)
+                at += len(x)
+            return mix(np.array([total], _U)), at
+
     def shingles(self, hashes: np.ndarray, owners: np.ndarray, n: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (63 bits) of k-word shingles with their document index, by
         document; a text of 1 to k-1 words is one shingle. n: documents."""

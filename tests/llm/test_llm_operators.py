@@ -80,6 +80,21 @@ def test_ngram_join(spark, docs):
         ngram_join.ngram_jaccard_join(docs, 50)
 
 
+def test_words_longer_than_a_segment(monkeypatch):
+    import numpy as np
+
+    from oddsmith.llm import common
+
+    r = random.Random(5)
+    texts = [b"", b"x" * 200, b"", b" ", b" " + b"Ab" * 70 + b" c", *(b" ".join(bytes(r.choice(b"abcXYZ") for _ in range(r.choice([1, 2, 30, 64, 65, 300]))) for _ in range(9)) for _ in range(30)), b"y" * 128, b"z"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = common.Hasher().words(data, at)
+    monkeypatch.setattr(common, "_SEGMENT", 64)
+    pieces = common.Hasher().words(data, at)
+    assert [a.tolist() for a in pieces] == [a.tolist() for a in whole]
+    assert len(whole[0]) == sum(len(t.split()) for t in texts)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 101), (200, 103), (103, 100), (5, 5)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
