@@ -33,14 +33,15 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     rules = rules.where("host is not null and path is not null and action in ('block', 'allow')").select(
         F.lower("host").alias("r_host"), F.col("path").alias("r_path"), "action", F.sha2(F.concat_ws("\n", F.lower("host"), "path"), 256).alias("r_digest")
     )
-    lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().limit(4096).collect()]  # no longer than paths are
+    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())  # at most as many as the longest path has characters
     small = rules.count() <= MAX_BROADCAST_ROWS
     rules = rules.withColumn("short", F.substring("r_digest", 1, PREFIX))
     parsed = host_and_path(df.select(*keep), url)
     urls = parsed.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths), F.lit(None).cast("string"))))
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    prefixes = F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))
     x = urls.select("host", "path", F.explode(suffixes).alias("suffix")).select("*", F.explode(prefixes).alias("prefix"))
     x = x.withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256)).withColumn("short", F.substring("digest", 1, PREFIX))
     x = x.join(F.broadcast(rules) if small else rules, "short").where("digest = r_digest")

@@ -245,6 +245,10 @@ def test_urls(spark):
         1: ("a.net", "/x", "net/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("www.example.net", "/en/1", "example.net/en/", "allow"), 5: ("x.org", "/fr/", "org/fr/", "allow"),
         6: ("net", "", None, "allow"), 7: ("notexample.com", "/de/", None, "allow"), 8: ("example.com", "/de/", "example.com/de/", "block"),
     }
+    # more distinct rule paths than any expression would hold one by one
+    many = spark.createDataFrame([("a.net", "/" + "x" * k, "block") for k in range(5000)], rules.schema)
+    deep = spark.createDataFrame([(1, "http://a.net/" + "x" * 4990 + "y", "c", "c")], pages.schema)
+    assert urls.filter_urls(deep, many).first()["rule"] == "a.net/" + "x" * 4990
     assert urls.filter_urls(pages.limit(0), rules).count() == 0 and urls.filter_urls(pages, rules.limit(0)).where("rule is null").count() == len(rows)
 
 
