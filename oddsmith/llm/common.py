@@ -35,13 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table into the shared folder and read it back: later stages
     start from the files, so a lost executor costs only its own tasks. The table
-    is removed when the session ends."""
+    is removed when the session ends. Spark drops shuffle files once the driver has
+    collected the plans that wrote them, so the driver is asked to do that here: a
+    step's files need not lie beside those of the steps after it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
+    jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
