@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links join, the document of least doc_id stays."""
-    others = cut(ngram_join.ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    others = cut(ngram_join.ngram_jaccard_join(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct())
     if others.count() <= MAX_BROADCAST_ROWS:
         from pyspark.sql import functions as F
 

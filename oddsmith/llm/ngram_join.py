@@ -17,10 +17,13 @@ A candidate must pass all three, besides the bounds of size and of tokens that
 can be shared at all; then its whole sets are compared. Each posting list is
 compared with one centre first, and only pairs that the components leave apart
 are enumerated after that, under a lower bound of their symmetric difference.
+That gives the components. Links are counted after it: where some pair of a
+component is not a known link, all its pairs of sets are compared, by blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ from .components import components
 
 SAMPLED = int(0.28 * 2**63)  # hashes below this form the range whose frequencies are counted
 K = 5
+BLOCK, LEAST = 200_000, 100  # tokens of a block of a component, each set counted as LEAST at least
+_CELLS_AT_ONCE = 1 << 22
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,12 +178,94 @@ def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int)
     return j.where(100 * both >= percent * (F.size("t_a") + F.size("t_b") - both)).select("a", "b")
 
 
-def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _overlaps(ta, ra, na: int, tb, rb, nb: int) -> np.ndarray:
+    """Sizes of the intersections of na with nb sets, given as tokens (small integers)
+    and rows: a product of matrices for frequent tokens, pairs of rows for the others."""
+    m = 1 + max(ta.max(initial=-1), tb.max(initial=-1))
+    fa, fb = np.bincount(ta, minlength=m), np.bincount(tb, minlength=m)
+    out = np.zeros(na * nb)
+    hot = 64 * fa * fb > na * nb
+    at = np.where(hot, np.cumsum(hot) - 1, -1)
+    step = max(1, _CELLS_AT_ONCE // (na + nb))
+    for lo in range(0, int(hot.sum()), step):
+
+        def dense(t, r, n):
+            keep = (at[t] >= lo) & (at[t] < lo + step)
+            z = np.zeros((n, min(step, int(hot.sum()) - lo)), np.float32)
+            z[r[keep], at[t[keep]] - lo] = 1
+            return z
+
+        out += (dense(ta, ra, na) @ dense(tb, rb, nb).T).ravel()
+    rb = rb[np.argsort(tb, kind="stable")]
+    start = np.cumsum(fb) - fb
+    cold = ~hot[ta] & (fb[ta] > 0)
+    ta, ra = ta[cold], ra[cold]
+    part = np.cumsum(fb[ta]) // _CELLS_AT_ONCE
+    for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side=x) for x in ("left", "right"))):
+        t, k = ta[lo:hi], fb[ta[lo:hi]]
+        other = rb[np.repeat(start[t] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        out += np.bincount(np.repeat(ra[lo:hi], k) * nb + other, minlength=na * nb)
+    return out.reshape(na, nb)
+
+
+def _block_links(percent: int):
+    """For rows (rep, second, tokens) of a pair of blocks: (rep, n_links), the links of each set
+    to the other block; rows of one block only: to the others of that block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, second = (table.column(c).to_numpy() for c in ("rep", "second"))
+        tokens = pa.concat_arrays(table.column("tokens").chunks)
+        size = np.diff(tokens.offsets.to_numpy())
+        ids = np.unique(tokens.flatten().to_numpy(), return_inverse=True)[1]
+        own = np.repeat(np.arange(len(rep)), size)
+        a, b = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
+        alone = not len(b)
+        b = a if alone else b
+        row = np.zeros(len(rep), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
+        left, right = second[own] == 0, second[own] == (0 if alone else 1)
+        both = _overlaps(ids[left], row[own[left]], len(a), ids[right], row[own[right]], len(b))
+        linked = 100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)
+        if alone:
+            np.fill_diagonal(linked, False)
+        counts = [(rep[a], linked.sum(1))] + ([] if alone else [(rep[b], linked.sum(0))])
+        return pa.table({"rep": np.concatenate([r for r, _ in counts]), "n_links": np.concatenate([n for _, n in counts]).astype(np.int64)})
+
+    return run
+
+
+def _link_counts(links: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n_links): all links of each set. links: some of them, once each, that make
+    the components `found` (rep, component). A component of which every pair is among
+    them is counted from them. The members of any other are laid in blocks, by size,
+    and every pair of blocks whose sizes allow a link is compared in a task of its own."""
+    weight = F.sum(F.greatest("n", F.lit(LEAST)))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    members = cut(found.join(ends, "rep").join(sets.select("rep", F.size("tokens").cast("long").alias("n")), "rep"))
+    loose = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_links").alias("l"), weight.alias("weight")).where("l < m * (m - 1)")
+    known = members.join(loose, "component", "left_anti").select("rep", "n_links")
+    # Sizes a third apart have no links: a band of sizes meets its neighbours only. Its members are dealt by hash.
+    band = F.when(F.col("weight") <= BLOCK, 0).otherwise(F.floor(F.log("n") / math.log(4 / 3)))
+    placed = cut(members.join(loose.select("component", "weight"), "component").select("rep", "component", "n", band.cast("long").alias("band")))
+    parts = placed.groupBy("component", "band").agg(F.ceil(weight / BLOCK).alias("parts"))
+    placed = cut(placed.join(parts, ["component", "band"]).select("rep", "component", "n", F.expr("(band << 32) + pmod(xxhash64(rep), parts)").alias("block")))
+    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda s: blocks.select("component", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")))
+    pairs = side("a").join(side("b"), "component").where(f"block_a <= block_b and 100 * hi_a >= {percent} * lo_b")
+    pairs = pairs.select("component", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    rows = pairs.join(placed.select("rep", "component", "block"), ["component", "block"]).join(sets.select("rep", "tokens"), "rep")
+    rows = rows.select("component", "block_a", "block_b", "rep", (F.col("block") != F.col("block_a")).cast("long").alias("second"), "tokens")
+    compared = rows.groupBy("component", "block_a", "block_b").applyInArrow(_block_links(percent), "rep long, n_links long")
+    return known.unionByName(compared.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
+
+
+def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_id) for each row of documents.
 
     class_id is the least doc_id with the same set, component_id the least one
-    that links reach, n_links the classes that the row's class was found to link
-    to (within a component, links that cannot change it are not all tested).
+    that links reach, n_links the number of all classes that the row's class links
+    to (null without `count_links`, which spares the count).
     Null or blank text: no shingles, its own component. Rows with a null id are
     dropped; repeated rows give repeated rows; other columns are ignored.
     `percent` must be 75 or more, as prefixes are a quarter of a set.
@@ -194,7 +281,8 @@ def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "d
     index = posts.where("pos < n_index")
     centres = index.groupBy("token").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("cap").alias("cap_a"))).alias("c")).select("token", "c.*")
     star = posts.join(centres, "token").select("a", "n_a", "cap_a", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("cap").alias("cap_b"))
-    star = cut(star.where("a <> b").where(_possible(percent)).select("a", "b").distinct())
+    # A centre need not be the least of its list: pairs are put in order, so that each is tested and counted once.
+    star = cut(star.where("a <> b").where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(_verified(star, heads, sets, percent))
     found = cut(components(links, "a", "b"))
     # What the centres leave apart: posting lists that still span components.
@@ -208,16 +296,18 @@ def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "d
     small, large = side("a", open_.where("pos < n_index")), side("b", open_)
     rest = small.join(large, "token").where("c_a <> c_b and n_a <= n_b").where(_possible(percent)).where(_near(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_verified(rest.join(tested, ["a", "b"], "left_anti"), heads, sets, percent))
+    more = cut(_verified(rest.join(star, ["a", "b"], "left_anti"), heads, sets, percent))
     links = links.unionByName(more)
     found = components(links, "a", "b").withColumnRenamed("node", "rep")
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    if count_links:
+        counts, none = _link_counts(links, found, sets, percent), F.lit(0)
+    else:
+        counts, none = found.select("rep", F.lit(None).cast("long").alias("n_links")).limit(0), F.lit(None).cast("long")
     placed = classes.join(found, "rep", "left").join(counts, "rep", "left").select("k1", "k2", "n", "rep", "component", "n_links")
     return rows.join(placed, ["k1", "k2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", none).alias("n_links"),
         F.coalesce("rep", "doc_id").alias("class_id"),
     )

@@ -80,6 +80,20 @@ def test_ngram_join(spark, docs):
         ngram_join.ngram_jaccard_join(docs, 50)
 
 
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 700])
+def test_ngram_join_counts_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    texts = [edited(prose(150, 50 + g), k % 6, 900 + 50 * g + k) for g, m in ((0, 30), (1, 3), (2, 2)) for k in range(m)]
+    texts += texts[3:6] + [edited(prose(150, 60), k, 77) for k in range(14)] + [" ".join(prose(150, 61).split()[: 90 + 4 * k]) for k in range(12)]
+    order = list(range(len(texts)))
+    random.Random(3).shuffle(order)
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")).collect()
+    sets = {frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)}
+    of = lambda t: frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
+    want = {i: sum(100 * len(of(texts[k]) & s) >= 75 * len(of(texts[k]) | s) for s in sets) - 1 for i, k in enumerate(order)}
+    assert {r["doc_id"]: r["n_links"] for r in out} == want and max(want.values()) > 5
+
+
 def test_words_longer_than_a_segment(monkeypatch):
     import numpy as np
 
