@@ -283,6 +283,20 @@ def test_html(spark):
     assert got[1] == (text, len(text)) and got[2] == ("", 0) and out.count() == len(rows)
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "select", "object", "template"])
+def test_html_elements_without_end_tag(tag):
+    first, second = "First line of the text is here, long enough.", "Second line is here and long enough too."
+    whole = lambda x: f"<html><body><article><h1>Title</h1><p>{first}</p>{x}<p>{second}</p></article></body></html>"
+    texts = lambda x: [b.text for b in html_text.blocks(whole(x))]
+    assert texts(f"<{tag}>") == texts(f"<{tag} id=a><{tag}></{tag}>") == ["Title", first, second]
+    assert html_text.main_text(whole(f"<{tag}>"), html_text.model()) == f"Title\n{first}\n{second}"
+    inner = texts(f"<p>one <{tag}><mi>x</mi></{tag}> two.</p>")
+    assert [" ".join(t.split()) for t in inner] == ["Title", first, "one x two." if tag in ("math", "object") else "one two.", second]
+    assert texts("<svg><title>A<path d='x'></svg>") == texts("<svg><g><text>a</text></g><svg/></svg>") == ["Title", first, second]
+    assert texts("<svg><path><p>shown</p></svg>") == ["Title", first, "shown", second]
+    assert texts("<script>") == ["Title", first]
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as cp
 
