@@ -1,15 +1,22 @@
-"""License scans: winnowed fingerprints pick candidates, a banded alignment measures them."""
+"""License scans: windows with enough words of a notice pick candidates, a banded alignment measures them.
+
+The alignment at a diagonal sees as many words as the notice has, and BAND more
+on each side; COVERAGE of the notice can be found there only if that many words
+of the window are words of the notice. All such diagonals are aligned.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hasher, mix, slices, text_buffer
+from .common import slices
 
 # Fixed texts: notices by which licences are commonly declared.
 TEMPLATES = {
@@ -23,34 +30,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
-GRAM, WINDOW, BAND, COVERAGE = 3, 4, 4, 0.8
+BAND, COVERAGE = 4, 0.8
 _TOKEN = re.compile(r"[^\W_]+")
-_PLAIN = LOWER.copy()  # ASCII punctuation becomes a gap, as between tokens
-for _b in range(128):
-    if not chr(_b).isalnum():
-        _PLAIN[_b] = 32
-
-
-def _grams(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        m = max(0, len(h) - GRAM + 1)
-        total = np.zeros(m, np.uint64)
-        for j in range(GRAM):
-            total += h[j : j + m] * hasher().place[j]
-        return mix(total)
-
-
-def _hashes(data: np.ndarray, at: np.ndarray):
-    return hasher().words(_PLAIN[data], at)
-
-
-def winnowed(text: str) -> np.ndarray:
-    """The least gram of each window of WINDOW grams: a shared run of GRAM + WINDOW - 1 words shares one."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    g = _grams(_hashes(raw, np.array([0, len(raw)]))[0])
-    if len(g) <= WINDOW:
-        return np.unique(g)  # a short notice keeps all of them
-    return np.unique([g[i : i + WINDOW].min() for i in range(len(g) - WINDOW + 1)])
 
 
 def align(doc: list[str], template: list[str], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -71,20 +52,52 @@ def align(doc: list[str], template: list[str], diagonal: int, band: int = BAND)
     return n, -s - 1, e
 
 
-def find(text: str, index: dict[tuple, list[tuple[str, int]]], templates: dict[str, list[str]]) -> list[tuple[str, float, int, int]]:
-    """(licence, coverage, start, end in code points) of each place, by start."""
-    places = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    doc = [text[s:e].lower() for s, e in places]
-    tried, found = set(), []
-    for i in range(len(doc) - GRAM + 1):
-        for name, k in index.get(tuple(doc[i : i + GRAM]), ()):
-            d = i - k
-            if any((name, d + x) in tried for x in range(-BAND, BAND + 1)):
+class Notices:
+    """Templates, and the least number of words that each needs."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.words = {k: [w.lower() for w in _TOKEN.findall(t)] for k, t in templates.items()}
+        self.words = {k: w for k, w in self.words.items() if w}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.need = {k: max(1, math.ceil(COVERAGE * len(w) - 1e-9)) for k, w in self.words.items()}
+        self.number = {w: i for i, w in enumerate(sorted(set().union(*self.words.values())))}
+        self.holds = {k: np.array([w in c for w in self.number]) for k, c in self.counts.items()}
+        self.least = min(self.need.values(), default=0)
+
+    def diagonals(self, name: str, doc: list[str], at: np.ndarray, ids: np.ndarray) -> list[int]:
+        """Diagonals whose windows may hold enough of a notice. at, ids: places and numbers of words of any notice."""
+        need, size = self.need[name], len(self.words[name])
+        q = at[self.holds[name][ids]]
+        if len(q) < need:
+            return []
+        first, last = q[: len(q) - need + 1], q[need - 1 :]
+        near = np.flatnonzero(last - first < size + 2 * BAND)
+        found = sorted({d for i in near for d in range(int(last[i]) - size - BAND + 1, int(first[i]) + BAND + 1)})
+        count = self.counts[name]
+        return [d for d in found if (Counter(doc[max(0, d - BAND) : d + size + BAND]) & count).total() >= need]
+
+
+def find(text: str, notices: Notices) -> list[tuple[str, float, int, int]]:
+    """(licence, coverage, start, end in code points) of each place, by start. Of
+    places of a notice that share more than half of the shorter one the best stays."""
+    doc = [w.lower() for w in _TOKEN.findall(text)]
+    number = notices.number
+    known = [i for i, w in enumerate(doc) if w in number]
+    if len(known) < notices.least or not known:
+        return []
+    at, ids = np.array(known), np.array([number[doc[i]] for i in known])
+    places, found = None, []
+    for name, template in notices.words.items():
+        spans = {align(doc, template, d) for d in notices.diagonals(name, doc, at, ids)}
+        kept: list[tuple[int, int]] = []
+        for n, s, e in sorted(spans, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if n < notices.need[name]:
+                break
+            if any(2 * (min(e, f) - max(s, b) + 1) > min(e - s, f - b) + 1 for b, f in kept):
                 continue
-            tried.add((name, d))
-            n, s, e = align(doc, templates[name], d)
-            if n >= COVERAGE * len(templates[name]):
-                found.append((name, round(n / len(templates[name]), 4), places[s][0], places[e][1]))
+            kept.append((s, e))
+            places = places or [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+            found.append((name, round(n / len(template), 4), places[s][0], places[e][1]))
     return sorted(found, key=lambda x: (x[2], x[0]))
 
 
@@ -95,24 +108,12 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
     COVERAGE at least; start and end in code points. Null and empty texts give
     no rows, repeated rows repeated ones; other columns are ignored.
     """
-    templates = templates or TEMPLATES
-    tokens = {k: [w.lower() for w in _TOKEN.findall(t)] for k, t in templates.items()}
-    index: dict[tuple, list] = {}
-    for name, w in tokens.items():
-        for i in range(len(w) - GRAM + 1):
-            index.setdefault(tuple(w[i : i + GRAM]), []).append((name, i))
+    notices = Notices(templates or TEMPLATES)
 
     def run(batches):
-        prints = np.unique(np.concatenate([winnowed(t) for t in templates.values()]))
         for whole in batches:
             for b in slices(whole):
-                data, at = text_buffer(b.column(1))
-                h, own = _hashes(data, at)
-                g = _grams(h)
-                k = np.searchsorted(prints, g)
-                k[k == len(prints)] = 0
-                hit = np.unique(own[: len(g)][prints[k] == g]) if len(g) else []
-                rows = [(b.column(0)[int(i)].as_py(), *x) for i in hit for x in find(b.column(1)[int(i)].as_py() or "", index, tokens)]
+                rows = [(i, *x) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for x in find(text, notices)]
                 if rows:
                     types = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "license", "coverage", "start", "end"])

@@ -236,6 +236,22 @@ def test_licenses(spark):
     assert r["coverage"] == 1 and texts[0][1][r["start"] : r["end"]] == "Released under the MIT License"
 
 
+def test_licenses_against_alignment():
+    notices = licenses.Notices(licenses.TEMPLATES)
+    for name, w in notices.words.items():
+        # Every one-word edit; two-word substitutions and a spread of other pairs.
+        one = [w[:i] + new + w[i + cut :] for i in range(len(w)) for cut, new in ((1, ["zq1"]), (1, []), (0, ["zq1"]))]
+        two = [[("zq%d" % i if i in (a, b) else x) for i, x in enumerate(w)] for a in range(len(w)) for b in range(a)]
+        two += [x for a in range(0, len(w), 3) for b in range(0, a, 2) for x in (w[:b] + w[b + 1 : a] + ["zq2"] + w[a:], w[:b] + ["zq1"] + w[b:a] + w[a + 1 :])]
+        two = two if len(two) < 120 else two[:: len(two) // 120 + 1]
+        for k, words in enumerate(one + two):
+            doc = ["before", "it", *words, "after"]
+            best = max(licenses.align(doc, w, d)[0] for d in range(-len(w) - 4, len(doc) + 5))
+            got = [c for n, c, *_ in licenses.find(("\u00a0", " ", "\u2003")[k % 3].join(doc), notices) if n == name]
+            assert got == ([round(best / len(w), 4)] if best >= 0.8 * len(w) else []), (name, words)
+    assert [x[0] for x in licenses.find("Released under an MIT License", notices)] == ["MIT"]
+
+
 def test_language(spark):
     documents = spark.read.parquet(f"{D}/documents.parquet")
     langs, table = language.train(documents.where("doc_id % 2 = 0"))
