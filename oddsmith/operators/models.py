@@ -10,25 +10,48 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 
+def _wins(theta: list[float]):
+    """Rows (u, p) of problems to each forecaster's expected wins w and weight d, a row for each in a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    skill = np.array(theta)
+
+    def run(batches):
+        w, d = np.zeros(len(skill)), np.zeros(len(skill))
+        for batch in batches:
+            u, p = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
+            s = skill[u] * p
+            total = np.bincount(at, s, batch.num_rows)[at]
+            w += np.bincount(u, np.divide(s, total, out=np.zeros_like(s), where=total != 0), len(skill))
+            d += np.bincount(u, 1 / np.bincount(at, skill[u], batch.num_rows)[at], len(skill))
+        seen = np.flatnonzero(d)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(w[seen]), pa.array(d[seen])], ["u", "w", "d"])
+
+    return run
+
+
 def bradley_terry(problems: DataFrame, forecasts: DataFrame, iterations: int = 100, threshold: float = 1e-3, trajectory: bool = False) -> DataFrame:
     """(username, score, rank): skills by minorization-maximization; with `trajectory`, (iteration, username, score).
 
-    The forecasts are laid out by problem once and stay cached; each step
-    broadcasts the skills (a value for each forecaster) and aggregates, with no
-    shuffle but that of partial sums. Problems without a correct option are left out.
+    The forecasts are laid out by problem once, a row for each, and stay cached; each
+    step takes the skills (a value for each forecaster) along and sums, with no shuffle
+    but that of partial sums. Problems without a correct option are left out.
     """
-    x = forecasts.join(problems.where("size(correct_option_idx) > 0").select("problem_id", "correct_option_idx"), "problem_id").repartition("problem_id")
-    x = x.groupBy("problem_id", "username").agg(F.max_by(F.get("probs", F.get("correct_option_idx", F.lit(0))), "forecast_seq").alias("p")).persist()
-    names = [r[0] for r in x.select("username").distinct().collect()]  # a row for each forecaster
+    x = forecasts.join(problems.where("size(correct_option_idx) > 0").select("problem_id", "correct_option_idx"), "problem_id").where("username is not null")
+    x = x.groupBy("problem_id", "username").agg(F.max_by(F.get("probs", F.get("correct_option_idx", F.lit(0))), "forecast_seq").alias("p"))
+    x = cut(x)
+    spark = forecasts.sparkSession
+    names = sorted(r[0] for r in x.select("username").distinct().collect())  # a row for each forecaster
+    numbers = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)))), "username string, u int"))
+    x = x.join(numbers, "username").groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("u", F.coalesce("p", F.lit(0.0)).alias("p")))).alias("f"))
+    x = x.select(F.col("f.u").alias("u"), F.col("f.p").alias("p")).persist()
     theta = dict.fromkeys(names, 1.0)
     steps = [(0, u, 1.0) for u in names]
-    spark = forecasts.sparkSession
-    w = Window.partitionBy("problem_id")
     for k in range(iterations):
-        skills = F.broadcast(spark.createDataFrame(list(theta.items()), "username string, theta double"))
-        y = x.join(skills, "username").withColumn("s", F.col("theta") * F.col("p"))
-        y = y.withColumn("win", F.try_divide("s", F.sum("s").over(w))).withColumn("part", 1 / F.sum("theta").over(w))
-        new = {r["username"]: (r["w"] or 0.0) / r["d"] for r in y.groupBy("username").agg(F.sum("win").alias("w"), F.sum("part").alias("d")).collect()}
+        sums = x.mapInArrow(_wins([theta[u] for u in names]), "u int, w double, d double").groupBy("u").agg(F.sum("w").alias("w"), F.sum("d").alias("d")).collect()
+        new = {names[r["u"]]: r["w"] / r["d"] for r in sums}
         scale = len(new) / (sum(new.values()) or 1.0)
         new = {u: v * scale for u, v in new.items()}
         far = max((abs(new[u] - theta[u]) for u in new), default=0.0)

@@ -398,7 +398,7 @@ def bootstrap_ci(spark, d):
 
 @query
 def bradley_terry(spark, d):
-    return models.bradley_terry(*derive_challenge(spark, d), iterations=20)
+    return models.bradley_terry(*derive_challenge(spark, d))
 
 
 @query
@@ -531,7 +531,7 @@ def bootstrap_market_level(spark, d):
 
 @query
 def bradley_terry_trajectory(spark, d):
-    return models.bradley_terry(*derive_challenge(spark, d), iterations=5, trajectory=True)
+    return models.bradley_terry(*derive_challenge(spark, d), trajectory=True)
 
 
 @query

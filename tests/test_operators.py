@@ -69,6 +69,38 @@ def test_bradley_terry(spark):
         assert [x["username"] for x in r] == order if order else r[0]["score"] == pytest.approx(r[1]["score"])
 
 
+def test_registered_bradley_terry_runs_to_the_default(spark, monkeypatch):
+    from oddsmith import queries
+
+    asked = []
+    monkeypatch.setattr(models, "bradley_terry", lambda *a, **k: asked.append(k))
+    for name in ("bradley_terry", "bradley_terry_trajectory"):
+        queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [{}, {"trajectory": True}]
+
+
+def test_bradley_terry_against_plain_steps(spark):
+    rng = random.Random(4)
+    table = {(f"p{k}", u): rng.random() ** (u + 1) for k in range(30) for u in range(4) if rng.random() < 0.8}
+    problems = spark.createDataFrame([(f"p{k}", [0]) for k in range(30)], "problem_id string, correct_option_idx array<int>")
+    rows = [(p, str(u), 1, [x, 1 - x]) for (p, u), x in table.items()] + [("p0", None, 1, [0.5, 0.5])]
+    got = models.bradley_terry(problems, spark.createDataFrame(rows, "problem_id string, username string, forecast_seq long, probs array<double>")).collect()
+    skill = dict.fromkeys(range(4), 1.0)
+    for _ in range(100):
+        win, part = dict.fromkeys(skill, 0.0), dict.fromkeys(skill, 0.0)
+        for p in {p for p, _ in table}:
+            x = {u: table[p, u] for u in skill if (p, u) in table}
+            for u in x:
+                win[u] += skill[u] * x[u] / sum(skill[v] * x[v] for v in x)
+                part[u] += 1 / sum(skill[v] for v in x)
+        new = {u: win[u] / part[u] for u in skill}
+        new = {u: 4 * v / sum(new.values()) for u, v in new.items()}
+        far, skill = max(abs(new[u] - skill[u]) for u in skill), new
+        if far < 1e-3:
+            break
+    assert {r["username"]: r["score"] for r in got} == pytest.approx({str(u): v for u, v in skill.items()})
+
+
 def test_item_response_orders_abilities(spark):
     rng = random.Random(1)
     rows = [(f"u{a}", f"p{k}", min(1.0, max(0.0, 0.8 - 0.2 * a + rng.gauss(0, 0.1)))) for a in range(4) for k in range(40)]
