@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -76,14 +77,21 @@ def _levels(scores: DataFrame, anchors: int, strategy: str) -> list[float]:
     return sorted(set(found or [])) or steps
 
 
+def _names(r: int) -> list[str]:
+    """The sums of a problem: gradient (g) and expected curvature (f) of location b,
+    log-discrimination a and the r shifts p."""
+    return ["gb", "ga", "fbb", "fab", "faa", *(f"{x}{j}" for x in ("gp", "fbp", "fap") for j in range(r)), *(f"fpp{i}_{j}" for i in range(r) for j in range(i, r))]
+
+
 def _slopes(rows: DataFrame, levels: list[float], shift: list[float], key: str) -> DataFrame:
-    """Rows (key, k, n, t, a, b) to their log-likelihood's derivatives, by Arrow batches: g and h
-    of the location; for problems also ga and ha of the log-discrimination, gp and hp of each shift."""
+    """Rows (key, k, n, t, a, b) to derivatives of their log-likelihood, by Arrow batches:
+    g and h of the location for forecasters, the sums of `_names` for problems."""
     import numpy as np
     import pyarrow as pa
 
     c, p = 1 - np.array(levels), np.array(shift)
-    names = [key, "g", "h"] + (["ga", "ha", *(f"{s}{j}" for s in ("gp", "hp") for j in range(len(levels)))] if key == "problem_id" else [])
+    r = len(levels)
+    names = [key, *(["g", "h"] if key == "username" else _names(r))]
 
     def run(batches):
         for batch in batches:
@@ -93,32 +101,106 @@ def _slopes(rows: DataFrame, levels: list[float], shift: list[float], key: str)
             q = np.exp(z - z.max(1, keepdims=True)) if len(k) else z
             q /= q.sum(1, keepdims=True)
             mean, mean_z = q @ c, (q * z).sum(1)
-            out = [n * d * (c[k] - mean), n * d * d * (q * (c - mean[:, None]) ** 2).sum(1)]
-            if key == "problem_id":
-                seen = np.zeros_like(q)
+            from_mean = c - mean[:, None]
+            g, h = n * d * (c[k] - mean), n * d * d * (q * from_mean**2).sum(1)
+            if key == "username":
+                out = [g, h]
+            else:
+                from_z, seen, w = z - mean_z[:, None], np.zeros_like(q), n * d * d
                 seen[at, k] = 1
-                out += [n * (z[at, k] - mean_z), n * (q * (z - mean_z[:, None]) ** 2).sum(1)]
-                out += list((n * d)[:, None].T * c[:, None] * (q - seen).T) + list((n * d * d)[:, None].T * c[:, None] ** 2 * (q * (1 - q)).T)
+                out = [-g, n * (z[at, k] - mean_z), h, -n * d * (q * from_mean * from_z).sum(1), n * (q * from_z**2).sum(1)]
+                out += [n * d * c[j] * (q[:, j] - seen[:, j]) for j in range(r)]
+                out += [w * c[j] * q[:, j] * from_mean[:, j] for j in range(r)]
+                out += [-n * d * c[j] * q[:, j] * from_z[:, j] for j in range(r)]
+                out += [w * c[i] * c[j] * q[:, i] * ((i == j) - q[:, j]) for i in range(r) for j in range(i, r)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names)
 
     return rows.select(key, "k", "n", "t", "a", "b").mapInArrow(run, ", ".join([f"{key} string", *(f"{x} double" for x in names[1:])])).groupBy(key).agg(*(F.sum(x).alias(x) for x in names[1:]))
 
 
-def _step(g: Column, h: Column, most: float = 1.0) -> Column:
-    return F.greatest(F.lit(-most), F.least(F.lit(most), g / h))
+def _parts(batch, r: int):
+    """Of problems with their sums: gradient (2), inverse curvature (2 x 2) and cross terms (2 x r) of (b, a), priors included."""
+    import numpy as np
+
+    v = {x: batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("a", "b", *_names(r))}
+    g = np.stack([v["gb"] - v["b"] / 25, v["ga"] - v["a"]], 1)
+    bb, aa, ab = v["fbb"] + 1 / 25, v["faa"] + 1, v["fab"]
+    inverse = np.stack([aa, -ab, -ab, bb], 1).reshape(-1, 2, 2) / (bb * aa - ab * ab)[:, None, None]
+    cross = np.stack([np.stack([v[f"{x}{j}"] for j in range(r)], 1) for x in ("fbp", "fap")], 1)
+    return v, g, inverse, cross
+
+
+def _shift_step(items: DataFrame, shift: list[float]):
+    """The joint step of the shifts: problems are eliminated (Schur's complement), of which only sums move."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = len(shift)
+    names = [f"x{j}" for j in range(r + r * r)]
+
+    def run(batches):
+        total = np.zeros((r, r + 1))
+        for batch in batches:
+            v, g, inverse, cross = _parts(batch, r)
+            half = np.einsum("ixj,ixy->ijy", cross, inverse)
+            total[:, 0] += [v[f"gp{j}"].sum() for j in range(r)] - np.einsum("ijy,iy->j", half, g)
+            total[:, 1:] += [[v[f"fpp{min(i, j)}_{max(i, j)}"].sum() for j in range(r)] for i in range(r)] - np.einsum("ijy,iyk->jk", half, cross)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], names)
+
+    sums = items.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()  # one row
+    total = np.array([x or 0.0 for x in sums]).reshape(r, r + 1)
+    step = np.linalg.solve(total[:, 1:] + np.eye(r) / 25, total[:, 0] - np.array(shift) / 25)
+    return step / max(1.0, np.abs(step).max())
 
 
-def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform", rounds: int = 12, tolerance: float = 0.02) -> DataFrame:
+def _moved(items: DataFrame, step, share: float) -> DataFrame:
+    """(problem_id, a, b, sd, a0, b0): the problems after their step, given that of the shifts; a0 and b0 before."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            v, g, inverse, cross = _parts(batch, len(step))
+            d = np.einsum("ixy,iy->ix", inverse, g - cross @ step)
+            d *= (share / np.maximum(1, np.abs(d).max(1, initial=0)))[:, None]
+            out = [v["a"] + d[:, 1], v["b"] + d[:, 0], 1 / np.sqrt(v["fbb"] + 1 / 25), v["a"], v["b"]]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("problem_id")), *map(pa.array, out)], ["problem_id", "a", "b", "sd", "a0", "b0"])
+
+    return items.mapInArrow(run, "problem_id string, a double, b double, sd double, a0 double, b0 double")
+
+
+def _flat(people, problems, shift: list[float], free: list[bool]):
+    """(d, e, s): abilities t to (t + d) s, locations b to (b + d - e) s, free shifts p to (p + e) s, log a
+    less log s leave the likelihood as it is; these are the ones that the priors like best."""
+    n_t, t1, t2 = people
+    n_b, b1, b2, a1 = problems
+    p = [v for v, f in zip(shift, free) if f]
+    # (n_t + n_b / 25) d - n_b e / 25 = -t1 - b1 / 25 and -n_b d + (n_b + len(p)) e = b1 - sum(p)
+    m = (n_t + n_b / 25) * (n_b + len(p)) - n_b * n_b / 25
+    x, y = -t1 - b1 / 25, b1 - sum(p)
+    d, e = (x * (n_b + len(p)) + n_b / 25 * y) / m, ((n_t + n_b / 25) * y + n_b * x) / m
+    size = t2 + 2 * d * t1 + n_t * d * d + (b2 + 2 * (d - e) * b1 + n_b * (d - e) ** 2) / 25
+    size += sum((v + e) ** 2 if f else v * v for v, f in zip(shift, free)) / 25
+    s = 0.0
+    for _ in range(60):
+        grown = size * math.exp(2 * s)
+        s -= max(-1.0, min(1.0, (grown - a1 + n_b * s) / (2 * grown + n_b)))
+    return d, e, math.exp(s)
+
+
+def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform", rounds: int = 100, tolerance: float = 0.02) -> DataFrame:
     """(kind, id, location, discrimination, sd) from (username, problem_id, score in [0, 1], low is good).
 
     kind is forecaster (location: ability) or problem (location: difficulty).
     Scores go to the nearest of the anchors (even levels, or quantiles). Level k
     has logit a (1 - level) (ability - difficulty - shift[k]); priors are normal,
     with deviation 1 for abilities and log a, 5 for the rest. The posterior mode
-    comes from rounds of Newton steps, first for all forecasters, then for all
-    problems and shifts; sd is the curvature's (Laplace). Every step is one join
-    and one grouped sum, so no task holds the rows of a forecaster or a problem,
-    and its state is two tables written between the steps. Null scores are dropped.
+    comes from rounds of scoring steps: all forecasters, then all problems and shifts
+    jointly, then the moves that only the priors see. They end when no ability,
+    difficulty, log a or shift moves by `tolerance` in a round; a fit that does not get
+    there in `rounds` is an error. sd is the curvature's (Laplace). Steps are joins,
+    grouped sums and passes over problems, so no task holds the rows of a forecaster
+    or a problem, and the state is two tables written between the steps. Null scores are dropped.
     """
     known = scores.where("score is not null and username is not null and problem_id is not null")
     levels = _levels(known, anchors, strategy)
@@ -126,23 +208,32 @@ def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform"
     k = F.array_min(F.transform(marks, lambda v, i: F.struct(F.abs(F.col("score") - v).alias("far"), i.alias("k"))))["k"]
     x = known.select(F.col("username").cast("string").alias("username"), F.col("problem_id").cast("string").alias("problem_id"), k.alias("k"))
     x = cut(x.groupBy("username", "problem_id", "k").agg(F.count("*").cast("double").alias("n")))
-    users = cut(x.select("username").distinct().select("username", F.lit(0.0).alias("t"), F.lit(0.0).alias("far"), F.lit(1.0).alias("sd")))
+    users = cut(x.select("username").distinct().select("username", F.lit(0.0).alias("t"), F.lit(1.0).alias("sd")))
     items = cut(x.select("problem_id").distinct().select("problem_id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(5.0).alias("sd")))
-    r = range(len(levels))
-    shift = [0.0 for _ in r]
-    for _ in range(rounds):
+    shift, free = [0.0] * len(levels), [v != 1 for v in levels]
+    far = 0.0 if x.isEmpty() else math.inf
+    for turn in range(rounds):
+        if far < tolerance:
+            break
+        share = 1.0 if turn < 30 else 0.5
         rows = lambda: x.join(items.select("problem_id", "a", "b"), "problem_id").join(users.select("username", "t"), "username")
         sums = _slopes(rows(), levels, shift, "username")
-        move = _step(F.col("g") - F.col("t"), F.col("h") + 1)
-        users = cut(users.select("username", "t").join(sums, "username").select("username", (F.col("t") + move).alias("t"), F.abs(move).alias("far"), (1 / F.sqrt(F.col("h") + 1)).alias("sd")))
-        sums = _slopes(rows(), levels, shift, "problem_id")
-        b = F.col("b") + 0.5 * _step(-F.col("g") - F.col("b") / 25, F.col("h") + 1 / 25)
-        a = F.col("a") + 0.5 * _step(F.col("ga") - F.col("a"), F.col("ha") + 1)
-        items = cut(items.select("problem_id", "a", "b").join(sums, "problem_id").select("problem_id", a.alias("a"), b.alias("b"), (1 / F.sqrt(F.col("h") + 1 / 25)).alias("sd"), *(f"{s}{j}" for s in ("gp", "hp") for j in r)))
-        p = items.agg(*(F.sum(f"{s}{j}").alias(f"{s}{j}") for s in ("gp", "hp") for j in r)).first()  # one row
-        shift = [v + 0.5 * max(-1.0, min(1.0, ((p[f"gp{j}"] or 0.0) - v / 25) / ((p[f"hp{j}"] or 0.0) + 1 / 25))) for j, v in enumerate(shift)]
-        if (users.agg(F.max("far")).first()[0] or 0.0) < tolerance:
-            break
+        move = F.greatest(F.lit(-share), F.least(F.lit(share), share * (F.col("g") - F.col("t")) / (F.col("h") + 1)))
+        users = cut(users.select("username", "t").join(sums, "username").select("username", (F.col("t") + move).alias("t"), (1 / F.sqrt(F.col("h") + 1)).alias("sd"), F.col("t").alias("t0")))
+        full = cut(items.select("problem_id", "a", "b").join(_slopes(rows(), levels, shift, "problem_id"), "problem_id"))
+        step = _shift_step(full, shift)
+        items = cut(_moved(full, step, share))
+        before, shift = shift, [v + share * float(w) for v, w in zip(shift, step)]
+        people = users.agg(F.count("*"), F.sum("t"), F.sum(F.col("t") ** 2)).first()
+        problems = items.agg(F.count("*"), F.sum("b"), F.sum(F.col("b") ** 2), F.sum("a")).first()
+        d, e, s = _flat(people, problems, shift, free)
+        shift = [(v + e) * s if f else v * s for v, f in zip(shift, free)]
+        users = users.withColumn("t", (F.col("t") + d) * s)
+        items = items.withColumns({"b": (F.col("b") + (d - e)) * s, "a": F.col("a") - math.log(s)})
+        far = max(abs(v - w) for v, w in zip(shift, before))
+        far = max(far, users.agg(F.max(F.abs(F.col("t") - F.col("t0")))).first()[0], items.agg(F.max(F.greatest(F.abs(F.col("b") - F.col("b0")), F.abs(F.col("a") - F.col("a0"))))).first()[0])
+    if not far < tolerance:
+        raise RuntimeError(f"the fit still moves by {far:.3g} after {rounds} rounds (tolerance {tolerance})")
     people = users.select(F.lit("forecaster").alias("kind"), F.col("username").alias("id"), F.col("t").alias("location"), F.lit(None).cast("double").alias("discrimination"), "sd")
     return people.unionByName(items.select(F.lit("problem").alias("kind"), F.col("problem_id").alias("id"), F.col("b").alias("location"), F.exp("a").alias("discrimination"), "sd"))
 

@@ -109,6 +109,16 @@ def test_item_response_orders_abilities(spark):
     assert sorted(ability, key=ability.get) == ["u0", "u1", "u2", "u3"]
 
 
+def test_item_response_reaches_the_mode(spark):
+    rng = random.Random(8)
+    rows = [(f"u{u}", f"p{k}", min(5, max(0, round(rng.gauss(3.2 - 0.8 * u + k % 4 / 3, 0.8)))) / 5) for u in range(4) for k in range(12)]
+    scores = spark.createDataFrame(rows, "username string, problem_id string, score double")
+    got = [{(r["kind"], r["id"]): r["location"] for r in models.item_response(scores, tolerance=x).collect()} for x in (0.02, 0.0005)]
+    assert max(abs(got[0][i] - got[1][i]) for i in got[1]) < 0.1
+    with pytest.raises(RuntimeError, match="still moves"):
+        models.item_response(scores, rounds=2)
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = random.Random(2)
     rows = [("a", rng.random(), 1.0) for _ in range(400)]
