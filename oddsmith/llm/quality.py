@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import let, words
 
 MAX_LABELLED = 20_000  # labelled rows used for fitting at most: those of least hash
-MAX_RULES, MAX_CONDITIONS, CUTS = 8, 3, 32
+MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_COVER, MIN_PRECISION = 5, 0.98
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -137,9 +137,8 @@ def sequential_covering(rows: list[dict], names: list[str]) -> list[list[Conditi
     rules: list[list[Condition]] = []
     cuts = {}
     for f in names:
-        values = sorted({r[f] for r in rows})
-        step = max(1, len(values) // CUTS)
-        cuts[f] = [(a + b) / 2 for a, b in zip(values[::step], values[step::step])]
+        values = sorted({r[f] for r in rows if r["fold"] < 2})
+        cuts[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]  # every gap of the rows that rules grow on
     while len(rules) < MAX_RULES and sum(r["bad"] for r in rows) >= MIN_COVER:
         grow, prune = [r for r in rows if r["fold"] < 2], [r for r in rows if r["fold"] == 2]
         rule = _grow(grow, names, cuts)

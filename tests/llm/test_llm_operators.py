@@ -143,6 +143,12 @@ def test_quality_rules(spark, docs):
     assert 1 <= len(rules) <= 2 and {c.feature for c in rules[0]} == {"a", "b"}
 
 
+def test_quality_thresholds_try_every_gap():
+    rows = [{"a": k / 3000, "bad": int(k >= 2989), "fold": k % 3} for k in range(3000)]
+    rules = quality.sequential_covering(rows, ["a"])
+    assert len(rules) == 1 and all(all(c.holds(r) for c in rules[0]) == bool(r["bad"]) for r in rows)
+
+
 def test_secrets(spark, docs):
     rules = secrets.BASE_RULES + secrets.MORE_RULES
     got = {r["doc_id"]: r["l"] for r in secrets.secret_spans(docs).select("doc_id", secrets.listed(F.col("_spans")).alias("l")).collect()}
