@@ -178,6 +178,67 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def _shuffled(w, items, r):
+    """A passage of an item, moved about or changed in one of seven ways."""
+    w, k, new = list(w), r.randrange(7), lambda n: [r.choice(VOCABULARY) for _ in range(n)]
+    if k == 0:
+        return w[len(w) // 2 :] + w[: len(w) // 2]
+    if k == 1:
+        j = r.randrange(1, len(w))
+        return w[:j] + new(r.randint(1, 3)) + w[j:]
+    if k == 2:
+        j = r.randrange(len(w))
+        return w[:j] + w[j + 1 :]
+    if k == 3:
+        return w[len(w) // 8 :] + items[r.randrange(len(items))][: len(w) // 8]
+    if k == 4:
+        return w[: len(w) * 5 // 6]
+    for _ in range(k - 4):
+        w[r.randrange(len(w))] = "zz"
+    return w
+
+
+def test_decontamination_against_all_windows(spark):
+    r = random.Random(12)
+    items = [[r.choice(VOCABULARY) for _ in range(r.choice([9, 20, 33, 40, 59]))] for _ in range(40)]
+    items.append([r.choice(VOCABULARY) for _ in range(7)] * 6)  # repeated shingles
+    texts = [[r.choice(VOCABULARY) for _ in range(r.choice([0, 4, 50]))] + sum((_shuffled(items[r.randrange(41)], items, r) + ["x"] * r.choice([0, 1]) for _ in range(r.randint(1, 3))), []) for _ in range(150)]
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for d, w in enumerate(texts):
+        x = cut(w)
+        for k, item in enumerate(items):
+            y = Counter(cut(item))
+            m = y.total()
+            both = (sum((Counter(x[s : s + m]) & y).values()) / (min(len(x), m) + m) for s in range(max(1, len(x) - m + 1)))
+            best = max(b / (1 - b) for b in both)
+            if best >= 0.75:
+                want[d, k] = round(best, 6)
+    table = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{name} long, text string")
+    got = decontaminate.contaminated(table(texts, "doc_id"), table(items, "item_id")).collect()
+    found = {(x["doc_id"], x["item_id"]): x["similarity"] for x in got}
+    # Fingerprints of windows with words of other items may lie beyond the radius close to the threshold: 1 in 50 at most.
+    lost = {k: v for k, v in want.items() if k not in found}
+    assert all(want[k] == v for k, v in found.items()) and 50 * len(lost) <= len(want) and max(lost.values(), default=0) < 0.78
+    assert sum(v < 0.8 for v in want.values()) > 20 and len(want) > 120
+    for x in got:  # the window named has the similarity named
+        a, b = Counter(cut(texts[x["doc_id"]])[x["start_word"] : x["start_word"] + x["n_words"] - 4]), Counter(cut(items[x["item_id"]]))
+        assert round(sum((a & b).values()) / sum((a | b).values()), 6) == x["similarity"]
+
+
+def test_simhash_of_long_windows(spark):
+    x = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(70000)), lambda i: F.when(i % 5 < 3, -1).otherwise(i.cast("long") % 2).cast("long")).alias("w"))
+    assert x.select(decontaminate.simhash("w").alias("f")).first()["f"][0] == -1  # 42,000 of 70,000 have every bit
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    text = " ".join(VOCABULARY[k % 300] for k in range(60000)) + " " + BASE
+    docs = spark.createDataFrame([(1, text), (None, BASE)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, BASE), (1, None), (2, " ".join(VOCABULARY[:50]))], "item_id long, text string")
+    got = {r["item_id"]: (r["doc_id"], r["similarity"], r["start_word"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: (1, 1.0, 60000), 2: (1, 1.0, 0)}
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
