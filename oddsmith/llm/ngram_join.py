@@ -15,10 +15,12 @@ never expanded. If two sets link, then under *any* global token order the first
 
 A candidate must pass all three, besides the bounds of size and of tokens that
 can be shared at all; then its whole sets are compared. Each posting list is
-compared with one centre first, and only pairs that the components leave apart
-are enumerated after that, under a lower bound of their symmetric difference.
+compared with one centre first. Lists that still span components after that are
+gathered by the member of least hash: lists of one passage mostly have the same
+one, so that a pair meets once or a few times, not once for each token in common.
+Gathered lists are compared by blocks of bounded size, by products of matrices.
 That gives the components. Links are counted after it: where some pair of a
-component is not a known link, all its pairs of sets are compared, by blocks.
+component is not a known link, all its pairs of sets are compared, in the same way.
 """
 
 from __future__ import annotations
@@ -96,23 +98,12 @@ def _emit(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "k1"])
 
 
-def _folded(x: np.ndarray) -> np.ndarray:
-    """256 sums of 4 bits: tokens are dealt to 256 cells and each cell keeps the
-    exclusive or of 4 of their bits. Cells that differ between two sets bound
-    their symmetric difference from below."""
-    cells = np.zeros(256, np.uint64)
-    np.bitwise_xor.at(cells, (x & np.uint64(255)).astype(np.int64), (x >> np.uint64(8)) & np.uint64(15))
-    return np.bitwise_or.reduce(cells.reshape(16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
-
-
 def _whole(batches):
     for whole in batches:
         for b in slices(whole):
             sets = [x for _, x in _sets(b)]
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            folded = np.concatenate([_folded(x) for x in sets])
-            at = np.arange(0, 16 * len(sets) + 1, 16, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(lengths, np.concatenate(sets).view(np.int64)), pa.ListArray.from_arrays(at, folded)], ["rep", "tokens", "folded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(lengths, np.concatenate(sets).view(np.int64))], ["rep", "tokens"])
 
 
 def _sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -127,11 +118,11 @@ def _sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, tokens, folded): whole sets of the texts named; texts themselves are not shuffled."""
+    """(rep, tokens): whole sets of the texts named; texts themselves are not shuffled."""
     if ids.count() <= MAX_BROADCAST_ROWS:
-        sets = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_whole, "rep long, tokens array<long>, folded array<long>")
+        sets = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_whole, "rep long, tokens array<long>")
     else:
-        sets = docs.mapInArrow(_whole, "rep long, tokens array<long>, folded array<long>").join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+        sets = docs.mapInArrow(_whole, "rep long, tokens array<long>").join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
     return sets.where("size(tokens) > 0").dropDuplicates(["rep"])
 
 
@@ -157,17 +148,6 @@ def _possible(percent: int):
     return F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * least(cap_a, cap_b) >= {percent} * (n_a + n_b)")
 
 
-CELLS = range(16)  # longs of a folded set; with more, the join condition outgrows what the JVM compiles
-
-
-def _near(percent: int):
-    """The bound of the folded sets, for rows with n_a, n_b, f*_a and f*_b: plain
-    columns, so that the join's condition compiles to code."""
-    apart = lambda d: f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)"
-    cells = " + ".join(apart(f"(f{i}_a ^ f{i}_b)") for i in CELLS)
-    return F.expr(f"{100 + percent} * ({cells}) <= {100 - percent} * (n_a + n_b)")
-
-
 def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) that pass order 3, then the exact condition on the whole sets."""
     low = lambda s: heads.select(F.col("rep").alias(s), F.col("low").alias(f"low_{s}"))
@@ -208,55 +188,112 @@ def _overlaps(ta, ra, na: int, tb, rb, nb: int) -> np.ndarray:
     return out.reshape(na, nb)
 
 
-def _block_links(percent: int):
-    """For rows (rep, second, tokens) of a pair of blocks: (rep, n_links), the links of each set
-    to the other block; rows of one block only: to the others of that block."""
+class _Blocks:
+    """Rows (rep, second, tokens) of a pair of blocks, or of one block (second is 0 for all), to be compared with each other."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        rep, second = (table.column(c).to_numpy() for c in ("rep", "second"))
+        self.rep, second = (table.column(c).to_numpy() for c in ("rep", "second"))
         tokens = pa.concat_arrays(table.column("tokens").chunks)
-        size = np.diff(tokens.offsets.to_numpy())
-        ids = np.unique(tokens.flatten().to_numpy(), return_inverse=True)[1]
-        own = np.repeat(np.arange(len(rep)), size)
-        a, b = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
-        alone = not len(b)
-        b = a if alone else b
-        row = np.zeros(len(rep), np.int64)
-        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
-        left, right = second[own] == 0, second[own] == (0 if alone else 1)
-        both = _overlaps(ids[left], row[own[left]], len(a), ids[right], row[own[right]], len(b))
-        linked = 100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)
-        if alone:
+        self.size = np.diff(tokens.offsets.to_numpy())
+        self.tokens = np.unique(tokens.flatten().to_numpy(), return_inverse=True)[1]
+        self.a, self.b = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
+        self.alone = not len(self.b)
+        if self.alone:
+            self.b = self.a
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common tokens of rows a and b, of the first `most` tokens of each row."""
+        end = np.cumsum(self.size)
+        sides = []
+        for rows in (a, b):
+            k = most[rows]
+            own = np.repeat(np.arange(len(rows)), k)
+            sides += [self.tokens[np.repeat((end - self.size)[rows] - (np.cumsum(k) - k), k) + np.arange(k.sum())], own, len(rows)]
+        return _overlaps(*sides)
+
+    def linked(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        both = self.overlaps(a, b, self.size)
+        return 100 * both >= percent * (self.size[a][:, None] + self.size[b][None, :] - both)
+
+
+def _block_counts(percent: int):
+    """(rep, n_links): the links of each row to the other block; rows of one block only: to the others of that block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _Blocks(table)
+        linked = x.linked(x.a, x.b, percent)
+        if x.alone:
             np.fill_diagonal(linked, False)
-        counts = [(rep[a], linked.sum(1))] + ([] if alone else [(rep[b], linked.sum(0))])
+        counts = [(x.rep[x.a], linked.sum(1))] + ([] if x.alone else [(x.rep[x.b], linked.sum(0))])
         return pa.table({"rep": np.concatenate([r for r, _ in counts]), "n_links": np.concatenate([n for _, n in counts]).astype(np.int64)})
 
     return run
 
 
+def _block_joins(percent: int):
+    """(a, b): for each two components that links between the blocks join, one such link. Rows have a component too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, component = _Blocks(table), table.column("component").to_numpy()
+        # Order 3: tokens of a row are sorted by hash. Of the rows that it leaves with a candidate, whole sets are compared.
+        fits = x.overlaps(x.a, x.b, x.size // 4 + 1) > 0
+        fits &= component[x.a][:, None] != component[x.b][None, :]
+        small, large = (f(x.size[x.a][:, None], x.size[x.b][None, :]) for f in (np.minimum, np.maximum))
+        fits &= 100 * small >= percent * large
+        a, b = x.a[fits.any(1)], x.b[fits.any(0)]
+        if len(a):
+            i, j = np.nonzero(x.linked(a, b, percent) & fits[np.ix_(fits.any(1), fits.any(0))])
+            a, b = a[i], b[j]
+            pairs = np.sort(np.stack([component[a], component[b]]), axis=0)
+            first = np.unique(pairs, axis=1, return_index=True)[1]
+            a, b = a[first], b[first]
+        return pa.table({"a": np.minimum(x.rep[a], x.rep[b]), "b": np.maximum(x.rep[a], x.rep[b])})
+
+    return run
+
+
+def _block_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (grp, rep, n, more columns) with their tokens, for each pair of blocks of a group:
+    (grp, block_a, block_b, second). Groups are laid in blocks by size, and pairs of blocks
+    whose sizes allow no link are left out. Members of one size are dealt by hash."""
+    weight = F.sum(F.greatest("n", F.lit(LEAST)))
+    # Sizes a third apart have no links: a band of sizes meets its neighbours only.
+    whole = members.groupBy("grp").agg(weight.alias("weight"))
+    band = F.when(F.col("weight") <= BLOCK, 0).otherwise(F.floor(F.log("n") / math.log(4 / 3)))
+    placed = cut(members.join(whole, "grp").withColumn("band", band.cast("long")).drop("weight"))
+    parts = placed.groupBy("grp", "band").agg(F.ceil(weight / BLOCK).alias("parts"))
+    placed = cut(placed.join(parts, ["grp", "band"]).withColumn("block", F.expr("(band << 32) + pmod(xxhash64(rep), parts)")).drop("band", "parts"))
+    ends = placed.groupBy("grp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda s: ends.select("grp", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")))
+    pairs = side("a").join(side("b"), "grp").where(f"block_a <= block_b and 100 * hi_a >= {percent} * lo_b")
+    pairs = pairs.select("grp", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    rows = pairs.join(placed, ["grp", "block"]).join(sets.select("rep", "tokens"), "rep")
+    return rows.withColumn("second", (F.col("block") != F.col("block_a")).cast("long")).drop("block", "n")
+
+
+def _across(posts: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components `found` (node, component), from posting lists
+    that hold members of several. Lists are gathered by their member of least hash."""
+    placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    inside = F.max(F.col("pos") < F.col("n_index"))  # the smaller set of a pair has the token in its shorter prefix
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), inside.alias("any"), F.min(F.struct(F.xxhash64("rep"), "rep")).alias("least"))
+    apart = apart.where("lo < hi and any").select("token", F.col("least.rep").alias("grp"))
+    members = cut(placed.join(apart, "token").select("grp", "rep", "n", "component").distinct())
+    rows = _block_pairs(members, sets, percent)
+    return rows.groupBy("grp", "block_a", "block_b").applyInArrow(_block_joins(percent), "a long, b long").distinct()
+
+
 def _link_counts(links: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rep, n_links): all links of each set. links: some of them, once each, that make
     the components `found` (rep, component). A component of which every pair is among
-    them is counted from them. The members of any other are laid in blocks, by size,
-    and every pair of blocks whose sizes allow a link is compared in a task of its own."""
-    weight = F.sum(F.greatest("n", F.lit(LEAST)))
+    them is counted from them. In any other, every pair of its sets is compared."""
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     members = cut(found.join(ends, "rep").join(sets.select("rep", F.size("tokens").cast("long").alias("n")), "rep"))
-    loose = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_links").alias("l"), weight.alias("weight")).where("l < m * (m - 1)")
+    loose = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_links").alias("l")).where("l < m * (m - 1)").select("component")
     known = members.join(loose, "component", "left_anti").select("rep", "n_links")
-    # Sizes a third apart have no links: a band of sizes meets its neighbours only. Its members are dealt by hash.
-    band = F.when(F.col("weight") <= BLOCK, 0).otherwise(F.floor(F.log("n") / math.log(4 / 3)))
-    placed = cut(members.join(loose.select("component", "weight"), "component").select("rep", "component", "n", band.cast("long").alias("band")))
-    parts = placed.groupBy("component", "band").agg(F.ceil(weight / BLOCK).alias("parts"))
-    placed = cut(placed.join(parts, ["component", "band"]).select("rep", "component", "n", F.expr("(band << 32) + pmod(xxhash64(rep), parts)").alias("block")))
-    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    side = lambda s: blocks.select("component", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "lo", "hi")))
-    pairs = side("a").join(side("b"), "component").where(f"block_a <= block_b and 100 * hi_a >= {percent} * lo_b")
-    pairs = pairs.select("component", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    rows = pairs.join(placed.select("rep", "component", "block"), ["component", "block"]).join(sets.select("rep", "tokens"), "rep")
-    rows = rows.select("component", "block_a", "block_b", "rep", (F.col("block") != F.col("block_a")).cast("long").alias("second"), "tokens")
-    compared = rows.groupBy("component", "block_a", "block_b").applyInArrow(_block_links(percent), "rep long, n_links long")
+    rows = _block_pairs(members.join(loose, "component").select(F.col("component").alias("grp"), "rep", "n"), sets, percent)
+    compared = rows.groupBy("grp", "block_a", "block_b").applyInArrow(_block_counts(percent), "rep long, n_links long")
     return known.unionByName(compared.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
 
 
@@ -285,18 +322,7 @@ def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "d
     star = cut(star.where("a <> b").where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(_verified(star, heads, sets, percent))
     found = cut(components(links, "a", "b"))
-    # What the centres leave apart: posting lists that still span components.
-    placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = cut(placed.join(apart, "token").join(sets.select("rep", *(F.get("folded", F.lit(i)).alias(f"f{i}") for i in CELLS)), "rep"))
-    # The first token that a pair has in common leaves it cap - pos others at most.
-    ahead = (F.col("cap") - F.col("pos")).alias("cap")
-    side = lambda s, r: r.select("token", *(F.col(x).alias(f"{y}_{s}" if y else s) for x, y in (("rep", ""), ("n", "n"), ("cap", "cap"), ("component", "c"), *((f"f{i}", f"f{i}") for i in CELLS))))
-    open_ = open_.select("rep", "token", "n", "pos", "n_index", "component", ahead, *(f"f{i}" for i in CELLS))
-    small, large = side("a", open_.where("pos < n_index")), side("b", open_)
-    rest = small.join(large, "token").where("c_a <> c_b and n_a <= n_b").where(_possible(percent)).where(_near(percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(_verified(rest.join(star, ["a", "b"], "left_anti"), heads, sets, percent))
+    more = cut(_across(posts, found, sets, percent))
     links = links.unionByName(more)
     found = components(links, "a", "b").withColumnRenamed("node", "rep")
     if count_links:
