@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index.
 
 Each rule's regular expression gives a Boolean trigram query: text that matches
-must satisfy it. The index holds the postings (trigram, doc_id) of the trigrams
-that queries name; postings are intersected into candidates, and only those are
-scanned. Rules without a mandatory trigram scan every text.
+must satisfy it. The index holds the postings of the trigrams that queries name,
+as bit maps: a row for each trigram and range of 64 ids. Queries are intersections
+and unions of these bit maps; only the texts that they leave are scanned. Rules
+without a mandatory trigram scan every text.
 """
 
 from __future__ import annotations
@@ -112,84 +113,113 @@ def trigrams(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*(trigrams(q) for q in query[1:]))
 
 
-def _asked(query, has: Column) -> Column:
-    if isinstance(query, str):
-        return F.array_contains(has, query)
-    out = None
-    for q in query[1:]:
-        c = _asked(q, has)
-        out = c if out is None else out & c if query[0] == "and" else out | c
-    return out
-
-
 def _key() -> Column:
     """doc_id, with a value of its own for null."""
     return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
 
 
 def postings(documents: DataFrame, vocabulary: set[str]) -> DataFrame:
-    """(trigram, key): the texts that hold each trigram of the vocabulary."""
+    """(trigram, block, bits): for each trigram of the vocabulary and each range of 64 ids, the texts that hold it."""
     low = documents.select(_key().alias("key"), F.lower("text").alias("low"))
     has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted(vocabulary))))
-    return low.where("low is not null").select(F.explode(has).alias("trigram"), "key")
+    each = low.where("low is not null").select(F.shiftright("key", 6).alias("block"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"), F.explode(has).alias("trigram"))
+    return each.groupBy("trigram", "block").agg(F.bit_or("bit").alias("bits"))
+
+
+def _intersected(query, bits: dict[str, Column]) -> Column:
+    if isinstance(query, str):
+        return bits[query]
+    parts = [_intersected(q, bits) for q in query[1:]]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.bitwiseAND(x) if query[0] == "and" else out.bitwiseOR(x)
+    return out
 
 
 def candidates(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(key, kinds): the rules whose query each text satisfies, by intersecting postings."""
+    """(key, _kinds): the rules whose query each text satisfies, by intersecting postings."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not True}
-    index = postings(documents, set().union(*(trigrams(q) for q in queries.values())))
-    lists = index.groupBy("key").agg(F.collect_set("trigram").alias("has"))
-    kinds = F.array_compact(F.array(*(F.when(_asked(q, F.col("has")), F.lit(k)) for k, q in queries.items())))
-    return lists.select("key", kinds.alias("_kinds")).where("size(_kinds) > 0")
-
-
-def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """Leftmost non-overlapping matches as structs (start, order, kind, end), in code points."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    between = F.split(text, rule.regex, -1)
-    zipped = F.zip_with(F.arrays_zip(found.alias("m"), sized.alias("g")), between, lambda a, b: F.struct(a["m"].alias("m"), a["g"].alias("g"), F.length(b).alias("gap")))
-    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (at + x["gap"] + F.length(x["m"])).alias("end"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-        F.when(F.length(x["g"]) >= rule.least, F.array_append(a["out"], span(a["at"], x))).otherwise(a["out"]).alias("out"),
-    )
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    vocabulary = sorted(set().union(*(trigrams(q) for q in queries.values())))
+    if not vocabulary:
+        return documents.select(_key().alias("key"), F.array().cast("array<string>").alias("_kinds")).limit(0)
+    lists = postings(documents, set(vocabulary)).groupBy("block").agg(*(F.coalesce(F.bit_or(F.when(F.col("trigram") == t, F.col("bits"))), F.lit(0).cast("long")).alias(f"t{i}") for i, t in enumerate(vocabulary)))
+    bits = {t: F.col(f"t{i}") for i, t in enumerate(vocabulary)}
+    found = lists.select("block", F.array(*(_intersected(q, bits) for q in queries.values())).alias("found"))
+    any_ = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    held = lambda x, n: F.call_function("shiftrightunsigned", x, n).bitwiseAND(F.lit(1)) == 1
+    n = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda n: held(any_, n))).alias("n")
+    found = found.where(any_ != 0).select("block", "found", n)
+    kinds = F.array_compact(F.array(*(F.when(held(F.get("found", F.lit(i)), F.col("n")), F.lit(k)) for i, k in enumerate(queries))))
+    return found.select((F.shiftleft("block", 6) + F.col("n")).alias("key"), kinds.alias("_kinds"))
+
+
+def _running(a: str, join: str, longest: int = 31) -> str:
+    """SQL of the running totals of an array of numbers, `join` combining x and y: as many passes as the length has bits."""
+    for k in range(longest):
+        step = 1 << k
+        a = f"transform(array({a}), a -> if(size(a) > {step}, transform(a, (x, i) -> if(i < {step}, x, {join.format(x='x', y=f'get(a, i - {step})')})), a))[0]"
+    return a
+
+
+def _lengths(rule: Rule, text: Column) -> Column:
+    """Lengths in code points of all matches, of the parts that are measured, and of the gaps before each match."""
+    all_ = lambda g: F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(g)), F.length)
+    return F.struct(all_(0).alias("m"), all_(rule.group).alias("g"), F.transform(F.split(text, rule.regex, -1), F.length).alias("gap"))
+
+
+NO_SPANS = "cast(array() as array<struct<start:int,order:int,kind:string,end:int>>)"
 
 
 def secret_spans(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """documents with `_spans`: array of (start, order, kind, end), by start, then rule.
 
-    Null and empty texts have none. Rows with a null or repeated doc_id are
-    scanned like any other. Other columns stay; one named `_spans` is replaced.
+    Matches are leftmost and do not overlap within a rule. Null and empty texts have none. Rows with a null or
+    repeated doc_id are scanned like any other. A text is scanned whole, however long, and as many
+    matches as it has, in time near its length. Other columns stay; one named `_spans` is replaced.
     """
     rules = BASE_RULES + MORE_RULES if rules is None else rules
     found = cut(candidates(documents, rules))
     if found.count() <= MAX_BROADCAST_ROWS:
         found = F.broadcast(found)
-    x = documents.drop("_spans").withColumn("_key", _key()).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    text, parts = F.coalesce("text", F.lit("")), []
-    for k, r in enumerate(rules):
-        mandatory = trigram_query(r.regex) is not True
-        test = F.array_contains("_kinds", r.kind) if mandatory else text.rlike(r.needs or r.regex)
-        parts.append(F.when(test, _spans(r, k, text)).otherwise(none))
-    return x.withColumn("_spans", F.sort_array(F.concat(*parts))).drop("_key", "_kinds")
+    keep = [c for c in documents.columns if c != "_spans"]
+    x = documents.select(*keep).withColumn("_key", _key()).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    text, n = F.coalesce("text", F.lit("")), range(len(rules))
+    test = lambda r: text.rlike(r.needs or r.regex) if trigram_query(r.regex) is True else F.array_contains("_kinds", r.kind)
+    x = x.select(*keep, *(F.when(test(r), _lengths(r, text)).alias(f"_r{k}") for k, r in enumerate(rules)))
+    # A match ends after all gaps and matches up to it.
+    total = lambda k: _running(f"transform(_r{k}.m, (l, i) -> l + get(_r{k}.gap, i))", "{x} + {y}")
+    x = x.select("*", *(F.expr(f"if(_r{k} is null, null, {total(k)})").alias(f"_e{k}") for k in n))
+
+    def spans(k, r):
+        one = f"struct(e - get(_r{k}.m, i) as start, {k} as order, '{r.kind}' as kind, e as end)"
+        return F.expr(f"if(_e{k} is null, {NO_SPANS}, filter(transform(_e{k}, (e, i) -> if(get(_r{k}.g, i) >= {r.least}, {one}, null)), s -> s is not null))")
+
+    return x.select(*keep, F.sort_array(F.concat(*(spans(k, r) for k, r in enumerate(rules)))).alias("_spans"))
 
 
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+PIECE = 1024  # code points of the pieces of which slices of a text are made
+
+
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """documents with each secret replaced by the mark (overlapping spans by one mark), n_chars by the new length."""
-    x = secret_spans(documents)
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    hit = F.size("_spans") > 0
-    x = x.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
-    return (x.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in documents.columns else x).drop("_spans")
+    """documents with each secret replaced by the mark (overlapping spans by one mark), n_chars by the new length.
+
+    Null texts stay null. The text is put together once from its parts, so that many secrets in
+    a long text take time near its length. Columns stay as they are."""
+    x = secret_spans(documents.withColumnRenamed("_spans", "_own_spans"))
+    names = x.columns
+    hit = "size(_spans) > 0"
+    x = x.withColumn("_ends", F.expr(f"if({hit}, {_running('transform(_spans, s -> s.end)', 'greatest({x}, {y})')}, null)"))
+    x = x.withColumn("_pieces", F.expr(f"if({hit}, regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0), null)"))
+    # A part of the text from a up to b, from the pieces that hold it.
+    part = lambda a, b: f"if({b} <= {a}, '', substring(array_join(slice(_pieces, ({a}) div {PIECE} + 1, ({b} - 1) div {PIECE} - ({a}) div {PIECE} + 1), ''), ({a}) % {PIECE} + 1, {b} - ({a})))"
+    before = "coalesce(get(_ends, i - 1), 0)"
+    kept = f"transform(_spans, (s, i) -> if(s.start >= {before}, concat({part(before, 's.start')}, '{mark}'), ''))"
+    rest = part("element_at(_ends, -1)", "length(text)")
+    x = x.withColumn("text", F.expr(f"if({hit}, concat(array_join({kept}, ''), {rest}), text)"))
+    if "n_chars" in names:
+        x = x.withColumn("n_chars", F.when(F.expr(hit), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return x.drop("_spans").withColumnRenamed("_own_spans", "_spans").select(*documents.columns)
