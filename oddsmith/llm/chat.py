@@ -22,6 +22,17 @@ class Template:
     machine: dict = field(default_factory=lambda: {"start": {"system": "ready", "user": "asked"}, "ready": {"user": "asked"}, "asked": {"assistant": "answered"}, "answered": {"user": "asked"}})
     accept: tuple = ("answered",)
 
+    def __post_init__(self):
+        """Marks must begin with a character that escapes take out of texts, and turns end alike, or no text could be read back."""
+        guarded = tuple(a for a, _ in self.escapes[1:])
+        begins = [self.other[0], *(a for a, _, _ in self.marks.values())]
+        if any(len(a) != 1 or not b.startswith(self.escapes[0][0]) for a, b in self.escapes) or len({b for _, b in self.escapes}) < len(self.escapes):
+            raise ValueError("each escape stands for one character and begins with the escape character")
+        if not all(m.startswith(guarded) for m in [*begins, self.other[2]]) or any(c not in guarded for c in self.other[1][:1]):
+            raise ValueError("a mark must begin with an escaped character")
+        if any(b != self.other[2] for _, b, _ in self.marks.values()) or any(m.startswith(k) for i, m in enumerate(begins) for j, k in enumerate(begins) if i != j):
+            raise ValueError("turns must end alike, and no mark may begin another")
+
 
 DEFAULT = Template()
 
@@ -51,29 +62,30 @@ def format_conversations(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
 
     segments: array of (piece, loss), whose pieces concatenate to `formatted`;
     loss marks exactly the texts of roles under the loss. Rows go by turn, then
-    role and text (null turns first); null roles and texts count as empty. A
-    conversation that the machine refuses is formatted all the same, with valid
-    false. Rows with a null conv_id are dropped, other columns ignored. The text of one
-    conversation is one value, so it is built in one place; each turn is
-    formatted before that, where its row is read.
+    role and text as they are given (null turns first); null roles and texts count as empty. Rows
+    with a null conv_id make one conversation. A conversation that the machine refuses is formatted
+    all the same, with valid false. Repeated rows are repeated turns; other columns are ignored. The text of one
+    conversation is one value, so it is built in one place, whatever its length.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    before = F.concat(F.lit(t.other[0]), escaped(role, t), F.lit(t.other[1]))
-    after = F.lit(t.other[2])
-    loss = F.lit(False)
-    for r, (a, b, flag) in t.marks.items():
-        before, after, loss = F.when(role == r, a).otherwise(before), F.when(role == r, b).otherwise(after), F.when(role == r, flag).otherwise(loss)
-    row = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(text, t).alias("text"), before.alias("before"), after.alias("after"), loss.alias("loss"))
-    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), row.alias("r"))
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    raw = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), raw.alias("r")).groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
     piece = lambda p, flag: F.struct(p.alias("piece"), flag.alias("loss"))
-    segments = F.flatten(F.transform("r", lambda x: F.array(piece(x["before"], F.lit(False)), piece(x["text"], x["loss"]), piece(x["after"], F.lit(False)))))
+
+    def turn(x):
+        role = x["role"]
+        before = F.concat(F.lit(t.other[0]), escaped(role, t), F.lit(t.other[1]))
+        loss = F.lit(False)
+        for r, (a, _, flag) in t.marks.items():
+            before, loss = F.when(role == r, a).otherwise(before), F.when(role == r, flag).otherwise(loss)
+        return F.array(piece(before, F.lit(False)), piece(escaped(x["text"], t), loss), piece(F.lit(t.other[2]), F.lit(False)))
+
+    rows = rows.withColumn("segments", F.flatten(F.transform("r", turn)))
     return rows.select(
         "conv_id",
         F.size("r").cast("long").alias("n_turns"),
         _machine(F.transform("r", lambda x: x["role"]), t).isin(*t.accept).alias("valid"),
-        F.array_join(F.transform(segments, lambda s: s["piece"]), "").alias("formatted"),
-        segments.alias("segments"),
+        F.array_join(F.transform("segments", lambda s: s["piece"]), "").alias("formatted"),
+        "segments",
     )
 
 

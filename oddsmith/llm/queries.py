@@ -84,7 +84,7 @@ _ESCAPED = r"replace(replace(replace(replace({}, '\', '\e'), '<', '\l'), '[', '\
 
 OP4_SQL = rf"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
 walk AS (
@@ -93,14 +93,14 @@ walk AS (
          WHEN prior = 'system' THEN k = 2 AND role = 'user' WHEN prior = 'assistant' THEN role = 'user' ELSE false END AS fine
   FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS prior FROM n) WINDOW w AS (PARTITION BY conv_id ORDER BY k)
 ), v AS (SELECT conv_id, bool_and(fine) AND arg_max(role, k) = 'assistant' AS valid FROM walk GROUP BY conv_id)
-SELECT conv_id, count(*) AS n_turns,
+SELECT n.conv_id AS conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_ESCAPED.format('text')}) + 7 + CASE role WHEN 'system' THEN 10 WHEN 'user' THEN 8 WHEN 'assistant' THEN 13
     ELSE 9 + length({_ESCAPED.format('role')}) END) AS BIGINT) AS formatted_chars,
   any_value(valid) AS valid
-FROM n JOIN v USING (conv_id) GROUP BY conv_id
+FROM n JOIN v ON n.conv_id IS NOT DISTINCT FROM v.conv_id GROUP BY n.conv_id
 """
 
 OP7_SQL = r"""
