@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import cut, let, words
 
 MAX_LABELLED = 20_000  # labelled rows used for fitting at most: those of least hash
-MAX_RULES, MAX_CONDITIONS = 8, 3
-MIN_COVER, MIN_PRECISION = 5, 0.98
+MAX_RULES, MAX_CONDITIONS = 8, 3  # of the list; of a rule
+MIN_COVER, MIN_PRECISION = 5, 0.98  # rejected labelled rows of a rule at least; share of rightly rejected ones
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -106,9 +106,9 @@ def _count(rows, rule):
     return p, len(hit) - p
 
 
-def _grow(rows, names, cuts):
+def _grow(rows, names, cuts, most):
     rule, inside = [], rows
-    while len(rule) < MAX_CONDITIONS:
+    while len(rule) < most:
         p = sum(r["bad"] for r in inside)
         if p == len(inside):
             break
@@ -132,16 +132,17 @@ def _grow(rows, names, cuts):
     return rule
 
 
-def sequential_covering(rows: list[dict], names: list[str]) -> list[list[Condition]]:
-    """rows: feature values, `bad` 0 or 1, `fold` 0, 1 or 2 (2: for pruning)."""
+def sequential_covering(rows: list[dict], names: list[str], max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[list[Condition]]:
+    """rows: feature values, `bad` 0 or 1, `fold` 0, 1 or 2 (2: for pruning). The list ends
+    with max_rules rules, or when the next one is not precise enough or covers too few bad rows."""
     rules: list[list[Condition]] = []
     cuts = {}
     for f in names:
         values = sorted({r[f] for r in rows if r["fold"] < 2})
         cuts[f] = [(a + b) / 2 for a, b in zip(values, values[1:])]  # every gap of the rows that rules grow on
-    while len(rules) < MAX_RULES and sum(r["bad"] for r in rows) >= MIN_COVER:
+    while len(rules) < max_rules and sum(r["bad"] for r in rows) >= MIN_COVER:
         grow, prune = [r for r in rows if r["fold"] < 2], [r for r in rows if r["fold"] == 2]
-        rule = _grow(grow, names, cuts)
+        rule = _grow(grow, names, cuts, max_conditions)
         if not rule:
             break
         worth = lambda k: (lambda p, n: (p - n) / max(1, p + n))(*_count(prune, rule[:k]))
@@ -154,16 +155,17 @@ def sequential_covering(rows: list[dict], names: list[str]) -> list[list[Conditi
     return rules
 
 
-def learn(documents: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Rules that reject, from labels (doc_id, quality 0 or 1). At most
-    MAX_LABELLED labelled rows are used; other labels, and ids without a text, are left out."""
+def learn(documents: DataFrame, labels: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[list[Condition]]:
+    """Rules that reject, from labels (doc_id, quality 0 or 1). At most MAX_LABELLED labelled ids
+    are used, those of least hash; of an id with several labels or texts the least counts. Other labels, and ids without a text, are left out."""
     chosen = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     known = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by MAX_LABELLED
+    known = cut(known.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))  # written, so that statistics are taken of these rows alone, once
     q = F.col("_quality")
     f = features(q)
     rows = with_statistics(known).where(~base_failed(q)).select((1 - F.col("quality")).alias("bad"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *(c.alias(k) for k, c in f.items()))
-    return sequential_covering([r.asDict() for r in rows.limit(2 * MAX_LABELLED).collect()], list(f))
+    return sequential_covering([r.asDict() for r in rows.collect()], list(f), max_rules, max_conditions)  # MAX_LABELLED rows of ten numbers at most
 
 
 def kept(rules: list[list[Condition]], q: Column) -> Column:
@@ -182,8 +184,9 @@ def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents with `_quality` (statistics), `base_failed` and `kept`.
 
     Null or empty texts have no words and fail. Without labels no rule is
-    learned and the base alone decides. Repeated rows stay repeated; other
-    columns stay, but for those with the three names, which are replaced.
+    learned and the base alone decides. Null ids have no label and are decided like others. Repeated rows stay repeated; other
+    columns stay, but for those with the three names, which are replaced. Of the learner, MAX_LABELLED bounds
+    the sample, MAX_RULES the list and MAX_CONDITIONS each rule; statistics and decisions cover all rows and whole texts.
     """
     rules = learn(documents, labels)
     q = F.col("_quality")

@@ -134,6 +134,8 @@ def test_quality_statistics(spark, docs):
 
 def test_quality_rules(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
+    odd = spark.createDataFrame([(None, BASE, "a"), (None, None, "b"), (9, "x " * 400000, "c"), (9, BASE, "c")], "doc_id long, text string, kept string")
+    assert sorted(r["kept"] for r in quality.quality_rules(odd, spark.createDataFrame([(9, 0), (9, 1), (None, 1), (77, 0)], none.schema)).collect()) == [False, False, True, True]
     x = quality.quality_rules(docs, none)
     assert x.where("kept = base_failed").count() == 0 and set(docs.columns) < set(x.columns)
     assert quality.quality_rules(docs.limit(0), none).count() == 0
@@ -143,6 +145,21 @@ def test_quality_rules(spark, docs):
     assert 1 <= len(rules) <= 2 and {c.feature for c in rules[0]} == {"a", "b"}
 
 
+def test_quality_list_against_plain_rules(spark):
+    """The learned list decides each text as its rules do one by one, and finds junk that it was not shown."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = quality.learn(docs, labels.where("doc_id % 2 = 0"))
+    q = F.col("_quality")
+    x = quality.with_statistics(docs).select("doc_id", F.struct(*(c.alias(k) for k, c in quality.features(q).items())).alias("f"), quality.base_failed(q).alias("base"), quality.kept(rules, q).alias("kept"))
+    rows = x.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    for r in rows:
+        assert r["kept"] == (not r["base"] and not any(all(c.holds(r["f"].asDict()) for c in rule) for rule in rules))
+    bad = [r for r in rows if r["quality"] == 0 and not r["base"]]
+    fine = [r for r in rows if r["quality"] == 1 and not r["base"]]
+    assert len(bad) > 5 and sum(not r["kept"] for r in bad) >= 0.9 * len(bad) and sum(r["kept"] for r in fine) >= 0.98 * len(fine)
+
+
 def test_quality_thresholds_try_every_gap():
     rows = [{"a": k / 3000, "bad": int(k >= 2989), "fold": k % 3} for k in range(3000)]
     rules = quality.sequential_covering(rows, ["a"])
@@ -161,6 +178,20 @@ def test_secrets(spark, docs):
     assert secrets.redact(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_a_text_full_of_them(spark):
+    one = "token=abcdef%05d "
+    texts = ["".join(one % k for k in range(20000)), "é" + "AKIA" + "A" * 30 + " token=AKIA" + "B" * 20 + " " + "x" * 3000, "x" * (1 << 20) + ' secret="abcdefg"']
+    docs = spark.createDataFrame([(None, t, "a") for t in texts] + [(70, texts[1], "b"), (70, "", "c"), (-5, texts[1], None)], "doc_id long, text string, _spans string")
+    x = secrets.redact(docs).select("doc_id", "text", "_spans").collect()
+    first = next(r["text"] for r in x if r["doc_id"] is None and r["text"].count("SECRET") > 2)
+    assert first == "[SECRET] " * 20000
+    both = "é[SECRET] [SECRET] " + "x" * 3000
+    assert sorted(r["text"] for r in x if r["doc_id"] is not None) == ["", both, both] and {r["_spans"] for r in x} == {"a", "b", "c", None}
+    assert ("x" * (1 << 20) + ' [SECRET]"') in {r["text"] for r in x}
+    rules = [secrets.Rule("digits", "[0-9]+")]  # no mandatory trigram at all
+    assert [s["start"] for s in secrets.secret_spans(docs.where("doc_id = 70 or _spans = 'a'"), rules).where("length(text) > 400000 or doc_id is null").first()["_spans"]][:2] == [12, 30]
+
+
 def test_trigram_query():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", "aki", "kia")
@@ -282,19 +313,34 @@ def test_bpe_repairs_joins():
 
 
 def test_chat(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", "a<|end|>"), (1, 2, "assistant", "\\l[<|x"), (2, 1, "user", None), (2, 0, None, "t"), (3, 0, "assistant", "b"), (3, 0, "assistant", "b"), (4, None, "tool<|", "")]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "a<|end|>"), (1, 2, "assistant", "\\l[<|x"), (2, 1, "user", None), (2, 0, None, "t"), (3, 0, "assistant", "b"), (3, 0, "assistant", "b"), (4, None, "tool<|", ""), (5, 0, "user", "<a"), (5, 0, "user", "Ab"), (None, 1, "assistant", "n"), (None, 0, "user", "m"), (6, 0, "user", "long " * 200000), (6, 1, "assistant", "<[|\\\\" * 50000)]
     turns = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     x = chat.format_conversations(turns)
     out = {r["conv_id"]: r for r in x.select("*", chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
-    for c in (1, 2, 3, 4):
+    for c in (1, 2, 3, 4, 5, 6, None):
         want = sorted((-1 if t is None else t, r or "", s or "") for k, t, r, s in rows if k == c)
         assert [tuple(b) for b in out[c]["back"]] == [w[1:] for w in want]
         assert out[c]["loss"] == "".join(s for _, r, s in want if r == "assistant")
         assert out[c]["formatted"] == "".join(s["piece"] for s in out[c]["segments"])
-    assert [out[c]["valid"] for c in (1, 2, 3, 4)] == [True, False, False, False]
+    assert [out[c]["valid"] for c in (1, 2, 3, 4, 5, 6, None)] == [True, False, False, False, False, True, True]
+    with pytest.raises(ValueError, match="mark"):
+        chat.Template(marks={"user": ("user: ", "<|end|>", False)})
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op4_chat", "op7_url_filter"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("pages", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{D}/{table}.parquet'")
+    rel, df = con.sql(Q.oracle_sql()[name]), Q.queries()[name](spark, D)
+    assert sorted(df.columns) == sorted(rel.columns)
+    got = sorted(tuple(str(r[c]) for c in rel.columns) for r in df.collect())
+    assert got == sorted(tuple(map(str, r)) for r in rel.fetchall()) and len(got) > 15
+
+
 def test_licenses(spark):
     texts = [(1, "x y. Released under the MIT License."), (2, None), (3, ""), (4, "é é\nThis work is licenced under the GNU General Public License, version 3. end"), (5, prose(3000, 4)), (6, "released UNDER the mit license " * 2)]
     got = Counter((r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect())
@@ -346,6 +392,8 @@ def test_urls(spark):
     many = spark.createDataFrame([("a.net", "/" + "x" * k, "block") for k in range(5000)], rules.schema)
     deep = spark.createDataFrame([(1, "http://a.net/" + "x" * 4990 + "y", "c", "c")], pages.schema)
     assert urls.filter_urls(deep, many).first()["rule"] == "a.net/" + "x" * 4990
+    hostile = spark.createDataFrame([(1, "http://" + "a." * 100000 + "example.net/en/x", "c", "c"), (2, "http://" + "a" * 500000 + "/" + "b/" * 100000, "c", "c"), (3, "://", "c", "c"), (4, "http://..net/", "c", "c")], pages.schema)
+    assert {r["page_id"]: r["rule"] for r in urls.filter_urls(hostile, rules).collect()} == {1: "example.net/en/", 2: None, 3: None, 4: "net/"}
     assert urls.filter_urls(pages.limit(0), rules).count() == 0 and urls.filter_urls(pages, rules.limit(0)).where("rule is null").count() == len(rows)
 
 
