@@ -414,6 +414,44 @@ def test_html(spark):
     assert got[1] == (text, len(text)) and got[2] == ("", 0) and out.count() == len(rows)
 
 
+HAND_LABELLED = [  # pages written by hand: lines of the article, and what must not be in it
+("""<html><body><div id=top><a href=/>The Daily Bugle</a></div><div class=menu><a href=/a>World</a> | <a href=/b>Sport</a></div>
+<div><h1>Rain falls again</h1><div>By A. Writer</div><p>It rained on Monday, and it's expected to rain on Tuesday too, the weather office said.</p><p data-x=it's>Roads were flooded in three towns; nobody was hurt.</p>
+<div class="ad">Buy umbrellas now!</div><p>More rain is likely before the week ends.</p></div><div class=footer>Copyright 2020 The Daily Bugle. All rights reserved.</div></body></html>""",
+ ["It rained on Monday, and it's expected to rain on Tuesday too, the weather office said.","Roads were flooded in three towns; nobody was hurt.","More rain is likely before the week ends."],["Buy umbrellas now!","World","Copyright"]),
+("""<!doctype html><title>x</title><main><section><h2>How to bake bread</h2><p>Mix the flour with water and salt, then wait for an hour.<ol><li>Knead the dough for ten minutes until it is smooth.<li>Bake it at 220 degrees for half an hour.</ol><pre>flour 500 g</pre></section><section class="comments"><h3>3 comments</h3><div class="comment"><b>joe</b><p>Great recipe, thanks a lot for it!</p></div></section></main><nav><ul><li><a href=1>Home</a><li><a href=2>Recipes</a></ul></nav><footer><p>Imprint and contact</p></footer>""",
+ ["How to bake bread","Mix the flour with water and salt, then wait for an hour.","Knead the dough for ten minutes until it is smooth.","Bake it at 220 degrees for half an hour.","flour 500 g"],["Great recipe","Home","Imprint"]),
+("""<table><tr><td class=nav><a href=1>One</a><br><a href=2>Two</a></td><td><font><h1>An old page</h1><p>This page was laid out with tables, as was usual at that time. It has some text in it.</p><blockquote>They said that this would never be read by anybody at all.</blockquote><p>The end of the page comes after this sentence, I believe.</p></font></td><td class=sidebar><h3>Links</h3><ul><li><a href=3>Three</a></ul></td></tr></table>""",
+ ["This page was laid out with tables, as was usual at that time. It has some text in it.","They said that this would never be read by anybody at all.","The end of the page comes after this sentence, I believe."],["Three","One"]),
+("""<body><header><h1>Blog of Nobody</h1><nav><a href=/>home</a></nav></header><div class="cookie-notice"><p>We use cookies to improve this site.</p><button>OK</button></div><article class="post"><h2>On noscript</h2><p>The first paragraph says something about <code>noscript</code> in articles.</p><noscript><p>This paragraph is inside of a noscript element, but is text of the article.</p></noscript><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number of the usual kind.</p></article><aside class="related"><h3>Related posts</h3><ul><li><a href=/1>An older post</a></li></ul></aside><form class="newsletter"><label>Mail</label><input><p>Get our newsletter.</p></form></body>""",
+ ["On noscript","The first paragraph says something about noscript in articles.","This paragraph is inside of a noscript element, but is text of the article.","Let x=2 be a number of the usual kind."],["We use cookies","older post","newsletter"]),
+]
+
+
+@pytest.mark.parametrize("page, lines, others", HAND_LABELLED)
+def test_html_of_other_shapes(page, lines, others):
+    got = html_text.main_text(page, html_text.model()).split("\n")
+    assert [x for x in got if x in lines] == lines and not any(o in x for o in others for x in got)
+
+
+def test_html_attributes_and_elements():
+    read = lambda x: [b.text for b in html_text.blocks(x)]
+    assert read("<p title=it's>a<p b='x>y'>c</p><p it's>d<p t=\"un>e</p>f") == ["a", "c", "d", "e", "f"]
+    assert read("<p>a<noscript>b</noscript><iframe>c<p>d<textarea>q<p>e</textarea>f<title>g<p>h") == ["a", "b", "c", "d fg", "h"]
+    assert read("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>e<br>f") == ["a", "b", "c", "d", "1", "2", "3", "e f"]
+    assert read("a<b <c>d</3>e<3 f</>g") == ["ade<3 fg"] and read("") == read("<p></p> \n") == []
+    assert [b.linked for b in html_text.blocks("<p>x<a href=y>long</a></p><p>z</p>")] == [4, 0]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x", "<p><span>", "<iframe>", "<p a='", "<svg><p>x", "<select>", "<table><tr><td>", "<a b=c>", "</p>", "<", "<!-", "<title>"])
+def test_html_hostile_pages_take_linear_time(part):
+    import time
+
+    t = time.perf_counter()
+    html_text.features(html_text.blocks(part * 100_000))
+    assert time.perf_counter() - t < 20
+
+
 @pytest.mark.parametrize("tag", ["svg", "math", "select", "object", "template"])
 def test_html_elements_without_end_tag(tag):
     first, second = "First line of the text is here, long enough.", "Second line is here and long enough too."
