@@ -1,13 +1,14 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut where a hash of the bytes just before a white-space byte hits a
-mask, so equal passages give equal chunks wherever they stand. A chunk is
-encoded once for as long as a worker's cache holds it (bounded by bytes). The
-join of two chunks is exact if the character before the cut is no white space:
-the pre-tokenizer always splits there. Any other join is checked: the
-text between the nearest certain splits around it is encoded again, and where
-the ids disagree with the chunks', the chunks are merged and encoded anew until
-they agree.
+A text is cut wherever a rolling hash of the WINDOW bytes before a place hits a
+mask, in the middle of words or not, so equal passages give equal chunks wherever they
+stand. A chunk is encoded once for as long as a worker's cache holds it (bounded
+by bytes); `chunks` counts how much of a corpus repeats. Then each join is
+repaired: the text between the nearest certain splits around it is encoded
+again, and where the ids disagree with those of the two chunks, they take their place.
+White space after another character is a certain split: the pre-tokenizer splits
+there whatever stands around, so ids agree exactly beyond it. Cuts without a certain split between
+them and the next are given up, and their chunks merged.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, kept, slices, text_buffer
+from .common import SPACE, hasher, kept, mix, slices, text_buffer
 
-MASK = 63  # one cut in 64 words: about 400 bytes
+WINDOW = 16  # bytes that decide on a cut
+MASK = 511  # one cut in 512 places
 CACHE_BYTES = 48 << 20  # of chunk texts in each worker
 _CERTAIN = np.ones(256, bool)  # last bytes of characters that are no white space
 _CERTAIN[[*range(9, 14), *range(28, 33)]] = False
@@ -48,6 +50,7 @@ class Codec:
         self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.size = 0
         self.pieces = self._pieces()
+        self.sizes = np.array([len(x) for x in self.pieces], np.int64)
         added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = re.compile(b"|".join([rb"[\xc2\xca-\xff]", *added]))
         self.merger = self._merger()
@@ -119,16 +122,16 @@ class Codec:
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Places before a white-space byte that follows another byte, chosen by the eight bytes before."""
-    if len(data) < 64:
-        return np.zeros(0, np.int64)
-    space = SPACE[data]
-    at = np.flatnonzero(space[8:] & ~space[7:-1]) + 8
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(1, 9):
-            h = (h ^ data[at - k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return at[((h >> np.uint64(40)) & np.uint64(MASK)) == 0]
+    """Places before the first byte of a character, chosen by a rolling hash of the WINDOW bytes before them."""
+    out, step = [], len(hasher().power) - 1 - WINDOW
+    for begin in range(0, len(data) - WINDOW, step):  # pieces that overlap by a window
+        x = data[begin : begin + step + WINDOW]
+        total = np.zeros(len(x) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(hasher().byte[x] * hasher().power[: len(x)], out=total[1:], dtype=np.uint64)
+            h = mix((total[WINDOW:-1] - total[: -WINDOW - 1]) * hasher().inverse[: len(x) - WINDOW])
+        out.append(np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK) == 0) & ((x[WINDOW:] & 0xC0) != 0x80)) + begin + WINDOW)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _certain(data: np.ndarray) -> np.ndarray:
@@ -139,62 +142,94 @@ def _certain(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fine) + 1
 
 
-def _splits(text: bytes, more: bytes) -> bool:
-    """Whether the join of the two is certain."""
-    tail = text[-2:]
-    return len(tail) in _certain(np.frombuffer(tail + more[:1], np.uint8))
-
-
-def repaired(codec: Codec, chunks: list[bytes], ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Ids of a text from those of its chunks, after checking each join that is not certain."""
-    out, text = [ids[0]], chunks[0]
-    for c, more in zip(chunks[1:], ids[1:]):
-        if _splits(text, c):
-            out.append(more)
-            text = c
-            continue
-        left, right = (_certain(np.frombuffer(x, np.uint8)) for x in (text, c))
-        a = int(left[-1]) if len(left) else 0
-        b = int(right[0]) if len(right) else len(c)
-        tail, head, both = codec.fresh([text[a:], c[:b], text[a:] + c[:b]])
-        if len(left) and len(right) and np.array_equal(np.concatenate([tail, head]), both):
-            out.append(more)
-            text = c
-        else:  # no agreement, or no certain split to prove it: merge the two and look at the next join
-            text = text + c
-            out[-1] = codec.fresh([text])[0]
+def joins(data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(cut, begin, end) of the cuts of a text that can be repaired: begin and end are the nearest certain splits,
+    or the ends of the text. Of cuts whose ranges meet the later ones are given up."""
+    splits = np.concatenate([[0], _certain(data), [len(data)]])
+    begin = splits[np.searchsorted(splits, at, side="right") - 1]
+    end = splits[np.searchsorted(splits, at, side="left")]
+    out: list[tuple[int, int, int]] = []
+    for c, a, b in zip(at.tolist(), begin.tolist(), end.tolist()):
+        if a >= (out[-1][2] if out else 1) and b < len(data) or a == b:
+            out.append((c, a, b))
     return out
 
 
-def _rows(codec: Codec, batch: pa.RecordBatch):
+def _rows(codec: Codec, batch: pa.RecordBatch, more: bool = False):
+    """Ids of each text; with `more` also the numbers of its chunks and of joins whose ids changed."""
     data, at = text_buffer(batch.column(batch.schema.get_field_index("text")))
     docs, every = [], []
     for s, e in zip(at[:-1], at[1:]):
         x = data[s:e]
-        edges = [0, *cuts(x).tolist(), len(x)]
-        raw = x.tobytes()
-        chunks = [raw[i:j] for i, j in zip(edges, edges[1:]) if j > i]
-        docs.append(chunks)
-        every += chunks
-    ids = codec.encode(every)
-    for chunks in docs:
-        yield np.concatenate(repaired(codec, chunks, [ids[c] for c in chunks])) if chunks else np.zeros(0, np.uint32)
+        raw, held = x.tobytes(), joins(x, cuts(x)) if e - s > WINDOW else []
+        edges = [0, *(c for c, _, _ in held), len(raw)]
+        chunks = [raw[i:j] for i, j in zip(edges, edges[1:])] if raw else []
+        ranges = [raw[a:b] for _, a, b in held]
+        docs.append((held, chunks, ranges))
+        every += chunks + ranges
+    ids = codec.encode([x for x in every if x])
+    for held, chunks, ranges in docs:
+        owns = []  # ids of each chunk, and which of them no join covers
+        for k, chunk in enumerate(chunks):
+            own = ids[chunk]
+            skip = held[k - 1][2] - held[k - 1][0] if k else 0
+            tail = held[k][0] - held[k][1] if k < len(held) else 0
+            if skip or tail:  # both ends are certain splits, so tokens end there
+                i, j = np.searchsorted(np.cumsum(codec.sizes[own]), [skip, len(chunk) - tail], side="right").tolist()
+            else:
+                i, j = 0, len(own)
+            owns.append((own, i, j))
+        parts, repaired = [], 0
+        for k, (own, i, j) in enumerate(owns):
+            parts.append(own[i:j])
+            if k < len(held) and ranges[k]:
+                parts.append(ids[ranges[k]])
+                apart = np.concatenate([own[j:], owns[k + 1][0][: owns[k + 1][1]]])
+                repaired += not np.array_equal(apart, parts[-1])
+        out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        yield (out, len(chunks), repaired) if more else out
+
+
+def chunks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, n_bytes, n_times): the content-defined chunks of all texts, by two hashes, and how often each occurs.
+    sum((n_times - 1) * n_bytes) of them need no encoding of their own where a cache holds them all."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                data, at = text_buffer(b.column(0))
+                rows = []
+                for s, e in zip(at[:-1], at[1:]):
+                    x = data[s:e]
+                    raw, held = x.tobytes(), joins(x, cuts(x)) if e - s > WINDOW else []
+                    edges = [0, *(c for c, _, _ in held), len(raw)]
+                    for i, j in zip(edges, edges[1:]):
+                        if j > i:
+                            d = hashlib.blake2b(raw[i:j], digest_size=16).digest()
+                            rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), j - i))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["k1", "k2", "n_bytes"])
+
+    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "k1 long, k2 long, n_bytes long").groupBy("k1", "k2", "n_bytes").agg(F.count("*").alias("n_times"))
 
 
 def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, decoded), or digests of the last two with `digest`.
+    """(doc_id, n_tokens, ids array<int>, decoded, n_chunks, n_repaired), or digests of ids and decoded text with `digest`.
 
     vocabulary: path of a byte-level tokenizer file that each executor can read.
+    n_chunks: chunks of the text; n_repaired: joins of them whose ids changed by the repair.
     Null text counts as empty: no ids, empty decoded text. Repeated rows and
-    null ids stay; other columns are ignored.
+    null ids stay; other columns are ignored. A text is encoded whole, however long.
     """
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string") + ", n_chunks long, n_repaired long"
 
     def run(batches):
         codec = kept(f"codec {vocabulary}", lambda: Codec(vocabulary))
         for whole in batches:
             for b in slices(whole, most=2 << 20):
-                ids = list(_rows(codec, b))
+                rows = list(_rows(codec, b, more=True))
+                ids = [x for x, _, _ in rows]
                 decoded = [codec.decode(x) for x in ids]
                 n = pa.array([len(x) for x in ids], pa.int64())
                 if digest:
@@ -202,8 +237,9 @@ def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                 else:
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     more = [pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32)), pa.array([x.decode() for x in decoded], pa.string())]
-                names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
-                yield pa.RecordBatch.from_arrays([b.column(0), n, *more], names)
+                names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")), "n_chunks", "n_repaired"]
+                counts = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), n, *more, *counts], names)
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, schema)
