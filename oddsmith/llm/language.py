@@ -90,8 +90,10 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """(page_id, lang, confidence, text_lang, declared, host) for each page.
 
     Null html has no text evidence, null urls the empty host; the other evidence
-    then decides. Ties go to the first language in alphabetic order. Without
-    training texts lang is null and confidence 0. Repeated rows stay.
+    then decides, and such pages count for no table. Ties go to the first language in alphabetic order. Without
+    training texts lang is null and confidence 0. Repeated rows and null ids stay, other columns are ignored; texts
+    are read whole. Pages of one host may be a large share of all: host tables are aggregated before they move,
+    and joined back as small tables.
     """
     langs, table = train(documents)
     url = F.coalesce("url", F.lit(""))
@@ -109,13 +111,15 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     names = F.array(*(F.lit(k) for k in langs))
     argmax = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     x = cut(text_scores(page, table, "html", True).withColumn("first", argmax(F.col("scores"))))
-    counts = x.groupBy("host", "address", "declared", "first").agg(F.count("*").alias("n"))
+    # Pages whose text says nothing are no evidence about the others.
+    counts = x.where(F.array_max("scores") > F.array_min("scores")).groupBy("host", "address", "declared", "first").agg(F.count("*").alias("n"))
     counts = cut(counts.withColumn("parent", F.substring_index("host", ".", -2)))
-    of = lambda key, p: counts.groupBy(*key).agg(*(F.sum(F.when(F.col("first") == k, F.col("n")).otherwise(0)).alias(f"{p}{i}") for i, k in enumerate(langs)))
-    every, parent, own = of([], "e"), of(["parent"], "p"), of(["host", "parent"], "h")
+    of = lambda key, p: counts.groupBy(*key).agg(*(F.coalesce(F.sum(F.when(F.col("first") == k, F.col("n")).otherwise(0)), F.lit(0)).alias(f"{p}{i}") for i, k in enumerate(langs)))
+    every, parent, own = of([], "e"), of(["parent"], "p"), of(["host"], "h")
     r = range(len(langs))
     total = lambda p: sum((F.col(f"{p}{i}") for i in r), F.lit(0))
-    prior = own.join(parent, "parent").crossJoin(F.broadcast(every))  # one row
+    hosts = x.select("host").distinct().withColumn("parent", F.substring_index("host", ".", -2))
+    prior = hosts.join(parent, "parent", "left").join(own, "host", "left").fillna(0, [f"{p}{i}" for p in "ph" for i in r]).crossJoin(F.broadcast(every))  # one row
     top = [(F.col(f"e{i}") + 1) / (total("e") + len(langs)) for i in r]
     mid = [(F.col(f"p{i}") + SMOOTH_PARENT * top[i]) / (total("p") + SMOOTH_PARENT) for i in r]
     low = [F.log((F.col(f"h{i}") + SMOOTH_HOST * mid[i]) / (total("h") + SMOOTH_HOST)) for i in r]

@@ -103,7 +103,8 @@ def _whole(batches):
         for b in slices(whole):
             sets = [x for _, x in _sets(b)]
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(lengths, np.concatenate(sets).view(np.int64))], ["rep", "tokens"])
+            keys = pa.array([_key(x)[0] for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.ListArray.from_arrays(lengths, np.concatenate(sets).view(np.int64))], ["rep", "k1", "tokens"])
 
 
 def _sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -120,10 +121,10 @@ def _sharing(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(rep, tokens): whole sets of the texts named; texts themselves are not shuffled."""
     if ids.count() <= MAX_BROADCAST_ROWS:
-        sets = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_whole, "rep long, tokens array<long>")
+        sets = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_whole, "rep long, k1 long, tokens array<long>")
     else:
-        sets = docs.mapInArrow(_whole, "rep long, tokens array<long>").join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
-    return sets.where("size(tokens) > 0").dropDuplicates(["rep"])
+        sets = docs.mapInArrow(_whole, "rep long, k1 long, tokens array<long>").join(ids.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
+    return sets.where("size(tokens) > 0").dropDuplicates(["rep", "k1"]).drop("k1")
 
 
 def _heads(sets: DataFrame, percent: int) -> DataFrame:
@@ -297,6 +298,14 @@ def _link_counts(links: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     return known.unionByName(compared.groupBy("rep").agg(F.sum("n_links").alias("n_links")))
 
 
+def _of_one_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): representatives of different sets that rows of one doc_id have."""
+    several = rows.where("n > 0").groupBy("doc_id").agg(*(f(k).alias(f"{f.__name__}_{k}") for k in ("k1", "k2") for f in (F.min, F.max)))
+    several = cut(several.where("min_k1 < max_k1 or min_k2 < max_k2").select("doc_id"))
+    mine = rows.join(several, "doc_id").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
+    return mine.join(mine.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
+
+
 def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_id) for each row of documents.
 
@@ -304,7 +313,8 @@ def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "d
     that links reach, n_links the number of all classes that the row's class links
     to (null without `count_links`, which spares the count).
     Null or blank text: no shingles, its own component. Rows with a null id are
-    dropped; repeated rows give repeated rows; other columns are ignored.
+    dropped; repeated rows give repeated rows; the rows of one doc_id are one document, so that
+    what any of its texts links to is in its component. Other columns are ignored. Texts are taken whole, however long.
     `percent` must be 75 or more, as prefixes are a quarter of a set.
     """
     if percent < 75:
@@ -321,10 +331,11 @@ def ngram_jaccard_join(documents: DataFrame, percent: int = 75, id_col: str = "d
     # A centre need not be the least of its list: pairs are put in order, so that each is tested and counted once.
     star = cut(star.where("a <> b").where(_possible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(_verified(star, heads, sets, percent))
-    found = cut(components(links, "a", "b"))
+    same = cut(_of_one_document(rows, classes))
+    found = cut(components(links.unionByName(same), "a", "b"))
     more = cut(_across(posts, found, sets, percent))
     links = links.unionByName(more)
-    found = components(links, "a", "b").withColumnRenamed("node", "rep")
+    found = components(links.unionByName(same), "a", "b").withColumnRenamed("node", "rep")
     if count_links:
         counts, none = _link_counts(links, found, sets, percent), F.lit(0)
     else:

@@ -94,6 +94,25 @@ def test_ngram_join_counts_all_links(spark, monkeypatch, block):
     assert {r["doc_id"]: r["n_links"] for r in out} == want and max(want.values()) > 5
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    a, b, c = prose(80, 70), prose(80, 71), prose(80, 72)
+    rows = [(7, a), (7, b), (3, edited(a, 1, 1)), (5, edited(b, 1, 2)), (9, b), (11, c), (12, None), (12, edited(c, 1, 3)), (None, a)]
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n long, rep long")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out if r["n_shingles"]) == [(3, 3), (5, 3), (7, 3), (7, 3), (9, 3), (11, 11), (12, 11)] and len(out) == 8
+
+
+def test_ngram_join_of_a_hot_passage(spark):
+    """Thousands of texts that share one passage, above or below what a link needs, in a few groups: no list is compared pair by pair in rows."""
+    import time
+
+    hot, others = prose(150, 80), [prose(60, 200 + k) for k in range(40)]
+    texts = [hot + " " + others[k % 40] + " " + " ".join(f"u{k}x{j}" for j in range(k % 3)) for k in range(3000)] + [prose(60, 5000 + k) + " " + hot for k in range(2000)]
+    t = time.perf_counter()
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert time.perf_counter() - t < 240
+    assert all(r["component_id"] == r["doc_id"] % 40 for r in out if r["doc_id"] < 3000)
+
+
 def test_words_longer_than_a_segment(monkeypatch):
     import numpy as np
 
@@ -517,6 +536,32 @@ def test_html_elements_without_end_tag(tag):
     assert texts("<script>") == ["Title", first]
 
 
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    rows = [(None, BASE), (None, None), (7, BASE), (7, BASE), (8, "")]
+    docs = spark.createDataFrame([(*r, "c", "c") for r in rows], "doc_id long, text string, n_tokens string, ids string")
+    out = bpe.encode(docs, Q.vocabulary()).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in out) == [(0, False), (0, True), (7, True), (7, True), (8, False)]
+    pages = spark.createDataFrame([(None, None, None), (1, "http://a.net/de/", "<p>und der die das ist nicht"), (1, "http://a.net/de/", "<p>und der die das ist nicht"), (2, "http://a.net/", "x" * 300000)], "page_id long, url string, html string")
+    clash = pages.select("*", *(F.lit("c").alias(c) for c in ("lang", "confidence", "host", "scores", "first", "text", "n_chars", "post")))
+    documents = spark.read.parquet(f"{D}/documents.parquet")
+    found = language.identify(clash, documents).collect()
+    assert len(found) == 4 and len({r["lang"] for r in found if r["page_id"] == 1}) == 1
+    text = html_text.extract(clash).collect()
+    assert len(text) == 4 and {r["host"] for r in text} == {"c"} and html_text.extract(clash.limit(0)).count() == 0
+    assert language.identify(clash.limit(0), documents).count() == 0
+
+
+def test_language_fusion_against_plain_sums(spark):
+    """Where the text is silent, the other evidence decides as its counts say."""
+    documents = spark.read.parquet(f"{D}/documents.parquet")
+    fr, de = "le la les une dans pour que est avec sur " * 20, "und der die das ist nicht mit auf ein zu " * 20
+    rows = [(k, f"http://a.example.org/fr/{k}", f'<html lang="fr"><p>{fr}') for k in range(40)] + [(100 + k, f"http://b.example.org/de/{k}", f'<html lang="de"><p>{de}') for k in range(40)]
+    rows += [(200, "http://a.example.org/x", None), (201, "http://b.example.org/", ""), (202, "http://c.test/fr/1", None), (203, "http://c.test/", '<html lang="de">'), (204, "http://new.b.example.org/", None)]
+    out = {r["page_id"]: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), documents).collect()}
+    assert [out[k]["lang"] for k in (0, 100, 200, 201, 202, 203)] == ["fr", "de", "fr", "de", "fr", "de"]
+    assert out[200]["confidence"] > 0.5 and out[0]["confidence"] > out[204]["confidence"]
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as cp
 
