@@ -6,14 +6,13 @@ grows with the corpus.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut  # noqa: F401
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 MAX_BROADCAST_ROWS = 1_000_000  # ids of 8 bytes each: about 40 MB as a hashed relation
 
@@ -22,32 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oddsmith-"))
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table into the shared folder and read it back: later stages
-    start from the files, so a lost executor costs only its own tasks. The table
-    is removed when the session ends. Spark drops shuffle files once the driver has
-    collected the plans that wrote them, so the driver is asked to do that here: a
-    step's files need not lie beside those of the steps after it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
-    jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """Bind value to a lambda variable, so that body reads it without computing it again."""
     return F.element_at(F.transform(F.array(value), body), 1)
