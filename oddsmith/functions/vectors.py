@@ -31,6 +31,11 @@ def one_hot(index, n) -> Column:
     return F.transform(F.sequence(F.lit(0), _c(n) - 1), lambda i: F.when(F.array_contains(_c(index), i), 1.0).otherwise(0.0))
 
 
+def close(a, b, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether a is as near to b as rounding allows."""
+    return F.abs(_c(a) - _c(b)) <= absolute + relative * F.abs(_c(b))
+
+
 def gather(a, index) -> Column:
     return F.transform(_c(index), lambda i: F.get(_c(a), i))
 
@@ -90,3 +95,41 @@ def bets_crra(p, q, risk_aversion: float) -> Column:
     g = 1 / risk_aversion
     stake = F.zip_with(_c(p), _c(q), lambda x, y: F.pow(y, 1 - g) * F.pow(x, g))
     return F.zip_with(stake, _c(q), lambda s, y: F.try_divide(s, total(stake)) / y)
+
+
+def stakes_crra(p, q, risk_aversion: float) -> Column:
+    """Approximate stakes of one unit for constant relative risk aversion, from first and second moments.
+
+    A leg's edge is p / q - 1, its variance p (1 - p) / q^2. Legs of positive edge share a level that the
+    budget fills from the best edge down; each gets its edge above the level over risk aversion times
+    variance. Edges are taken to twelve decimals, so that equal ones are ties. All edges alike: even stakes. No positive edge, or no risk aversion: all on the best edge.
+    """
+    if not 0 <= risk_aversion <= 1:
+        raise ValueError("risk_aversion must be in [0, 1]")
+    inside = lambda x: F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), x))
+    n = F.size(_c(p))
+    leg = lambda x, y: F.struct(F.round(inside(x) / inside(y) - 1, 12).alias("a"), (inside(x) * (1 - inside(x)) / (inside(y) * inside(y))).alias("b"))
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def stakes(z):
+        edges = F.transform(z, lambda m: m["a"])
+        top = F.transform(z, lambda _, i: F.when(i == argmax(edges), 1.0).otherwise(0.0))
+        even = F.transform(z, lambda m: F.lit(1.0) / n)
+        alike = F.forall(z, lambda m: close(m["a"], F.get(z, F.lit(0))["a"]))
+        if risk_aversion < 1e-12:
+            return F.when(alike, even).otherwise(top)
+        good = F.array_sort(F.filter(F.transform(z, lambda m, i: F.struct((-m["a"]).alias("k"), i.alias("i"), m["a"].alias("a"), m["b"].alias("b"))), lambda m: m["a"] > 0))
+        return F.when(alike, even).when(~F.exists(z, lambda m: m["a"] > 0), top).otherwise(bind(good, lambda g: filled(z, g)))
+
+    def filled(z, g):
+        sums = lambda k: F.aggregate(F.slice(g, 1, k + 1), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, m: F.struct((s["a"] + m["a"] / m["b"]).alias("a"), (s["b"] + 1 / m["b"]).alias("b")))
+        levels = F.transform(g, lambda _, k: bind(sums(k), lambda s: (s["a"] - risk_aversion) / s["b"]))
+        full = lambda v: F.filter(F.transform(v, lambda x, k: F.when(F.coalesce(F.get(g, k + 1)["a"] <= x, F.lit(True)), k)), lambda k: k.isNotNull())
+        return bind(levels, lambda v: bind(F.get(full(v), F.lit(0)), lambda k: shared(z, F.slice(g, 1, k + 1), F.get(v, k))))
+
+    def shared(z, active, level):
+        raw = F.transform(z, lambda m, i: F.when(F.exists(active, lambda x: x["i"] == i) & (m["a"] > level), (m["a"] - level) / (risk_aversion * m["b"])).otherwise(0.0))
+        best = F.transform(z, lambda _, i: F.when(i == F.get(active, F.lit(0))["i"], 1.0).otherwise(0.0))
+        return bind(raw, lambda x: F.when(total(x) > 1e-12, F.transform(x, lambda v: v / total(x))).otherwise(best))
+
+    return bind(F.zip_with(_c(p), _c(q), leg), stakes)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, one_hot, spherical, total
+from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, one_hot, spherical, stakes_crra, total
 
 
 def crowd(forecasts: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def rule_scores(problems: DataFrame, forecasts: DataFrame, rule: str | Column |
 AGGREGATES = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
 
 
-def rule_ranking(scores: DataFrame, how: str = "mean", ascending: bool = False) -> DataFrame:
-    """Ordinal ranks; ties go by first appearance."""
-    x = scores.groupBy("username").agg(AGGREGATES[how]("score").alias("score"), F.min("forecast_seq").alias("seen"), F.count("*").alias("n_predictions"))
+def rule_ranking(scores: DataFrame, how: str | Callable[[str], Column] = "mean", ascending: bool = False) -> DataFrame:
+    """Ordinal ranks; ties go by first appearance. how: a name, or what makes an aggregate of a column."""
+    x = scores.groupBy("username").agg(AGGREGATES.get(how, how)("score").alias("score"), F.min("forecast_seq").alias("seen"), F.count("*").alias("n_predictions"))
     key = F.round("score", 9)
     return x.withColumn("rank", F.row_number().over(Window.orderBy(key.asc() if ascending else key.desc(), "seen", "username"))).drop("seen")
 
@@ -57,16 +57,17 @@ def bets(risk_aversion: float, p="probs", q="odds") -> Column:
     return bets_neutral(p, q) if risk_aversion == 0 else bets_log(p, q) if risk_aversion == 1 else bets_crra(p, q, risk_aversion)
 
 
-def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0, compat: bool = False) -> DataFrame:
+def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0, compat: bool = False, approximate: bool = False) -> DataFrame:
     """Each option becomes YES or NO, whichever edge is larger (YES on ties, up to rounding); one unit is
-    dealt over them. A forecaster's later forecasts replace earlier ones."""
+    dealt over them, by the approximate stakes if asked. A forecaster's later forecasts replace earlier ones."""
     yes = F.zip_with("probs", "odds", lambda p, q: p / q)
     no = F.zip_with("probs", "no_odds", lambda p, q: (1 - p) / q)
     flip = F.zip_with(yes, no, lambda a, b: b - a > 1e-9)
     x = forecasts.where("odds is not null and no_odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
     x = x.withColumn("flip", flip).withColumn("won", one_hot("correct_option_idx", "n_options"))
     x = x.withColumn("p", F.zip_with("probs", "flip", lambda p, f: F.when(f, 1 - p).otherwise(p))).withColumn("q", F.transform(F.arrays_zip("odds", "no_odds", "flip"), lambda m: F.when(m["flip"], m["no_odds"]).otherwise(m["odds"])))
-    x = x.withColumn("y", F.zip_with("won", "flip", lambda w, f: F.when(f, 1 - w).otherwise(w))).withColumn("b", bets(risk_aversion, "p", "q"))
+    x = x.withColumn("y", F.zip_with("won", "flip", lambda w, f: F.when(f, 1 - w).otherwise(w)))
+    x = x.withColumn("b", F.zip_with(stakes_crra("p", "q", risk_aversion), "q", lambda s, q: s / q) if approximate else bets(risk_aversion, "p", "q"))
     spent = total(F.zip_with("b", "q", lambda b, q: b * q))
     earned = total(F.zip_with("b", "y", lambda b, y: b * y)) / (F.lit(1.0) if compat else spent)
     x = x.withColumn("earned", earned)
@@ -96,36 +97,9 @@ def sharpe_of_earnings(earnings: DataFrame, kind: str | None = None, money: floa
     return earnings.groupBy("username").agg(fn.alias("score"))
 
 
-def waterfill(p: list[float], q: list[float], risk_aversion: float) -> list[float]:
-    """Approximate stakes: edges a = p/q - 1 over b = p(1-p)/q^2 share a level that the
-    budget fills from the best edge down."""
-    n = len(p)
-    a = [x / y - 1 for x, y in zip(p, q)]
-    b = [max(x * (1 - x) / (y * y), 1e-12) for x, y in zip(p, q)]
-    if max(a) - min(a) < 1e-12:
-        return [1 / n] * n
-    order = sorted(range(n), key=lambda i: (-a[i], i))
-    if risk_aversion < 1e-9 or a[order[0]] <= 0:
-        return [1.0 if i == order[0] else 0.0 for i in range(n)]
-    level, top, below = 0.0, 0.0, 0.0
-    for k, i in enumerate(order):
-        top, below = top + a[i] / b[i], below + 1 / b[i]
-        level = (top - risk_aversion) / below
-        if k + 1 == n or level >= a[order[k + 1]]:
-            break
-    stake = [max(0.0, (x - level) / (risk_aversion * y)) for x, y in zip(a, b)]
-    s = sum(stake)
-    return [x / s for x in stake] if s > 0 else [1 / n] * n
-
-
 def waterfill_bets(forecasts: DataFrame, risk_aversion: float) -> DataFrame:
-    """forecasts with `stakes`; Arrow batches, since the level depends on a sorted prefix."""
-    import pandas as pd
-
-    def stakes(p, q):
-        return pd.Series([waterfill(list(x), list(y), risk_aversion) for x, y in zip(p, q)])
-
-    return forecasts.withColumn("stakes", F.pandas_udf(stakes, "array<double>", F.PandasUDFType.SCALAR)("probs", "odds"))
+    """forecasts with `stakes`, the approximate shares of one unit."""
+    return forecasts.withColumn("stakes", stakes_crra("probs", "odds", risk_aversion))
 
 
 def event_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0) -> DataFrame:
@@ -149,3 +123,18 @@ def calibration_ranking(problems: DataFrame, forecasts: DataFrame, bins: int = 1
     x = x.select(F.col("username").alias("forecaster"), F.col("unnormalized_probs").alias("prediction"), one_hot("correct_option_idx", "n_options").alias("outcome"), "odds", "no_odds", "weight")
     x = calibration_error(x, bins, weight_event=weight_event).withColumnRenamed("forecaster", "username")
     return x.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9), "username")) - 1)
+
+
+def problems_of(problems: DataFrame, forecasts: DataFrame, username: str) -> DataFrame:
+    """The problems that a forecaster has answered."""
+    return problems.join(forecasts.where(F.col("username") == username).select("problem_id").distinct(), "problem_id", "left_semi")
+
+
+def problem_by_id(problems: DataFrame, problem_id) -> DataFrame:
+    """The problem of this id: one row or none."""
+    return problems.where(F.col("problem_id") == problem_id)
+
+
+def first_problems(problems: DataFrame, n: int = -1) -> DataFrame:
+    """The first n problems in their order; -1: all."""
+    return problems if n < 0 else problems.orderBy("problem_seq", "problem_id").limit(n)

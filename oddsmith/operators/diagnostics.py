@@ -56,9 +56,26 @@ def t_p_value(t: float, df: int) -> float:
     return _beta(df / 2, 0.5, df / (df + t * t))
 
 
+def t_quantile(level: float, df: int) -> float:
+    """The two-sided quantile of Student's t, by Newton's steps on the p-value."""
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    t = z_score(level)
+    for _ in range(100):
+        step = (t_p_value(t, df) - (1 - level)) / (2 * scale * (1 + t * t / df) ** (-(df + 1) / 2))
+        t += step
+        if abs(step) < 1e-12 * t:
+            break
+    return t
+
+
+def f_p_value(f: float, df1: int, df2: int) -> float:
+    """Upper tail of the F distribution."""
+    return _beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f)) if f > 0 else 1.0
+
+
 def regression(df: DataFrame, target: str, regressors: list[str], by=()) -> DataFrame:
-    """Least squares with an intercept: a row for each group and term. One aggregate of
-    cross products; the small systems are solved on the driver (a row for each group)."""
+    """Least squares with an intercept: a row for each group and term, with t intervals and p-values, and the F test of
+    the whole. One aggregate of cross products; the small systems are solved on the driver (a row for each group)."""
     import numpy as np
 
     names = ["intercept", *regressors]
@@ -77,10 +94,13 @@ def regression(df: DataFrame, target: str, regressors: list[str], by=()) -> Data
         sst = r["yy"] - v[0] ** 2 / n
         se = np.sqrt(np.diag(np.linalg.inv(x)) * sse / (n - k))
         r2 = 1 - sse / sst if sst > 0 else 0.0
+        q = t_quantile(0.95, n - k)
+        f = (sst - sse) / (k - 1) / (sse / (n - k)) if sse > 0 and k > 1 else float("inf") if k > 1 else 0.0
         for name, b, s in zip(names, beta, se):
             p = t_p_value(b / s, n - k) if s > 0 else 0.0
-            out.append((*(r[c] for c in by), name, float(b), float(s), float(p), float(b - z_score(0.95) * s), float(b + z_score(0.95) * s), float(r2), float(1 - (1 - r2) * (n - 1) / (n - k)), n))
-    schema = ", ".join([*(f"{c} string" for c in by), "term string, estimate double, se double, p_value double, low double, high double, r2 double, adjusted_r2 double, n long"])
+            out.append((*(r[c] for c in by), name, float(b), float(s), float(p), float(b - q * s), float(b + q * s), float(r2), float(1 - (1 - r2) * (n - 1) / (n - k)), float(f), float(f_p_value(f, k - 1, n - k) if k > 1 and math.isfinite(f) else k == 1), n))
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "term string, estimate double, se double, p_value double, low double, high double, r2 double, adjusted_r2 double, f_statistic double, f_p_value double, n long"])
     return df.sparkSession.createDataFrame(out, schema)
 
 

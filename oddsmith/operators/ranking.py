@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def z_score(level: float) -> float:
-    """The two-sided normal quantile, by bisection of erf."""
-    lo, hi = 0.0, 6.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if math.erf(mid / math.sqrt(2)) < level else (lo, mid)
-    return (lo + hi) / 2
+    """The two-sided normal quantile."""
+    return NormalDist().inv_cdf((1 + level) / 2)
 
 
 def by_round(scores: DataFrame) -> DataFrame:
@@ -23,13 +20,14 @@ def by_round(scores: DataFrame) -> DataFrame:
     return scores.withColumn("weight", F.col("weight") / rounds)
 
 
-def aggregate_scores(scores: DataFrame, how: str = "mean", by=("forecaster",)) -> DataFrame:
+def aggregate_scores(scores: DataFrame, how: str | Callable[[Column], Column] = "mean", by=("forecaster",)) -> DataFrame:
+    """how: a name, or an aggregate of the score column."""
     s, w = F.col("score"), F.col("weight")
     fn = {
         "mean": lambda: F.try_divide(F.sum(s * w), F.sum(w)),
         "sum": lambda: F.sum(s),
         "roi": lambda: F.when(F.sum("cost") > 0, F.try_divide(F.sum(s), F.sum("cost"))).otherwise(0.0),
-    }[how]()
+    }.get(how, lambda: how(s))()
     return scores.where("score is not null").groupBy(*by).agg(fn.alias("score"), F.count("*").alias("n_predictions"))
 
 
@@ -39,6 +37,21 @@ def ranked(df: DataFrame, ascending: bool = True, by=(), col: str = "score") ->
     return df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(key.asc() if ascending else key.desc())))
 
 
+# Score columns in the order in which they are looked for, and whether less is better.
+SCORE_COLUMNS = {"brier_score": True, "average_return": False, "ece_score": True, "sharpe_ratio": False}
+
+
+def rank_table(df: DataFrame, score_col: str | None = None, ascending: bool | None = None, user: str = "forecaster") -> DataFrame:
+    """Mean of the score column for each forecaster, ranked. Without a name the first known score column is
+    taken, and without an order the one that suits it."""
+    score_col = score_col or next((c for c in SCORE_COLUMNS if c in df.columns), None)
+    if score_col is None:
+        raise ValueError(f"no score column: name one, or have one of {', '.join(SCORE_COLUMNS)}")
+    ascending = SCORE_COLUMNS.get(score_col, False) if ascending is None else ascending
+    x = df.where(F.col(score_col).isNotNull()).groupBy(user).agg(F.avg(score_col).alias("score"), F.count("*").alias("n_predictions"))
+    return ranked(x, ascending)
+
+
 def rank_forecasters(scores: DataFrame, how: str = "mean", ascending: bool = True, normalize_by_round: bool = False, by=()) -> DataFrame:
     x = by_round(scores) if normalize_by_round else scores
     return ranked(aggregate_scores(x, how, (*by, "forecaster")), ascending, by)

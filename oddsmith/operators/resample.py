@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap(scores: DataFrame, samples: int = 1000, level: float = 0.95, how: str = "mean", num_se: float | None = None, seed: int = 42) -> DataFrame:
-    """(forecaster, score, se, ci_margin, n_predictions) by the Poisson bootstrap.
+def bootstrap(scores: DataFrame, samples: int = 1000, level: float = 0.95, how: str = "mean", num_se: float | None = None, seed: int = 42, by_weight: bool = False, symmetric: bool = True) -> DataFrame:
+    """(forecaster, score, se, ci_margin, low, high, n_predictions) by the Poisson bootstrap.
 
     Each row draws its multiplicity for every resample where it lies; partial sums of
     `samples` resamples for each forecaster are added up, so no task holds
     the rows of a forecaster. The margin is num_se standard errors, or else the
-    symmetric quantile of the deviations from the point estimate.
+    symmetric quantile of the deviations from the point estimate. by_weight: rows are drawn in
+    proportion to their weights, which weigh in the mean all the same. symmetric=False: low and high are
+    quantiles of the resamples. Resamples without any weight are left out.
     """
     import numpy as np
     import pyarrow as pa
 
     cost = F.col("cost") if "cost" in scores.columns else F.lit(0.0)
     x = scores.where("score is not null").select("forecaster", F.col("score").cast("double").alias("s"), F.col("weight").cast("double").alias("w"), cost.alias("c"))
+    if by_weight:
+        means = x.groupBy("forecaster").agg(F.avg("w").alias("mean"))  # a row for each forecaster
+        x = x.join(means, "forecaster").select("forecaster", "s", "w", "c", F.coalesce(F.try_divide("w", "mean"), F.lit(1.0)).alias("rate"))
+    else:
+        x = x.withColumn("rate", F.lit(1.0))
 
     def draw(batches):
         from pyspark import TaskContext
@@ -27,7 +34,7 @@ def bootstrap(scores: DataFrame, samples: int = 1000, level: float = 0.95, how:
         sums: dict = {}
         for b in batches:
             names = np.array(b.column(0).to_pylist(), object)
-            s, w, c = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            s, w, c, rate = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
             top, low = (s * w, w) if how == "mean" else (s, np.ones_like(s)) if how == "sum" else (s, c)
             for name in dict.fromkeys(names):
                 at = np.flatnonzero(names == name)
@@ -37,7 +44,7 @@ def bootstrap(scores: DataFrame, samples: int = 1000, level: float = 0.95, how:
                 acc[2] += len(at)
                 for lo in range(0, len(at), 4096):
                     part = at[lo : lo + 4096]
-                    n = rng.poisson(1.0, (samples, len(part))).astype(float)
+                    n = rng.poisson(rate[part], (samples, len(part))).astype(float)
                     acc[0][:samples] += n @ top[part]
                     acc[1][:samples] += n @ low[part]
         for name, (top, low, n) in sums.items():
@@ -51,4 +58,7 @@ def bootstrap(scores: DataFrame, samples: int = 1000, level: float = 0.95, how:
     se = F.stddev_samp("v")
     sorted_ = F.sort_array(F.collect_list(F.abs(F.col("v") - F.col("score"))))
     margin = num_se * se if num_se else F.get(sorted_, (F.ceil(level * F.count("*")) - 1).cast("int"))
-    return x.groupBy("forecaster", "score", "n_predictions").agg(se.alias("se"), margin.alias("ci_margin"))
+    ends = F.percentile("v", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    x = x.groupBy("forecaster", "score", "n_predictions").agg(se.alias("se"), margin.alias("ci_margin"), ends.alias("ends"))
+    low, high = (F.col("score") - F.col("ci_margin"), F.col("score") + F.col("ci_margin")) if symmetric else (F.get("ends", F.lit(0)), F.get("ends", F.lit(1)))
+    return x.select("forecaster", "score", "se", "ci_margin", low.alias("low"), high.alias("high"), "n_predictions")

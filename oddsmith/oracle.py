@@ -86,6 +86,43 @@ SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_num
 _flip = """, z AS (SELECT *, (1 - p) / n - p / q > 1e-9 AS flip FROM c),
 z2 AS (SELECT *, CASE WHEN flip THEN 1 - p ELSE p END AS fp, CASE WHEN flip THEN n ELSE q END AS fq, CASE WHEN flip THEN 1 - o ELSE o END AS fo FROM z)"""
 _log_y = """y AS (SELECT forecaster, event_ticker, sum(fp / fq * fo) / sum(fp / fq * fq) AS v FROM z2 GROUP BY forecaster, event_ticker)"""
+_z = "1.959963984540054::DOUBLE"
+_skills = _chal.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT forecaster, event_ticker, coalesce(arg_min(p, mkt) FILTER (WHERE o = 1), 0) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+t AS (
+  SELECT 0 AS it, forecaster, 1.0::DOUBLE AS th, 1e9::DOUBLE AS far FROM (SELECT DISTINCT forecaster FROM b)
+  UNION ALL
+  SELECT it + 1, forecaster, th2, max(abs(th2 - th)) OVER () FROM (
+    SELECT it, forecaster, th, v * count(*) OVER () / sum(v) OVER () AS th2 FROM (
+      SELECT any_value(it) AS it, forecaster, any_value(th) AS th, sum(CASE WHEN tp <> 0 THEN th * p / tp ELSE 0 END) / sum(1 / tt) AS v FROM (
+        SELECT t.it, b.forecaster, t.th, b.p, sum(t.th * b.p) OVER e AS tp, sum(t.th) OVER e AS tt FROM b JOIN t ON t.forecaster = b.forecaster WHERE it < 100 AND far >= 1e-3 WINDOW e AS (PARTITION BY b.event_ticker)
+      ) GROUP BY forecaster
+    )
+  )
+)
+"""
+
+
+def _fill(p: str, q: str, source: str) -> str:
+    """st: source with `stake`, the approximate stakes at a risk aversion of 0.5."""
+    return f""", w1 AS (SELECT *, round({p} / {q} - 1, 12) AS a, {p} * (1 - {p}) / ({q} * {q}) AS b FROM {source}),
+w2 AS (SELECT *, first_value(a) OVER (PARTITION BY forecaster, event_ticker ORDER BY mkt) AS a0, max(a) OVER (PARTITION BY forecaster, event_ticker) AS top, arg_max(mkt, (a, -mkt)) OVER (PARTITION BY forecaster, event_ticker) AS best, count(*) OVER (PARTITION BY forecaster, event_ticker) AS kk FROM w1),
+w3 AS (SELECT *, max(abs(a - a0)) OVER (PARTITION BY forecaster, event_ticker) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(a0) AS alike,
+  (sum(CASE WHEN a > 0 THEN a / b END) OVER s - 0.5::DOUBLE) / sum(CASE WHEN a > 0 THEN 1 / b END) OVER s AS lam, lead(a) OVER s AS next, row_number() OVER s AS pos FROM w2 WINDOW s AS (PARTITION BY forecaster, event_ticker ORDER BY a DESC, mkt ROWS UNBOUNDED PRECEDING)),
+w4 AS (SELECT *, min(CASE WHEN a > 0 AND (next IS NULL OR next <= 0 OR next <= lam) THEN pos END) OVER (PARTITION BY forecaster, event_ticker) AS stop FROM w3),
+w5 AS (SELECT *, max(CASE WHEN pos = stop THEN lam END) OVER (PARTITION BY forecaster, event_ticker) AS level FROM w4),
+w6 AS (SELECT *, CASE WHEN pos <= stop AND a > level THEN (a - level) / (0.5::DOUBLE * b) ELSE 0 END AS x FROM w5),
+st AS (SELECT *, CASE WHEN alike THEN 1.0::DOUBLE / kk WHEN top <= 0 THEN CASE WHEN mkt = best THEN 1 ELSE 0 END ELSE x / sum(x) OVER (PARTITION BY forecaster, event_ticker) END AS stake FROM w6)"""
+
+
+def _other_rule(how: str) -> str:
+    return (
+        _chal
+        + f""", y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+g AS (SELECT forecaster, {how} AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g"""
+    )
+
+
 _pw = """q0 AS (SELECT DISTINCT event_ticker, CAST(1 + event_ticker % 17 AS DOUBLE) AS a FROM c WHERE wins > 0),
 q1 AS (SELECT quantile_cont(a, 0.25) AS lo, quantile_cont(a, 0.75) AS hi FROM q0),
 q2 AS (SELECT event_ticker, greatest(lo, least(hi, a)) AS a FROM q0, q1),
@@ -245,4 +282,56 @@ w AS (
   FROM (SELECT CASE WHEN held >= 50 THEN hi ELSE lo END AS lo, hi + 7 AS hi FROM w, x WHERE hi < x.last) v
 )
 SELECT hi AS window_end, CAST(held AS BIGINT) AS n_problems FROM w, x WHERE held >= 50 OR (hi >= x.last AND held > 0)""",
+        "crra_waterfill": _chal + _fill("p", "q", "c") + " SELECT forecaster AS username, event_ticker AS problem_id, mkt AS option, round(stake, 6) AS stake FROM st",
+        "avg_return_binary_approx": _chal + _flip + _fill("fp", "fq", "z2") + ", y AS (SELECT forecaster, event_ticker, sum(stake / fq * fo) / sum(stake / fq * fq) AS v FROM st GROUP BY forecaster, event_ticker)," + _earn_tail,
+        "sharpe_relative": _chal + _flip + ", " + _log_y + ", r AS (SELECT y.forecaster, y.v - b.v AS v FROM y JOIN y b ON b.event_ticker = y.event_ticker AND b.forecaster = 'EUROPE') SELECT forecaster AS username, round(avg(v) / (stddev_pop(v) + 1e-8), 6) AS score FROM r GROUP BY forecaster",
+        "rule_max": _other_rule("max(v)"),
+        "rule_own_aggregate": _other_rule("quantile_cont(v, 0.9)"),
+        "rank_auto": _brier + _rank("s", "avg(score)"),
+        "problems_of_forecaster": _chal + " SELECT category, count(*) AS n, CAST(sum(event_ticker) AS BIGINT) AS id_sum FROM (SELECT DISTINCT event_ticker, category FROM c WHERE forecaster = 'EUROPE') GROUP BY category",
+        "first_problems": _chal + " SELECT event_ticker AS problem_id, CAST(k AS INTEGER) AS n_options, category FROM (SELECT DISTINCT event_ticker, k, category FROM c) ORDER BY event_ticker LIMIT 50",
+        "stream_roi_by_category": _bet + """, s AS (SELECT t.*, o.o_orderdate AS close_time, o.o_orderpriority AS category FROM t JOIN orders o ON o.o_orderkey = t.event_ticker),
+sp AS (SELECT category, min(close_time) AS lo, (epoch_us(max(close_time)) - epoch_us(min(close_time))) // 86400000000 // 365 AS last FROM s GROUP BY category),
+g AS (SELECT category, k, lo + to_days(CAST(k * 365 AS INTEGER)) AS at FROM (SELECT category, lo, unnest(range(0, last + 1)) AS k FROM sp)),
+a AS (SELECT s.category, s.forecaster, g.k * 365 AS day, sum(score) / sum(cost) AS v, count(*) AS n FROM g JOIN s ON s.category = g.category AND s.close_time <= g.at GROUP BY ALL)
+SELECT category, forecaster, day, round(v, 6) AS score, n AS n_predictions, rank() OVER (PARTITION BY category, day ORDER BY round(v, 9) DESC) AS rank FROM a""",
+        "load_nightly": _with(_F, _M) + """, y AS (SELECT forecaster, event_ticker, round, category, any_value(close_time) AS close_time, sum(q + n) AS asks, count(*) AS k FROM m WHERE forecaster <> 'ASIA' GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round DESC) - 1 AS tr FROM y)
+SELECT forecaster, category, count(*) AS n, round(sum(asks), 5) AS asks, CAST(sum(k) AS BIGINT) AS n_markets, round(avg(tr), 5) AS time_rank, max(close_time) AS last_close FROM z GROUP BY forecaster, category""",
+        "load_json_challenge": _chal + """, y AS (SELECT forecaster, event_ticker, any_value(close_time) AS close_time, 1 - sum((p - CASE WHEN mkt = fw THEN 1 ELSE 0 END) ** 2) / any_value(k) AS v FROM (SELECT *, min(CASE WHEN o = 1 THEN mkt END) OVER (PARTITION BY forecaster, event_ticker) AS fw FROM c) WHERE wins > 0 GROUP BY forecaster, event_ticker)
+SELECT forecaster AS username, round(avg(v), 6) AS score, count(*) AS n, max(CAST(close_time AS DATE)) AS last_end FROM y GROUP BY forecaster""",
+        "load_csv_challenge": _chal + """, f1 AS (SELECT forecaster, event_ticker, any_value(wins) AS wins, arg_min(q, mkt) AS q, arg_min(n, mkt) AS n, arg_min(u, mkt) AS u FROM c GROUP BY forecaster, event_ticker),
+b AS (SELECT 'market-baseline' AS forecaster, event_ticker, any_value(wins) AS wins, avg(q) AS q, avg(n) AS n, avg(q) AS u FROM f1 GROUP BY event_ticker)
+SELECT forecaster AS username, count(*) AS n, CAST(sum(wins) AS BIGINT) AS n_won, round(avg(q), 6) AS odds, round(avg(n), 6) AS no_odds, round(avg(u), 6) AS said FROM (FROM f1 UNION ALL FROM b) GROUP BY forecaster""",
+        "dilution_regression_full": _base + f""", y AS (SELECT forecaster, event_ticker, avg(o) AS g, CAST(count(*) AS DOUBLE) AS k, avg((p - o) * (p - o)) AS v FROM x GROUP BY ALL),
+a AS (SELECT *, avg(g) OVER w AS mg, avg(k) OVER w AS mk, avg(v) OVER w AS mv FROM y WINDOW w AS (PARTITION BY forecaster)),
+s AS (SELECT forecaster, count(*) AS n, any_value(mg) AS mg, any_value(mk) AS mk, any_value(mv) AS mv, sum((g - mg) ** 2) AS gg, sum((k - mk) ** 2) AS kk, sum((g - mg) * (k - mk)) AS gk, sum((g - mg) * (v - mv)) AS gv, sum((k - mk) * (v - mv)) AS kv, sum((v - mv) ** 2) AS vv FROM a GROUP BY forecaster),
+b AS (SELECT *, gg * kk - gk * gk AS det, (gv * kk - kv * gk) / (gg * kk - gk * gk) AS b1, (kv * gg - gv * gk) / (gg * kk - gk * gk) AS b2, CAST(n - 3 AS DOUBLE) AS df FROM s),
+e AS (SELECT *, vv - b1 * gv - b2 * kv AS sse FROM b),
+t AS (
+  SELECT forecaster, 'intercept' AS term, mv - b1 * mg - b2 * mk AS b, sqrt(sse / df * (1.0::DOUBLE / n + (mg * mg * kk + mk * mk * gg - 2 * mg * mk * gk) / det)) AS se FROM e
+  UNION ALL SELECT forecaster, 'dilution', b1, sqrt(sse / df * kk / det) FROM e
+  UNION ALL SELECT forecaster, 'num_markets', b2, sqrt(sse / df * gg / det) FROM e
+),
+u AS (SELECT t.*, e.n, df, 1 - sse / vv AS r2, (vv - sse) / 2 / (sse / df) AS f, least(abs(b / se), 60.0::DOUBLE) AS z, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c FROM t JOIN e USING (forecaster)),
+-- Simpson's rule for the p-value; the quantile by its expansion around the normal one
+v AS (SELECT *, 1 - 2 * c * z / 4000 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + (i * z / 4000) ** 2 / df) ** (-(df + 1) / 2))) AS p,
+  {_z} + ({_z} ** 3 + {_z}) / (4 * df) + (5 * {_z} ** 5 + 16 * {_z} ** 3 + 3 * {_z}) / (96 * df ** 2) + (3 * {_z} ** 7 + 19 * {_z} ** 5 + 17 * {_z} ** 3 - 15 * {_z}) / (384 * df ** 3) AS q FROM u)
+SELECT forecaster, term, round(b, 6) AS estimate, round(se, 6) AS se, round(greatest(p, 0), 6) AS p_value, round(b - q * se, 6) AS low, round(b + q * se, 6) AS high, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / df, 6) AS adjusted_r2, round(f, 6) AS f_statistic, round((1 + 2 * f / df) ** (-df / 2), 6) AS f_p_value, n FROM v""",
+        "stream_windows_by_category": _chal.replace("WITH", "WITH RECURSIVE", 1) + """, dd AS (SELECT category, d, count(*) AS n FROM (SELECT DISTINCT event_ticker, category, CAST(close_time AS DATE) AS d FROM c WHERE wins > 0) GROUP BY ALL),
+x AS (SELECT category, min(d) AS first, max(d) AS last FROM dd GROUP BY category),
+w AS (
+  SELECT category, first - 1 AS lo, first + 30 AS hi, (SELECT sum(n) FROM dd WHERE dd.category = x.category AND d <= first + 30) AS held FROM x
+  UNION ALL
+  SELECT v.category, v.lo, v.hi, coalesce((SELECT sum(n) FROM dd WHERE dd.category = v.category AND d > v.lo AND d <= v.hi), 0)
+  FROM (SELECT w.category, CASE WHEN held >= 200 THEN hi ELSE lo END AS lo, hi + 30 AS hi FROM w JOIN x ON x.category = w.category WHERE hi < x.last) v
+),
+ww AS (SELECT w.* FROM w JOIN x ON x.category = w.category WHERE held >= 200 OR (hi >= x.last AND held > 0)),
+y AS (SELECT forecaster, event_ticker, category, CAST(any_value(close_time) AS DATE) AS d, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, category),
+pt AS (SELECT y.category, hi, forecaster, sum(v) AS s, count(*) AS k FROM y JOIN ww ON ww.category = y.category AND d > lo AND d <= hi GROUP BY ALL),
+us AS (SELECT category, forecaster, min(hi) AS since FROM pt GROUP BY ALL), lb AS (SELECT DISTINCT category, hi FROM pt),
+r AS (SELECT lb.category, lb.hi, us.forecaster, sum(s) / sum(k) AS v, CAST(sum(k) AS BIGINT) AS n FROM lb JOIN us ON us.category = lb.category AND since <= lb.hi JOIN pt ON pt.category = lb.category AND pt.forecaster = us.forecaster AND pt.hi <= lb.hi GROUP BY ALL)
+SELECT category, hi AS window_end, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY category, hi ORDER BY round(v, 9) DESC) AS rank FROM r""",
+        "bradley_terry": _skills + "SELECT forecaster AS username, round(th, 6) AS score, row_number() OVER (ORDER BY th DESC, forecaster) AS rank FROM t WHERE it = (SELECT max(it) FROM t)",
+        "bradley_terry_trajectory": _skills + "SELECT it AS iteration, forecaster AS username, round(th, 6) AS score FROM t",
     }

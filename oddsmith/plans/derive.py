@@ -15,12 +15,14 @@ MAX_FORECASTERS = 100_000  # rows of region that are broadcast; more are joined
 
 
 def forecasts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (forecaster, event, round) with vectors; no shuffle: rows are expanded in place."""
+    """One row per (forecaster, event, round) with vectors. The narrow rows of orders are dealt by key, then expanded in
+    place: all cores share the work, and groups by event, or by forecaster and event, need no further shuffle."""
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.col("r_name").alias("forecaster"))
     if region.count() <= MAX_FORECASTERS:
         region = F.broadcast(region)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("e"), F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("timestamp").alias("close_time"))
-    x = orders.crossJoin(region).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round")).where("(e + r_regionkey * 3 + round) % 7 < 4")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    x = orders.repartition(parts, "e").crossJoin(region).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round")).where("(e + r_regionkey * 3 + round) % 7 < 4")
     vector = lambda body: F.expr(f"transform(sequence(0, cast(e % 4 as int)), m -> cast({body} as double) / 100)")
     won = "(case when (e * 3 + m * 11) % 5 < 2 then 1 else 0 end)"
     ask = "(5 + (e * 17 + round * 3 + m * 31) % 91)"

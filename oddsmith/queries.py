@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sql as sql_scores
@@ -10,6 +12,7 @@ from .functions.vectors import bets_crra, bets_log, bets_neutral, normalized
 from .operators import calibration, challenge, diagnostics, models, ranking, replay, resample, scores, select
 from .plans.derive import challenge as derive_challenge
 from .plans.derive import forecasts_wide
+from .plans.lineage import shared_dir
 from .schema import violations
 from .sources import loaders
 from .streaming import live
@@ -336,7 +339,8 @@ def dilution_regression(spark, d):
 
 @query
 def dilution_regression_full(spark, d):
-    return diagnostics.regression(_dilution(spark, d), "brier", ["dilution", "num_markets"], by=("forecaster",))
+    x = diagnostics.regression(_dilution(spark, d), "brier", ["dilution", "num_markets"], by=("forecaster",))
+    return _r(x, "estimate", "se", "p_value", "low", "high", "r2", "adjusted_r2", "f_statistic", "f_p_value")
 
 
 @query
@@ -388,7 +392,113 @@ def problem_violations(spark, d):
 
 @query
 def crra_waterfill(spark, d):
-    return challenge.waterfill_bets(derive_challenge(spark, d)[1].select("forecast_id", "probs", "odds"), 0.5).select("forecast_id", "stakes")
+    x = challenge.waterfill_bets(derive_challenge(spark, d)[1], 0.5).select("username", "problem_id", F.posexplode("stakes").alias("option", "stake"))
+    return _r(x.select("username", "problem_id", "option", "stake"), "stake")
+
+
+@query
+def avg_return_binary_approx(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    return _ranking(challenge.rule_ranking(challenge.binary_earnings(problems, forecasts, 0.5, approximate=True)))
+
+
+@query
+def sharpe_relative(spark, d):
+    return _r(challenge.sharpe_of_earnings(challenge.binary_earnings(*derive_challenge(spark, d), 1.0), "relative", baseline="EUROPE"), "score")
+
+
+@query
+def rule_max(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    return _ranking(challenge.rule_ranking(challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier"), "max"))
+
+
+@query
+def rule_own_aggregate(spark, d):
+    """An aggregate that is no name: the ninth decile."""
+    problems, forecasts = derive_challenge(spark, d)
+    x = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier")
+    return _ranking(challenge.rule_ranking(x, lambda c: F.percentile(c, 0.9)))
+
+
+@query
+def rank_auto(spark, d):
+    x = scores.brier_score(forecasts_wide(spark, d)).select("forecaster", F.col("score").alias("brier_score"), F.lit(1.0).alias("sharpe_ratio"))
+    return _ranking(ranking.rank_table(x))
+
+
+@query
+def problems_of_forecaster(spark, d):
+    problems, forecasts = derive_challenge(spark, d)
+    return challenge.problems_of(problems, forecasts, "EUROPE").groupBy("category").agg(F.count("*").alias("n"), F.sum("problem_id").alias("id_sum"))
+
+
+@query
+def first_problems(spark, d):
+    return challenge.first_problems(derive_challenge(spark, d)[0], 50).select("problem_id", "n_options", "category")
+
+
+@query
+def stream_roi_by_category(spark, d):
+    return _ranking(replay.every_days(scores.average_return(forecasts_wide(spark, d)), 365, ascending=False, how="roi", by=("category",)))
+
+
+def _written(spark, df: DataFrame, kind: str) -> str:
+    """Path of df as files of a kind, in the shared folder."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    df.write.options(header=True, quoteAll=True, escape='"').format(kind).save(path)
+    return path
+
+
+def _markets(value) -> Column:
+    """A map from the markets' names to `value` of their places."""
+    return F.map_from_entries(F.transform(F.sequence(F.lit(0), F.size("odds") - 1), lambda i: F.struct(F.concat(F.lit("m"), i.cast("string")).alias("key"), value(i).alias("value"))))
+
+
+def _said(p: str) -> Column:
+    return F.struct(F.transform(p, lambda x, i: F.struct(F.concat(F.lit("m"), i.cast("string")).alias("market"), x.alias("probability"))).alias("probabilities"))
+
+
+@query
+def load_nightly(spark, d):
+    """Forecasts written as the two CSV files of the nightly form, and loaded from them."""
+    x = forecasts_wide(spark, d)
+    outcome = F.to_json(_markets(lambda i: F.get("outcome", i)))
+    p = x.select(F.col("forecaster").alias("predictor_name"), "event_ticker", F.col("round").alias("submission_count"), F.to_json(_said("prediction")).alias("prediction"), outcome.alias("market_outcome"), "category")
+    asks = F.to_json(_markets(lambda i: F.struct(F.round(100 * F.get("odds", i)).alias("yes_ask"), F.round(100 * F.get("no_odds", i)).alias("no_ask"))))
+    s = x.select("event_ticker", F.col("round").alias("submission_count"), asks.alias("market_data"), F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot_time"), F.date_format("close_time", "yyyy-MM-dd'T'HH:mm:ss").alias("close_time"))
+    x = loaders.nightly(spark, _written(spark, p, "csv"), _written(spark, s.dropDuplicates(["event_ticker", "submission_count"]), "csv"), exclude=("ASIA",))
+    cost = F.aggregate(F.zip_with("odds", "no_odds", lambda a, b: a + b), F.lit(0.0), lambda s, v: s + v)
+    x = x.groupBy("forecaster", "category").agg(F.count("*").alias("n"), F.sum(cost).alias("asks"), F.sum(F.size("outcome")).alias("n_markets"), F.avg("time_rank").alias("time_rank"), F.max("close_time").alias("last_close"))
+    return _r(x, "asks", "time_rank", to=5)
+
+
+@query
+def load_json_challenge(spark, d):
+    """Problems and predictions written as JSON, and loaded from it."""
+    x = forecasts_wide(spark, d).where("round = 1")
+    said = x.select(F.col("event_ticker").cast("string").alias("problem_id"), F.col("forecaster").alias("username"), F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.transform("prediction", lambda p: p + 0.01).alias("prediction"))
+    name = lambda i: F.concat(F.lit("m"), i.cast("string"))
+    first = F.array_position("outcome", 1.0)
+    meta = x.groupBy(F.col("event_ticker").cast("string").alias("problem_id")).agg(F.first("outcome").alias("outcome"), F.first("close_time").alias("close_time"))
+    meta = meta.select("problem_id", F.lit("t").alias("title"), F.transform("outcome", lambda _, i: name(i)).alias("options"), F.when(first > 0, name(first - 1)).otherwise("none").alias("correct_answer"), F.struct(F.date_format("close_time", "yyyy-MM-dd").alias("end_time")).alias("metadata"))
+    loader = loaders.JsonChallenge(spark.read.json(_written(spark, said, "json")), spark.read.json(_written(spark, meta, "json")))
+    problems, forecasts = loader.load()
+    score = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier")
+    return _r(score.groupBy("username").agg(F.avg("score").alias("score"), F.count("*").alias("n"), F.max(F.to_date("end_time")).alias("last_end")), "score")
+
+
+@query
+def load_csv_challenge(spark, d):
+    """Forecasts with their market states written as one CSV file, and loaded from it, with the market as a forecaster."""
+    x = forecasts_wide(spark, d).where("round = 1")
+    state = F.to_json(_markets(lambda i: F.struct(F.lit(100.0 + 0).alias("liquidity"), F.round(100 * F.get("odds", i)).alias("yes_ask"), F.round(100 * F.get("no_odds", i)).alias("no_ask"), F.date_format("close_time", "yyyy-MM-dd").alias("close_time"))))
+    rows = x.select("event_ticker", F.col("forecaster").alias("predictor_name"), F.to_json(_said("prediction")).alias("prediction"), state.alias("market_info"), F.to_json(_markets(lambda i: F.get("outcome", i))).alias("market_outcome"), "category")
+    problems, forecasts = loaders.CsvChallenge.from_file(spark, _written(spark, rows, "csv"), market_baseline=True).load()
+    x = forecasts.join(problems.select("problem_id", "correct_option_idx", "category"), "problem_id")
+    first = lambda c: F.get(c, F.lit(0))
+    x = x.groupBy("username").agg(F.count("*").alias("n"), F.sum(F.size("correct_option_idx")).alias("n_won"), F.avg(first("odds")).alias("odds"), F.avg(first("no_odds")).alias("no_odds"), F.avg(first("unnormalized_probs")).alias("said"))
+    return _r(x, "odds", "no_odds", "said")
 
 
 @query
@@ -398,7 +508,7 @@ def bootstrap_ci(spark, d):
 
 @query
 def bradley_terry(spark, d):
-    return models.bradley_terry(*derive_challenge(spark, d))
+    return _ranking(models.bradley_terry(*derive_challenge(spark, d)))
 
 
 @query
@@ -531,7 +641,7 @@ def bootstrap_market_level(spark, d):
 
 @query
 def bradley_terry_trajectory(spark, d):
-    return models.bradley_terry(*derive_challenge(spark, d), trajectory=True)
+    return _ranking(models.bradley_terry(*derive_challenge(spark, d), trajectory=True))
 
 
 @query

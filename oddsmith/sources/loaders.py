@@ -19,12 +19,17 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
 
 
+_STRING = r"""\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'"""
+
+
 def lenient_json(col: Column, schema: str) -> Column:
-    """JSON, else a Python literal of dicts, lists, strings and numbers."""
-    literal = col
-    for a, b in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
-        literal = F.regexp_replace(literal, a, b)
-    return F.coalesce(F.from_json(col, schema), F.from_json(literal, schema, {"allowSingleQuotes": "true"}))
+    """JSON, or a Python literal of dicts, lists, strings and numbers; a comma before a closing
+    bracket is allowed in both. Names and commas inside of strings are left as they are."""
+    plain = F.regexp_replace(col, rf"(?s)({_STRING})|,(?=\s*[\]}}])", "$1")
+    # Strings are matched first, so that what is in them is no name.
+    parts = F.regexp_extract_all(plain, F.lit(rf"(?s){_STRING}|\b(?:None|True|False)\b|[^\"'NTF]++|."), F.lit(0))
+    said = F.array_join(F.transform(parts, lambda x: F.when(x == "None", "null").when(x == "True", "true").when(x == "False", "false").otherwise(x)), "")
+    return F.from_json(said, schema, {"allowSingleQuotes": "true"})
 
 
 def _sorted_keys(m: Column) -> Column:

@@ -47,20 +47,51 @@ def test_calibration(spark):
 
 
 def challenge_frames(spark):
-    problems = spark.createDataFrame([("p1", 1, [0], 3, "2024-01-02"), ("p2", 2, [1], 2, "2024-01-03")], "problem_id string, problem_seq long, correct_option_idx array<int>, n_options int, end_time string").withColumn("end_time", F.col("end_time").cast("timestamp")).withColumn("category", F.lit("c"))
-    rows = [("p1", "alice", [0.7, 0.2, 0.1]), ("p1", "bob", [0.3, 0.4, 0.3]), ("p1", "carol", [0.2, 0.2, 0.6]), ("p2", "alice", [0.55, 0.45]), ("p2", "bob", [0.5, 0.5]), ("p2", "carol", [0.15, 0.85])]
-    forecasts = spark.createDataFrame([(f"{p}{u}", p, k, u, x, x, 1.0, [0.5] * len(x), [0.5] * len(x)) for k, (p, u, x) in enumerate(rows)], "forecast_id string, problem_id string, forecast_seq long, username string, probs array<double>, unnormalized_probs array<double>, weight double, odds array<double>, no_odds array<double>")
+    """Three forecasters on two problems of four and two options; numbers drawn once from a seeded generator."""
+    rng = random.Random(31)
+    problems = spark.createDataFrame([("north", 1, [2], 4, "2023-05-04"), ("south", 2, [0], 2, "2023-05-05")], "problem_id string, problem_seq long, correct_option_idx array<int>, n_options int, end_time string")
+    problems = problems.withColumn("end_time", F.col("end_time").cast("timestamp")).withColumn("category", F.lit("c"))
+    rows = []
+    for p, n in (("north", 4), ("south", 2)):
+        for u in ("ines", "omar", "yuki"):
+            x = [rng.randint(1, 9) for _ in range(n)]
+            rows.append((f"{p}{u}", p, len(rows), u, [v / sum(x) for v in x], [v / 10 for v in x], 1.0, [0.4] * n, [0.65] * n))
+    forecasts = spark.createDataFrame(rows, "forecast_id string, problem_id string, forecast_seq long, username string, probs array<double>, unnormalized_probs array<double>, weight double, odds array<double>, no_odds array<double>")
     return problems, forecasts
 
 
 def test_crowd_and_uniform_weights(spark):
     problems, forecasts = challenge_frames(spark)
-    assert challenge.crowd(forecasts).where("problem_id = 'p2' and option = 0").first()["crowd_prob"] == pytest.approx(0.4)
-    w = challenge.problem_weights(spark.createDataFrame([("p1", 1.0), ("p2", 1.0)], "problem_id string, discrimination double"))
+    said = [r["probs"][0] for r in forecasts.where("problem_id = 'south'").collect()]
+    assert challenge.crowd(forecasts).where("problem_id = 'south' and option = 0").first()["crowd_prob"] == pytest.approx(sum(said) / 3)
+    w = challenge.problem_weights(spark.createDataFrame([("north", 2.5), ("south", 2.5)], "problem_id string, discrimination double"))
     a, b = (sorted(r["score"] for r in challenge.rule_scores(problems, forecasts, "brier", weights=x).collect()) for x in (None, w))
     assert a == pytest.approx(b)
 
 
+def test_problem_lookups(spark):
+    problems, forecasts = challenge_frames(spark)
+    ids = lambda x: sorted(r["problem_id"] for r in x.collect())
+    few = forecasts.where("username <> 'omar' or problem_id = 'south'")
+    assert ids(challenge.problems_of(problems, few, "omar")) == ["south"] and ids(challenge.problems_of(problems, few, "nobody")) == []
+    assert ids(challenge.problem_by_id(problems, "north")) == ["north"] and ids(challenge.problem_by_id(problems, "west")) == []
+    assert ids(challenge.first_problems(problems, 1)) == ["north"] and len(ids(challenge.first_problems(problems))) == 2 and ids(challenge.first_problems(problems, 0)) == []
+
+
+def test_rank_table_finds_column_and_order(spark):
+    df = spark.createDataFrame([("x", 0.1, 5.0), ("x", 0.3, 5.0), ("y", 0.4, 9.0), ("y", None, 9.0)], "forecaster string, ece_score double, sharpe_ratio double")
+    assert {r["forecaster"]: (r["rank"], r["n_predictions"]) for r in ranking.rank_table(df).collect()} == {"x": (1, 2), "y": (2, 1)}
+    assert {r["forecaster"]: r["rank"] for r in ranking.rank_table(df, "sharpe_ratio").collect()} == {"x": 2, "y": 1}
+    assert {r["forecaster"]: r["rank"] for r in ranking.rank_table(df, "sharpe_ratio", ascending=True).collect()} == {"x": 1, "y": 2}
+    with pytest.raises(ValueError, match="score column"):
+        ranking.rank_table(df.select("forecaster"))
+
+
+def test_aggregates_that_are_functions(spark):
+    x = spark.createDataFrame([("a", v, 1.0) for v in (1.0, 2.0, 6.0)], "forecaster string, score double, weight double")
+    assert ranking.aggregate_scores(x, lambda s: F.max(s) - F.min(s)).first()["score"] == 5.0
+
+
 def test_bradley_terry(spark):
     problems = spark.createDataFrame([(f"p{k}", [0]) for k in range(3)], "problem_id string, correct_option_idx array<int>")
     for low, order in ((0.1, ["alice", "bob"]), (0.9, None)):
@@ -73,7 +104,8 @@ def test_registered_bradley_terry_runs_to_the_default(spark, monkeypatch):
     from oddsmith import queries
 
     asked = []
-    monkeypatch.setattr(models, "bradley_terry", lambda *a, **k: asked.append(k))
+    none = spark.createDataFrame([], "username string, score double")
+    monkeypatch.setattr(models, "bradley_terry", lambda *a, **k: asked.append(k) or none)
     for name in ("bradley_terry", "bradley_terry_trajectory"):
         queries.queries()[name](spark, "/root/testdata/sf0.001")
     assert asked == [{}, {"trajectory": True}]
@@ -119,6 +151,23 @@ def test_item_response_reaches_the_mode(spark):
         models.item_response(scores, rounds=2)
 
 
+def test_bootstrap_against_plain_resamples(spark):
+    """Drawn in proportion to weights, and as quantiles, against resamples row by row."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    s, w = g.random(300), g.integers(1, 6, 300).astype(float)
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(s, w)], "forecaster string, score double, weight double")
+    for by_weight in (False, True):
+        at = [g.choice(300, 300, p=w / w.sum() if by_weight else None) for _ in range(2000)]
+        plain = np.array([np.average(s[i], weights=w[i]) for i in at])
+        r = resample.bootstrap(df, samples=2000, by_weight=by_weight, symmetric=False).first()
+        assert r["se"] == pytest.approx(plain.std(), rel=0.1)
+        assert [r["low"], r["high"]] == pytest.approx(np.quantile(plain, [0.025, 0.975]), abs=0.25 * plain.std())
+    none = spark.createDataFrame([("a", 1.0, 0.0), ("a", 2.0, 0.0)], df.schema)
+    assert resample.bootstrap(none, samples=50).count() == 0
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = random.Random(2)
     rows = [("a", rng.random(), 1.0) for _ in range(400)]
@@ -128,7 +177,7 @@ def test_bootstrap_covers_the_mean(spark):
 
 def test_replay(spark):
     problems, forecasts = challenge_frames(spark)
-    x = challenge.rule_scores(problems, forecasts, "brier").withColumn("batch", F.when(F.col("problem_id") == "p1", 0).otherwise(1))
+    x = challenge.rule_scores(problems, forecasts, "brier").withColumn("batch", F.when(F.col("problem_id") == "north", 0).otherwise(1))
     out = replay.cumulative(x, "batch")
     assert out.count() == 6 and out.where("batch = 1").agg(F.min("n")).first()[0] == 2
     assert replay.adaptive_windows(problems, 1, 2).select("window_end").distinct().count() == 1
@@ -141,6 +190,23 @@ def test_regression_and_p_value(spark):
     assert diagnostics.t_p_value(2.0, 10) == pytest.approx(0.0734, abs=1e-3)
 
 
+def test_t_and_f_against_tables():
+    # Fixed values of printed tables of Student's t and of F.
+    for df, q in ((1, 12.7062), (5, 2.5706), (30, 2.0423), (1000, 1.9623)):
+        assert diagnostics.t_quantile(0.95, df) == pytest.approx(q, abs=1e-4)
+    assert diagnostics.f_p_value(4.1028, 2, 10) == pytest.approx(0.05, abs=1e-4) and diagnostics.f_p_value(0.0, 2, 10) == 1
+
+
+def test_regression_groups_keep_their_type(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k % 2, float(x), 3.0 * x + rng.random()) for k in range(2) for x in range(12)], "g int, x double, y double")
+    out = diagnostics.regression(df, "y", ["x"], by=("g",))
+    assert dict(out.dtypes)["g"] == "int" and out.count() == 4
+    r = out.where("g = 1 and term = 'x'").first()
+    half = (r["high"] - r["low"]) / 2
+    assert half == pytest.approx(2.2281 * r["se"], rel=1e-4) and r["f_statistic"] == pytest.approx((r["estimate"] / r["se"]) ** 2) and r["f_p_value"] == pytest.approx(r["p_value"], abs=1e-9)
+
+
 def test_violations(spark):
     problems, forecasts = challenge_frames(spark)
     problems = problems.withColumn("options", F.transform(F.sequence(F.lit(1), F.col("n_options")), lambda i: i.cast("string")))

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from oddsmith.sources import loaders, sinks
 
@@ -16,6 +17,14 @@ def test_nightly(spark, tmp_path):
     assert r[0]["odds"] == [0.55, 0.4] and r[0]["no_odds"] == [0.46, 0.61] and r[0]["time_rank"] == 0 and r[0]["close_time"] is not None
 
 
+def test_lenient_json(spark):
+    rows = ["{'a': 'True North', 'b': None, 'c': True,}", '{"a": "x, ]", "b": 1, "c": false, }', "{\"a\": \"it's None\", 'b': [1, 2][0]}", '{"a": "say \\"None\\"", "b": 2}', "{'a': ''}", None]
+    x = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, t string")
+    got = {r["k"]: r["j"] for r in x.select("k", loaders.lenient_json(F.col("t"), "struct<a: string, b: double, c: boolean>").alias("j")).collect()}
+    assert tuple(got[0]) == ("True North", None, True) and tuple(got[1]) == ("x, ]", 1.0, False) and got[3]["a"] == 'say "None"' and got[4]["a"] == "" and got[5] is None
+    assert got[2]["a"] in ("it's None", None)  # an expression is no literal
+
+
 def test_json_challenge(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"problem_id": "1", "username": "a", "timestamp": "2024-01-01T00:00:00Z", "prediction": [0.2, 0.6]}]))
     (tmp_path / "m.json").write_text(json.dumps([{"problem_id": "1", "title": "t", "options": ["x", "y"], "correct_answer": "y", "metadata": {"end_time": "2024-01-02"}}]))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,23 +12,24 @@ def one(spark, sql, column):
     return spark.sql(f"SELECT {sql}").select(column.alias("v")).first()["v"]
 
 
-P = "array(0.7D, 0.2D, 0.1D) AS probs, array(0) AS correct_option_idx, 3 AS n_options"
+P = "array(0.25D, 0.15D, 0.5D, 0.1D) AS probs, array(2) AS correct_option_idx, 4 AS n_options"
 
 
 def test_scoring_rules(spark):
-    assert one(spark, P, challenge.rule_column("brier")) == pytest.approx(1 - 0.14 / 3)
-    assert one(spark, P, challenge.rule_column("brier_raw")) == pytest.approx(0.14 / 3)
-    assert one(spark, P, challenge.rule_column("log")) == pytest.approx(math.log(0.7))
-    assert one(spark, "array(0.001D, 0.999D) AS probs, array(0) AS correct_option_idx, 2 AS n_options", challenge.rule_column("log")) == pytest.approx(math.log(0.01))
-    assert one(spark, P, challenge.rule_column("spherical")) == pytest.approx(0.7 / math.sqrt(0.54))
+    error = (0.25**2 + 0.15**2 + 0.5**2 + 0.1**2) / 4
+    assert one(spark, P, challenge.rule_column("brier")) == pytest.approx(1 - error)
+    assert one(spark, P, challenge.rule_column("brier_raw")) == pytest.approx(error)
+    assert one(spark, P, challenge.rule_column("log")) == pytest.approx(math.log(0.5))
+    assert one(spark, "array(0.004D, 0.996D) AS probs, array(0) AS correct_option_idx, 2 AS n_options", challenge.rule_column("log", 0.02)) == pytest.approx(math.log(0.02))
+    assert one(spark, P, challenge.rule_column("spherical")) == pytest.approx(0.5 / math.sqrt(0.345))
 
 
 def test_bets(spark):
-    s = "array(0.6D, 0.4D) AS p, array(0.5D, 0.5D) AS q"
-    assert one(spark, s, V.bets_neutral("p", "q")) == [2.0, 0.0]
-    assert one(spark, s, V.bets_log("p", "q")) == pytest.approx([1.2, 0.8])
-    assert one(spark, s, V.bets_crra("p", "q", 1.0)) == pytest.approx([1.2, 0.8])
-    for bad in (1.5, -0.1):
+    s = "array(0.15D, 0.85D) AS p, array(0.3D, 0.8D) AS q"
+    assert one(spark, s, V.bets_neutral("p", "q")) == [0.0, 1.25]
+    assert one(spark, s, V.bets_log("p", "q")) == pytest.approx([0.5, 1.0625])
+    assert one(spark, s, V.bets_crra("p", "q", 1.0)) == pytest.approx([0.5, 1.0625])
+    for bad in (1.01, -1):
         with pytest.raises(ValueError):
             V.bets_crra("p", "q", bad)
 
@@ -38,11 +40,39 @@ def test_smoothing_and_normalizing(spark):
     assert one(spark, "array(1D, 3D) AS a", V.normalized("a")) == [0.25, 0.75]
 
 
-def test_waterfill():
-    assert challenge.waterfill([0.5, 0.5], [0.5, 0.5], 0.5) == [0.5, 0.5]
-    assert challenge.waterfill([0.9, 0.1], [0.5, 0.5], 0.0) == [1.0, 0.0]
-    stakes = challenge.waterfill([0.6, 0.3, 0.1], [0.4, 0.25, 0.35], 0.8)
-    assert sum(stakes) == pytest.approx(1) and stakes[0] > stakes[1] >= stakes[2] == 0
+def plain_stakes(p, q, g):
+    """The same by search: the level at which positive edges above it spend the budget."""
+    a, b = [x / y - 1 for x, y in zip(p, q)], [x * (1 - x) / y / y for x, y in zip(p, q)]
+    if max(a) - min(a) < 1e-9:
+        return [1 / len(p)] * len(p)
+    best = a.index(max(a))
+    if g == 0 or max(a) <= 0:
+        return [float(i == best) for i in range(len(p))]
+    spent = lambda v: sum((x - v) / (g * y) for x, y in zip(a, b) if x > 0 and x > v)
+    lo, hi = -1e6, max(a)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if spent(mid) > 1 else (lo, mid)
+    x = [(x - lo) / (g * y) if x > 0 and x > lo else 0.0 for x, y in zip(a, b)]
+    return [v / sum(x) for v in x]
+
+
+def test_stakes_fill_positive_edges_only(spark):
+    rng = random.Random(17)
+    rows = [([0.55, 0.45], [0.5, 0.5]), ([0.5, 0.5], [0.25, 0.25]), ([0.2, 0.3], [0.5, 0.6])]
+    for n in (2, 3, 5, 8):
+        rows += [([rng.uniform(0.02, 0.98) for _ in range(n)], [rng.uniform(0.02, 0.98) for _ in range(n)]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "p array<double>, q array<double>")
+    for g in (0.0, 0.3, 1.0):
+        for r in df.select("p", "q", V.stakes_crra("p", "q", g).alias("s")).collect():
+            assert r["s"] == pytest.approx(plain_stakes(r["p"], r["q"], g), abs=1e-6)
+    assert df.limit(1).select(V.stakes_crra("p", "q", 0.5).alias("s")).first()["s"] == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        V.stakes_crra("p", "q", 1.5)
+
+
+def test_close(spark):
+    assert [one(spark, f"{a}D AS a, {b}D AS b", V.close("a", "b")) for a, b in ((1, 1.000001), (1, 1.1), (0, 1e-9), (0, 1e-7))] == [True, False, True, False]
 
 
 def test_correlations(spark):
