@@ -5,36 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsmith.llm import bpe, decontaminate, ngram_join, quality, secrets
-from oddsmith.llm.common import MAX_BROADCAST_ROWS, cut, read
+from oddsmith.llm.common import cut, read, small
 from oddsmith.llm.queries import vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or the learned rules reject go."""
+    """Documents that the base or the learned rules reject go, empty and null texts among them; null ids and
+    repeated rows are decided like others. Columns stay as they are, whatever their names."""
     return quality.quality_rules(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join, the document of least doc_id stays."""
+    """Of each group that links join, the document of least doc_id stays, with all its rows. Documents
+    without words or without id belong to no group and stay."""
     others = cut(ngram_join.ngram_jaccard_join(docs, count_links=False).where("doc_id <> component_id").select("doc_id").distinct())
-    if others.count() <= MAX_BROADCAST_ROWS:
-        from pyspark.sql import functions as F
-
-        others = F.broadcast(others)
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(others), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their id; rows without id are not searched and stay."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every row stays, null texts as they are."""
     return secrets.redact(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of token counts and digests for each row that is left; a null text counts as empty."""
     return bpe.encode(docs, vocabulary(), digest=True)
 
 

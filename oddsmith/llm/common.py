@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut  # noqa: F401
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-MAX_BROADCAST_ROWS = 1_000_000  # ids of 8 bytes each: about 40 MB as a hashed relation
+MAX_BROADCAST_ROWS = 1_000_000  # of small fixed size each: ids take about 40 MB as a hashed relation
+MAX_BROADCAST_BYTES = 64 << 20  # of rows written out as JSON
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if both its rows and their bytes are few. Others are left to
+    Spark, which shuffles both sides and splits partitions of frequent keys."""
+    if table.count() > MAX_BROADCAST_ROWS:
+        return table
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= MAX_BROADCAST_BYTES else table
+
+
 def words(text: Column) -> Column:
     """Words between ASCII white space; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), "")

@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, cut, let
+from .common import MAX_BROADCAST_ROWS, cut, let, small
 
 K = 5
 THRESHOLD = 0.75
@@ -114,11 +114,6 @@ def _starts(p: Column, n: Column, m: Column, percent: int) -> Column:
     return F.when(n < m, short).when(F.size(p) >= need, ranges).otherwise(F.array(none))
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """A written table, broadcast if it is small."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, distance, start_word, n_words): the best window of each document and item.
 
@@ -166,7 +161,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     near = F.transform(blocks(F.col("g")), lambda v: F.transform(masks, lambda k: v.bitwiseXOR(k)))
     index = items.select("m", "item", F.posexplode(near).alias("block", "values")).select("m", "item", "block", F.explode("values").alias("bits"))
     bound = F.broadcast if items.count() * BLOCKS * len(_masks()) <= MAX_BROADCAST_ROWS else lambda x: x
-    met = mine.join(bound(index), ["m", "block", "bits"]).join(bound(items.select("item", "item_id", "s", "g")), "item")
+    met = mine.join(bound(index), ["m", "block", "bits"]).join(small(items.select("item", "item_id", "s", "g")), "item")
     met = met.withColumn("distance", distance(F.col("f"), F.col("g"))).where(F.col("distance") <= RADIUS)
     # A pair counts at the first block in which it is near.
     first = F.array_position(F.zip_with(blocks(F.col("f")), blocks(F.col("g")), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= NEAR), True) - 1
@@ -175,9 +170,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     met = met.where(F.col("block") == first).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     met = cut(met.select("m", "w1", "w2", "item_id", "similarity", "distance").distinct())
     rank = lambda at: F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col(at)).alias("s"), "n")
-    best = windows.select("m", "k1", "k2", "at", "n", "w1", "w2").join(_bounded(met), ["m", "w1", "w2"])
+    best = windows.select("m", "k1", "k2", "at", "n", "w1", "w2").join(small(met), ["m", "w1", "w2"])
     best = cut(best.groupBy("m", "k1", "k2", "item_id").agg(F.max(rank("at")).alias("x")))
-    back = laid.select("doc_id", "m", "base", "k1", "k2").join(_bounded(best), ["m", "k1", "k2"])
+    back = laid.select("doc_id", "m", "base", "k1", "k2").join(small(best), ["m", "k1", "k2"])
     back = back.select("doc_id", "item_id", "x.similarity", (-F.col("x.d")).alias("distance"), (F.col("base") - F.col("x.s")).alias("start"), "x.n")
     best = back.groupBy("doc_id", "item_id").agg(F.max(rank("start")).alias("x"))
     return best.select("doc_id", "item_id", F.round("x.similarity", 6).alias("similarity"), (-F.col("x.d")).alias("distance"), (-F.col("x.s")).cast("long").alias("start_word"), (F.col("x.n") + K - 1).cast("long").alias("n_words"))
@@ -186,4 +181,4 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that hold a benchmark item. Rows with a null doc_id are not searched and stay; columns stay as they are."""
     found = cut(contaminated(documents, benchmark).select("doc_id").distinct())
-    return documents.join(_bounded(found), "doc_id", "left_anti")
+    return documents.join(small(found), "doc_id", "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MAX_BROADCAST_ROWS, cut, slices, text_buffer
+from .common import LOWER, cut, slices, small, text_buffer
 
 CELLS = 1 << 13
 MAX_TRAINING = 4_000  # labelled texts at most, those of least hash
@@ -125,8 +125,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     low = [F.log((F.col(f"h{i}") + SMOOTH_HOST * mid[i]) / (total("h") + SMOOTH_HOST)) for i in r]
     prior = prior.select("host", F.array(*low).alias("host_log"))
     # One host may have a large share of the pages: its rows stay where they are unless hosts are very many.
-    prior = cut(prior)
-    x = x.join(F.broadcast(prior) if prior.count() <= MAX_BROADCAST_ROWS // 4 else prior, "host", "left")
+    x = x.join(small(cut(prior)), "host", "left")
     for key in ("address", "declared"):
         x = x.join(_log_table(counts, key, langs), key, "left")
     post = F.array(*(sum((F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for c in ("host_log", "address_log", "declared_log")), F.get("scores", F.lit(i))) for i in r))

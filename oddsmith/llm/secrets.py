@@ -17,7 +17,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, cut
+from .common import cut, small
 
 
 @dataclass(frozen=True)
@@ -178,9 +178,7 @@ def secret_spans(documents: DataFrame, rules: list[Rule] | None = None) -> DataF
     matches as it has, in time near its length. Other columns stay; one named `_spans` is replaced.
     """
     rules = BASE_RULES + MORE_RULES if rules is None else rules
-    found = cut(candidates(documents, rules))
-    if found.count() <= MAX_BROADCAST_ROWS:
-        found = F.broadcast(found)
+    found = small(cut(candidates(documents, rules)))
     keep = [c for c in documents.columns if c != "_spans"]
     x = documents.select(*keep).withColumn("_key", _key()).join(found.withColumnRenamed("key", "_key"), "_key", "left")
     text, n = F.coalesce("text", F.lit("")), range(len(rules))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, cut
+from .common import cut, small
 
 # The rules of the query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -37,8 +37,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     )
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())  # at most as many as the longest path has characters
     depths = sorted(r[0] for r in rules.select(F.size(F.split("r_host", r"\.", -1))).distinct().collect())  # at most as many as the longest host has labels
-    small = rules.count() <= MAX_BROADCAST_ROWS
-    rules = rules.withColumn("short", F.substring("r_digest", 1, PREFIX))
+    rules = small(rules.withColumn("short", F.substring("r_digest", 1, PREFIX)))
     parsed = host_and_path(df.select(*keep), url)
     urls = parsed.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.", -1)
@@ -48,10 +47,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     prefixes = F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))
     x = urls.withColumn("labels", labels).select("host", "path", F.explode(suffixes).alias("suffix")).select("*", F.explode(prefixes).alias("prefix"))
     x = x.withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256)).withColumn("short", F.substring("digest", 1, PREFIX))
-    x = x.join(F.broadcast(rules) if small else rules, "short").where("digest = r_digest")
+    x = x.join(rules, "short").where("digest = r_digest")
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), "action")
-    best = cut(x.groupBy("host", "path").agg(F.max(rank).alias("best")))
-    if best.count() <= MAX_BROADCAST_ROWS:
-        best = F.broadcast(best)
-    out = parsed.join(best, ["host", "path"], "left")
+    best = x.groupBy("host", "path").agg(F.max(rank).alias("best"))
+    out = parsed.join(small(cut(best)), ["host", "path"], "left")
     return out.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -578,3 +578,51 @@ def test_pipeline_against_brute_force(spark):
     plain = hashlib.sha256(rows[min(kept)].encode()).hexdigest()
     assert plain == next(r["decoded_sha256"] for r in out if r["doc_id"] == min(kept)) or "SECRET" in rows[min(kept)]
     assert [n for n, _ in cp.STAGES][0] == "quality rules"
+
+
+def test_broadcasts_are_of_checked_size(spark, tmp_path, monkeypatch):
+    from oddsmith.llm import common
+
+    table = common.cut(spark.createDataFrame([(k, "x" * 50, None) for k in range(100)], "k long, host string, note string"))
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString()
+    assert hinted(common.small(table)) and hinted(common.small(table.limit(0)))
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 5000)
+    assert not hinted(common.small(table))
+    monkeypatch.setattr(common, "MAX_BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 99)
+    assert not hinted(common.small(table))
+
+
+def test_operators_without_broadcasts_give_the_same(spark, docs, monkeypatch):
+    from oddsmith.llm import common
+
+    pages = spark.read.parquet(f"{D}/pages.parquet")
+    documents = spark.read.parquet(f"{D}/documents.parquet")
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, action string")
+    bench = spark.createDataFrame([(1, BASE), (2, TEXTS[8][:400])], "item_id long, text string")
+
+    def all_of_them():
+        out = [urls.filter_urls(pages.select("page_id", "url"), rules), language.identify(pages, documents).drop("confidence"), secrets.redact(docs), decontaminate.contaminated(docs, bench), decontaminate.decontaminate(docs, bench)]
+        return [sorted(map(str, x.collect())) for x in out]
+
+    first = all_of_them()
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", -1)
+    assert all_of_them() == first and all(first)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Null ids, null and empty texts, repeated rows and clashing columns pass through every stage."""
+    import corpus_pipeline as cp
+
+    odd = docs.unionByName(spark.createDataFrame([(None, BASE, "x", 1, "clash", "clash"), (None, None, "x", 1, "clash", "clash")], docs.schema))
+    left = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd, D)
+        assert name == cp.STAGES[-1][0] or out.columns == odd.columns
+        left[name] = Counter(r["doc_id"] for r in out.collect())
+        assert stage(spark, odd.limit(0), D).count() == 0
+    n = len(TEXTS)
+    assert None in left["quality rules"] and 0 not in left["quality rules"] and 9 in left["quality rules"]
+    joined = left["n-gram Jaccard join"]
+    assert {k: n for k, n in joined.items() if k is not None} == {k: 1 + (k == 3) for k, (_, top) in classes(TEXTS).items() if top == k} and joined[None] == 2
+    assert left["secret scans"] == left["BPE encoding and decoding"] == left["benchmark decontamination"] and sum(left["secret scans"].values()) == n + 3
