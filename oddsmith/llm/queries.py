@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, language, licenses, ngram_join, quality, secrets, urls
+from . import bpe, chat, decontaminate, fim, gam, html_text, language, licenses, ngram_join, quality, repair, secrets, urls
 from .common import read
 
 # Fixed value: the conversation that is added to the table.
@@ -69,6 +69,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = fim.transform(read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return x.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = gam.learn(docs.where(~held_out), read(spark, sf_dir, "labels").where(~held_out))
+    x = gam.score(docs, model)
+    return x.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits, rows = repair.repair(repair.damaged(read(spark, sf_dir, "conversations")))
+    a, d = audits.alias("a"), repair.digests(rows).alias("d")
+    x = a.join(d, F.col("a.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    sha = F.coalesce("d.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    return x.select("a.conv_id", "a.gaps", "a.blank", "a.duplicate", "a.truncated", "a.illegal", "a.cost", "a.audit", sha.alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_bpe, op2_ngram_join, op3_decontamination, op4_chat, op5_licenses, op6_language, op7_url_filter, op8_quality, op9_secrets, op10_html, pipeline)
+    own = (op1_bpe, op2_ngram_join, op3_decontamination, op4_chat, op5_licenses, op6_language, op7_url_filter, op8_quality, op9_secrets, op10_html, op11_fill_in_middle, op12_quality_gam, op13_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -115,6 +137,62 @@ SELECT page_id, host, path, r.rule AS rule, coalesce(r.action, 'allow') AS verdi
 ) AS r ON true
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS whole, CAST('0x' || h[25:32] AS BIGINT) % 100 AS turned FROM t),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR whole >= 90 THEN 'plain' WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ord(substr(key, i, 1)) AS BIGINT)),
+    lambda a, c: list_reduce(range(8), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, c)), 4294967295), 4294967295) % 20 AS kind FROM t
+), g AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h, (VALUES (1), (2)) AS n(times) WHERE kind <> 0 AND (times = 1 OR kind = 3)
+), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM g),
+f AS (
+  SELECT *, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) || substr(role, 1, 1) AS pair,
+    CASE WHEN rtrim(text, e' \t\n\x0b\x0c\r') = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+      WHEN right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM k
+), c AS (
+  SELECT conv_id, count(f.k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN (SELECT conv_id AS id, * EXCLUDE conv_id FROM f) AS f ON o.conv_id IS NOT DISTINCT FROM f.id GROUP BY conv_id
+), ins(state, pre, mid, price, said) AS (VALUES
+  ('start', '', 'start', 0, ''), ('ready', '', 'ready', 0, ''), ('asked', '', 'asked', 0, ''), ('answered', '', 'answered', 0, ''),
+  ('start', 'I', 'asked', 2, e'\nuser:'), ('ready', 'I', 'asked', 2, e'\nuser:'), ('asked', 'I', 'answered', 2, e'\nassistant:'), ('answered', 'I', 'asked', 2, e'\nuser:'),
+  ('start', 'II', 'answered', 4, e'\nuser:\nassistant:'), ('ready', 'II', 'answered', 4, e'\nuser:\nassistant:'), ('asked', 'II', 'asked', 4, e'\nassistant:\nuser:'), ('answered', 'II', 'answered', 4, e'\nuser:\nassistant:')
+), act(mid, letter, initial, price, target, name) AS (VALUES
+  ('start', 'D', '', 3, 'start', ''), ('ready', 'D', '', 3, 'ready', ''), ('asked', 'D', '', 3, 'asked', ''), ('answered', 'D', '', 3, 'answered', ''),
+  ('start', 'K', 's', 0, 'ready', ''), ('start', 'K', 'u', 0, 'asked', ''), ('ready', 'K', 'u', 0, 'asked', ''), ('asked', 'K', 'a', 0, 'answered', ''), ('answered', 'K', 'u', 0, 'asked', ''),
+  ('start', 'R', '', 2, 'asked', 'user'), ('ready', 'R', '', 2, 'asked', 'user'), ('asked', 'R', '', 2, 'answered', 'assistant'), ('answered', 'R', '', 2, 'asked', 'user')
+), dp(conv_id, i, state, cost, audit, said) AS (
+  SELECT conv_id, 0, 'start', 0, '', '' FROM c
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.said FROM (
+    SELECT d.conv_id, d.i + 1 AS i, a.target AS state,
+      min({'cost': d.cost + n.price + a.price + CASE WHEN a.letter <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': d.audit || n.pre || a.letter,
+        'said': d.said || n.said || CASE a.letter WHEN 'D' THEN '' WHEN 'K' THEN e'\n' || f.role || ':' || f.text ELSE e'\n' || a.name || ':' || f.text END}) AS best
+    FROM dp AS d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.k = d.i + 1 JOIN ins AS n ON n.state = d.state JOIN act AS a ON a.mid = n.mid
+    WHERE (a.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (a.initial = '' OR a.initial = substr(f.role, 1, 1)) GROUP BY ALL)
+), ended AS (
+  SELECT d.conv_id, min({'cost': d.cost + n.price, 'audit': d.audit || n.pre, 'said': d.said || n.said}) AS best
+  FROM dp AS d JOIN c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.i JOIN ins AS n ON n.state = d.state AND n.mid IN ('start', 'answered') GROUP BY d.conv_id
+)
+SELECT c.conv_id AS conv_id, gaps, blank, duplicate, truncated, illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(substr(best.said, 2)) AS repaired_sha256
+FROM c JOIN ended AS e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op7_url_filter": OP7_SQL}
+    return {"op4_chat": OP4_SQL, "op7_url_filter": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_repair": OP13_SQL}
