@@ -123,6 +123,33 @@ SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_num
     )
 
 
+def _mixed(x: str, out: str) -> str:
+    """Columns that end in `out`, the 32-bit finaliser of x."""
+    low = "4294967295::UBIGINT"
+    return f"{x} AS {out}0, xor({out}0, {out}0 >> 16) * 2246822507::UBIGINT & {low} AS {out}1, xor({out}1, {out}1 >> 13) * 3266489909::UBIGINT & {low} AS {out}2, xor({out}2, {out}2 >> 16) AS {out}"
+
+
+def _resampled(source: str, how: str = "mean") -> str:
+    """Intervals of rows (forecaster, score, weight, cost) of whole weights: draw j of resample b takes the slot
+    that its hash names, a row having as many slots as its weight. 1,000 resamples; the 950th least deviation; seed 42."""
+    weyl, low = "2654435769::UBIGINT", "4294967295::UBIGINT"
+    top, bottom = {"mean": ("s * w", "w"), "roi": ("s", "c")}[how]
+    value = {"mean": "sum(top) / nullif(sum(low), 0)", "roi": "CASE WHEN sum(low) > 0 THEN sum(top) / sum(low) ELSE 0 END"}[how]
+    point, cost = {"mean": ("sum(s * w) / sum(w)", "0.0::DOUBLE"), "roi": ("sum(s) / sum(c)", "cost")}[how]
+    name = "CAST('0x' || substr(md5(forecaster), 1, 8) AS UBIGINT)"
+    return f""", i AS (SELECT forecaster, round(score, 9) AS s, weight AS w, {cost} AS c FROM {source}),
+sl AS MATERIALIZED (SELECT forecaster, row_number() OVER (PARTITION BY forecaster ORDER BY s, w, c) - 1 AS slot, {top} AS top, {bottom} AS low FROM (SELECT *, unnest(range(CAST(w AS BIGINT))) FROM i)),
+st AS (SELECT forecaster, count(*) AS n, sum(w)::UBIGINT AS total FROM i GROUP BY forecaster),
+sd AS (SELECT {_mixed("42::UBIGINT", "h")}),
+k0 AS (SELECT forecaster, n, total, {_mixed(f"xor({name}, h)", "p")}, {_mixed("p", "q")} FROM st, sd),
+k1 AS MATERIALIZED (SELECT forecaster, n, total, b, {_mixed(f"(b::UBIGINT * {weyl} + q + 1) & {low}", "a")}, {_mixed("xor(a, 1540483477::UBIGINT)", "z")} FROM k0, range(1000) AS r(b)),
+dr AS (SELECT forecaster, b, total, {_mixed(f"(j::UBIGINT * {weyl} + a) & {low}", "u")}, {_mixed("xor(u, z)", "v")} FROM k1, LATERAL (SELECT unnest(range(n)) AS j)),
+re AS (SELECT forecaster, b, {value} AS v FROM (SELECT forecaster, b, (v * total >> 32)::BIGINT AS slot FROM dr) JOIN sl USING (forecaster, slot) GROUP BY forecaster, b),
+po AS (SELECT forecaster, {point} AS score, count(*) AS n_predictions FROM i GROUP BY forecaster),
+ci AS (SELECT forecaster, any_value(score) AS score, any_value(n_predictions) AS n_predictions, stddev_samp(v) AS se, list_sort(list(abs(v - score)))[950] AS margin FROM re JOIN po USING (forecaster) GROUP BY forecaster)
+SELECT forecaster, round(score, 6) AS score, round(se, 6) AS se, round(margin, 6) AS ci_margin, round(score - margin, 6) AS low, round(score + margin, 6) AS high, n_predictions FROM ci"""
+
+
 _pw = """q0 AS (SELECT DISTINCT event_ticker, CAST(1 + event_ticker % 17 AS DOUBLE) AS a FROM c WHERE wins > 0),
 q1 AS (SELECT quantile_cont(a, 0.25) AS lo, quantile_cont(a, 0.75) AS hi FROM q0),
 q2 AS (SELECT event_ticker, greatest(lo, least(hi, a)) AS a FROM q0, q1),
@@ -332,6 +359,9 @@ pt AS (SELECT y.category, hi, forecaster, sum(v) AS s, count(*) AS k FROM y JOIN
 us AS (SELECT category, forecaster, min(hi) AS since FROM pt GROUP BY ALL), lb AS (SELECT DISTINCT category, hi FROM pt),
 r AS (SELECT lb.category, lb.hi, us.forecaster, sum(s) / sum(k) AS v, CAST(sum(k) AS BIGINT) AS n FROM lb JOIN us ON us.category = lb.category AND since <= lb.hi JOIN pt ON pt.category = lb.category AND pt.forecaster = us.forecaster AND pt.hi <= lb.hi GROUP BY ALL)
 SELECT category, hi AS window_end, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY category, hi ORDER BY round(v, 9) DESC) AS rank FROM r""",
+        "bootstrap_ci": _brier.rstrip() + _resampled("s"),
+        "bootstrap_market_level": _base.rstrip() + _resampled("(SELECT forecaster, 1.0::DOUBLE AS weight, (p - o) * (p - o) AS score FROM x)"),
+        "bootstrap_roi": _bet.rstrip() + _resampled("t", "roi"),
         "bradley_terry": _skills + "SELECT forecaster AS username, round(th, 6) AS score, row_number() OVER (ORDER BY th DESC, forecaster) AS rank FROM t WHERE it = (SELECT max(it) FROM t)",
         "bradley_terry_trajectory": _skills + "SELECT it AS iteration, forecaster AS username, round(th, 6) AS score FROM t",
     }

@@ -501,9 +501,13 @@ def load_csv_challenge(spark, d):
     return _r(x, "odds", "no_odds", "said")
 
 
+def _interval(df: DataFrame) -> DataFrame:
+    return _r(df, "score", "se", "ci_margin", "low", "high")
+
+
 @query
 def bootstrap_ci(spark, d):
-    return resample.bootstrap(scores.brier_score(forecasts_wide(spark, d)))
+    return _interval(resample.bootstrap(scores.brier_score(forecasts_wide(spark, d))))
 
 
 @query
@@ -631,12 +635,12 @@ def sql_functions(spark, d):
 
 @query
 def bootstrap_roi(spark, d):
-    return resample.bootstrap(scores.average_return(forecasts_wide(spark, d)), how="roi")
+    return _interval(resample.bootstrap(scores.average_return(forecasts_wide(spark, d)), how="roi"))
 
 
 @query
 def bootstrap_market_level(spark, d):
-    return resample.bootstrap(scores.brier_score(forecasts_wide(spark, d), per_market=True))
+    return _interval(resample.bootstrap(scores.brier_score(forecasts_wide(spark, d), per_market=True)))
 
 
 @query

@@ -151,30 +151,6 @@ def test_item_response_reaches_the_mode(spark):
         models.item_response(scores, rounds=2)
 
 
-def test_bootstrap_against_plain_resamples(spark):
-    """Drawn in proportion to weights, and as quantiles, against resamples row by row."""
-    import numpy as np
-
-    g = np.random.default_rng(5)
-    s, w = g.random(300), g.integers(1, 6, 300).astype(float)
-    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(s, w)], "forecaster string, score double, weight double")
-    for by_weight in (False, True):
-        at = [g.choice(300, 300, p=w / w.sum() if by_weight else None) for _ in range(2000)]
-        plain = np.array([np.average(s[i], weights=w[i]) for i in at])
-        r = resample.bootstrap(df, samples=2000, by_weight=by_weight, symmetric=False).first()
-        assert r["se"] == pytest.approx(plain.std(), rel=0.1)
-        assert [r["low"], r["high"]] == pytest.approx(np.quantile(plain, [0.025, 0.975]), abs=0.25 * plain.std())
-    none = spark.createDataFrame([("a", 1.0, 0.0), ("a", 2.0, 0.0)], df.schema)
-    assert resample.bootstrap(none, samples=50).count() == 0
-
-
-def test_bootstrap_covers_the_mean(spark):
-    rng = random.Random(2)
-    rows = [("a", rng.random(), 1.0) for _ in range(400)]
-    r = resample.bootstrap(spark.createDataFrame(rows, "forecaster string, score double, weight double"), samples=300).first()
-    assert r["n_predictions"] == 400 and 0.01 < r["se"] < 0.02 and 0.02 < r["ci_margin"] < 0.04
-
-
 def test_replay(spark):
     problems, forecasts = challenge_frames(spark)
     x = challenge.rule_scores(problems, forecasts, "brier").withColumn("batch", F.when(F.col("problem_id") == "north", 0).otherwise(1))
