@@ -99,11 +99,12 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"://([^/?#:]*)", 1))
     segment = F.lower(F.regexp_extract(url, r"://[^/?#]*/([A-Za-z]{2})(?=[/?#]|\z)", 1))
+    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b([^<>]*+)", 1)  # of the first such tag
     page = pages.select(
         "page_id",
         host.alias("host"),
         F.when(segment != "", segment).otherwise(F.element_at(F.split(host, r"\."), -1)).alias("address"),
-        F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)).alias("declared"),
+        F.lower(F.regexp_extract(tag, r"(?is)\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)).alias("declared"),
         "html",
     )
     if not langs:
@@ -127,7 +128,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     # One host may have a large share of the pages: its rows stay where they are unless hosts are very many.
     x = x.join(small(cut(prior)), "host", "left")
     for key in ("address", "declared"):
-        x = x.join(_log_table(counts, key, langs), key, "left")
+        x = x.join(small(cut(_log_table(counts, key, langs))), key, "left")
     post = F.array(*(sum((F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for c in ("host_log", "address_log", "declared_log")), F.get("scores", F.lit(i))) for i in r))
     x = x.withColumn("post", post).withColumn("top", F.array_max("post"))
     share = 1 / F.aggregate("post", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))

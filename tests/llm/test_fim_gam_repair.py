@@ -263,3 +263,40 @@ def test_queries_match_sql(spark, name):
     rel = con.sql(Q.oracle_sql()[name])
     assert df.columns == rel.columns
     assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
+
+
+# -- time in the length of hostile texts ------------------------------------
+
+
+@pytest.mark.parametrize("piece", ["eyJabcdefgh", "token="])
+def test_secrets_in_hostile_texts(spark, piece):
+    import time
+
+    from oddsmith.llm import secrets
+
+    text = piece * ((1 << 20) // len(piece))
+    df = spark.createDataFrame([(1, text + " x.eyJ")], "doc_id long, text string")
+    t = time.perf_counter()
+    got = secrets.secret_spans(df).select(F.size("_spans")).first()[0]
+    assert time.perf_counter() - t < 60 and got >= 0  # most of it planning
+
+
+def test_signed_tokens_begin_a_run(spark):
+    from oddsmith.llm import secrets
+
+    token = "eyJabcdefgh1.eyJabcdefgh2.abcdefghij"
+    df = spark.createDataFrame([(1, f"x {token} ({token}) eyJ eyJabcdefgh1.x {token}")], "doc_id long, text string")
+    got = secrets.secret_spans(df).select(F.filter("_spans", lambda s: s["kind"] == "signed_token")).first()[0]
+    assert [(s["start"], s["end"]) for s in got] == [(2, 38), (40, 76), (97, 133)]
+
+
+@pytest.mark.parametrize("piece", ["<html ", "<script", "</script "])
+def test_language_of_hostile_pages(spark, piece):
+    import time
+
+    from oddsmith.llm import language
+
+    documents = spark.createDataFrame([(k, "le la les une dans pour" if k % 2 else "und der die das ist nicht", "fr" if k % 2 else "de") for k in range(20)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.de/", piece * ((1 << 20) // len(piece)))], "page_id long, url string, html string")
+    t = time.perf_counter()
+    assert len(language.identify(pages, documents).collect()) == 1 and time.perf_counter() - t < 30
