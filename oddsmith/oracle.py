@@ -359,6 +359,7 @@ pt AS (SELECT y.category, hi, forecaster, sum(v) AS s, count(*) AS k FROM y JOIN
 us AS (SELECT category, forecaster, min(hi) AS since FROM pt GROUP BY ALL), lb AS (SELECT DISTINCT category, hi FROM pt),
 r AS (SELECT lb.category, lb.hi, us.forecaster, sum(s) / sum(k) AS v, CAST(sum(k) AS BIGINT) AS n FROM lb JOIN us ON us.category = lb.category AND since <= lb.hi JOIN pt ON pt.category = lb.category AND pt.forecaster = us.forecaster AND pt.hi <= lb.hi GROUP BY ALL)
 SELECT category, hi AS window_end, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY category, hi ORDER BY round(v, 9) DESC) AS rank FROM r""",
+        "json_repair_props": "SELECT event_type, event_id % 6 AS damage, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(sum(CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END) AS BIGINT) AS \"left\", count(*) FILTER (event_id % 6 = 5) AS notes FROM (SELECT event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
         "bootstrap_ci": _brier.rstrip() + _resampled("s"),
         "bootstrap_market_level": _base.rstrip() + _resampled("(SELECT forecaster, 1.0::DOUBLE AS weight, (p - o) * (p - o) AS score FROM x)"),
         "bootstrap_roi": _bet.rstrip() + _resampled("t", "roi"),

@@ -15,6 +15,7 @@ from .plans.derive import forecasts_wide
 from .plans.lineage import shared_dir
 from .schema import violations
 from .sources import loaders
+from .sources.json_repair import tolerant_json
 from .streaming import live
 
 QUOTA = {"1-URGENT": 0.4, "2-HIGH": 0.3, "3-MEDIUM": 0.2, "5-LOW": 0.1}
@@ -376,6 +377,16 @@ def json_props_parse(spark, d):
     return x.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("k_sum"))
 
 
+@query
+def json_repair_props(spark, d):
+    """Properties of events, five of six damaged in a way of their own, and read all the same."""
+    text, kind = F.col("props"), F.col("event_id") % 6
+    damaged = F.when(kind == 1, F.rtrim(text, F.lit("}"))).when(kind == 2, F.replace(text, F.lit('"'), F.lit(""))).when(kind == 3, F.replace(text, F.lit(":"), F.lit(": /* note */ ")))
+    damaged = damaged.when(kind == 4, F.concat(F.lit("Answer: "), F.replace(text, F.lit("}"), F.lit(" 'left': [1, 2")))).when(kind == 5, F.replace(text, F.lit("}"), F.lit(', "note": "left open')))
+    x = spark.read.parquet(f"{d}/events.parquet").select("event_type", kind.alias("damage"), tolerant_json(damaged.otherwise(text), "k long, left array<int>, note string").alias("p"))
+    return x.groupBy("event_type", "damage").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("k_sum"), F.sum(F.coalesce(F.size("p.left"), F.lit(0))).alias("left"), F.count("p.note").alias("notes"))
+
+
 @query
 def live_windows(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("forecaster"), F.col("value").alias("score"), F.lit(1.0).alias("weight"))

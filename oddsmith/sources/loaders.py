@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized, smoothed
 from ..operators.select import min_counts, with_time_rank
+from .json_repair import tolerant_json
 
 ASKS = "map<string, struct<yes_ask: double, no_ask: double>>"
 INFO = "map<string, struct<title: string, open_time: string, close_time: string, liquidity: double, yes_ask: double, no_ask: double, yes_bid: double, no_bid: double>>"
@@ -24,12 +25,12 @@ _STRING = r"""\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'"""
 
 def lenient_json(col: Column, schema: str) -> Column:
     """JSON, or a Python literal of dicts, lists, strings and numbers; a comma before a closing
-    bracket is allowed in both. Names and commas inside of strings are left as they are."""
+    bracket is allowed in both. Names and commas inside of strings are left as they are. Texts that are damaged beyond that are repaired."""
     plain = F.regexp_replace(col, rf"(?s)({_STRING})|,(?=\s*[\]}}])", "$1")
     # Strings are matched first, so that what is in them is no name.
     parts = F.regexp_extract_all(plain, F.lit(rf"(?s){_STRING}|\b(?:None|True|False)\b|[^\"'NTF]++|."), F.lit(0))
     said = F.array_join(F.transform(parts, lambda x: F.when(x == "None", "null").when(x == "True", "true").when(x == "False", "false").otherwise(x)), "")
-    return F.from_json(said, schema, {"allowSingleQuotes": "true"})
+    return tolerant_json(col, schema, said)
 
 
 def _sorted_keys(m: Column) -> Column:
