@@ -123,6 +123,13 @@ SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_num
     )
 
 
+# Events that are not late where they arrive: `final` is the watermark at the end, `wm` that of a row's batch.
+_arrived = """WITH e AS (SELECT *, floor((epoch_us(ts) / 1e6 + event_id % 97 * 3600) / 864000) AS arrival, epoch_us(ts) // 1000 AS ms FROM events),
+m AS (SELECT arrival, max(ms) AS top FROM e GROUP BY arrival),
+w AS (SELECT arrival, max(top) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 172800000 AS wm, max(top) OVER () - 172800000 AS final FROM m),
+k AS (SELECT e.*, final FROM e JOIN w USING (arrival) WHERE wm IS NULL OR ms >= wm)"""
+
+
 def _mixed(x: str, out: str) -> str:
     """Columns that end in `out`, the 32-bit finaliser of x."""
     low = "4294967295::UBIGINT"
@@ -359,6 +366,11 @@ pt AS (SELECT y.category, hi, forecaster, sum(v) AS s, count(*) AS k FROM y JOIN
 us AS (SELECT category, forecaster, min(hi) AS since FROM pt GROUP BY ALL), lb AS (SELECT DISTINCT category, hi FROM pt),
 r AS (SELECT lb.category, lb.hi, us.forecaster, sum(s) / sum(k) AS v, CAST(sum(k) AS BIGINT) AS n FROM lb JOIN us ON us.category = lb.category AND since <= lb.hi JOIN pt ON pt.category = lb.category AND pt.forecaster = us.forecaster AND pt.hi <= lb.hi GROUP BY ALL)
 SELECT category, hi AS window_end, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY category, hi ORDER BY round(v, 9) DESC) AS rank FROM r""",
+        "live_daily_totals": _arrived + """, d AS (SELECT user_id, ms // 86400000 AS day, sum(value) AS s, count(*) AS n, any_value(final) AS final FROM k GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS forecaster, DATE '1970-01-01' + CAST(day AS INTEGER) AS day, round(sum(s) OVER u / sum(n) OVER u, 6) AS score, CAST(sum(n) OVER u AS BIGINT) AS n
+FROM d WHERE (day + 1) * 86400000 <= final WINDOW u AS (PARTITION BY user_id ORDER BY day)""",
+        "live_first_forecasts": _arrived + """, f AS (SELECT user_id || '/' || event_type AS forecast_id, any_value(final) AS final, min({'t': epoch_us(ts), 'seq': event_id, 'score': value}) AS b FROM k GROUP BY ALL)
+SELECT forecast_id, b.seq AS seq, b.score AS score FROM f WHERE b.t // 1000 + 1 <= final""",
         "json_repair_props": "SELECT event_type, event_id % 6 AS damage, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(sum(CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END) AS BIGINT) AS \"left\", count(*) FILTER (event_id % 6 = 5) AS notes FROM (SELECT event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
         "bootstrap_ci": _brier.rstrip() + _resampled("s"),
         "bootstrap_market_level": _base.rstrip() + _resampled("(SELECT forecaster, 1.0::DOUBLE AS weight, (p - o) * (p - o) AS score FROM x)"),

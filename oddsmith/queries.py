@@ -16,7 +16,7 @@ from .plans.lineage import shared_dir
 from .schema import violations
 from .sources import loaders
 from .sources.json_repair import tolerant_json
-from .streaming import live
+from .streaming import live, state
 
 QUOTA = {"1-URGENT": 0.4, "2-HIGH": 0.3, "3-MEDIUM": 0.2, "5-LOW": 0.1}
 _all: dict = {}
@@ -659,6 +659,32 @@ def bradley_terry_trajectory(spark, d):
     return _ranking(models.bradley_terry(*derive_challenge(spark, d), trajectory=True))
 
 
+def _arriving(spark, d, make, **columns) -> DataFrame:
+    """make(stream) over events that come up to four days after their time, in files of ten days of arrival: the stream is
+    started anew for each, goes on from its checkpoint, and ends when the files are processed."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", *(c.alias(k) for k, c in columns.items()))
+    arrival = F.floor((F.unix_micros("ts") / 1_000_000 + F.col("event_id") % 97 * 3600) / 864_000)
+    events = events.withColumn("arrival", arrival)
+    base, out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", None
+    for r in events.select("arrival").distinct().orderBy("arrival").collect():  # a row for each ten days
+        events.where(F.col("arrival") == r["arrival"]).write.mode("append").parquet(f"{base}/in")
+        stream = make(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+        out = state.run_available(stream, f"{base}/out", f"{base}/checkpoint")
+    return out
+
+
+@query
+def live_daily_totals(spark, d):
+    x = _arriving(spark, d, state.daily_totals, forecaster=F.col("user_id").cast("string"), score=F.col("value"), weight=F.lit(1.0))
+    return _r(x, "score")
+
+
+@query
+def live_first_forecasts(spark, d):
+    x = _arriving(spark, d, lambda s: state.first_forecasts(s.withColumnRenamed("event_id", "seq")), forecast_id=F.concat_ws("/", "user_id", "event_type"), score=F.col("value"))
+    return x.select("forecast_id", "seq", "score")
+
+
 @query
 def live_sessions(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("forecaster"), F.col("value").alias("score"))
