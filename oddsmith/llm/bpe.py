@@ -6,8 +6,8 @@ stand. A chunk is encoded once for as long as a worker's cache holds it (bounded
 by bytes); `chunks` counts how much of a corpus repeats. Then each join is
 repaired: the text between the nearest certain splits around it is encoded
 again, and where the ids disagree with those of the two chunks, they take their place.
-White space after another character is a certain split: the pre-tokenizer splits
-there whatever stands around, so ids agree exactly beyond it. Cuts without a certain split between
+White space after another character is a certain split, and so is a full-width mark after an
+ideograph: the pre-tokenizer splits there whatever stands around, so ids agree exactly beyond it. Cuts without a certain split between
 them and the next are given up, and their chunks merged.
 """
 
@@ -35,6 +35,8 @@ _CERTAIN[[*range(9, 14), *range(28, 33)]] = False
 _LAST, _PRIOR = np.zeros(256, bool), np.zeros(256, bool)
 _LAST[[*range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _PRIOR[[0x80, 0x81, 0x9A, 0xA0, 0xC2]] = True
+# The ideographic comma and full stop and the full-width ! , : ; ? as UTF-8 bytes.
+_MARKS = np.array([0xE38081, 0xE38082, 0xEFBC81, 0xEFBC8C, 0xEFBC9A, 0xEFBC9B, 0xEFBC9F])
 
 
 class Codec:
@@ -135,10 +137,16 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def _certain(data: np.ndarray) -> np.ndarray:
-    """Places where the pre-tokenizer splits whatever stands around: white space after another character."""
+    """Places where the pre-tokenizer splits whatever stands around: white space after another character, a full-width mark after an ideograph."""
     fine = _CERTAIN[data[:-1]] & SPACE[data[1:]]
     fine[1:] &= ~(_LAST[data[1:-1]] & _PRIOR[data[:-2]])
     fine[:1] &= data[:1] < 128
+    if len(data) > 6 and (wide := np.flatnonzero((data[3:-2] == 0xE3) | (data[3:-2] == 0xEF))).size:
+        # A full-width mark right after an ideograph (U+5000 to U+9FBF) begins a piece of its own: no letter, number or space.
+        prior, b, c = data[wide], data[wide + 4].astype(np.int32), data[wide + 5]
+        mark = (data[wide + 3].astype(np.int32) << 16 | b << 8 | c)
+        ideograph = (prior >= 0xE5) & (prior <= 0xE9) & ~((prior == 0xE9) & (data[wide + 1] == 0xBF)) & (data[wide + 1] & 0xC0 == 0x80) & (data[wide + 2] & 0xC0 == 0x80)
+        fine[wide[ideograph & np.isin(mark, _MARKS)] + 2] = True
     return np.flatnonzero(fine) + 1
 
 

@@ -300,3 +300,17 @@ def test_language_of_hostile_pages(spark, piece):
     pages = spark.createDataFrame([(1, "http://a.de/", piece * ((1 << 20) // len(piece)))], "page_id long, url string, html string")
     t = time.perf_counter()
     assert len(language.identify(pages, documents).collect()) == 1 and time.perf_counter() - t < 30
+
+
+def test_bpe_of_chinese_texts():
+    from tokenizers import Tokenizer
+
+    from oddsmith.llm import bpe
+
+    path = Q.vocabulary()
+    codec, plain, r = bpe.Codec(path), Tokenizer.from_file(path), random.Random(4)
+    some = [chr(r.randrange(0x4E00, 0xA000)) for _ in range(300)] + list("䷀鿿ア・한a1 é")
+    texts = ["".join(r.choice(some) if r.random() < 0.92 else r.choice("。，、！？；：「」.,'s 　") for _ in range(r.choice([50, 600, 3000]))) for _ in range(200)]
+    texts.append("".join(chr(r.randrange(0x5000, 0x9F00)) if r.random() < 0.95 else "。" for _ in range(100_000)))
+    rows = list(bpe._rows(codec, pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), more=True))
+    assert all(plain.encode(t, add_special_tokens=False).ids == ids.tolist() for t, (ids, _, _) in zip(texts, rows)) and rows[-1][1] > 100
