@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sql as sql_scores
 from .functions.vectors import bets_crra, bets_log, bets_neutral, normalized
-from .operators import calibration, challenge, diagnostics, models, ranking, replay, resample, scores, select
+from .operators import bayes, calibration, challenge, diagnostics, models, ranking, replay, resample, scores, select
 from .plans.derive import challenge as derive_challenge
 from .plans.derive import forecasts_wide
 from .plans.lineage import shared_dir
@@ -526,11 +526,26 @@ def bradley_terry(spark, d):
     return _ranking(models.bradley_terry(*derive_challenge(spark, d)))
 
 
+def _last_errors(spark, d) -> DataFrame:
+    """(username, problem_id, score): the raw Brier score of each forecaster's last forecast."""
+    problems, forecasts = derive_challenge(spark, d)
+    x = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier_raw")
+    return x.groupBy("username", "problem_id").agg(F.max_by("score", "forecast_seq").alias("score"))
+
+
 @query
 def irt_abilities(spark, d):
-    problems, forecasts = derive_challenge(spark, d)
-    x = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier_raw").select("username", "problem_id", "score")
-    return models.item_response(x)
+    return models.item_response(_last_errors(spark, d))
+
+
+@query
+def irt_mcmc(spark, d):
+    return bayes.item_response_mcmc(_last_errors(spark, d))
+
+
+@query
+def irt_svi(spark, d):
+    return bayes.item_response_svi(_last_errors(spark, d))
 
 
 @query
