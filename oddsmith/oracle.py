@@ -42,10 +42,10 @@ _E = """
 e1 AS (SELECT event_ticker, min((forecaster, round)) AS pick FROM m GROUP BY event_ticker),
 fe AS (SELECT l.* FROM l JOIN e1 ON l.event_ticker = e1.event_ticker AND l.forecaster = e1.pick[1] AND l.round = e1.pick[2])"""
 _C = """
-c0 AS (SELECT forecaster, event_ticker, category, close_time, snapshot_time, mkt, o, p AS u, p + 0.01::DOUBLE AS v, least(0.995::DOUBLE, greatest(0.005::DOUBLE, q)) AS q, least(0.995::DOUBLE, greatest(0.005::DOUBLE, n)) AS n FROM m WHERE round = 1),
+c0 AS (SELECT forecaster, event_ticker, CAST(epoch(snapshot_time) AS BIGINT) * 10 + round AS seq, category, close_time, snapshot_time, mkt, o, p AS u, p + 0.01::DOUBLE AS v, least(0.995::DOUBLE, greatest(0.005::DOUBLE, q)) AS q, least(0.995::DOUBLE, greatest(0.005::DOUBLE, n)) AS n FROM m),
 c AS (
   SELECT *, CASE WHEN abs(sum(v) OVER w - 1) <= 1e-6 THEN v ELSE v / sum(v) OVER w END AS p, count(*) OVER w AS k, sum(o) OVER w AS wins
-  FROM c0 WINDOW w AS (PARTITION BY forecaster, event_ticker)
+  FROM c0 WINDOW w AS (PARTITION BY forecaster, event_ticker, seq)
 )"""
 
 
@@ -74,20 +74,22 @@ def _rule(score: str, weight: str = "") -> str:
     return (
         _chal
         + (f", {weight} " if weight else "")
-        + f""", y AS (SELECT forecaster, event_ticker, {score} AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
-g AS (SELECT forecaster, avg({scaled}) AS v, count(*) AS k, min(event_ticker) AS seen FROM y {join} GROUP BY forecaster)
+        + f""", y AS (SELECT forecaster, event_ticker, seq, {score} AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
+g AS (SELECT forecaster, avg({scaled}) AS v, count(*) AS k, min(seq) AS seen FROM y {join} GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g"""
     )
 
 
 _earn_tail = """
-g AS (SELECT forecaster, avg(v) AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+yl AS (SELECT forecaster, event_ticker, arg_max(v, seq) AS v, max(seq) AS seq FROM y GROUP BY ALL),
+g AS (SELECT forecaster, avg(v) AS v, count(*) AS k, min(seq) AS seen FROM yl GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g"""
+_last = ", yl AS (SELECT forecaster, event_ticker, arg_max(v, seq) AS v FROM y GROUP BY forecaster, event_ticker)"
 _flip = """, z AS (SELECT *, (1 - p) / n - p / q > 1e-9 AS flip FROM c),
 z2 AS (SELECT *, CASE WHEN flip THEN 1 - p ELSE p END AS fp, CASE WHEN flip THEN n ELSE q END AS fq, CASE WHEN flip THEN 1 - o ELSE o END AS fo FROM z)"""
-_log_y = """y AS (SELECT forecaster, event_ticker, sum(fp / fq * fo) / sum(fp / fq * fq) AS v FROM z2 GROUP BY forecaster, event_ticker)"""
+_log_y = """y AS (SELECT forecaster, event_ticker, seq, sum(fp / fq * fo) / sum(fp / fq * fq) AS v FROM z2 GROUP BY forecaster, event_ticker, seq)"""
 _z = "1.959963984540054::DOUBLE"
-_skills = _chal.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT forecaster, event_ticker, coalesce(arg_min(p, mkt) FILTER (WHERE o = 1), 0) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+_skills = _chal.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT forecaster, event_ticker, arg_max(p, seq) AS p FROM (SELECT forecaster, event_ticker, seq, coalesce(arg_min(p, mkt) FILTER (WHERE o = 1), 0) AS p FROM c WHERE wins > 0 GROUP BY ALL) GROUP BY ALL),
 t AS (
   SELECT 0 AS it, forecaster, 1.0::DOUBLE AS th, 1e9::DOUBLE AS far FROM (SELECT DISTINCT forecaster FROM b)
   UNION ALL
@@ -105,20 +107,20 @@ t AS (
 def _fill(p: str, q: str, source: str) -> str:
     """st: source with `stake`, the approximate stakes at a risk aversion of 0.5."""
     return f""", w1 AS (SELECT *, round({p} / {q} - 1, 12) AS a, {p} * (1 - {p}) / ({q} * {q}) AS b FROM {source}),
-w2 AS (SELECT *, first_value(a) OVER (PARTITION BY forecaster, event_ticker ORDER BY mkt) AS a0, max(a) OVER (PARTITION BY forecaster, event_ticker) AS top, arg_max(mkt, (a, -mkt)) OVER (PARTITION BY forecaster, event_ticker) AS best, count(*) OVER (PARTITION BY forecaster, event_ticker) AS kk FROM w1),
-w3 AS (SELECT *, max(abs(a - a0)) OVER (PARTITION BY forecaster, event_ticker) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(a0) AS alike,
-  (sum(CASE WHEN a > 0 THEN a / b END) OVER s - 0.5::DOUBLE) / sum(CASE WHEN a > 0 THEN 1 / b END) OVER s AS lam, lead(a) OVER s AS next, row_number() OVER s AS pos FROM w2 WINDOW s AS (PARTITION BY forecaster, event_ticker ORDER BY a DESC, mkt ROWS UNBOUNDED PRECEDING)),
-w4 AS (SELECT *, min(CASE WHEN a > 0 AND (next IS NULL OR next <= 0 OR next <= lam) THEN pos END) OVER (PARTITION BY forecaster, event_ticker) AS stop FROM w3),
-w5 AS (SELECT *, max(CASE WHEN pos = stop THEN lam END) OVER (PARTITION BY forecaster, event_ticker) AS level FROM w4),
+w2 AS (SELECT *, first_value(a) OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY mkt) AS a0, max(a) OVER (PARTITION BY forecaster, event_ticker, seq) AS top, arg_max(mkt, (a, -mkt)) OVER (PARTITION BY forecaster, event_ticker, seq) AS best, count(*) OVER (PARTITION BY forecaster, event_ticker, seq) AS kk FROM w1),
+w3 AS (SELECT *, max(abs(a - a0)) OVER (PARTITION BY forecaster, event_ticker, seq) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(a0) AS alike,
+  (sum(CASE WHEN a > 0 THEN a / b END) OVER s - 0.5::DOUBLE) / sum(CASE WHEN a > 0 THEN 1 / b END) OVER s AS lam, lead(a) OVER s AS next, row_number() OVER s AS pos FROM w2 WINDOW s AS (PARTITION BY forecaster, event_ticker, seq ORDER BY a DESC, mkt ROWS UNBOUNDED PRECEDING)),
+w4 AS (SELECT *, min(CASE WHEN a > 0 AND (next IS NULL OR next <= 0 OR next <= lam) THEN pos END) OVER (PARTITION BY forecaster, event_ticker, seq) AS stop FROM w3),
+w5 AS (SELECT *, max(CASE WHEN pos = stop THEN lam END) OVER (PARTITION BY forecaster, event_ticker, seq) AS level FROM w4),
 w6 AS (SELECT *, CASE WHEN pos <= stop AND a > level THEN (a - level) / (0.5::DOUBLE * b) ELSE 0 END AS x FROM w5),
-st AS (SELECT *, CASE WHEN alike THEN 1.0::DOUBLE / kk WHEN top <= 0 THEN CASE WHEN mkt = best THEN 1 ELSE 0 END ELSE x / sum(x) OVER (PARTITION BY forecaster, event_ticker) END AS stake FROM w6)"""
+st AS (SELECT *, CASE WHEN alike THEN 1.0::DOUBLE / kk WHEN top <= 0 THEN CASE WHEN mkt = best THEN 1 ELSE 0 END ELSE x / sum(x) OVER (PARTITION BY forecaster, event_ticker, seq) END AS stake FROM w6)"""
 
 
 def _other_rule(how: str) -> str:
     return (
         _chal
-        + f""", y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
-g AS (SELECT forecaster, {how} AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+        + f""", y AS (SELECT forecaster, event_ticker, seq, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
+g AS (SELECT forecaster, {how} AS v, count(*) AS k, min(seq) AS seen FROM y GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g"""
     )
 
@@ -233,21 +235,21 @@ def oracle_sql() -> dict[str, str]:
         "rule_log": _rule("avg(ln(greatest(p, 0.01::DOUBLE))) FILTER (WHERE o = 1)"),
         "rule_spherical": _rule("sum(p * o) / sqrt(sum(p * p))"),
         "weighted_brier": _rule("1 - avg((p - o) * (p - o))", _pw),
-        "rule_by_category": _chal + f", s AS (SELECT forecaster, event_ticker, category, avg((p - o) * (p - o)) AS score, 1.0::DOUBLE AS weight FROM c WHERE wins > 0 GROUP BY ALL), u AS (SELECT category, forecaster, score, weight FROM s UNION ALL SELECT '(overall)', forecaster, score, weight FROM s) {_rank('u', by='category')}",
+        "rule_by_category": _chal + f", s AS (SELECT forecaster, event_ticker, seq, category, avg((p - o) * (p - o)) AS score, 1.0::DOUBLE AS weight FROM c WHERE wins > 0 GROUP BY ALL), u AS (SELECT category, forecaster, score, weight FROM s UNION ALL SELECT '(overall)', forecaster, score, weight FROM s) {_rank('u', by='category')}",
         "crowd_probs": _chal + "SELECT event_ticker AS problem_id, mkt AS option, round(avg(p), 6) AS crowd_prob FROM c GROUP BY ALL",
-        "bets_neutral_stakes": _chal + ", y AS (SELECT forecaster, mkt, CASE WHEN row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(p / q + 3.3e-10, 9) DESC, mkt) = 1 THEN 1 / q ELSE 0 END AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
+        "bets_neutral_stakes": _chal + ", y AS (SELECT forecaster, mkt, CASE WHEN row_number() OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY round(p / q + 3.3e-10, 9) DESC, mkt) = 1 THEN 1 / q ELSE 0 END AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "bets_log_stakes": _chal + ", y AS (SELECT forecaster, mkt, p / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
-        "bets_crra_stakes": _chal + ", y AS (SELECT forecaster, mkt, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker) / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
-        "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round(fp / fq + 3.3e-10, 9) DESC, mkt) = 1)," + _earn_tail,
+        "bets_crra_stakes": _chal + ", y AS (SELECT forecaster, mkt, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker, seq) / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
+        "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, seq, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY round(fp / fq + 3.3e-10, 9) DESC, mkt) = 1)," + _earn_tail,
         "avg_return_binary_log": _chal + _flip + ", " + _log_y + "," + _earn_tail,
-        "avg_return_market_two_way": _chal + ", y AS (SELECT forecaster, event_ticker, avg(CASE WHEN o = 1 THEN p / q ELSE (1 - p) / n END) AS v FROM c GROUP BY forecaster, event_ticker)," + _earn_tail,
-        "sharpe_of_earnings": _chal + _flip + ", " + _log_y + " SELECT forecaster AS username, round((avg(v) - 1) / (stddev_pop(v) + 1e-8), 6) AS score FROM y GROUP BY forecaster",
+        "avg_return_market_two_way": _chal + ", y AS (SELECT forecaster, event_ticker, seq, avg(CASE WHEN o = 1 THEN p / q ELSE (1 - p) / n END) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
+        "sharpe_of_earnings": _chal + _flip + ", " + _log_y + _last + " SELECT forecaster AS username, round((avg(v) - 1) / (stddev_pop(v) + 1e-8), 6) AS score FROM yl GROUP BY forecaster",
         "spearman": _both_ranks + "SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS correlation FROM r",
         "kendall_tau_a": _both_ranks + "SELECT round(sum(CAST(sign(x.a - y.a) * sign(x.b - y.b) AS DOUBLE)) / any_value((SELECT count(*) * (count(*) - 1) / 2.0 FROM r)), 6) AS correlation FROM r x JOIN r y ON x.forecaster < y.forecaster",
         "stream_every_k_days": _days(180),
         "stream_every_k_days_by_category": _days(365, "category"),
         "stream_batches_cumulative": _chal + """, pr AS (SELECT event_ticker, (row_number() OVER (ORDER BY event_ticker) - 1) // 1000 AS batch FROM (SELECT DISTINCT event_ticker FROM c WHERE wins > 0)),
-y AS (SELECT forecaster, batch, event_ticker, 1 - avg((p - o) * (p - o)) AS v FROM c JOIN pr USING (event_ticker) GROUP BY ALL),
+y AS (SELECT forecaster, batch, event_ticker, seq, 1 - avg((p - o) * (p - o)) AS v FROM c JOIN pr USING (event_ticker) GROUP BY ALL),
 g AS (SELECT b.batch, y.forecaster, avg(v) AS v, count(*) AS n FROM (SELECT DISTINCT batch FROM y) b JOIN y ON y.batch <= b.batch GROUP BY ALL)
 SELECT batch, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY batch ORDER BY round(v, 9) DESC) AS rank FROM g""",
         "filter_min_counts": _with(_F) + ", y AS (SELECT e, forecaster || '/' || (e % 500) AS username FROM f), a AS (SELECT e FROM y GROUP BY e HAVING count(*) >= 12), b AS (SELECT username FROM y JOIN a USING (e)) SELECT username, count(*) AS n FROM b GROUP BY username HAVING count(*) >= 40",
@@ -264,19 +266,19 @@ kept AS (SELECT e, category FROM o, n WHERE k <= CAST(floor(lowest * share) AS B
 SELECT category, count(*) AS n_events, CAST(sum(e * (SELECT count(*) FROM f WHERE f.e = kept.e)) AS BIGINT) AS id_sum FROM kept GROUP BY category""",
         "json_props_parse": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS BIGINT)) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",
         "live_windows": "SELECT date_trunc('day', ts) AS window_start, event_type AS forecaster, round(sum(value) / count(*), 6) AS score, count(*) AS n FROM events GROUP BY ALL",
-        "problem_violations": _with(_F, _M) + "SELECT 'weight is negative' AS rule, count(*) AS n FROM (SELECT DISTINCT forecaster, event_ticker FROM m WHERE round = 1 AND event_ticker % 10 = 3)",
-        "rule_median": _chal + """, y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
-g AS (SELECT forecaster, median(v) AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+        "problem_violations": _with(_F, _M) + "SELECT 'weight is negative' AS rule, count(*) AS n FROM (SELECT DISTINCT forecaster, event_ticker, round FROM m WHERE event_ticker % 10 = 3)",
+        "rule_median": _chal + """, y AS (SELECT forecaster, event_ticker, seq, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
+g AS (SELECT forecaster, median(v) AS v, count(*) AS k, min(seq) AS seen FROM y GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g""",
-        "first_option_brier": _chal + """, y AS (SELECT forecaster, event_ticker, arg_min(p, mkt) FILTER (WHERE o = 1) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
-g AS (SELECT forecaster, avg((1 - p) * (1 - p)) AS v, count(*) AS k, min(event_ticker) AS seen FROM y GROUP BY forecaster)
+        "first_option_brier": _chal + """, y AS (SELECT forecaster, event_ticker, seq, arg_min(p, mkt) FILTER (WHERE o = 1) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
+g AS (SELECT forecaster, avg((1 - p) * (1 - p)) AS v, count(*) AS k, min(seq) AS seen FROM y GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9), seen, forecaster) AS rank FROM g""",
-        "avg_return_event_bets": _chal + ", y AS (SELECT forecaster, event_ticker, sum(p / q * o) AS v FROM c GROUP BY forecaster, event_ticker)," + _earn_tail,
+        "avg_return_event_bets": _chal + ", y AS (SELECT forecaster, event_ticker, seq, sum(p / q * o) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
         "calibration_ranking": _chal + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: u >= e)) - 1, 9)) AS bin, u, o FROM c), z AS (SELECT forecaster, bin, avg(u) AS a, avg(o) AS b, count(*) AS k FROM y GROUP BY ALL), r AS (SELECT forecaster, sum(abs(a - b) * k) / sum(k) AS v FROM z GROUP BY forecaster) SELECT forecaster AS username, round(v, 6) AS score, row_number() OVER (ORDER BY round(v, 9), forecaster) - 1 AS rank FROM r",
         "reliability_details": _with(_F, _M) + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: p >= e)) - 1, 9)) AS bin, p, o FROM m) SELECT forecaster, bin, round(avg(p), 6) AS confidence, round(avg(o), 6) AS accuracy, count(*) AS count, round((bin + 0.5::DOUBLE) / 10, 6) AS center, 0.1::DOUBLE AS width, round(count(*) / sum(count(*)) OVER (PARTITION BY forecaster), 6) AS share FROM y GROUP BY forecaster, bin",
-        "correlation_grid": _chal + """, y AS (SELECT forecaster, event_ticker, 1 - avg((p - o) * (p - o)) AS brier, avg(ln(greatest(p, 0.01::DOUBLE))) FILTER (WHERE o = 1) AS log, sum(p * o) / sqrt(sum(p * p)) AS spherical FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker),
+        "correlation_grid": _chal + """, y AS (SELECT forecaster, event_ticker, seq, 1 - avg((p - o) * (p - o)) AS brier, avg(ln(greatest(p, 0.01::DOUBLE))) FILTER (WHERE o = 1) AS log, sum(p * o) / sqrt(sum(p * p)) AS spherical FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
 g AS (UNPIVOT (SELECT forecaster, avg(brier) AS brier, avg(log) AS log, avg(spherical) AS spherical FROM y GROUP BY forecaster) ON brier, log, spherical INTO NAME method VALUE v),
-s AS (SELECT forecaster, min(event_ticker) AS seen FROM y GROUP BY forecaster),
+s AS (SELECT forecaster, min(seq) AS seen FROM y GROUP BY forecaster),
 r AS (SELECT method, forecaster, CAST(row_number() OVER (PARTITION BY method ORDER BY round(v, 9) DESC, seen, forecaster) AS DOUBLE) AS rank FROM g JOIN s USING (forecaster)),
 ab AS (SELECT a.method AS method_a, b.method AS method_b, forecaster, a.rank AS a, b.rank AS b FROM r a JOIN r b USING (forecaster) WHERE a.method < b.method),
 sp AS (SELECT method_a, method_b, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rho FROM ab GROUP BY ALL),
@@ -307,7 +309,7 @@ SELECT forecaster, day, round(v, 6) AS score, n AS n_predictions, rank() OVER (P
         "live_sessions": """WITH a AS (SELECT event_type, ts, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
 SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, event_type AS forecaster, round(avg(value), 6) AS score, count(*) AS n FROM b GROUP BY event_type, g""",
-        "stream_over_time_buckets": _with(_F).replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT d, count(*) AS n FROM (SELECT DISTINCT e, CAST(close_time AS DATE) AS d FROM f WHERE rnd = 1) GROUP BY d),
+        "stream_over_time_buckets": _with(_F).replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT d, count(*) AS n FROM (SELECT DISTINCT e, CAST(close_time AS DATE) AS d FROM f) GROUP BY d),
 x AS (SELECT min(d) AS first, max(d) AS last FROM c),
 w AS (
   SELECT first - 1 AS lo, first + 7 AS hi, (SELECT sum(n) FROM c WHERE d <= (SELECT first + 7 FROM x)) AS held FROM x
@@ -316,9 +318,9 @@ w AS (
   FROM (SELECT CASE WHEN held >= 50 THEN hi ELSE lo END AS lo, hi + 7 AS hi FROM w, x WHERE hi < x.last) v
 )
 SELECT hi AS window_end, CAST(held AS BIGINT) AS n_problems FROM w, x WHERE held >= 50 OR (hi >= x.last AND held > 0)""",
-        "crra_waterfill": _chal + _fill("p", "q", "c") + " SELECT forecaster AS username, event_ticker AS problem_id, mkt AS option, round(stake, 6) AS stake FROM st",
-        "avg_return_binary_approx": _chal + _flip + _fill("fp", "fq", "z2") + ", y AS (SELECT forecaster, event_ticker, sum(stake / fq * fo) / sum(stake / fq * fq) AS v FROM st GROUP BY forecaster, event_ticker)," + _earn_tail,
-        "sharpe_relative": _chal + _flip + ", " + _log_y + ", r AS (SELECT y.forecaster, y.v - b.v AS v FROM y JOIN y b ON b.event_ticker = y.event_ticker AND b.forecaster = 'EUROPE') SELECT forecaster AS username, round(avg(v) / (stddev_pop(v) + 1e-8), 6) AS score FROM r GROUP BY forecaster",
+        "crra_waterfill": _chal + _fill("p", "q", "c") + " SELECT forecaster AS username, event_ticker AS problem_id, seq AS forecast_seq, mkt AS option, round(stake, 6) AS stake FROM st",
+        "avg_return_binary_approx": _chal + _flip + _fill("fp", "fq", "z2") + ", y AS (SELECT forecaster, event_ticker, seq, sum(stake / fq * fo) / sum(stake / fq * fq) AS v FROM st GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
+        "sharpe_relative": _chal + _flip + ", " + _log_y + _last + ", r AS (SELECT y.forecaster, y.v - b.v AS v FROM yl AS y JOIN yl AS b ON b.event_ticker = y.event_ticker AND b.forecaster = 'EUROPE') SELECT forecaster AS username, round(avg(v) / (stddev_pop(v) + 1e-8), 6) AS score FROM r GROUP BY forecaster",
         "rule_max": _other_rule("max(v)"),
         "rule_own_aggregate": _other_rule("quantile_cont(v, 0.9)"),
         "rank_auto": _brier + _rank("s", "avg(score)"),
@@ -332,10 +334,10 @@ SELECT category, forecaster, day, round(v, 6) AS score, n AS n_predictions, rank
         "load_nightly": _with(_F, _M) + """, y AS (SELECT forecaster, event_ticker, round, category, any_value(close_time) AS close_time, sum(q + n) AS asks, count(*) AS k FROM m WHERE forecaster <> 'ASIA' GROUP BY ALL),
 z AS (SELECT *, row_number() OVER (PARTITION BY forecaster, event_ticker ORDER BY round DESC) - 1 AS tr FROM y)
 SELECT forecaster, category, count(*) AS n, round(sum(asks), 5) AS asks, CAST(sum(k) AS BIGINT) AS n_markets, round(avg(tr), 5) AS time_rank, max(close_time) AS last_close FROM z GROUP BY forecaster, category""",
-        "load_json_challenge": _chal + """, y AS (SELECT forecaster, event_ticker, any_value(close_time) AS close_time, 1 - sum((p - CASE WHEN mkt = fw THEN 1 ELSE 0 END) ** 2) / any_value(k) AS v FROM (SELECT *, min(CASE WHEN o = 1 THEN mkt END) OVER (PARTITION BY forecaster, event_ticker) AS fw FROM c) WHERE wins > 0 GROUP BY forecaster, event_ticker)
+        "load_json_challenge": _chal + """, y AS (SELECT forecaster, event_ticker, seq, any_value(close_time) AS close_time, 1 - sum((p - CASE WHEN mkt = fw THEN 1 ELSE 0 END) ** 2) / any_value(k) AS v FROM (SELECT *, min(CASE WHEN o = 1 THEN mkt END) OVER (PARTITION BY forecaster, event_ticker, seq) AS fw FROM c) WHERE wins > 0 GROUP BY forecaster, event_ticker, seq)
 SELECT forecaster AS username, round(avg(v), 6) AS score, count(*) AS n, max(CAST(close_time AS DATE)) AS last_end FROM y GROUP BY forecaster""",
-        "load_csv_challenge": _chal + """, f1 AS (SELECT forecaster, event_ticker, any_value(wins) AS wins, arg_min(q, mkt) AS q, arg_min(n, mkt) AS n, arg_min(u, mkt) AS u FROM c GROUP BY forecaster, event_ticker),
-b AS (SELECT 'market-baseline' AS forecaster, event_ticker, any_value(wins) AS wins, avg(q) AS q, avg(n) AS n, avg(q) AS u FROM f1 GROUP BY event_ticker)
+        "load_csv_challenge": _chal + """, f1 AS (SELECT forecaster, event_ticker, seq, any_value(wins) AS wins, arg_min(q, mkt) AS q, arg_min(n, mkt) AS n, arg_min(u, mkt) AS u FROM c GROUP BY forecaster, event_ticker, seq),
+b AS (SELECT 'market-baseline' AS forecaster, event_ticker, 0 AS seq, any_value(wins) AS wins, avg(q) AS q, avg(n) AS n, avg(q) AS u FROM f1 GROUP BY event_ticker)
 SELECT forecaster AS username, count(*) AS n, CAST(sum(wins) AS BIGINT) AS n_won, round(avg(q), 6) AS odds, round(avg(n), 6) AS no_odds, round(avg(u), 6) AS said FROM (FROM f1 UNION ALL FROM b) GROUP BY forecaster""",
         "dilution_regression_full": _base + f""", y AS (SELECT forecaster, event_ticker, avg(o) AS g, CAST(count(*) AS DOUBLE) AS k, avg((p - o) * (p - o)) AS v FROM x GROUP BY ALL),
 a AS (SELECT *, avg(g) OVER w AS mg, avg(k) OVER w AS mk, avg(v) OVER w AS mv FROM y WINDOW w AS (PARTITION BY forecaster)),
@@ -361,7 +363,7 @@ w AS (
   FROM (SELECT w.category, CASE WHEN held >= 200 THEN hi ELSE lo END AS lo, hi + 30 AS hi FROM w JOIN x ON x.category = w.category WHERE hi < x.last) v
 ),
 ww AS (SELECT w.* FROM w JOIN x ON x.category = w.category WHERE held >= 200 OR (hi >= x.last AND held > 0)),
-y AS (SELECT forecaster, event_ticker, category, CAST(any_value(close_time) AS DATE) AS d, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, category),
+y AS (SELECT forecaster, event_ticker, seq, category, CAST(any_value(close_time) AS DATE) AS d, 1 - avg((p - o) * (p - o)) AS v FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, category, seq),
 pt AS (SELECT y.category, hi, forecaster, sum(v) AS s, count(*) AS k FROM y JOIN ww ON ww.category = y.category AND d > lo AND d <= hi GROUP BY ALL),
 us AS (SELECT category, forecaster, min(hi) AS since FROM pt GROUP BY ALL), lb AS (SELECT DISTINCT category, hi FROM pt),
 r AS (SELECT lb.category, lb.hi, us.forecaster, sum(s) / sum(k) AS v, CAST(sum(k) AS BIGINT) AS n FROM lb JOIN us ON us.category = lb.category AND since <= lb.hi JOIN pt ON pt.category = lb.category AND pt.forecaster = us.forecaster AND pt.hi <= lb.hi GROUP BY ALL)

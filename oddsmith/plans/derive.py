@@ -38,12 +38,13 @@ def forecasts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def challenge(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(problems, forecasts) of the challenge form: round 1, probabilities made to sum to 1."""
+    """(problems, forecasts) of the challenge form: every round is a forecast, in the order of its time; probabilities are made to sum to 1."""
     from ..functions.vectors import normalized, smoothed
 
-    wide = forecasts_wide(spark, sf_dir).where("round = 1")
+    wide = forecasts_wide(spark, sf_dir)
+    seq = (F.unix_seconds("snapshot_time") * 10 + F.col("round")).alias("forecast_seq")
     forecasts = wide.select(
-        F.concat_ws("-", "forecaster", "event_ticker").alias("forecast_id"), F.col("event_ticker").alias("problem_id"), F.col("event_ticker").alias("forecast_seq"),
+        F.concat_ws("-", "forecaster", "event_ticker", "round").alias("forecast_id"), F.col("event_ticker").alias("problem_id"), seq,
         F.col("forecaster").alias("username"), F.col("snapshot_time").alias("timestamp"), normalized(F.transform("prediction", lambda p: p + 0.01)).alias("probs"),
         F.col("prediction").alias("unnormalized_probs"), "weight", smoothed("odds").alias("odds"), smoothed("no_odds").alias("no_odds"),
     )

@@ -403,8 +403,8 @@ def problem_violations(spark, d):
 
 @query
 def crra_waterfill(spark, d):
-    x = challenge.waterfill_bets(derive_challenge(spark, d)[1], 0.5).select("username", "problem_id", F.posexplode("stakes").alias("option", "stake"))
-    return _r(x.select("username", "problem_id", "option", "stake"), "stake")
+    x = challenge.waterfill_bets(derive_challenge(spark, d)[1], 0.5).select("username", "problem_id", "forecast_seq", F.posexplode("stakes").alias("option", "stake"))
+    return _r(x, "stake")
 
 
 @query
@@ -487,7 +487,7 @@ def load_nightly(spark, d):
 @query
 def load_json_challenge(spark, d):
     """Problems and predictions written as JSON, and loaded from it."""
-    x = forecasts_wide(spark, d).where("round = 1")
+    x = forecasts_wide(spark, d)
     said = x.select(F.col("event_ticker").cast("string").alias("problem_id"), F.col("forecaster").alias("username"), F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.transform("prediction", lambda p: p + 0.01).alias("prediction"))
     name = lambda i: F.concat(F.lit("m"), i.cast("string"))
     first = F.array_position("outcome", 1.0)
@@ -502,7 +502,7 @@ def load_json_challenge(spark, d):
 @query
 def load_csv_challenge(spark, d):
     """Forecasts with their market states written as one CSV file, and loaded from it, with the market as a forecaster."""
-    x = forecasts_wide(spark, d).where("round = 1")
+    x = forecasts_wide(spark, d)
     state = F.to_json(_markets(lambda i: F.struct(F.lit(100.0 + 0).alias("liquidity"), F.round(100 * F.get("odds", i)).alias("yes_ask"), F.round(100 * F.get("no_odds", i)).alias("no_ask"), F.date_format("close_time", "yyyy-MM-dd").alias("close_time"))))
     rows = x.select("event_ticker", F.col("forecaster").alias("predictor_name"), F.to_json(_said("prediction")).alias("prediction"), state.alias("market_info"), F.to_json(_markets(lambda i: F.get("outcome", i))).alias("market_outcome"), "category")
     problems, forecasts = loaders.CsvChallenge.from_file(spark, _written(spark, rows, "csv"), market_baseline=True).load()
