@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, numbered
+
 
 def z_score(level: float) -> float:
     """The two-sided normal quantile."""
@@ -94,13 +98,89 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.agg(F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0)).alias("correlation"))
 
 
+BLOCK = 1 << 16  # names whose pairs one task counts, at least
+_MOST_PARTS = 1_000  # into which longer lists are cut
+
+
+def inversions(p: np.ndarray) -> int:
+    """Pairs of a permutation of 0 to n - 1 that stand in descending order. Bit by bit from the highest, values that agree so far and differ
+    next are counted; each pass is one stable sort."""
+    order, total = np.asarray(p, np.int64), 0
+    for bit in range(max(1, len(order) - 1).bit_length() - 1, -1, -1):
+        group, one = order >> (bit + 1), order >> bit & 1
+        before = np.cumsum(one) - one  # ones that stand before, over all groups: groups are contiguous
+        first = np.ones(len(order), bool)
+        first[1:] = group[1:] != group[:-1]
+        base = before[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        total += int((before - base)[one == 0].sum())
+        order = order[np.argsort(order >> bit, kind="stable")]
+    return total
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x, kind="stable")] = np.arange(len(x))
+    return out
+
+
+def _tau(a: np.ndarray, b: np.ndarray) -> float:
+    """Tau-a of two lists of ranks in n log n."""
+    n = len(a)
+    ties = lambda *x: sum(int(k) * (int(k) - 1) // 2 for k in np.unique(np.stack(x), axis=1, return_counts=True)[1]) if n else 0
+    by_b = np.empty(n, np.int64)
+    by_b[np.lexsort((a, b))] = np.arange(n)
+    untied = n * (n - 1) // 2 - ties(a) - ties(b) + ties(a, b)
+    return (untied - 2 * inversions(by_b[np.lexsort((b, a))])) / (n * (n - 1) / 2) if n > 1 else 0.0
+
+
 def kendall(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Tau-a over pairs of forecasters: concordant less discordant over all. Ranks are
-    gathered into one row, as there is one per forecaster."""
-    x = a.select("forecaster", F.col("rank").alias("a")).join(b.select("forecaster", F.col("rank").alias("b")), "forecaster")
-    r = x.agg(F.array_sort(F.collect_list(F.struct("forecaster", "a", "b"))).alias("r"))
-    sign = "aggregate(r, 0D, (s, x) -> s + aggregate(filter(r, y -> y.forecaster > x.forecaster), 0D, (t, y) -> t + signum(x.a - y.a) * signum(x.b - y.b)))"
-    return r.select(F.coalesce(F.try_divide(F.expr(sign), F.expr("size(r) * (size(r) - 1) / 2")), F.lit(0.0)).alias("correlation"))
+    """Tau-a over pairs of forecasters: concordant less discordant over all. Names without a rank in both are left out; fewer than two give 0.
+
+    Up to BLOCK names are counted in one task. More are numbered in the order of either rank, which makes them a permutation, and its descents are
+    counted within parts of the first order, within parts of the second one, and between cells of both from their sizes, so no
+    task holds more than a part and only the sizes of cells (at most a million) reach the driver."""
+    x = a.select("forecaster", F.col("rank").cast("double").alias("a")).join(b.select("forecaster", F.col("rank").cast("double").alias("b")), "forecaster").where("a is not null and b is not null")
+    x = cut(x)
+    n = x.count()
+    if n <= BLOCK:
+        return _by_group(x.withColumn("g", F.lit(0)), ["g"], "g int").select(F.col("kendall").alias("correlation")) if n else _one(a.sparkSession, 0.0)
+    pairs = lambda *by: x.groupBy(*by).count().agg(F.sum(F.expr("cast(count as decimal(38, 0)) * (count - 1) / 2"))).first()[0]
+    untied = n * (n - 1) // 2 - int(pairs("a")) - int(pairs("b")) + int(pairs("a", "b"))
+    x = numbered(x, "a", "b", "forecaster", name="p")
+    x = numbered(x, "b", "a", "forecaster", name="q").select("p", "q")
+    size = max(BLOCK, -(-n // _MOST_PARTS))
+    x = cut(x.select("p", "q", F.floor(F.col("p") / size).alias("i"), F.floor(F.col("q") / size).alias("k")))
+
+    def within(rows: pa.Table) -> pa.Table:  # pairs of one part of the first order
+        rows = rows.sort_by("p")
+        return pa.table({"n": [inversions(_places(rows["q"].to_numpy()))]})
+
+    def across(rows: pa.Table) -> pa.Table:  # pairs of one part of the second order that differ in the first: others ascend here
+        rows = rows.sort_by([("i", "ascending"), ("q", "ascending")])
+        return pa.table({"n": [inversions(_places(rows["q"].to_numpy()))]})
+
+    down = sum(x.groupBy(by).applyInArrow(fn, "n long").agg(F.sum("n")).first()[0] for by, fn in (("i", within), ("k", across)))
+    cells = x.groupBy("i", "k").count().collect()
+    sizes = np.zeros((max(r["i"] for r in cells) + 1, max(r["k"] for r in cells) + 1))
+    for r in cells:
+        sizes[r["i"], r["k"]] = r["count"]
+    above = np.zeros_like(sizes)  # in earlier parts and later cells
+    above[1:, :-1] = np.cumsum(sizes, 0)[:-1, ::-1].cumsum(1)[:, ::-1][:, 1:]
+    down += int((sizes * above).sum())
+    return _one(a.sparkSession, (untied - 2 * down) / (n * (n - 1) / 2))
+
+
+def _one(spark, value: float) -> DataFrame:
+    return spark.createDataFrame([(value,)], "correlation double")
+
+
+def _by_group(x: DataFrame, by: list[str], schema: str) -> DataFrame:
+    """(*by, n, kendall) of rows (a, b) of each group, a group in a task."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        return pa.table({**{k: rows[k].slice(0, 1) for k in by}, "n": [len(rows)], "kendall": [_tau(rows["a"].to_numpy(), rows["b"].to_numpy())]})
+
+    return x.groupBy(*by).applyInArrow(one, f"{schema}, n long, kendall double")
 
 
 def report(ranking: DataFrame, rows: int = 25) -> str:
@@ -112,14 +192,22 @@ def report(ranking: DataFrame, rows: int = 25) -> str:
 
 def correlation_grid(rankings: dict[str, DataFrame], user: str = "forecaster") -> DataFrame:
     """(method_a, method_b, n, spearman, kendall) of each pair of named rankings over their
-    common forecasters. Ranks of a pair are gathered into one row, one for each forecaster."""
+    common forecasters. Pairs of up to BLOCK names are counted in a task each, longer ones as `kendall` does."""
     parts = [r.select(F.lit(name).alias("method"), F.col(user).alias("forecaster"), F.col("rank").cast("double").alias("rank")) for name, r in rankings.items()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    every = cut(every)
     a, b = (every.select("forecaster", F.col("method").alias(f"method_{s}"), F.col("rank").alias(s)) for s in "ab")
-    x = a.join(b, "forecaster").where("method_a < method_b").groupBy("method_a", "method_b")
+    x = a.join(b, "forecaster").where("method_a < method_b")
+    by = ["method_a", "method_b"]
     rho = F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0))
-    x = x.agg(F.count("*").alias("n"), rho.alias("spearman"), F.collect_list(F.struct("forecaster", "a", "b")).alias("r"))
-    sign = "aggregate(r, 0D, (s, x) -> s + aggregate(filter(r, y -> y.forecaster > x.forecaster), 0D, (t, y) -> t + signum(x.a - y.a) * signum(x.b - y.b)))"
-    return x.select("method_a", "method_b", "n", "spearman", F.coalesce(F.try_divide(F.expr(sign), F.expr("n * (n - 1) / 2")), F.lit(0.0)).alias("kendall"))
+    rho = x.groupBy(*by).agg(rho.alias("spearman"))
+    if (every.groupBy("method").count().agg(F.max("count")).first()[0] or 0) <= BLOCK:
+        tau = _by_group(x.where("a is not null and b is not null"), by, "method_a string, method_b string")
+    else:
+        names = sorted(rankings)
+        of = lambda m: every.where(F.col("method") == m)
+        rows = [(m, k, of(m).join(of(k), "forecaster").count(), kendall(of(m), of(k)).first()[0]) for i, m in enumerate(names) for k in names[i + 1 :]]
+        tau = every.sparkSession.createDataFrame(rows, "method_a string, method_b string, n long, kendall double")
+    return tau.join(rho, by).select(*by, "n", "spearman", "kendall")
