@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import numbered
+from ..plans.lineage import cut, numbered
 from .ranking import ranked
 
 
@@ -50,33 +50,50 @@ def adaptive_windows(problems: DataFrame, step_days: int = 1, least: int = 1, by
     return dated.join(labels, ["_by", "_d"]).drop("_by", "_d")
 
 
+def _running(part: DataFrame, by, at: str, sums: tuple, last: Column) -> DataFrame:
+    """part with running totals of `sums` by place `at`, each row repeated for the places up to the next one (or `last`): a forward
+    fill without a grid of all places and groups."""
+    w = Window.partitionBy(*by).orderBy(at)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = part.select("*", *(F.sum(c).over(run).alias(f"_{c}") for c in sums), F.coalesce(F.lead(at).over(w) - 1, last).alias("_to"))
+    fill = F.explode(F.sequence(F.col(at).cast("long"), F.col("_to").cast("long"))).alias("_at")
+    return x.where(F.col("_to") >= F.col(at)).select("*", fill).drop(at, "_to", *sums).withColumnsRenamed({"_at": at, **{f"_{c}": c for c in sums}})
+
+
 def cumulative(scores: DataFrame, label: str, user: str = "username", ascending: bool = False, by=()) -> DataFrame:
     """(*by, label, user, score, n, rank) after each label, over all rows so far. A user
-    appears from the first label on and stays."""
-    part = scores.groupBy(*by, label, user).agg(F.sum("score").alias("s"), F.count("score").alias("n"))
-    first = part.groupBy(*by, user).agg(F.min(label).alias("since"))
-    labels = part.select(*by, label).distinct()
-    grid = labels.join(first, list(by)).where(F.col(label) >= F.col("since")) if by else labels.join(first, F.col(label) >= F.col("since"))  # labels x users
-    w = Window.partitionBy(*by, user).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
-    x = grid.select(*by, label, user).join(part, [*by, label, user], "left").select(*by, label, user, F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
-    return ranked(x.select(*by, label, user, F.try_divide("s", "n").alias("score"), "n"), ascending, [*by, label])
+    appears from the first label on and stays. Scores are summed once; labels are numbered, and totals
+    carried forward over the numbers."""
+    part = cut(scores.groupBy(*by, label, user).agg(F.sum("score").alias("s"), F.count("score").alias("n")))
+    places = part.select(*by, label).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(label))))
+    places = cut(places.withColumn("_last", F.count("*").over(Window.partitionBy(*by))))
+    key = F.col(f"p.{label}").eqNullSafe(F.col(f"l.{label}"))
+    for c in by:
+        key = key & F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}"))
+    x = part.alias("p").join(places.alias("l"), key).select(*(F.col(f"p.{c}") for c in (*by, user, "s", "n")), "_k", "_last")
+    x = _running(x, [*by, user], "_k", ("s", "n"), F.col("_last")).drop("_last")
+    key = F.col("x._k") == F.col("l._k")
+    for c in by:
+        key = key & F.col(f"x.{c}").eqNullSafe(F.col(f"l.{c}"))
+    x = x.alias("x").join(places.alias("l"), key).select(*(F.col(f"x.{c}") for c in by), F.col(f"l.{label}"), F.col(f"x.{user}"), F.try_divide("s", "n").alias("score"), F.col("x.n").alias("n"))
+    return ranked(x, ascending, [*by, label])
 
 
 def every_days(scores: DataFrame, days: int, ascending: bool = True, by=(), include_tail: bool = False, how: str = "mean") -> DataFrame:
     """Weighted means of scores (close_time, weight, score) up to each cutoff, or with
     how="roi" the summed score over the summed cost. Rows after the last whole
-    step appear with include_tail only."""
+    step appear with include_tail only. Scores are computed once, and written as narrow rows."""
     top, low = (F.col("score") * F.col("weight"), F.col("weight")) if how == "mean" else (F.col("score"), F.col("cost"))
-    span = scores.groupBy(*by).agg(F.min("close_time").alias("lo"), F.max("close_time").alias("hi"))
-    span = span.withColumn("last", F.floor(F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / 86_400_000_000) / days))
-    x = scores.join(span, list(by)) if by else scores.crossJoin(F.broadcast(span))  # one row
-    k = F.ceil((F.unix_micros("close_time") - F.unix_micros("lo")) / (86_400_000_000 * days))
-    x = x.withColumn("k", k) if include_tail else x.withColumn("k", k).where("k <= last")
-    part = x.groupBy(*by, "forecaster", "k").agg(F.sum(top).alias("s"), F.sum(low).alias("w"), F.count("*").alias("n"))
-    ends = span.select(*by, "lo", F.explode(F.sequence(F.lit(0), F.col("last") + int(include_tail))).alias("k"))
-    grid = ends.join(part.groupBy(*by, "forecaster").agg(F.min("k").alias("since")), list(by)) if by else ends.crossJoin(part.groupBy("forecaster").agg(F.min("k").alias("since")))
-    grid = grid.where("k >= since").select(*by, "forecaster", "k", "lo")
-    run = Window.partitionBy(*by, "forecaster").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    y = grid.join(part, [*by, "forecaster", "k"], "left").select(*by, "forecaster", "k", "lo", F.sum("s").over(run).alias("s"), F.sum("w").over(run).alias("w"), F.sum("n").over(run).alias("n_predictions"))
-    y = y.select(*by, "forecaster", (F.col("k") * days).alias("day"), F.try_divide("s", "w").alias("score"), "n_predictions")
+    x = cut(scores.select(*by, "forecaster", F.unix_micros("close_time").alias("t"), top.alias("s"), low.alias("w")))
+    step = 86_400_000_000 * days
+    span = x.groupBy(*by).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).withColumn("last", F.floor((F.col("hi") - F.col("lo")) / step) + int(include_tail))
+    if by:
+        x = x.join(span, list(by))
+    else:
+        lo, last = (lambda r: (r["lo"], r["last"]))(span.first())  # one row
+        x = x.withColumns({"lo": F.lit(lo).cast("long"), "last": F.lit(last).cast("long")})
+    x = x.withColumn("k", F.ceil((F.col("t") - F.col("lo")) / step))
+    part = x.where("k <= last").groupBy(*by, "forecaster", "k", "last").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    y = _running(part, [*by, "forecaster"], "k", ("s", "w", "n"), F.col("last"))
+    y = y.select(*by, "forecaster", (F.col("k") * days).alias("day"), F.try_divide("s", "w").alias("score"), F.col("n").alias("n_predictions"))
     return ranked(y, ascending, [*by, "day"])
