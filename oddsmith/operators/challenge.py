@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, one_hot, spherical, stakes_crra, total
+from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, normalized, one_hot, spherical, stakes_crra, total
 
 
 def crowd(forecasts: DataFrame) -> DataFrame:
@@ -57,17 +57,29 @@ def bets(risk_aversion: float, p="probs", q="odds") -> Column:
     return bets_neutral(p, q) if risk_aversion == 0 else bets_log(p, q) if risk_aversion == 1 else bets_crra(p, q, risk_aversion)
 
 
+BASELINE = "market-baseline"
+
+
+def stated_probs(forecasts: DataFrame) -> Column:
+    """Earnings are of the probabilities as they were stated, before they were made to sum to 1."""
+    return F.coalesce("unnormalized_probs", "probs") if "unnormalized_probs" in forecasts.columns else F.col("probs")
+
+
 def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0, compat: bool = False, approximate: bool = False) -> DataFrame:
     """Each option becomes YES or NO, whichever edge is larger (YES on ties, up to rounding); one unit is
-    dealt over them, by the approximate stakes if asked. A forecaster's later forecasts replace earlier ones."""
+    dealt over them, by the approximate stakes if asked. A forecaster's later forecasts replace earlier ones. The market's own row (BASELINE)
+    has its NO edge against 1 - odds, and is neutral to risk where stakes are approximate."""
+    own = F.col("username") == BASELINE
+    forecasts = forecasts.withColumn("probs", stated_probs(forecasts))
     yes = F.zip_with("probs", "odds", lambda p, q: p / q)
-    no = F.zip_with("probs", "no_odds", lambda p, q: (1 - p) / q)
+    against = F.when(own, F.transform("odds", lambda q: 1 - q)).otherwise(F.col("no_odds"))
+    no = F.zip_with("probs", against, lambda p, q: (1 - p) / q)
     flip = F.zip_with(yes, no, lambda a, b: b - a > 1e-9)
     x = forecasts.where("odds is not null and no_odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
     x = x.withColumn("flip", flip).withColumn("won", one_hot("correct_option_idx", "n_options"))
     x = x.withColumn("p", F.zip_with("probs", "flip", lambda p, f: F.when(f, 1 - p).otherwise(p))).withColumn("q", F.transform(F.arrays_zip("odds", "no_odds", "flip"), lambda m: F.when(m["flip"], m["no_odds"]).otherwise(m["odds"])))
     x = x.withColumn("y", F.zip_with("won", "flip", lambda w, f: F.when(f, 1 - w).otherwise(w)))
-    x = x.withColumn("b", F.zip_with(stakes_crra("p", "q", risk_aversion), "q", lambda s, q: s / q) if approximate else bets(risk_aversion, "p", "q"))
+    x = x.withColumn("b", F.zip_with(F.when(own, stakes_crra("p", "q", 0.0)).otherwise(stakes_crra("p", "q", risk_aversion)), "q", lambda s, q: s / q) if approximate else bets(risk_aversion, "p", "q"))
     spent = total(F.zip_with("b", "q", lambda b, q: b * q))
     earned = total(F.zip_with("b", "y", lambda b, y: b * y)) / (F.lit(1.0) if compat else spent)
     x = x.withColumn("earned", earned)
@@ -77,6 +89,7 @@ def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: fl
 def market_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0, compat: bool = False) -> DataFrame:
     """The budget is dealt evenly over the options, each a two-way market.
     compat: the NO leg is paid where YES wins."""
+    forecasts = forecasts.withColumn("probs", stated_probs(forecasts))
     x = forecasts.where("odds is not null and no_odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
     x = x.withColumn("won", one_hot("correct_option_idx", "n_options"))
     x = x.select("username", "problem_id", "forecast_seq", "end_time", "category", "n_options", F.explode(F.arrays_zip("probs", "odds", "no_odds", "won")).alias("m"))
@@ -87,6 +100,16 @@ def market_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: fl
     return x.groupBy("username", "problem_id", "end_time", "category").agg(F.max_by("earned", "forecast_seq").alias("score"), F.max("forecast_seq").alias("forecast_seq"))
 
 
+def with_market_row(forecasts: DataFrame) -> DataFrame:
+    """forecasts and, for each problem with odds, one of BASELINE: the mean odds of its options."""
+    m = forecasts.where("odds is not null and no_odds is not null").select("problem_id", F.posexplode(F.arrays_zip("odds", "no_odds")).alias("k", "m"))
+    m = m.groupBy("problem_id", "k").agg(F.avg("m.odds").alias("odds"), F.avg("m.no_odds").alias("no_odds"))
+    m = m.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("k", "odds", "no_odds"))).alias("m"))
+    odds = F.transform("m", lambda x: x["odds"])
+    m = m.select(F.concat_ws("-", "problem_id", F.lit("market")).alias("forecast_id"), "problem_id", F.lit(-1).cast("long").alias("forecast_seq"), F.lit(BASELINE).alias("username"), normalized(odds).alias("probs"), odds.alias("unnormalized_probs"), F.lit(1.0).alias("weight"), odds.alias("odds"), F.transform("m", lambda x: x["no_odds"]).alias("no_odds"))
+    return forecasts.unionByName(m, allowMissingColumns=True)
+
+
 def sharpe_of_earnings(earnings: DataFrame, kind: str | None = None, money: float = 1.0, baseline: str | None = None) -> DataFrame:
     """None: the mean; marginal: less the money over the deviation; relative: less the baseline's earnings."""
     if kind == "relative":
@@ -104,6 +127,7 @@ def waterfill_bets(forecasts: DataFrame, risk_aversion: float) -> DataFrame:
 
 def event_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0) -> DataFrame:
     """One unit is dealt over the YES legs of all options. Later forecasts replace earlier ones."""
+    forecasts = forecasts.withColumn("probs", stated_probs(forecasts))
     x = forecasts.where("odds is not null").join(problems.select("problem_id", "correct_option_idx", "n_options", "end_time", "category"), "problem_id")
     x = x.withColumn("earned", total(F.zip_with(bets(risk_aversion), one_hot("correct_option_idx", "n_options"), lambda b, y: b * y)))
     return x.groupBy("username", "problem_id", "end_time", "category").agg(F.max_by("earned", "forecast_seq").alias("score"), F.max("forecast_seq").alias("forecast_seq"))

@@ -85,8 +85,8 @@ yl AS (SELECT forecaster, event_ticker, arg_max(v, seq) AS v, max(seq) AS seq FR
 g AS (SELECT forecaster, avg(v) AS v, count(*) AS k, min(seq) AS seen FROM yl GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9) DESC, seen, forecaster) AS rank FROM g"""
 _last = ", yl AS (SELECT forecaster, event_ticker, arg_max(v, seq) AS v FROM y GROUP BY forecaster, event_ticker)"
-_flip = """, z AS (SELECT *, (1 - p) / n - p / q > 1e-9 AS flip FROM c),
-z2 AS (SELECT *, CASE WHEN flip THEN 1 - p ELSE p END AS fp, CASE WHEN flip THEN n ELSE q END AS fq, CASE WHEN flip THEN 1 - o ELSE o END AS fo FROM z)"""
+_flip = """, z AS (SELECT *, (1 - u) / n - u / q > 1e-9 AS flip FROM c),
+z2 AS (SELECT *, CASE WHEN flip THEN 1 - u ELSE u END AS fp, CASE WHEN flip THEN n ELSE q END AS fq, CASE WHEN flip THEN 1 - o ELSE o END AS fo FROM z)"""
 _log_y = """y AS (SELECT forecaster, event_ticker, seq, sum(fp / fq * fo) / sum(fp / fq * fq) AS v FROM z2 GROUP BY forecaster, event_ticker, seq)"""
 _z = "1.959963984540054::DOUBLE"
 _skills = _chal.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT forecaster, event_ticker, arg_max(p, seq) AS p FROM (SELECT forecaster, event_ticker, seq, coalesce(arg_min(p, mkt) FILTER (WHERE o = 1), 0) AS p FROM c WHERE wins > 0 GROUP BY ALL) GROUP BY ALL),
@@ -106,14 +106,14 @@ t AS (
 
 def _fill(p: str, q: str, source: str) -> str:
     """st: source with `stake`, the approximate stakes at a risk aversion of 0.5."""
-    return f""", w1 AS (SELECT *, round({p} / {q} - 1, 12) AS a, {p} * (1 - {p}) / ({q} * {q}) AS b FROM {source}),
+    return f""", w1 AS (SELECT *, round(least(1 - 1e-12::DOUBLE, greatest(1e-12::DOUBLE, {p})) / {q} - 1, 12) AS a, least(1 - 1e-12::DOUBLE, greatest(1e-12::DOUBLE, {p})) * (1 - least(1 - 1e-12::DOUBLE, greatest(1e-12::DOUBLE, {p}))) / ({q} * {q}) AS b FROM {source}),
 w2 AS (SELECT *, first_value(a) OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY mkt) AS a0, max(a) OVER (PARTITION BY forecaster, event_ticker, seq) AS top, arg_max(mkt, (a, -mkt)) OVER (PARTITION BY forecaster, event_ticker, seq) AS best, count(*) OVER (PARTITION BY forecaster, event_ticker, seq) AS kk FROM w1),
 w3 AS (SELECT *, max(abs(a - a0)) OVER (PARTITION BY forecaster, event_ticker, seq) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(a0) AS alike,
   (sum(CASE WHEN a > 0 THEN a / b END) OVER s - 0.5::DOUBLE) / sum(CASE WHEN a > 0 THEN 1 / b END) OVER s AS lam, lead(a) OVER s AS next, row_number() OVER s AS pos FROM w2 WINDOW s AS (PARTITION BY forecaster, event_ticker, seq ORDER BY a DESC, mkt ROWS UNBOUNDED PRECEDING)),
 w4 AS (SELECT *, min(CASE WHEN a > 0 AND (next IS NULL OR next <= 0 OR next <= lam) THEN pos END) OVER (PARTITION BY forecaster, event_ticker, seq) AS stop FROM w3),
 w5 AS (SELECT *, max(CASE WHEN pos = stop THEN lam END) OVER (PARTITION BY forecaster, event_ticker, seq) AS level FROM w4),
 w6 AS (SELECT *, CASE WHEN pos <= stop AND a > level THEN (a - level) / (0.5::DOUBLE * b) ELSE 0 END AS x FROM w5),
-st AS (SELECT *, CASE WHEN alike THEN 1.0::DOUBLE / kk WHEN top <= 0 THEN CASE WHEN mkt = best THEN 1 ELSE 0 END ELSE x / sum(x) OVER (PARTITION BY forecaster, event_ticker, seq) END AS stake FROM w6)"""
+st AS (SELECT *, CASE WHEN alike THEN 1.0::DOUBLE / kk WHEN top <= 0 OR forecaster = 'market-baseline' THEN CASE WHEN mkt = best THEN 1 ELSE 0 END ELSE x / sum(x) OVER (PARTITION BY forecaster, event_ticker, seq) END AS stake FROM w6)"""
 
 
 def _other_rule(how: str) -> str:
@@ -242,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "bets_crra_stakes": _chal + ", y AS (SELECT forecaster, mkt, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker, seq) / q AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "avg_return_binary_reduction": _chal + _flip + ", y AS (SELECT forecaster, event_ticker, seq, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY round(fp / fq + 3.3e-10, 9) DESC, mkt) = 1)," + _earn_tail,
         "avg_return_binary_log": _chal + _flip + ", " + _log_y + "," + _earn_tail,
-        "avg_return_market_two_way": _chal + ", y AS (SELECT forecaster, event_ticker, seq, avg(CASE WHEN o = 1 THEN p / q ELSE (1 - p) / n END) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
+        "avg_return_market_two_way": _chal + ", y AS (SELECT forecaster, event_ticker, seq, avg(CASE WHEN o = 1 THEN u / q ELSE (1 - u) / n END) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
         "sharpe_of_earnings": _chal + _flip + ", " + _log_y + _last + " SELECT forecaster AS username, round((avg(v) - 1) / (stddev_pop(v) + 1e-8), 6) AS score FROM yl GROUP BY forecaster",
         "spearman": _both_ranks + "SELECT round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS correlation FROM r",
         "kendall_tau_a": _both_ranks + "SELECT round(sum(CAST(sign(x.a - y.a) * sign(x.b - y.b) AS DOUBLE)) / any_value((SELECT count(*) * (count(*) - 1) / 2.0 FROM r)), 6) AS correlation FROM r x JOIN r y ON x.forecaster < y.forecaster",
@@ -273,7 +273,7 @@ SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_num
         "first_option_brier": _chal + """, y AS (SELECT forecaster, event_ticker, seq, arg_min(p, mkt) FILTER (WHERE o = 1) AS p FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
 g AS (SELECT forecaster, avg((1 - p) * (1 - p)) AS v, count(*) AS k, min(seq) AS seen FROM y GROUP BY forecaster)
 SELECT forecaster AS username, round(v, 6) AS score, k AS n_predictions, row_number() OVER (ORDER BY round(v, 9), seen, forecaster) AS rank FROM g""",
-        "avg_return_event_bets": _chal + ", y AS (SELECT forecaster, event_ticker, seq, sum(p / q * o) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
+        "avg_return_event_bets": _chal + ", y AS (SELECT forecaster, event_ticker, seq, sum(u / q * o) AS v FROM c GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
         "calibration_ranking": _chal + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: u >= e)) - 1, 9)) AS bin, u, o FROM c), z AS (SELECT forecaster, bin, avg(u) AS a, avg(o) AS b, count(*) AS k FROM y GROUP BY ALL), r AS (SELECT forecaster, sum(abs(a - b) * k) / sum(k) AS v FROM z GROUP BY forecaster) SELECT forecaster AS username, round(v, 6) AS score, row_number() OVER (ORDER BY round(v, 9), forecaster) - 1 AS rank FROM r",
         "reliability_details": _with(_F, _M) + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: p >= e)) - 1, 9)) AS bin, p, o FROM m) SELECT forecaster, bin, round(avg(p), 6) AS confidence, round(avg(o), 6) AS accuracy, count(*) AS count, round((bin + 0.5::DOUBLE) / 10, 6) AS center, 0.1::DOUBLE AS width, round(count(*) / sum(count(*)) OVER (PARTITION BY forecaster), 6) AS share FROM y GROUP BY forecaster, bin",
         "correlation_grid": _chal + """, y AS (SELECT forecaster, event_ticker, seq, 1 - avg((p - o) * (p - o)) AS brier, avg(ln(greatest(p, 0.01::DOUBLE))) FILTER (WHERE o = 1) AS log, sum(p * o) / sqrt(sum(p * p)) AS spherical FROM c WHERE wins > 0 GROUP BY forecaster, event_ticker, seq),
@@ -320,6 +320,7 @@ w AS (
 SELECT hi AS window_end, CAST(held AS BIGINT) AS n_problems FROM w, x WHERE held >= 50 OR (hi >= x.last AND held > 0)""",
         "crra_waterfill": _chal + _fill("p", "q", "c") + " SELECT forecaster AS username, event_ticker AS problem_id, seq AS forecast_seq, mkt AS option, round(stake, 6) AS stake FROM st",
         "avg_return_binary_approx": _chal + _flip + _fill("fp", "fq", "z2") + ", y AS (SELECT forecaster, event_ticker, seq, sum(stake / fq * fo) / sum(stake / fq * fq) AS v FROM st GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
+        "avg_return_binary_baseline": _chal + """, ca AS (SELECT forecaster, event_ticker, seq, mkt, o, u, q, n FROM c UNION ALL SELECT 'market-baseline', event_ticker, -1, mkt, any_value(o), avg(q), avg(q), avg(n) FROM c GROUP BY event_ticker, mkt)""" + _flip.replace("FROM c)", "FROM ca)").replace("(1 - u) / n -", "(1 - u) / CASE WHEN forecaster = 'market-baseline' THEN 1 - q ELSE n END -") + _fill("fp", "fq", "z2") + ", y AS (SELECT forecaster, event_ticker, seq, sum(stake / fq * fo) / sum(stake / fq * fq) AS v FROM st GROUP BY forecaster, event_ticker, seq)," + _earn_tail,
         "sharpe_relative": _chal + _flip + ", " + _log_y + _last + ", r AS (SELECT y.forecaster, y.v - b.v AS v FROM yl AS y JOIN yl AS b ON b.event_ticker = y.event_ticker AND b.forecaster = 'EUROPE') SELECT forecaster AS username, round(avg(v) / (stddev_pop(v) + 1e-8), 6) AS score FROM r GROUP BY forecaster",
         "rule_max": _other_rule("max(v)"),
         "rule_own_aggregate": _other_rule("quantile_cont(v, 0.9)"),

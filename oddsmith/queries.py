@@ -413,6 +413,13 @@ def avg_return_binary_approx(spark, d):
     return _ranking(challenge.rule_ranking(challenge.binary_earnings(problems, forecasts, 0.5, approximate=True)))
 
 
+@query
+def avg_return_binary_baseline(spark, d):
+    """With the market itself as a forecaster."""
+    problems, forecasts = derive_challenge(spark, d)
+    return _ranking(challenge.rule_ranking(challenge.binary_earnings(problems, challenge.with_market_row(forecasts), 0.5, approximate=True)))
+
+
 @query
 def sharpe_relative(spark, d):
     return _r(challenge.sharpe_of_earnings(challenge.binary_earnings(*derive_challenge(spark, d), 1.0), "relative", baseline="EUROPE"), "score")
