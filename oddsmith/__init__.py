@@ -10,6 +10,7 @@ from .operators.calibration import calibration_error, reliability
 from .operators.challenge import binary_earnings, calibration_ranking, event_earnings, market_earnings, problem_weights, rule_ranking, rule_scores
 from .operators.models import bradley_terry, item_response, posterior_summary
 from .operators.ranking import kendall, kish_interval, rank_forecasters, rank_table, sharpe_ratio, spearman
+from .operators.report import rank_by_score
 from .operators.resample import bootstrap
 from .operators.scores import average_return, brier_score
 from .schema import violations
@@ -20,6 +21,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
     "ChallengeLoader", "CsvChallenge", "JsonChallenge", "average_return", "binary_earnings", "bootstrap", "bradley_terry", "brier_score", "calibration_error", "calibration_ranking",
-    "event_earnings", "item_response", "item_response_mcmc", "item_response_svi", "kendall", "kish_interval", "market_earnings", "nightly", "posterior_summary", "problem_weights", "rank_forecasters", "rank_table", "register_sql_functions",
+    "event_earnings", "item_response", "item_response_mcmc", "item_response_svi", "kendall", "kish_interval", "market_earnings", "nightly", "posterior_summary", "problem_weights", "rank_by_score", "rank_forecasters", "rank_table", "register_sql_functions",
     "reliability", "rule_ranking", "rule_scores", "sharpe_ratio", "spearman", "violations",
 ]

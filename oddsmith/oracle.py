@@ -138,8 +138,8 @@ def _mixed(x: str, out: str) -> str:
     return f"{x} AS {out}0, xor({out}0, {out}0 >> 16) * 2246822507::UBIGINT & {low} AS {out}1, xor({out}1, {out}1 >> 13) * 3266489909::UBIGINT & {low} AS {out}2, xor({out}2, {out}2 >> 16) AS {out}"
 
 
-def _resampled(source: str, how: str = "mean") -> str:
-    """Intervals of rows (forecaster, score, weight, cost) of whole weights: draw j of resample b takes the slot
+def _draws(source: str, how: str = "mean") -> str:
+    """ci: intervals of rows (forecaster, score, weight, cost) of whole weights: draw j of resample b takes the slot
     that its hash names, a row having as many slots as its weight. 1,000 resamples; the 950th least deviation; seed 42."""
     weyl, low = "2654435769::UBIGINT", "4294967295::UBIGINT"
     top, bottom = {"mean": ("s * w", "w"), "roi": ("s", "c")}[how]
@@ -155,7 +155,11 @@ k1 AS MATERIALIZED (SELECT forecaster, n, total, b, {_mixed(f"(b::UBIGINT * {wey
 dr AS (SELECT forecaster, b, total, {_mixed(f"(j::UBIGINT * {weyl} + a) & {low}", "u")}, {_mixed("xor(u, z)", "v")} FROM k1, LATERAL (SELECT unnest(range(n)) AS j)),
 re AS (SELECT forecaster, b, {value} AS v FROM (SELECT forecaster, b, (v * total >> 32)::BIGINT AS slot FROM dr) JOIN sl USING (forecaster, slot) GROUP BY forecaster, b),
 po AS (SELECT forecaster, {point} AS score, count(*) AS n_predictions FROM i GROUP BY forecaster),
-ci AS (SELECT forecaster, any_value(score) AS score, any_value(n_predictions) AS n_predictions, stddev_samp(v) AS se, list_sort(list(abs(v - score)))[950] AS margin FROM re JOIN po USING (forecaster) GROUP BY forecaster)
+ci AS (SELECT forecaster, any_value(score) AS score, any_value(n_predictions) AS n_predictions, stddev_samp(v) AS se, list_sort(list(abs(v - score)))[950] AS margin FROM re JOIN po USING (forecaster) GROUP BY forecaster)"""
+
+
+def _resampled(source: str, how: str = "mean") -> str:
+    return _draws(source, how) + """
 SELECT forecaster, round(score, 6) AS score, round(se, 6) AS se, round(margin, 6) AS ci_margin, round(score - margin, 6) AS low, round(score + margin, 6) AS high, n_predictions FROM ci"""
 
 
@@ -375,6 +379,12 @@ FROM d WHERE (day + 1) * 86400000 <= final WINDOW u AS (PARTITION BY user_id ORD
         "live_first_forecasts": _arrived + """, f AS (SELECT user_id || '/' || event_type AS forecast_id, any_value(final) AS final, min({'t': epoch_us(ts), 'seq': event_id, 'score': value}) AS b FROM k GROUP BY ALL)
 SELECT forecast_id, b.seq AS seq, b.score AS score FROM f WHERE b.t // 1000 + 1 <= final""",
         "json_repair_props": "SELECT event_type, event_id % 6 AS damage, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(sum(CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END) AS BIGINT) AS \"left\", count(*) FILTER (event_id % 6 = 5) AS notes FROM (SELECT event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
+        "rank_with_interval": _with(_F, _M, _base_m) + """, mu AS (SELECT forecaster, sum(score * weight) / sum(weight) AS m FROM s2 GROUP BY forecaster),
+y AS (SELECT forecaster, any_value(m) AS v, count(*) AS k, sum(weight) AS w, sum(weight) * sum(weight) / sum(weight * weight) AS ne, sum(weight * (score - m) * (score - m)) AS ss FROM s2 JOIN mu USING (forecaster) GROUP BY forecaster)
+SELECT rank() OVER (ORDER BY round(v, 9)) AS rank, forecaster, round(v, 6) AS score, '±' || printf('%.4f', 1.6448536269514722 * sqrt(ss / w * ne / (ne - 1) / ne)) AS "90.0% ci", k AS "# predictions" FROM y""",
+        "rank_with_bootstrap": _brier.rstrip() + _draws("(SELECT forecaster, 1.0::DOUBLE AS weight, (p - o) * (p - o) AS score FROM x)") + """, g AS (SELECT forecaster, sum(score * weight) / sum(weight) AS v, count(*) AS k FROM s GROUP BY forecaster)
+SELECT rank() OVER (ORDER BY round(v, 9)) AS rank, g.forecaster AS forecaster, round(v, 6) AS score, '±' || printf('%.4f', margin) AS "95.0% ci", k AS "# predictions" FROM g JOIN ci ON ci.forecaster = g.forecaster""",
+        "rank_finished": _with(_F, _M) + f", y AS (SELECT forecaster, greatest(0, least(len(list_filter({_edges}, lambda e: p >= e)) - 1, 9)) AS bin, p, o FROM m), z AS (SELECT forecaster, bin, avg(p) AS a, avg(o) AS b, count(*) AS k FROM y GROUP BY ALL), r AS (SELECT forecaster, sum(abs(a - b) * k) / sum(k) AS v FROM z GROUP BY forecaster) SELECT rank() OVER (ORDER BY round(v, 9)) AS rank, forecaster, round(v, 6) AS score FROM r",
         "bootstrap_ci": _brier.rstrip() + _resampled("s"),
         "bootstrap_market_level": _base.rstrip() + _resampled("(SELECT forecaster, 1.0::DOUBLE AS weight, (p - o) * (p - o) AS score FROM x)"),
         "bootstrap_roi": _bet.rstrip() + _resampled("t", "roi"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sql as sql_scores
 from .functions.vectors import bets_crra, bets_log, bets_neutral, normalized
-from .operators import bayes, calibration, challenge, diagnostics, models, ranking, replay, resample, scores, select
+from .operators import bayes, calibration, challenge, diagnostics, models, ranking, replay, report, resample, scores, select
 from .plans.derive import challenge as derive_challenge
 from .plans.derive import forecasts_wide
 from .plans.lineage import shared_dir
@@ -445,6 +445,25 @@ def rank_auto(spark, d):
     return _ranking(ranking.rank_table(x))
 
 
+@query
+def rank_with_interval(spark, d):
+    x = scores.brier_score(scores.with_market_baseline(forecasts_wide(spark, d))).withColumnRenamed("score", "brier_score")
+    return _ranking(report.rank_by_score(x, normalize_by_round=True, analytical_ci=0.9))
+
+
+@query
+def rank_with_bootstrap(spark, d):
+    """Event scores ranked, with intervals from resampled markets."""
+    x = forecasts_wide(spark, d)
+    events, markets = (scores.brier_score(x, per_market=m).withColumnRenamed("score", "brier_score") for m in (False, True))
+    return _ranking(report.rank_by_score(events, bootstrap_config={"num_samples": 1000}, bootstrap_scores=markets))
+
+
+@query
+def rank_finished(spark, d):
+    return _ranking(report.rank_by_score(calibration.calibration_error(forecasts_wide(spark, d), weight_event=False).withColumnRenamed("score", "ece_score")))
+
+
 @query
 def problems_of_forecaster(spark, d):
     problems, forecasts = derive_challenge(spark, d)
