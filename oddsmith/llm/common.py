@@ -15,7 +15,7 @@ from ..plans.lineage import cut  # noqa: F401
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 MAX_BROADCAST_ROWS = 1_000_000  # of small fixed size each: ids take about 40 MB as a hashed relation
-MAX_BROADCAST_BYTES = 64 << 20  # of rows written out as JSON
+MAX_BROADCAST_BYTES = 16 << 20  # of rows written out as JSON; the driver holds several times as much while it builds the table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
