@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, cut, let, small
+from .common import MAX_BROADCAST_BYTES, cut, let, small
 
 K = 5
 THRESHOLD = 0.75
@@ -27,6 +27,7 @@ BLOCKS = WORDS * 64 // BLOCK_BITS
 NEAR = 2  # bits of a block that may differ
 RADIUS = BLOCKS * (NEAR + 1) - 1  # 47; at similarity 0.75 between random words the expected distance is 32, its deviation 5
 MAX_BITS = 1 << 23  # of the bitmap of benchmark shingles: 1 MB
+ROW_BYTES = 100  # of a row of the fingerprint index in a broadcast table
 LANE = 65_535  # shingles that a lane of 16 bits can count
 
 
@@ -160,7 +161,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     masks = F.expr("array(" + ", ".join(f"{k}L" for k in _masks()) + ")")
     near = F.transform(blocks(F.col("g")), lambda v: F.transform(masks, lambda k: v.bitwiseXOR(k)))
     index = items.select("m", "item", F.posexplode(near).alias("block", "values")).select("m", "item", "block", F.explode("values").alias("bits"))
-    bound = F.broadcast if items.count() * BLOCKS * len(_masks()) <= MAX_BROADCAST_ROWS else lambda x: x
+    bound = F.broadcast if items.count() * BLOCKS * len(_masks()) * ROW_BYTES <= MAX_BROADCAST_BYTES else lambda x: x
     met = mine.join(bound(index), ["m", "block", "bits"]).join(small(items.select("item", "item_id", "s", "g")), "item")
     met = met.withColumn("distance", distance(F.col("f"), F.col("g"))).where(F.col("distance") <= RADIUS)
     # A pair counts at the first block in which it is near.
