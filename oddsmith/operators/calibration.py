@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .select import markets
 
 
@@ -25,7 +26,7 @@ def _edges(m: DataFrame, bins: int, strategy: str) -> DataFrame:
         import numpy as np
 
         return m.withColumn("edges", F.array(*(F.lit(float(x)) for x in np.linspace(0, 1, bins + 1))))
-    q = m.groupBy("forecaster").agg(F.array_distinct(F.percentile("prediction", F.array(*(F.lit(x) for x in steps)))).alias("edges"))
+    q = exact_quantiles(m.select("forecaster", "prediction"), ["forecaster"], "prediction", steps).select("forecaster", F.array_distinct("quantiles").alias("edges"))
     q = q.withColumn("edges", F.when(F.size("edges") < 2, F.array(F.get("edges", F.lit(0)), F.get("edges", F.lit(0)) + 1e-12)).otherwise(F.col("edges")))
     return m.join(q, "forecaster")
 

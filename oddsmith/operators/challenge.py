@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, normalized, one_hot, spherical, stakes_crra, total
+from .quantiles import exact_quantiles
 
 
 def crowd(forecasts: DataFrame) -> DataFrame:
@@ -43,12 +44,17 @@ def rule_scores(problems: DataFrame, forecasts: DataFrame, rule: str | Column |
     return x.join(weights, "problem_id").withColumn("score", F.col("score") * F.col("problem_weight")).drop("problem_weight")
 
 
-AGGREGATES = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
+AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min}  # and the median
 
 
 def rule_ranking(scores: DataFrame, how: str | Callable[[str], Column] = "mean", ascending: bool = False) -> DataFrame:
-    """Ordinal ranks; ties go by first appearance. how: a name, or what makes an aggregate of a column."""
-    x = scores.groupBy("username").agg(AGGREGATES.get(how, how)("score").alias("score"), F.min("forecast_seq").alias("seen"), F.count("*").alias("n_predictions"))
+    """Ordinal ranks; ties go by first appearance. how: a name, or what makes an aggregate of a column. Medians are found
+    without gathering a forecaster's scores."""
+    make = F.avg if how == "median" else AGGREGATES.get(how, how)
+    x = scores.groupBy("username").agg(make("score").alias("score"), F.min("forecast_seq").alias("seen"), F.count("*").alias("n_predictions"))
+    if how == "median":
+        middle = exact_quantiles(scores, ["username"], "score", [0.5]).select(F.col("username").alias("_name"), F.get("quantiles", F.lit(0)).alias("score"))
+        x = x.drop("score").join(middle, F.col("username").eqNullSafe(F.col("_name")), "left").drop("_name")
     key = F.round("score", 9)
     return x.withColumn("rank", F.row_number().over(Window.orderBy(key.asc() if ascending else key.desc(), "seen", "username"))).drop("seen")
 
