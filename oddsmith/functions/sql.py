@@ -19,3 +19,56 @@ def register(spark: SparkSession) -> list[str]:
     for name, (args, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
     return list(FUNCTIONS)
+
+
+class Stakes:
+    """Table function: stakes(TABLE(rows), probs => 'name', odds => 'name', risk_aversion => 0.5) gives each row once for each of its options, with
+    the option's place, the share of one unit that is staked on it, and the contracts that this buys. Columns of the rows stay in front.
+
+    Stakes are those of `bets_neutral`, `bets_log` and `bets_crra`, scaled to spend one unit. Rows whose vectors are null, empty or of two lengths
+    give no row, and so does a forecast that stakes nothing."""
+
+    @staticmethod
+    def analyze(rows, probs=None, odds=None, risk_aversion=None):
+        from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+        from pyspark.sql.udtf import AnalyzeResult
+
+        if not rows.isTable:
+            raise ValueError("the first argument must be TABLE(...)")
+        p, q = (a.value if a is not None and a.value is not None else name for a, name in ((probs, "probs"), (odds, "odds")))
+        for name in (p, q):
+            if name not in rows.dataType.names or not isinstance(rows.dataType[name].dataType, ArrayType):
+                raise ValueError(f"no column {name} of arrays")
+        g = float(risk_aversion.value) if risk_aversion is not None and risk_aversion.value is not None else 0.0
+        if not 0 <= g <= 1:
+            raise ValueError("risk_aversion must be in [0, 1]")
+        schema = StructType(list(rows.dataType.fields))
+        for name, kind in (("option", IntegerType()), ("stake", DoubleType()), ("bet", DoubleType())):
+            if name in rows.dataType.names:
+                raise ValueError(f"a column is named {name} already")
+            schema = schema.add(name, kind)
+        return AnalyzeResult(schema=schema)
+
+    def eval(self, rows, probs="probs", odds="odds", risk_aversion=0.0):
+        p, q, g = rows[probs or "probs"], rows[odds or "odds"], float(risk_aversion or 0)
+        if not p or not q or len(p) != len(q) or None in p or None in q:
+            return
+        if g == 0:
+            edges = [round(a / b + 3.3e-10, 9) for a, b in zip(p, q)]
+            spent = [float(k == edges.index(max(edges))) for k in range(len(p))]
+        elif g == 1:
+            spent = list(p)
+        else:
+            spent = [a ** (1 / g) * b ** (1 - 1 / g) for a, b in zip(p, q)]
+        total = sum(spent)
+        if total <= 0:
+            return
+        for k, (x, price) in enumerate(zip(spent, q)):
+            yield (*rows, k, x / total, x / total / price)
+
+
+def register_tables(spark) -> None:
+    """The table functions, for SQL."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register("stakes", udtf(Stakes))

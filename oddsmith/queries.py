@@ -685,6 +685,15 @@ def sql_functions(spark, d):
     return spark.sql("SELECT forecaster, round(avg(brier(prediction, outcome)), 6) AS score, count(*) AS n FROM oddsmith_forecasts WHERE NOT spread_exceeds(odds, no_odds, 1.03D) GROUP BY forecaster")
 
 
+@query
+def sql_stakes(spark, d):
+    """The table function from SQL, over the raw columns of the challenge form."""
+    sql_scores.register_tables(spark)
+    derive_challenge(spark, d)[1].select("username", "probs", "odds").createOrReplaceTempView("oddsmith_challenge")
+    x = spark.sql("SELECT username, option, avg(stake) AS stake, avg(bet) AS bet, count(*) AS n FROM stakes(TABLE(oddsmith_challenge), risk_aversion => 0.5D) GROUP BY username, option")
+    return _r(x, "stake", "bet")
+
+
 @query
 def bootstrap_roi(spark, d):
     return _interval(resample.bootstrap(scores.average_return(forecasts_wide(spark, d)), how="roi"))
