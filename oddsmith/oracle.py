@@ -380,6 +380,7 @@ FROM d WHERE (day + 1) * 86400000 <= final WINDOW u AS (PARTITION BY user_id ORD
 SELECT forecast_id, b.seq AS seq, b.score AS score FROM f WHERE b.t // 1000 + 1 <= final""",
         "json_repair_props": "SELECT event_type, event_id % 6 AS damage, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(sum(CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END) AS BIGINT) AS \"left\", count(*) FILTER (event_id % 6 = 5) AS notes FROM (SELECT event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
         "sql_stakes": _chal + ", y AS (SELECT forecaster, mkt, q, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker, seq) AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS stake, round(avg(v / q), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
+        "paged_source": "SELECT page_id // 100 AS page, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS id_sum, CAST(sum(length(html)) AS BIGINT) AS n_chars, max(url) AS last_url FROM pages GROUP BY ALL",
         "rank_with_interval": _with(_F, _M, _base_m) + """, mu AS (SELECT forecaster, sum(score * weight) / sum(weight) AS m FROM s2 GROUP BY forecaster),
 y AS (SELECT forecaster, any_value(m) AS v, count(*) AS k, sum(weight) AS w, sum(weight) * sum(weight) / sum(weight * weight) AS ne, sum(weight * (score - m) * (score - m)) AS ss FROM s2 JOIN mu USING (forecaster) GROUP BY forecaster)
 SELECT rank() OVER (ORDER BY round(v, 9)) AS rank, forecaster, round(v, 6) AS score, '±' || printf('%.4f', 1.6448536269514722 * sqrt(ss / w * ne / (ne - 1) / ne)) AS "90.0% ci", k AS "# predictions" FROM y""",

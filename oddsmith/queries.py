@@ -14,7 +14,7 @@ from .plans.derive import challenge as derive_challenge
 from .plans.derive import forecasts_wide
 from .plans.lineage import shared_dir
 from .schema import violations
-from .sources import loaders
+from .sources import loaders, paged
 from .sources.json_repair import tolerant_json
 from .streaming import live, state
 
@@ -387,6 +387,15 @@ def json_repair_props(spark, d):
     return x.groupBy("event_type", "damage").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("k_sum"), F.sum(F.coalesce(F.size("p.left"), F.lit(0))).alias("left"), F.count("p.note").alias("notes"))
 
 
+@query
+def paged_source(spark, d):
+    """Pages stored by a hundred, and read through the paged source."""
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{d}/pages.parquet").withColumn("page", F.floor(F.col("page_id") / 100)).write.partitionBy("page").json(path)
+    x = spark.read.format(paged.register(spark)).option("path", path).load()
+    return x.groupBy("page").agg(F.count("*").alias("n"), F.sum("page_id").alias("id_sum"), F.sum(F.length("html")).alias("n_chars"), F.max("url").alias("last_url"))
+
+
 @query
 def live_windows(spark, d):
     x = spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("forecaster"), F.col("value").alias("score"), F.lit(1.0).alias("weight"))
