@@ -562,24 +562,6 @@ def test_language_fusion_against_plain_sums(spark):
     assert out[200]["confidence"] > 0.5 and out[0]["confidence"] > out[204]["confidence"]
 
 
-def test_pipeline_against_brute_force(spark):
-    import corpus_pipeline as cp
-
-    docs = spark.read.parquet(f"{D}/documents.parquet")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    out = cp.run(spark, D).collect()
-    kept = {r["doc_id"] for r in cp.quality_stage(spark, docs, D).collect()}
-    ids = sorted(kept)
-    lead = classes([rows[i] for i in ids])
-    kept = {i for k, i in enumerate(ids) if lead[k][1] == k}
-    bench = [r["text"].lower().split() for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
-    kept = {i for i in kept if not any(" ".join(b) in " ".join(rows[i].lower().split()) for b in bench)}
-    assert {r["doc_id"] for r in out} == kept and 0 < len(kept) < len(rows)
-    plain = hashlib.sha256(rows[min(kept)].encode()).hexdigest()
-    assert plain == next(r["decoded_sha256"] for r in out if r["doc_id"] == min(kept)) or "SECRET" in rows[min(kept)]
-    assert [n for n, _ in cp.STAGES][0] == "quality rules"
-
-
 def test_broadcasts_are_of_checked_size(spark, tmp_path, monkeypatch):
     from oddsmith.llm import common
 
