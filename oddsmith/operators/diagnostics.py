@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean
+from .quantiles import exact_quantiles
 from .ranking import z_score
 
 
@@ -16,8 +17,12 @@ def dilution(df: DataFrame) -> DataFrame:
     return df.withColumn("num_markets", F.size("outcome")).withColumn("dilution", mean("outcome"))
 
 
-def by_num_markets(scores: DataFrame) -> DataFrame:
-    x = scores.groupBy("num_markets").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+def by_num_markets(scores: DataFrame, event_mean: bool = False, by=()) -> DataFrame:
+    """Count, mean, deviation and standard error of (num_markets, score), for each value of `by` apart. event_mean: an event's
+    scores are averaged first, so that events weigh alike."""
+    if event_mean:
+        scores = scores.groupBy(*by, "event_ticker", "num_markets").agg(F.avg("score").alias("score"))
+    x = scores.groupBy(*by, "num_markets").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
     return x.withColumn("sem", F.col("sd") / F.sqrt("n"))
 
 
@@ -32,6 +37,15 @@ def histogram(df: DataFrame, col: str, bins: int, low: float, high: float) -> Da
     return df.where(F.col(col).between(low, high)).groupBy(F.least(F.width_bucket(col, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def column_statistics(df: DataFrame, col: str, by=()) -> DataFrame:
+    """(*by, n, mean, median, low, high) of a column, nulls aside; the median is exact, found without gathering values."""
+    x = df.withColumn("_all", F.lit(0)).where(F.col(col).isNotNull())
+    keys = ["_all", *by]
+    middle = exact_quantiles(x, keys, col, [0.5]).select(*(F.col(k).alias(f"_{k}") for k in keys), F.get("quantiles", F.lit(0)).alias("median"))
+    x = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(col).alias("mean"), F.min(col).alias("low"), F.max(col).alias("high"))
+    return x.join(middle, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*by, "n", "mean", "median", "low", "high")
+
+
 def _beta(a: float, b: float, x: float) -> float:
     """The regularized incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:

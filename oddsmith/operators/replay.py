@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, numbered
+from .challenge import binary_earnings
 from .ranking import ranked
 
 
@@ -97,3 +98,13 @@ def every_days(scores: DataFrame, days: int, ascending: bool = True, by=(), incl
     y = _running(part, [*by, "forecaster"], "k", ("s", "w", "n"), F.col("last"))
     y = y.select(*by, "forecaster", (F.col("k") * days).alias("day"), F.try_divide("s", "w").alias("score"), F.col("n").alias("n_predictions"))
     return ranked(y, ascending, [*by, "day"])
+
+
+def return_curves(problems: DataFrame, forecasts: DataFrame, risk_aversions=(0.0, 0.5, 1.0), increment: int = 50) -> DataFrame:
+    """(risk_aversion, batch, username, score, n, rank): average returns after each batch of problems, for each aversion to risk."""
+    labels = cut(batches(problems, increment).select("problem_id", "batch"))
+    parts = [binary_earnings(problems, forecasts, g).select("problem_id", "username", "score", F.lit(float(g)).alias("risk_aversion")) for g in risk_aversions]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return cumulative(every.join(labels, "problem_id"), "batch", by=("risk_aversion",))

@@ -89,9 +89,10 @@ BASELINE = "market-baseline"
 
 
 def with_market_baseline(df: DataFrame, use_both: bool = False) -> DataFrame:
-    """df and a forecaster that repeats the market: one row per (event, round)."""
+    """df and a forecaster that repeats the market: one row per (event, round), each column the first value that is not null, by forecaster."""
     rest = [c for c in df.columns if c not in ("event_ticker", "round", "forecaster")]
-    x = df.groupBy("event_ticker", "round").agg(F.min(F.struct("forecaster", *rest)).alias("x")).select("event_ticker", "round", *(f"x.{c}" for c in rest))
+    first = (F.min(F.when(F.col(c).isNotNull(), F.struct("forecaster", F.col(c).alias("x"))))["x"].alias(c) for c in rest)
+    x = df.groupBy("event_ticker", "round").agg(*first)
     said = F.zip_with("odds", "no_odds", lambda q, n: (q + 1 - n) / 2) if use_both else F.col("odds")
     return df.unionByName(x.withColumn("prediction", said).withColumn("forecaster", F.lit(BASELINE)))
 

@@ -381,6 +381,17 @@ SELECT forecast_id, b.seq AS seq, b.score AS score FROM f WHERE b.t // 1000 + 1
         "json_repair_props": "SELECT event_type, event_id % 6 AS damage, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum, CAST(sum(CASE WHEN event_id % 6 = 4 THEN 2 ELSE 0 END) AS BIGINT) AS \"left\", count(*) FILTER (event_id % 6 = 5) AS notes FROM (SELECT event_type, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
         "sql_stakes": _chal + ", y AS (SELECT forecaster, mkt, q, p * p / q / sum(p * p / q) OVER (PARTITION BY forecaster, event_ticker, seq) AS v FROM c) SELECT forecaster AS username, mkt AS option, round(avg(v), 6) AS stake, round(avg(v / q), 6) AS bet, count(*) AS n FROM y GROUP BY forecaster, mkt",
         "paged_source": "SELECT page_id // 100 AS page, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS id_sum, CAST(sum(length(html)) AS BIGINT) AS n_chars, max(url) AS last_url FROM pages GROUP BY ALL",
+        "gap_statistics": _with(_F) + f", y AS (SELECT forecaster, {_hours} AS h FROM f), z AS (SELECT *, {_bin} AS bin_ord FROM y) SELECT {_bin_name} AS time_bin, count(*) AS n, round(avg(h), 6) AS mean, round(median(h), 6) AS median, round(min(h), 6) AS low, round(max(h), 6) AS high FROM z GROUP BY ALL",
+        "event_mean_by_num_markets": _base + ", y AS (SELECT event_ticker, forecaster, count(*) AS num_markets, avg((p - o) * (p - o)) AS v FROM x GROUP BY ALL), e AS (SELECT event_ticker, num_markets, avg(v) AS v FROM y GROUP BY ALL) SELECT CAST(num_markets AS INTEGER) AS num_markets, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM e GROUP BY num_markets",
+        "return_curves": _chal + _flip + """, y AS (
+  SELECT 0.0::DOUBLE AS g, forecaster, event_ticker, seq, fo / fq AS v FROM z2 QUALIFY row_number() OVER (PARTITION BY forecaster, event_ticker, seq ORDER BY round(fp / fq + 3.3e-10, 9) DESC, mkt) = 1
+  UNION ALL SELECT 0.5, forecaster, event_ticker, seq, sum(fp * fp / fq / fq * fo) / sum(fp * fp / fq) FROM z2 GROUP BY forecaster, event_ticker, seq
+  UNION ALL SELECT 1.0, forecaster, event_ticker, seq, sum(fp / fq * fo) / sum(fp / fq * fq) FROM z2 GROUP BY forecaster, event_ticker, seq),
+yl AS (SELECT g, forecaster, event_ticker, arg_max(v, seq) AS v FROM y GROUP BY ALL),
+pr AS (SELECT event_ticker, (row_number() OVER (ORDER BY event_ticker) - 1) // 500 AS batch FROM (SELECT DISTINCT event_ticker FROM c)),
+pa AS (SELECT g, forecaster, batch, sum(v) AS s, count(*) AS n FROM yl JOIN pr USING (event_ticker) GROUP BY ALL),
+cu AS (SELECT pa.g AS risk_aversion, b.batch, pa.forecaster, sum(s) / sum(n) AS v, CAST(sum(n) AS BIGINT) AS n FROM (SELECT DISTINCT batch FROM pr) AS b JOIN pa ON pa.batch <= b.batch GROUP BY ALL)
+SELECT risk_aversion, batch, forecaster AS username, round(v, 6) AS score, n, rank() OVER (PARTITION BY risk_aversion, batch ORDER BY round(v, 9) DESC) AS rank FROM cu""",
         "rank_with_interval": _with(_F, _M, _base_m) + """, mu AS (SELECT forecaster, sum(score * weight) / sum(weight) AS m FROM s2 GROUP BY forecaster),
 y AS (SELECT forecaster, any_value(m) AS v, count(*) AS k, sum(weight) AS w, sum(weight) * sum(weight) / sum(weight * weight) AS ne, sum(weight * (score - m) * (score - m)) AS ss FROM s2 JOIN mu USING (forecaster) GROUP BY forecaster)
 SELECT rank() OVER (ORDER BY round(v, 9)) AS rank, forecaster, round(v, 6) AS score, '±' || printf('%.4f', 1.6448536269514722 * sqrt(ss / w * ne / (ne - 1) / ne)) AS "90.0% ci", k AS "# predictions" FROM y""",

@@ -656,6 +656,25 @@ def gap_bins(spark, d):
     return diagnostics.histogram(select.hours_to_close(forecasts_wide(spark, d)), "hours", 50, 0.0, 100.0)
 
 
+@query
+def gap_statistics(spark, d):
+    x = select.time_bins(forecasts_wide(spark, d))
+    return _r(diagnostics.column_statistics(x, "hours", by=("time_bin",)), "mean", "median", "low", "high")
+
+
+@query
+def event_mean_by_num_markets(spark, d):
+    from .functions.vectors import brier
+
+    x = diagnostics.dilution(select.scored_rows(forecasts_wide(spark, d))).select("event_ticker", "num_markets", brier("prediction", "outcome").alias("score"))
+    return _r(diagnostics.by_num_markets(x, event_mean=True), "mean", "sd", "sem")
+
+
+@query
+def return_curves(spark, d):
+    return _ranking(replay.return_curves(*derive_challenge(spark, d), increment=500))
+
+
 @query
 def frequent_forecasters(spark, d):
     x = forecasts_wide(spark, d).select(F.concat_ws("/", "forecaster", F.expr("event_ticker % 97")).alias("forecaster"))

@@ -70,9 +70,13 @@ class ChallengeLoader(ABC):
     @abstractmethod
     def load(self) -> tuple[DataFrame, DataFrame]: ...
 
+    title: str | None = None
+    files: dict = {}
+
     def metadata(self) -> dict:
+        """Title, numbers of problems and forecasters, and the files that were read, without building the challenge where that can be helped."""
         problems, forecasts = self.load()
-        return {"problems": problems.count(), "forecasters": forecasts.select("username").distinct().count()}
+        return {"title": self.title, "problems": problems.count(), "forecasters": forecasts.select("username").distinct().count(), **self.files}
 
 
 class JsonChallenge(ChallengeLoader):
@@ -83,7 +87,15 @@ class JsonChallenge(ChallengeLoader):
 
     @classmethod
     def from_files(cls, spark: SparkSession, predictions: str, problems: str, **options) -> JsonChallenge:
-        return cls(spark.read.json(predictions, multiLine=True), spark.read.json(problems, multiLine=True), **options)
+        """The title is the first part of the problems' file name, up to an underscore."""
+        out = cls(spark.read.json(predictions, multiLine=True), spark.read.json(problems, multiLine=True), **options)
+        out.title = problems.rstrip("/").rsplit("/", 1)[-1].split(".")[0].split("_")[0]
+        out.files = {"predictions_file": predictions, "metadata_file": problems}
+        return out
+
+    def metadata(self) -> dict:
+        """Problems are counted as the metadata lists them."""
+        return {"title": self.title, "problems": self.problems.count(), "forecasters": self.predictions.select("username").distinct().count(), **self.files}
 
     def load(self):
         meta = F.col("metadata")
@@ -117,7 +129,15 @@ class CsvChallenge(ChallengeLoader):
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str, **options) -> CsvChallenge:
-        return cls(_csv(spark, path), **options)
+        out = cls(_csv(spark, path), **options)
+        out.files = {"predictions_file": path}
+        return out
+
+    def metadata(self) -> dict:
+        """From the rows alone: problems are submissions where the file names them, else events."""
+        key = "submission_id" if "submission_id" in self.rows.columns else "event_ticker"
+        r = self.rows.agg(F.countDistinct(key), F.countDistinct("predictor_name")).first()
+        return {"title": self.title or "Arena challenge", "problems": r[0], "forecasters": r[1], **(self.files or {"predictions_file": None})}
 
     def load(self):
         x = self.rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("m", lenient_json(F.col("market_info"), INFO)).withColumn("o", lenient_json(F.col("market_outcome"), "map<string, double>"))

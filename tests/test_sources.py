@@ -76,3 +76,16 @@ def test_sinks(spark, tmp_path, caplog):
     for _ in range(2):  # the second run finds nothing new
         sinks.append_stream(stream, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.schema("rank int, forecaster string, score double").json(str(tmp_path / "s")).count() == 2
+
+
+def test_metadata_of_challenges(spark, tmp_path):
+    rows = [("e1", "s1", "a", "{}", "{}", "{}"), ("e1", "s2", "a", "{}", "{}", "{}"), ("e2", "s2", "b", "{}", "{}", "{}")]
+    df = spark.createDataFrame(rows, "event_ticker string, submission_id string, predictor_name string, prediction string, market_info string, market_outcome string")
+    path = str(tmp_path / "rows.csv")
+    df.write.csv(path, header=True)
+    assert loaders.CsvChallenge.from_file(spark, path).metadata() == {"title": "Arena challenge", "problems": 2, "forecasters": 2, "predictions_file": path}
+    assert loaders.CsvChallenge(df.drop("submission_id")).metadata()["problems"] == 2
+    (tmp_path / "gjo_metadata.json").write_text('[{"problem_id": 1, "title": "t", "options": ["a"], "correct_answer": "a", "metadata": {"end_time": "2024-01-01"}}, {"problem_id": 2, "title": "u", "options": ["a"], "correct_answer": "a", "metadata": {"end_time": null}}]')
+    (tmp_path / "said.json").write_text('[{"problem_id": 1, "username": "x", "timestamp": "2024-01-01T00:00:00Z", "prediction": [1.0]}]')
+    a, b = str(tmp_path / "said.json"), str(tmp_path / "gjo_metadata.json")
+    assert loaders.JsonChallenge.from_files(spark, a, b).metadata() == {"title": "gjo", "problems": 2, "forecasters": 1, "predictions_file": a, "metadata_file": b}
