@@ -161,7 +161,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     masks = F.expr("array(" + ", ".join(f"{k}L" for k in _masks()) + ")")
     near = F.transform(blocks(F.col("g")), lambda v: F.transform(masks, lambda k: v.bitwiseXOR(k)))
     index = items.select("m", "item", F.posexplode(near).alias("block", "values")).select("m", "item", "block", F.explode("values").alias("bits"))
-    bound = F.broadcast if items.count() * BLOCKS * len(_masks()) * ROW_BYTES <= MAX_BROADCAST_BYTES else lambda x: x
+    bound = F.broadcast if items.count() * BLOCKS * len(_masks()) * ROW_BYTES <= MAX_BROADCAST_BYTES else lambda x: x.hint("merge")  # its size, which Spark would take for that of the items
     met = mine.join(bound(index), ["m", "block", "bits"]).join(small(items.select("item", "item_id", "s", "g")), "item")
     met = met.withColumn("distance", distance(F.col("f"), F.col("g"))).where(F.col("distance") <= RADIUS)
     # A pair counts at the first block in which it is near.
