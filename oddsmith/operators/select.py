@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import spread_exceeds
 
 MAX_SPREAD = 1.03
-PAIR = ["forecaster", "event_ticker"]
+PAIR = ["event_ticker", "forecaster"]  # the event first: its values differ most, so sorts compare few names
 TIME_BINS = [(0, 3, "0-3h"), (3, 6, "3-6h"), (6, 12, "6-12h"), (12, 24, "12-24h"), (24, 48, "24-48h"), (48, 1e9, "48h+")]
 
 
@@ -26,10 +26,13 @@ def liquid(df: DataFrame, max_spread: float = MAX_SPREAD) -> DataFrame:
 
 def median_round(df: DataFrame) -> DataFrame:
     """The row of each (forecaster, event) nearest to its median round; ties go to
-    the lower one. Median, distance and pick share one partitioning."""
+    the lower one: the middle one in their order, of an even number the lower of both. Rows without round come
+    last, and count only where all are such."""
     w = Window.partitionBy(*PAIR)
-    x = df.withColumn("_far", F.abs(F.col("round") - F.median("round").over(w)))
-    return x.withColumn("_k", F.row_number().over(w.orderBy("_far", "round"))).where("_k = 1").drop("_far", "_k")
+    order = w.orderBy(F.asc_nulls_last("round"))
+    n = F.count("round").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    x = df.withColumns({"_n": n, "_k": F.row_number().over(order)})
+    return x.where("_k = greatest(1, (_n + 1) div 2)").drop("_n", "_k")
 
 
 def scored_rows(df: DataFrame, max_spread: float = MAX_SPREAD) -> DataFrame:

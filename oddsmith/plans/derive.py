@@ -12,28 +12,30 @@ from pyspark.sql import functions as F
 
 
 MAX_FORECASTERS = 100_000  # rows of region that are broadcast; more are joined by Spark's choice
+EVENTS = 1 << 17  # of a partition, on average, at most: what a task sorts or groups does not grow with the input
 
 
 def forecasts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (forecaster, event, round) with vectors. The narrow rows of orders are dealt by key, then expanded in
-    place: all cores share the work, and groups by event, or by forecaster and event, need no further shuffle."""
+    place: all cores share the work, and groups by event, or by forecaster and event, need no further shuffle. They are in the
+    order of their keys, so sorts by event find them nearly sorted."""
     region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.col("r_name").alias("forecaster"))
     if region.count() <= MAX_FORECASTERS:
         region = F.broadcast(region)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("e"), F.col("o_orderpriority").alias("category"), F.col("o_orderdate").cast("timestamp").alias("close_time"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    x = orders.repartition(parts, "e").crossJoin(region).select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round")).where("(e + r_regionkey * 3 + round) % 7 < 4")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-orders.count() // EVENTS))
+    # Each vector is made where its inputs are together first: an outcome once an order, odds once a round. (Compiled forms without lambdas
+    # make methods that are too long for the JVM's compiler.)
     vector = lambda body: F.expr(f"transform(sequence(0, cast(e % 4 as int)), m -> cast({body} as double) / 100)")
-    won = "(case when (e * 3 + m * 11) % 5 < 2 then 1 else 0 end)"
     ask = "(5 + (e * 17 + round * 3 + m * 31) % 91)"
+    x = orders.repartition(parts, "e").sortWithinPartitions("e").withColumn("outcome", vector("(case when (e * 3 + m * 11) % 5 < 2 then 1 else 0 end) * 100"))
+    x = x.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("round"))
+    x = x.withColumns({"odds": vector(ask), "no_odds": vector(f"(100 + (e + m) % 6 - 1 - {ask})")})
+    x = x.crossJoin(region).where("(e + r_regionkey * 3 + round) % 7 < 4")
+    said = "transform(outcome, (o, m) -> cast(((e * 7 + r_regionkey * 13 + round * 5 + m * 29) % 101 * (5 - r_regionkey) + cast(o as int) * 100 * r_regionkey) div 5 as double) / 100)"
     return x.select(
-        "forecaster", F.col("e").alias("event_ticker"), "round", "category",
-        vector(f"((e * 7 + r_regionkey * 13 + round * 5 + m * 29) % 101 * (5 - r_regionkey) + {won} * 100 * r_regionkey) div 5").alias("prediction"),
-        vector(f"{won} * 100").alias("outcome"),
-        vector(ask).alias("odds"),
-        vector(f"(100 + (e + m) % 6 - 1 - {ask})").alias("no_odds"),
-        F.expr("close_time - make_interval(0, 0, 0, 0, cast(1 + (e + round * 7) % 60 as int), 0, 0)").alias("snapshot_time"),
-        "close_time", F.lit(1.0).alias("weight"),
+        "forecaster", F.col("e").alias("event_ticker"), "round", "category", F.expr(said).alias("prediction"), "outcome", "odds", "no_odds",
+        F.expr("close_time - make_interval(0, 0, 0, 0, cast(1 + (e + round * 7) % 60 as int), 0, 0)").alias("snapshot_time"), "close_time", F.lit(1.0).alias("weight"),
     )
 
 
