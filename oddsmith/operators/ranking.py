@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.derive import MAX_FORECASTERS
 from ..plans.lineage import cut, numbered
 
 
@@ -20,7 +21,7 @@ def z_score(level: float) -> float:
 
 def by_round(scores: DataFrame) -> DataFrame:
     """Weights divided by the rounds of each (forecaster, event)."""
-    rounds = F.size(F.collect_set("round").over(Window.partitionBy("forecaster", "event_ticker")))
+    rounds = F.size(F.collect_set("round").over(Window.partitionBy("event_ticker", "forecaster")))
     return scores.withColumn("weight", F.col("weight") / rounds)
 
 
@@ -71,11 +72,13 @@ def category_and_overall(scores: DataFrame, ascending: bool = True) -> DataFrame
 
 def kish_interval(scores: DataFrame, level: float = 0.95) -> DataFrame:
     """Weighted mean with the margin z * sqrt(var / n_eff). Central moments come from a
-    second pass against the mean, which is joined back (a row per forecaster)."""
-    s = scores.where("score is not null")
+    second pass against the mean, which is joined back (a row per forecaster); the scores are worked out once, and no
+    row of them moves for the mean where forecasters are MAX_FORECASTERS at most."""
+    s = cut(scores.where("score is not null").select("forecaster", "score", "weight"))
     mean = s.groupBy("forecaster").agg(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum("weight")).alias("mean"))
     w, d = F.col("weight"), F.col("score") - F.col("mean")
-    x = s.join(mean, "forecaster").groupBy("forecaster").agg(F.first("mean").alias("score"), F.count("*").alias("n_predictions"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * d * d).alias("ss"))
+    mean = cut(mean)
+    x = s.join(F.broadcast(mean) if mean.count() <= MAX_FORECASTERS else mean, "forecaster").groupBy("forecaster").agg(F.first("mean").alias("score"), F.count("*").alias("n_predictions"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * d * d).alias("ss"))
     n = F.try_divide(F.col("w") * F.col("w"), F.col("w2"))
     var = F.col("ss") / F.col("w") * F.try_divide(n, n - 1)
     margin = F.when(F.col("n_predictions") <= 1, 0.0).when(F.col("w") <= 0, None).when(n <= 1, 0.0).otherwise(z_score(level) * F.sqrt(var / n))

@@ -37,7 +37,7 @@ def market_brier_per_forecaster(df: DataFrame, max_spread: float = MAX_SPREAD) -
     """The market's error over the events that each forecaster answered."""
     real = length_matched(df).where(~F.col("forecaster").contains("market-baseline"))
     event = liquid(first_per_event(real), max_spread).select("event_ticker", _market_error().alias("s"), F.size("odds").alias("n"))
-    return median_round(real).select("forecaster", "event_ticker").join(event, "event_ticker").groupBy("forecaster").agg((F.sum("s") / F.sum("n")).alias("score"))
+    return real.select("forecaster", "event_ticker").distinct().join(event, "event_ticker").groupBy("forecaster").agg((F.sum("s") / F.sum("n")).alias("score"))
 
 
 def individualized_market_brier(df: DataFrame) -> DataFrame:
