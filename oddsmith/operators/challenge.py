@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, normalized, one_hot, spherical, stakes_crra, total
+from ..plans.lineage import cut
 from .quantiles import exact_quantiles
 
 
@@ -119,6 +120,7 @@ def with_market_row(forecasts: DataFrame) -> DataFrame:
 def sharpe_of_earnings(earnings: DataFrame, kind: str | None = None, money: float = 1.0, baseline: str | None = None) -> DataFrame:
     """None: the mean; marginal: less the money over the deviation; relative: less the baseline's earnings."""
     if kind == "relative":
+        earnings = cut(earnings)  # worked out once for both sides
         base = earnings.where(F.col("username") == baseline).select("problem_id", F.col("score").alias("base"))
         earnings = earnings.join(base, "problem_id").withColumn("score", F.col("score") - F.col("base"))
     m, sd = F.avg("score"), F.stddev_pop("score") + 1e-8
