@@ -1,4 +1,4 @@
-"""Loaders. Everything returns lazy DataFrames; JSON is parsed by Spark."""
+"""Loaders. What they return is lazy, but for the rows of CsvChallenge, which are parsed into a table; JSON is parsed by Spark."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import normalized, smoothed
 from ..operators.select import min_counts, with_time_rank
+from ..plans.lineage import cut
 from .json_repair import tolerant_json
 
 ASKS = "map<string, struct<yes_ask: double, no_ask: double>>"
@@ -141,14 +142,14 @@ class CsvChallenge(ChallengeLoader):
 
     def load(self):
         x = self.rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("m", lenient_json(F.col("market_info"), INFO)).withColumn("o", lenient_json(F.col("market_outcome"), "map<string, double>"))
-        x = x.withColumn("keys", _sorted_keys(F.col("m")))
+        x = x.withColumn("keys", _sorted_keys(F.col("m"))).withColumn("p", lenient_json(F.col("prediction"), STATED)["probabilities"])
+        x = cut(x.drop("market_info", "market_outcome", "prediction"))  # texts are parsed once, and rows keep their numbers
         first = x.groupBy("event_ticker").agg(F.min_by(F.struct("keys", "m", "o", *(c for c in ("category",) if c in x.columns)), "seq").alias("f"), F.min("seq").alias("problem_seq"))
         won = F.filter(F.transform("f.keys", lambda k, i: F.when(F.col("f.o")[k] == 1, i)), lambda i: i.isNotNull())
         when = F.array_max(F.transform("f.keys", lambda k: F.col("f.m")[k]["open_time" if self.use_open_time else "close_time"].try_cast("timestamp")))
         problems = first.select(F.col("event_ticker").alias("problem_id"), "problem_seq", F.col("event_ticker").alias("title"), F.col("f.keys").alias("options"), won.alias("correct_option_idx"), F.size("f.keys").alias("n_options"), when.alias("end_time"), (F.col("f.category") if "category" in x.columns else F.lit(None).cast("string")).alias("category"))
-        s = lenient_json(F.col("prediction"), STATED)
         said = F.transform("options", lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(F.filter("p", lambda y: y["market"] == k), F.lit(-1))["probability"], F.lit(0.0)))))
-        f = x.withColumn("p", s["probabilities"]).drop("category").join(problems.select(F.col("problem_id").alias("event_ticker"), "options"), "event_ticker").withColumn("u", said)
+        f = x.drop("category").join(problems.select(F.col("problem_id").alias("event_ticker"), "options"), "event_ticker").withColumn("u", said)
         f = f.select(
             F.concat_ws("-", "event_ticker", "seq").alias("forecast_id"), F.col("event_ticker").alias("problem_id"), F.col("seq").alias("forecast_seq"), F.col("predictor_name").alias("username"),
             F.col("u").alias("unnormalized_probs"), normalized("u").alias("probs"), F.lit(1.0).alias("weight"),

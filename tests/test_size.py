@@ -45,3 +45,11 @@ def test_hot_forecasters_are_not_dealt_by_name(spark):
     df = ranking.kish_interval(scores.brier_score(forecasts_wide(spark, D)))
     assert "SortMergeJoin" not in plan(df) and df.count() == 5
     assert plan(scores.market_brier_per_forecaster(forecasts_wide(spark, D))).count("Window") == 0
+
+
+def test_json_that_is_fine_is_not_rewritten(spark):
+    from oddsmith.sources.loaders import lenient_json
+
+    texts = ['{"a": 1, "b": 2}', "{'a': None, 'b': 2,}", '{"a": 1', None, '{"None": 3, "x, ]": 4}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(lenient_json(F.col("t"), "map<string, double>").alias("m"))
+    assert [r["m"] for r in df.collect()] == [{"a": 1.0, "b": 2.0}, {"a": None, "b": 2.0}, {"a": 1.0}, None, {"None": 3.0, "x, ]": 4.0}]
