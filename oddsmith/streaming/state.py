@@ -18,39 +18,51 @@ _DAY = 86_400_000
 
 
 class DailyTotals(StatefulProcessor):
-    """Of each forecaster: totals up to the end of each day with rows, given out once the watermark has passed that end. State: the
-    totals, and a sum for each day that is still open (as many as the lateness spans)."""
+    """Of each forecaster: totals up to the end of each day with rows, given out once the watermark has passed that end. State: one value of the
+    totals and a sum for each day that is still open (as many as the lateness spans), read and written once for a batch, and a timer for the first of those days."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.total = handle.getValueState("total", "s double, w double, n long")
-        self.days = handle.getMapState("days", "day long", "s double, w double, n long")
+        self.all = handle.getValueState("all", "s double, w double, n long, day array<long>, ds array<double>, dw array<double>, dn array<long>")
+
+    def read(self) -> tuple[tuple, dict]:
+        """(totals, sums by open day)"""
+        v = self.all.get()
+        if v is None:
+            return (0.0, 0.0, 0), {}
+        return tuple(v[:3]), {d: (s, w, n) for d, s, w, n in zip(*v[3:])}
+
+    def write(self, total: tuple, days: dict) -> None:
+        self.all.update((*total, list(days), *(list(k) for k in (zip(*days.values()) if days else ((), (), ())))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
+        add: dict = {}
         for x in rows:
-            at = x["at"] // 1000
-            x = x[at >= mark].assign(day=at // _DAY)
-            x = x.assign(s=x["score"] * x["weight"]).groupby("day").agg(s=("s", "sum"), w=("weight", "sum"), n=("s", "size"))
-            for day, s, w, n in x.itertuples():
-                old = self.days.getValue((day,)) if self.days.containsKey((day,)) else None
-                if old is None:
-                    self.handle.registerTimer((day + 1) * _DAY)
-                    old = (0.0, 0.0, 0)
-                self.days.updateValue((day,), (old[0] + float(s), old[1] + float(w), old[2] + int(n)))
+            for at, score, w in zip(*(x[c].to_numpy().tolist() for c in ("at", "score", "weight"))):
+                if at // 1000 >= mark:
+                    s = add.setdefault(at // 1000 // _DAY, [0.0, 0.0, 0])
+                    s[0], s[1], s[2] = s[0] + score * w, s[1] + w, s[2] + 1
+        if add:
+            total, days = self.read()
+            if not days or min(add) < min(days):
+                self.handle.registerTimer((min(add) + 1) * _DAY)
+            for day, s in add.items():
+                days[day] = tuple(a + b for a, b in zip(days.get(day, (0.0, 0.0, 0)), s))
+            self.write(total, days)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // _DAY - 1
+        end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         out = []
-        total = self.total.get() if self.total.exists() else (0.0, 0.0, 0)
-        for d in sorted(k[0] for k in self.days.keys() if k[0] <= day):
-            add = self.days.getValue((d,))
-            total = tuple(a + b for a, b in zip(total, add))
-            self.days.removeKey((d,))
+        total, days = self.read()
+        for d in sorted(d for d in days if (d + 1) * _DAY <= end):
+            total = tuple(a + b for a, b in zip(total, days.pop(d)))
             out.append((key[0], d, total[0] / total[1] if total[1] else None, total[2]))
         if out:
-            self.total.update(total)
+            self.write(total, days)
+            if days:
+                self.handle.registerTimer((min(days) + 1) * _DAY)
             yield pd.DataFrame(out, columns=["forecaster", "day", "score", "n"])
 
     def close(self) -> None:
@@ -67,17 +79,16 @@ class FirstForecasts(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        best = self.first.get() if self.first.exists() else None
+        best = self.first.get()
         if best is not None and best[3]:
             for _ in rows:
                 pass
             return iter(())
         old = best
         for x in rows:
-            x = x[x["at"] // 1000 >= mark].sort_values(["at", "seq"])
-            if len(x):
-                r = (int(x["at"].iloc[0]), int(x["seq"].iloc[0]), float(x["score"].iloc[0]), False)
-                best = r if best is None or r[:2] < tuple(best[:2]) else best
+            for at, seq, score in zip(*(x[c].to_numpy().tolist() for c in ("at", "seq", "score"))):
+                if at // 1000 >= mark and (best is None or (at, seq) < tuple(best[:2])):
+                    best = (at, seq, score, False)
         if best is not None and best is not old:
             if old is not None:
                 self.handle.deleteTimer(old[0] // 1000 + 1)

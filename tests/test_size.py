@@ -53,3 +53,36 @@ def test_json_that_is_fine_is_not_rewritten(spark):
     texts = ['{"a": 1, "b": 2}', "{'a': None, 'b': 2,}", '{"a": 1', None, '{"None": 3, "x, ]": 4}']
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lenient_json(F.col("t"), "map<string, double>").alias("m"))
     assert [r["m"] for r in df.collect()] == [{"a": 1.0, "b": 2.0}, {"a": None, "b": 2.0}, {"a": 1.0}, None, {"None": 3.0, "x, ]": 4.0}]
+
+
+def test_daily_state_is_one_value():
+    """A batch reads and writes a forecaster's state once, however many days it has."""
+    import pandas as pd
+
+    from oddsmith.streaming import state
+
+    calls = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, v):
+            calls.append("update")
+            self.now = v
+
+    class Handle:
+        getValueState = lambda self, *_: Value()
+        registerTimer = lambda self, at: calls.append(at)
+
+    class Timer:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    p = state.DailyTotals()
+    p.init(Handle())
+    rows = pd.DataFrame({"at": [d * state._DAY * 1000 for d in range(9)], "score": 2.0, "weight": 1.0})
+    assert list(p.handleInputRows(("a",), iter([rows]), Timer())) == [] and calls == ["get", state._DAY, "update"]
+    assert p.read()[1] == {d: (2.0, 1.0, 1) for d in range(9)}
