@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.derive import MAX_FORECASTERS
 from ..plans.lineage import cut
 
 
@@ -142,9 +143,10 @@ def _shift_step(items: DataFrame, shift: list[float]):
         total = np.zeros((r, r + 1))
         for batch in batches:
             v, g, inverse, cross = _parts(batch, r)
-            half = np.einsum("ixj,ixy->ijy", cross, inverse)
-            total[:, 0] += [v[f"gp{j}"].sum() for j in range(r)] - np.einsum("ijy,iy->j", half, g)
-            total[:, 1:] += [[v[f"fpp{min(i, j)}_{max(i, j)}"].sum() for j in range(r)] for i in range(r)] - np.einsum("ijy,iyk->jk", half, cross)
+            m = batch.column(batch.schema.get_field_index("m")).to_numpy(zero_copy_only=False)
+            half = np.einsum("ixj,ixy,i->ijy", cross, inverse, m)
+            total[:, 0] += [v[f"gp{j}"] @ m for j in range(r)] - np.einsum("ijy,iy->j", half, g)
+            total[:, 1:] += [[v[f"fpp{min(i, j)}_{max(i, j)}"] @ m for j in range(r)] for i in range(r)] - np.einsum("ijy,iyk->jk", half, cross)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], names)
 
     sums = items.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()  # one row
@@ -154,7 +156,7 @@ def _shift_step(items: DataFrame, shift: list[float]):
 
 
 def _moved(items: DataFrame, step, share: float) -> DataFrame:
-    """(problem_id, a, b, sd, a0, b0): the problems after their step, given that of the shifts; a0 and b0 before."""
+    """(problem_id, m, a, b, sd, a0, b0): the problems after their step, given that of the shifts; a0 and b0 before."""
     import numpy as np
     import pyarrow as pa
 
@@ -164,9 +166,9 @@ def _moved(items: DataFrame, step, share: float) -> DataFrame:
             d = np.einsum("ixy,iy->ix", inverse, g - cross @ step)
             d *= (share / np.maximum(1, np.abs(d).max(1, initial=0)))[:, None]
             out = [v["a"] + d[:, 1], v["b"] + d[:, 0], 1 / np.sqrt(v["fbb"] + 1 / 25), v["a"], v["b"]]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("problem_id")), *map(pa.array, out)], ["problem_id", "a", "b", "sd", "a0", "b0"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("problem_id", "m")), *map(pa.array, out)], ["problem_id", "m", "a", "b", "sd", "a0", "b0"])
 
-    return items.mapInArrow(run, "problem_id string, a double, b double, sd double, a0 double, b0 double")
+    return items.mapInArrow(run, "problem_id string, m double, a double, b double, sd double, a0 double, b0 double")
 
 
 def _flat(people, problems, shift: list[float], free: list[bool]):
@@ -188,6 +190,17 @@ def _flat(people, problems, shift: list[float], free: list[bool]):
     return d, e, math.exp(s)
 
 
+def _kinds(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Problems of equal cells have equal parameters at the mode, so each kind is fitted once and counted by its problems: (the cells of the least problem
+    of each kind, with the number m of its problems; (problem_id, like), like being that least one). Kinds are told by their
+    number of cells and 128 bits of hashes, which move as one row a problem."""
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "username", "k", "n"))
+    every = cut(cells.groupBy("problem_id").agg(F.count("*").alias("c"), mark(1).alias("h1"), mark(2).alias("h2")))
+    kinds = cut(every.groupBy("c", "h1", "h2").agg(F.min("problem_id").alias("like"), F.count("*").cast("double").alias("m")))
+    near = F.broadcast if kinds.count() <= MAX_FORECASTERS else lambda x: x
+    return cut(cells.join(near(kinds.select(F.col("like").alias("problem_id"), "m")), "problem_id")), every.join(near(kinds), ["c", "h1", "h2"]).select("problem_id", "like")
+
+
 def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform", rounds: int = 100, tolerance: float = 0.02) -> DataFrame:
     """(kind, id, location, discrimination, sd) from (username, problem_id, score in [0, 1], low is good).
 
@@ -200,7 +213,8 @@ def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform"
     difficulty, log a or shift moves by `tolerance` in a round; a fit that does not get
     there in `rounds` is an error. sd is the curvature's (Laplace). Steps are joins,
     grouped sums and passes over problems, so no task holds the rows of a forecaster
-    or a problem, and the state is two tables written between the steps. Null scores are dropped.
+    or a problem, and the state is two tables written between the steps. Problems with equal cells are fitted
+    as one, counted by their number, which is exact. Null scores are dropped.
     """
     known = scores.where("score is not null and username is not null and problem_id is not null")
     levels = _levels(known, anchors, strategy)
@@ -209,7 +223,8 @@ def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform"
     x = known.select(F.col("username").cast("string").alias("username"), F.col("problem_id").cast("string").alias("problem_id"), k.alias("k"))
     x = cut(x.groupBy("username", "problem_id", "k").agg(F.count("*").cast("double").alias("n")))
     users = cut(x.select("username").distinct().select("username", F.lit(0.0).alias("t"), F.lit(1.0).alias("sd")))
-    items = cut(x.select("problem_id").distinct().select("problem_id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(5.0).alias("sd")))
+    x, like = _kinds(x)
+    items = cut(x.select("problem_id", "m").distinct().select("problem_id", "m", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(5.0).alias("sd")))
     shift, free = [0.0] * len(levels), [v != 1 for v in levels]
     far = 0.0 if x.isEmpty() else math.inf
     for turn in range(rounds):
@@ -217,15 +232,15 @@ def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform"
             break
         share = 1.0 if turn < 30 else 0.5
         rows = lambda: x.join(items.select("problem_id", "a", "b"), "problem_id").join(users.select("username", "t"), "username")
-        sums = _slopes(rows(), levels, shift, "username")
+        sums = _slopes(rows().withColumn("n", F.col("n") * F.col("m")), levels, shift, "username")
         move = F.greatest(F.lit(-share), F.least(F.lit(share), share * (F.col("g") - F.col("t")) / (F.col("h") + 1)))
         users = cut(users.select("username", "t").join(sums, "username").select("username", (F.col("t") + move).alias("t"), (1 / F.sqrt(F.col("h") + 1)).alias("sd"), F.col("t").alias("t0")))
-        full = cut(items.select("problem_id", "a", "b").join(_slopes(rows(), levels, shift, "problem_id"), "problem_id"))
+        full = cut(items.select("problem_id", "m", "a", "b").join(_slopes(rows(), levels, shift, "problem_id"), "problem_id"))
         step = _shift_step(full, shift)
         items = cut(_moved(full, step, share))
         before, shift = shift, [v + share * float(w) for v, w in zip(shift, step)]
         people = users.agg(F.count("*"), F.sum("t"), F.sum(F.col("t") ** 2)).first()
-        problems = items.agg(F.count("*"), F.sum("b"), F.sum(F.col("b") ** 2), F.sum("a")).first()
+        problems = items.agg(F.sum("m"), F.sum(F.col("b") * F.col("m")), F.sum(F.col("b") ** 2 * F.col("m")), F.sum(F.col("a") * F.col("m"))).first()
         d, e, s = _flat(people, problems, shift, free)
         shift = [(v + e) * s if f else v * s for v, f in zip(shift, free)]
         users = users.withColumn("t", (F.col("t") + d) * s)
@@ -235,6 +250,7 @@ def item_response(scores: DataFrame, anchors: int = 6, strategy: str = "uniform"
     if not far < tolerance:
         raise RuntimeError(f"the fit still moves by {far:.3g} after {rounds} rounds (tolerance {tolerance})")
     people = users.select(F.lit("forecaster").alias("kind"), F.col("username").alias("id"), F.col("t").alias("location"), F.lit(None).cast("double").alias("discrimination"), "sd")
+    items = like.join(items.withColumnRenamed("problem_id", "like"), "like")
     return people.unionByName(items.select(F.lit("problem").alias("kind"), F.col("problem_id").alias("id"), F.col("b").alias("location"), F.exp("a").alias("discrimination"), "sd"))
 
 

@@ -55,6 +55,15 @@ def test_json_that_is_fine_is_not_rewritten(spark):
     assert [r["m"] for r in df.collect()] == [{"a": 1.0, "b": 2.0}, {"a": None, "b": 2.0}, {"a": 1.0}, None, {"None": 3.0, "x, ]": 4.0}]
 
 
+def test_equal_problems_are_fitted_once(spark):
+    from oddsmith.operators import models
+
+    cells = [(u, f"p{j:02}", (j % 3 + i) % 4, 1.0) for j in range(60) for i, u in enumerate("abc")]
+    x, like = models._kinds(spark.createDataFrame(cells, "username string, problem_id string, k int, n double"))
+    assert x.count() == 9 and {r["m"] for r in x.collect()} == {20.0}
+    assert {(r["problem_id"], r["like"]) for r in like.collect()} == {(f"p{j:02}", f"p{j % 3:02}") for j in range(60)}
+
+
 def test_daily_state_is_one_value():
     """A batch reads and writes a forecaster's state once, however many days it has."""
     import pandas as pd
