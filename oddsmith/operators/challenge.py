@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, log_score, normalized, one_hot, spherical, stakes_crra, total
+from ..functions.vectors import argmax, bets_crra, bets_log, bets_neutral, filled_stakes, log_score, normalized, one_hot, spherical, stakes_crra, total
 from ..plans.lineage import cut
 from .quantiles import exact_quantiles
 
@@ -86,7 +89,7 @@ def binary_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: fl
     x = x.withColumn("flip", flip).withColumn("won", one_hot("correct_option_idx", "n_options"))
     x = x.withColumn("p", F.zip_with("probs", "flip", lambda p, f: F.when(f, 1 - p).otherwise(p))).withColumn("q", F.transform(F.arrays_zip("odds", "no_odds", "flip"), lambda m: F.when(m["flip"], m["no_odds"]).otherwise(m["odds"])))
     x = x.withColumn("y", F.zip_with("won", "flip", lambda w, f: F.when(f, 1 - w).otherwise(w)))
-    x = x.withColumn("b", F.zip_with(F.when(own, stakes_crra("p", "q", 0.0)).otherwise(stakes_crra("p", "q", risk_aversion)), "q", lambda s, q: s / q) if approximate else bets(risk_aversion, "p", "q"))
+    x = x.withColumn("b", F.zip_with(stakes_crra("p", "q", F.when(own, 0.0).otherwise(float(risk_aversion))), "q", lambda s, q: s / q) if approximate else bets(risk_aversion, "p", "q"))
     spent = total(F.zip_with("b", "q", lambda b, q: b * q))
     earned = total(F.zip_with("b", "y", lambda b, y: b * y)) / (F.lit(1.0) if compat else spent)
     x = x.withColumn("earned", earned)
@@ -129,8 +132,17 @@ def sharpe_of_earnings(earnings: DataFrame, kind: str | None = None, money: floa
 
 
 def waterfill_bets(forecasts: DataFrame, risk_aversion: float) -> DataFrame:
-    """forecasts with `stakes`, the approximate shares of one unit."""
-    return forecasts.withColumn("stakes", stakes_crra("probs", "odds", risk_aversion))
+    """forecasts with `stakes`, the approximate shares of one unit. All columns go through Arrow batches, as Spark fails where filters of a later
+    explode reach a call on vectors made by lambdas."""
+    if not 0 <= risk_aversion <= 1:
+        raise ValueError("risk_aversion must be in [0, 1]")
+
+    def run(batches):
+        for b in batches:
+            g = pa.array(np.full(len(b), float(risk_aversion)))
+            yield b.append_column("stakes", filled_stakes(b["probs"], b["odds"], g))
+
+    return forecasts.mapInArrow(run, T.StructType([*forecasts.schema, T.StructField("stakes", T.ArrayType(T.DoubleType()))]))
 
 
 def event_earnings(problems: DataFrame, forecasts: DataFrame, risk_aversion: float = 0.0) -> DataFrame:

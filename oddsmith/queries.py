@@ -412,7 +412,8 @@ def problem_violations(spark, d):
 
 @query
 def crra_waterfill(spark, d):
-    x = challenge.waterfill_bets(derive_challenge(spark, d)[1], 0.5).select("username", "problem_id", "forecast_seq", F.posexplode("stakes").alias("option", "stake"))
+    x = derive_challenge(spark, d)[1].select("username", "problem_id", "forecast_seq", "probs", "odds")
+    x = challenge.waterfill_bets(x, 0.5).select("username", "problem_id", "forecast_seq", F.posexplode("stakes").alias("option", "stake"))
     return _r(x, "stake")
 
 

@@ -86,3 +86,21 @@ def test_correlations(spark):
 
 def test_z_score():
     assert ranking.z_score(0.95) == pytest.approx(1.959964, abs=1e-6)
+
+
+@pytest.mark.parametrize("make", [V.normalized, lambda a: V.bets_neutral(a, "q"), lambda a: V.bets_crra(a, "q", 0.5), V.argmax])
+def test_arguments_are_worked_out_once(spark, make):
+    """Lambdas share nothing with each other, so an argument that stood in one was worked out again for each element."""
+    df = spark.createDataFrame([([0.5, 0.25], [0.4, 0.6])], "p array<double>, q array<double>")
+    plan = df.select(make(F.expr("transform(p, x -> x + 7)")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("+ cast(7 as double)") == 1
+    if make is not V.argmax and make is not V.normalized:
+        assert all(plan.count(f) <= 1 for f in ("array_max(", "power(", "aggregate("))
+
+
+def test_stakes_of_a_column_of_aversions(spark):
+    """One call serves rows of different aversions, as the market's own row needs; null and uneven vectors keep their places."""
+    rows = [([0.7, 0.6], [0.5, 0.3], 0.0), ([0.7, 0.6], [0.5, 0.3], 0.5), (None, [0.5], 0.5), ([], [], 0.5), ([0.5], [0.5, 0.5], 0.0)]
+    df = spark.createDataFrame(rows, "p array<double>, q array<double>, g double").coalesce(1)
+    got = [r["s"] for r in df.select(V.stakes_crra("p", "q", F.col("g")).alias("s")).collect()]
+    assert got[0] == [0.0, 1.0] and got[1] == pytest.approx(plain_stakes([0.7, 0.6], [0.5, 0.3], 0.5), abs=1e-6) and got[2:4] == [None, []] and got[4] == [0.0, 1.0]
