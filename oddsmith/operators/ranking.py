@@ -62,6 +62,13 @@ def rank_forecasters(scores: DataFrame, how: str = "mean", ascending: bool = Tru
     return ranked(aggregate_scores(x, how, (*by, "forecaster")), ascending, by)
 
 
+def rankings(rows: DataFrame, aggregates: dict[str, tuple[Column, bool]]) -> dict[str, DataFrame]:
+    """Rankings (forecaster, score, rank) by several aggregates, each with whether less is better, from one pass over rows.
+    A forecaster whose aggregate is null is not ranked by it."""
+    x = cut(rows.groupBy("forecaster").agg(*(a.alias(k) for k, (a, _) in aggregates.items())))  # a row for each forecaster
+    return {k: ranked(x.select("forecaster", F.col(k).alias("score")).where("score is not null"), less) for k, (_, less) in aggregates.items()}
+
+
 def category_and_overall(scores: DataFrame, ascending: bool = True) -> DataFrame:
     """Rankings of each category and of all, in one aggregate by grouping sets."""
     name = F.when(F.grouping("category") == 1, "(overall)").otherwise(F.col("category"))
@@ -74,7 +81,11 @@ def kish_interval(scores: DataFrame, level: float = 0.95) -> DataFrame:
     """Weighted mean with the margin z * sqrt(var / n_eff). Central moments come from a
     second pass against the mean, which is joined back (a row per forecaster); the scores are worked out once, and no
     row of them moves for the mean where forecasters are MAX_FORECASTERS at most."""
-    s = cut(scores.where("score is not null").select("forecaster", "score", "weight"))
+    return written_interval(cut(scores.where("score is not null").select("forecaster", "score", "weight")), level)
+
+
+def written_interval(s: DataFrame, level: float) -> DataFrame:
+    """`kish_interval` of scores that are a written table already."""
     mean = s.groupBy("forecaster").agg(F.try_divide(F.sum(F.col("score") * F.col("weight")), F.sum("weight")).alias("mean"))
     w, d = F.col("weight"), F.col("score") - F.col("mean")
     mean = cut(mean)

@@ -57,20 +57,31 @@ def market_distance(df: DataFrame, max_spread: float = MAX_SPREAD) -> DataFrame:
     return m.groupBy("forecaster").agg(F.avg(far).alias("score"), F.count("*").alias("n_markets"))
 
 
-def average_return(df: DataFrame, per_market: bool = False, max_spread: float = MAX_SPREAD) -> DataFrame:
-    """Shares equal to the edge are bought at the ask; (cost, score = profit). Events without a bet give no row."""
+def _bets(m: DataFrame) -> DataFrame:
+    """Market rows with the cost and the profit of shares equal to the edge, bought at the ask; nulls where there is no bet."""
     p, q, n, o = (F.col(c) for c in ("prediction", "odds", "no_odds", "outcome"))
-    m = markets(scored_rows(df, max_spread)).where(~within_spread("prediction", "odds", "no_odds") & (p != q))
     yes = p > q
     shares = F.when(yes, p - q).otherwise(1 - p - n)
     cost = shares * F.when(yes, q).otherwise(n)
     pays = F.when(F.when(yes, o == 1).otherwise(o == 0), shares).otherwise(0.0)
-    m = m.withColumn("cost", cost).withColumn("profit", pays - cost)
+    bet = ~within_spread("prediction", "odds", "no_odds") & (p != q)
+    return m.withColumns({"cost": F.when(bet, cost), "profit": F.when(bet, pays - cost), "bet": bet})
+
+
+def average_return(df: DataFrame, per_market: bool = False, max_spread: float = MAX_SPREAD) -> DataFrame:
+    """Shares equal to the edge are bought at the ask; (cost, score = profit). Events without a bet give no row."""
+    m = _bets(markets(scored_rows(df, max_spread))).where("bet")
     if per_market:
         return m.select(*KEYS, "market_index", "weight", "cost", F.col("profit").alias("score"))
     return m.groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.sum("cost").alias("cost"), F.sum("profit").alias("score"), F.count("*").alias("num_markets_bet"))
 
 
+def error_and_return(df: DataFrame, max_spread: float = MAX_SPREAD) -> DataFrame:
+    """Market rows with both the squared error and the bet (cost, profit; nulls where there is none), so that one pass serves both scores."""
+    p, o = F.col("prediction"), F.col("outcome")
+    return _bets(markets(scored_rows(df, max_spread))).select(*KEYS, "market_index", ((p - o) * (p - o)).alias("error"), "cost", "profit")
+
+
 def legacy_return(df: DataFrame, money: float = 1.0, even: bool = False) -> DataFrame:
     """Gross earnings of the money all on the best edge, or dealt evenly over the markets."""
     zipped = F.arrays_zip("prediction", "odds", "no_odds", "outcome")

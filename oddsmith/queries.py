@@ -270,7 +270,10 @@ def sharpe_of_earnings(spark, d):
 
 
 def _two(spark, d):
-    return ranking.rank_forecasters(scores.brier_score(forecasts_wide(spark, d))), ranking.rank_forecasters(scores.average_return(forecasts_wide(spark, d)), "roi", ascending=False)
+    """Rankings by Brier score and by return on investment. Their event rows weigh as many as their markets, so market rows give the same."""
+    x = scores.error_and_return(forecasts_wide(spark, d))
+    roi = F.when(F.sum("cost") > 0, F.try_divide(F.sum("profit"), F.sum("cost"))).otherwise(F.when(F.count("profit") > 0, 0.0))
+    return ranking.rankings(x, {"brier": (F.avg("error"), True), "roi": (roi, False)}).values()
 
 
 @query
