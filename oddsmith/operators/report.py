@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import SCORE_COLUMNS, aggregate_scores, by_round, kish_interval, ranked
+from ..plans.lineage import cut
+from .ranking import SCORE_COLUMNS, aggregate_scores, by_round, ranked, written_interval
 from .resample import bootstrap
 from .scores import with_individual_baselines
 
@@ -47,13 +48,15 @@ def rank_by_score(
         return by_round(x) if normalize_by_round else x
 
     x = prepared(df)
+    if level is not None:
+        x = cut(x.select("forecaster", "score", "weight"))  # ranking and interval start from scores that are worked out once
     out = ranked(aggregate_scores(x, aggregation), ascending)
     columns = ["rank", "forecaster", "score"]
     if level is not None or bootstrap_config is not None:
         o = {"num_samples": 1000, "ci_level": 0.95, "num_se": None, "random_seed": 42} | (bootstrap_config or {})
         name = f"{(level if level is not None else o['ci_level']) * 100}% ci"
         if level is not None:
-            margins = kish_interval(x, level)
+            margins = written_interval(x, level)
         else:
             margins = bootstrap(x if bootstrap_scores is None else prepared(bootstrap_scores), o["num_samples"], o["ci_level"], aggregation, o["num_se"], o["random_seed"])
         margins = margins.select("forecaster", F.when(F.col("ci_margin").isNotNull() & ~F.isnan("ci_margin"), F.format_string("±%.4f", "ci_margin")).alias(name))

@@ -63,3 +63,9 @@ def test_rankings_leave_out_who_has_no_value(spark):
     x = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 5.0)], "forecaster string, s double, t double")
     got = ranking.rankings(x, {"s": (F.avg("s"), True), "t": (F.sum("t"), False)})
     assert {k: sorted(tuple(r) for r in v.collect()) for k, v in got.items()} == {"s": [("a", 1.0, 1), ("b", 2.0, 2)], "t": [("b", 5.0, 1)]}
+
+
+def test_ranking_and_interval_work_scores_out_once(spark):
+    x = scores.brier_score(derive.forecasts_wide(spark, D)).withColumnRenamed("score", "brier_score")
+    out = report.rank_by_score(x, normalize_by_round=True, analytical_ci=0.9)
+    assert out.count() == 5 and not any("orders.parquet" in f for f in out.inputFiles())
