@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 SUM = "aggregate({}, 0D, (s, v) -> s + v)"
@@ -67,8 +69,49 @@ class Stakes:
             yield (*rows, k, x / total, x / total / price)
 
 
+STAKE = pa.struct([("option", pa.int32()), ("stake", pa.float64()), ("bet", pa.float64())])
+
+
+def stake_rows(p: pa.Array, q: pa.Array, g: pa.Array) -> pa.Array:
+    """SQL function: stake_rows(probs, odds, risk_aversion) gives the rows of `stakes` for the vectors of one row, as an array to be made rows of by `inline`. It is
+    worked out by Arrow batches, with no other column and no row by row in Python; rows of one length are a matrix."""
+    risk = g.to_numpy(zero_copy_only=False).astype(float)
+    if not ((risk >= 0) & (risk <= 1)).all():
+        raise ValueError("risk_aversion must be in [0, 1]")
+    sizes, starts, flat = [], [], []
+    for x in (p, q):
+        n = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = x.offsets.to_numpy()[:-1].astype(np.int64)
+        gone = np.concatenate([[0], np.cumsum(x.values.is_null().to_numpy(zero_copy_only=False))])
+        sizes.append(np.where((n > 0) & (gone[first + n] == gone[first]), n, 0)), starts.append(first), flat.append(x.values.to_numpy(zero_copy_only=False).astype(float))
+    n = np.where(sizes[0] == sizes[1], sizes[0], 0)
+    spent, kept = {}, np.zeros(len(n), np.int64)
+    for size in np.unique(n[n > 0]):
+        rows, at = np.flatnonzero(n == size), np.arange(size)
+        a, b = (x[first[rows, None] + at] for x, first in zip(flat, starts))
+        if (b == 0).any():
+            raise ZeroDivisionError("odds of 0")
+        r = risk[rows, None]
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            x = np.where(r == 1, a, a ** (1 / r) * b ** (1 - 1 / r))
+            best = np.round(a / b + 3.3e-10, 9).argmax(1)[:, None] == at
+            x = np.where(r == 0, best.astype(float), x)
+            total = np.cumsum(x, 1)[:, -1:]  # in the order of the options
+            fine = ~(total[:, 0] <= 0)
+            x = (x / total)[fine]
+        kept[rows[fine]] = size
+        spent[size] = rows[fine], x, x / b[fine]
+    ends = np.concatenate([[0], np.cumsum(kept)])
+    option, stake, bet = np.zeros(ends[-1], np.int32), np.zeros(ends[-1]), np.zeros(ends[-1])
+    for size, (rows, x, y) in spent.items():
+        to = ends[rows, None] + np.arange(size)
+        option[to], stake[to], bet[to] = np.arange(size), x, y
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(option), pa.array(stake), pa.array(bet)], fields=list(STAKE)))
+
+
 def register_tables(spark) -> None:
-    """The table functions, for SQL."""
-    from pyspark.sql.functions import udtf
+    """The table function, and its form for the vectors of a row, for SQL."""
+    from pyspark.sql.functions import arrow_udf, udtf
 
     spark.udtf.register("stakes", udtf(Stakes))
+    spark.udf.register("stake_rows", arrow_udf(stake_rows, "array<struct<option: int, stake: double, bet: double>>"))

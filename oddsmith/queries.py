@@ -719,10 +719,10 @@ def sql_functions(spark, d):
 
 @query
 def sql_stakes(spark, d):
-    """The table function from SQL, over the raw columns of the challenge form."""
+    """Stakes as rows from SQL, over the raw columns of the challenge form: `stakes` for the vectors of a row, which are worked out by batches."""
     sql_scores.register_tables(spark)
     derive_challenge(spark, d)[1].select("username", "probs", "odds").createOrReplaceTempView("oddsmith_challenge")
-    x = spark.sql("SELECT username, option, avg(stake) AS stake, avg(bet) AS bet, count(*) AS n FROM stakes(TABLE(oddsmith_challenge), risk_aversion => 0.5D) GROUP BY username, option")
+    x = spark.sql("SELECT username, option, avg(stake) AS stake, avg(bet) AS bet, count(*) AS n FROM oddsmith_challenge LATERAL VIEW inline(stake_rows(probs, odds, 0.5D)) s AS option, stake, bet GROUP BY username, option")
     return _r(x, "stake", "bet")
 
 

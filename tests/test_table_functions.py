@@ -28,3 +28,28 @@ def test_rows(view):
 def test_refusals(view, args):
     with pytest.raises(PySparkException):
         view(args).collect()
+
+
+@pytest.mark.parametrize("risk", [0.0, 0.3, 0.5, 1.0])
+def test_rows_by_batches(spark, view, risk):
+    """The same rows as those of the table function, to the last forecast that stakes nothing; nulls within a vector give none."""
+    rows = [(k, [((k * 7 + m * 3) % 11) / 10 for m in range(k % 5)], [((k * 5 + m * 13) % 19 + 1) / 20 for m in range(k % 5)]) for k in range(200)]
+    rows += [(200, [None, 0.5], [0.5, 0.5]), (201, [0.5, 0.5], [None, 0.5]), (202, None, [0.5]), (203, [0.5], None), (204, [0.5], [0.5, 0.5]), (205, [0.0, 0.0], [0.5, 0.5])]
+    spark.createDataFrame(rows, "k int, probs array<double>, odds array<double>").repartition(3).createOrReplaceTempView("said_by_batch")
+    plain = {(r["k"], r["option"]): (r["stake"], r["bet"]) for r in spark.sql(f"SELECT * FROM stakes(TABLE(said_by_batch), risk_aversion => {risk}D)").collect()}
+    got = spark.sql(f"SELECT k, option, stake, bet FROM said_by_batch LATERAL VIEW inline(stake_rows(probs, odds, {risk}D)) s AS option, stake, bet").collect()
+    assert len(got) == len(plain) > 300
+    for r in got:
+        assert (r["stake"], r["bet"]) == pytest.approx(plain[r["k"], r["option"]], rel=1e-12)
+
+
+def test_rows_by_batches_refuse(spark, view):
+    with pytest.raises(PySparkException):
+        spark.sql("SELECT stake_rows(array(0.5D), array(0.5D), 2D)").collect()
+
+
+def test_query_goes_by_batches(spark):
+    from oddsmith.queries import sql_stakes
+
+    plan = sql_stakes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPythonUDTF" not in plan
