@@ -22,6 +22,7 @@ from .models import _kinds, _levels
 CELLS = 50_000  # of a shard, on average
 KINDS, WIDTH = 256, 240  # kinds of problems, and pairs of forecaster and level, at most, whose problems are integrated out; a kind has REPEATS problems or more
 REPEATS = 8
+DRAWN = 2_048  # cells, on which a step of variational inference works, where draws are repeated
 POINTS = (5, 25, 50, 75, 95)  # per cent of the posterior that a summary gives
 _KINDS = "kind string, id string, shard long, chain int, mean double, var double, discrimination double, draws array<double>"
 
@@ -274,11 +275,36 @@ def sample_kinds(kinds: Kinds, samples: int, warmup: int, rng: np.random.Generat
     return draws, sums
 
 
+def _alike(cells: Cells) -> tuple[Cells, np.ndarray, np.ndarray]:
+    """(cells of one problem of each kind, numbers of problems of the kinds, kind of each problem); problems of a kind have equal cells."""
+    order = np.lexsort((cells.k, cells.u, cells.j))
+    sizes, rows = np.bincount(cells.j, minlength=cells.items), np.stack([cells.u, cells.k, cells.n], 1)[order]
+    starts, kind, first = np.cumsum(sizes) - sizes, np.zeros(cells.items, np.int64), []
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        held = np.concatenate([np.zeros((len(at), 1)), rows[starts[at][:, None] + np.arange(size)].reshape(len(at), -1)], 1)
+        _, one, place = np.unique(held, axis=0, return_index=True, return_inverse=True)
+        kind[at] = len(first) + place.ravel()
+        first.extend(at[one])
+    keep = np.isin(cells.j, first)
+    few = Cells(cells.u[keep], kind[cells.j[keep]], cells.k[keep], cells.n[keep], cells.c, cells.users, len(first))
+    return few, np.bincount(kind, minlength=len(first)).astype(float), kind
+
+
 def variational(cells: Cells, steps: int, rate: float, batch: int, rng: np.random.Generator) -> tuple[dict, list[float]]:
     """(parameters, lower bound at each step): normal factors for abilities, difficulties and shifts, half-normal ones for a, by Adam
-    on reparametrised gradients of mini-batches of cells."""
+    on reparametrised gradients of mini-batches of cells.
+
+    The factors of problems with equal cells are equal where the bound is highest, so problems of a kind share theirs and are counted. A step draws several values
+    of each kind's factors, each for its share of the kind's problems, as far as DRAWN cells allow: one draw for all of them would make noisier slopes."""
+    few, m, kind = _alike(cells)
+    if len(m) == cells.items:
+        few, m, kind = cells, np.ones(cells.items), np.arange(cells.items)
+    copies = max(1, min(int(m.max(initial=1)), DRAWN // max(1, len(few.u))))
+    of_items, kinds, weight = ("sa", "mb", "sb"), few.items, np.tile(m / copies, copies)
+    cells = Cells(np.tile(few.u, copies), np.concatenate([few.j + kinds * k for k in range(copies)]), np.tile(few.k, copies), np.tile(few.n * (m / copies)[few.j], copies), few.c, few.users, kinds * copies)
     users, items, r = cells.users, cells.items, len(cells.c)
-    q = {"mt": np.zeros(users), "st": np.zeros(users), "sa": np.full(items, np.log(5.0)), "mb": np.zeros(items), "sb": np.full(items, np.log(5.0)), "mp": np.zeros(r), "sp": np.full(r, np.log(5.0))}
+    q = {"mt": np.zeros(users), "st": np.zeros(users), "sa": np.full(kinds, np.log(5.0)), "mb": np.zeros(kinds), "sb": np.full(kinds, np.log(5.0)), "mp": np.zeros(r), "sp": np.full(r, np.log(5.0))}
     first, second, bounds = {k: np.zeros_like(v) for k, v in q.items()}, {k: np.zeros_like(v) for k, v in q.items()}, []
     order, at = rng.permutation(len(cells.u)), 0
     for step in range(1, steps + 1):
@@ -288,25 +314,27 @@ def variational(cells: Cells, steps: int, rate: float, batch: int, rng: np.rando
         grow = len(order) / len(rows) if len(order) > batch else 1.0
         at += batch
         et, ea, eb, ep = (rng.standard_normal(k) for k in (users, items, items, r))
-        t, b, p = q["mt"] + np.exp(q["st"]) * et, q["mb"] + np.exp(q["sb"]) * eb, q["mp"] + np.exp(q["sp"]) * ep
-        al = q["sa"] + np.log(np.abs(ea) + 1e-12)
-        g, bound = _elbo(cells, q, t, al, b, p, et, eb, ep, rows, grow)
+        now = q | {k: np.tile(q[k], copies) for k in of_items}
+        t, b, p = now["mt"] + np.exp(now["st"]) * et, now["mb"] + np.exp(now["sb"]) * eb, now["mp"] + np.exp(now["sp"]) * ep
+        al = now["sa"] + np.log(np.abs(ea) + 1e-12)
+        g, bound = _elbo(cells, now, t, al, b, p, et, eb, ep, rows, grow, weight)
         bounds.append(bound)
         for k, v in g.items():
+            v = v.reshape(copies, kinds).sum(0) if k in of_items else v
             first[k] = 0.9 * first[k] + 0.1 * v
             second[k] = 0.999 * second[k] + 0.001 * v * v
             q[k] = q[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return q, bounds
+    return q | {k: q[k][kind] for k in of_items}, bounds
 
 
-def _elbo(cells, q, t, al, b, p, et, eb, ep, rows=slice(None), grow=1.0):
-    """(gradient, value) of the lower bound at one draw of the noise."""
+def _elbo(cells, q, t, al, b, p, et, eb, ep, rows=slice(None), grow=1.0, weight=1.0):
+    """(gradient, value) of the lower bound at one draw of the noise; weight: how many problems each one stands for, as the counts of its cells do already."""
     v, gt, ga, gp = cells.slopes(t, al, b, p, rows)
-    gt, ga, gb, gp = grow * cells.by_user(gt, rows) - t, grow * cells.by_item(ga, rows), -grow * cells.by_item(gt, rows) - b / 25, grow * gp - p / 25
-    a2 = np.exp(2 * al)
-    g = {"mt": gt, "st": gt * np.exp(q["st"]) * et + 1, "sa": ga - a2 / 25 + 1, "mb": gb, "sb": gb * np.exp(q["sb"]) * eb + 1, "mp": gp, "sp": gp * np.exp(q["sp"]) * ep + 1}
-    prior = -(t @ t) / 2 - (b @ b + p @ p + a2.sum()) / 50 - 2 * len(b) * np.log(5) - len(p) * np.log(5)
-    free = sum(q[k].sum() for k in ("st", "sa", "sb", "sp")) + (len(t) + 2 * len(b) + len(p)) / 2
+    w, a2 = np.broadcast_to(weight, b.shape), np.exp(2 * al)
+    gt, ga, gb, gp = grow * cells.by_user(gt, rows) - t, grow * cells.by_item(ga, rows), -grow * cells.by_item(gt, rows) - w * b / 25, grow * gp - p / 25
+    g = {"mt": gt, "st": gt * np.exp(q["st"]) * et + 1, "sa": ga - w * a2 / 25 + w, "mb": gb, "sb": gb * np.exp(q["sb"]) * eb + w, "mp": gp, "sp": gp * np.exp(q["sp"]) * ep + 1}
+    prior = -(t @ t) / 2 - (w @ (b * b) + p @ p + w @ a2) / 50 - 2 * w.sum() * np.log(5) - len(p) * np.log(5)
+    free = q["st"].sum() + q["sp"].sum() + w @ (q["sa"] + q["sb"]) + (len(t) + 2 * w.sum() + len(p)) / 2
     return g, float(grow * v.sum() + prior + free)
 
 

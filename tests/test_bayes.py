@@ -154,3 +154,36 @@ def test_many_problems_of_few_kinds_need_no_shards(spark, monkeypatch):
     assert len(got) == 3 + 40 and {r["r_hat"] is not None for r in got} == {True}
     for j in (0, 1):
         assert len({r["location"] for r in got if r["kind"] == "problem" and int(r["id"][1:]) % 2 == j}) == 1
+
+
+def test_like_problems_share_their_factors(monkeypatch):
+    """60 problems of each of 4 kinds: no step works on all cells, weighted kinds have the bound and the slopes of all problems, and the fit is that of all problems."""
+    few = made(13, 3, 4, levels=3)
+    shuffled = np.random.default_rng(1).permutation(12 * 60)
+    u, j, k = (np.tile(x, 60)[shuffled] for x in (few.u, few.j, few.k))
+    every = B.Cells(u, j + 4 * np.repeat(np.arange(60), 12)[shuffled], k, np.ones(720), few.c, 3, 240)
+    kinds, m, kind = B._alike(every)
+    assert len({tuple(few.k[few.j == i]) for i in range(4)}) == kinds.items == len(m) and m.sum() == 240 and len(kinds.u) == 3 * kinds.items
+    assert all(sorted(zip(every.u[every.j == i], every.k[every.j == i])) == sorted(zip(kinds.u[kinds.j == kind[i]], kinds.k[kinds.j == kind[i]])) for i in range(240))
+    r, n = np.random.default_rng(2), kinds.items
+    q = {k: r.normal(size=s) * 0.3 for k, s in (("mt", 3), ("st", 3), ("sa", n), ("mb", n), ("sb", n), ("mp", 3), ("sp", 3))}
+    et, ea, eb, ep = (r.normal(size=s) for s in (3, n, n, 3))
+
+    def at(cells, of, **more):
+        x = {k: v[of] if k in ("sa", "mb", "sb") else v for k, v in q.items()}
+        return B._elbo(cells, x, q["mt"] + np.exp(q["st"]) * et, x["sa"] + np.log(np.abs(ea[of])), x["mb"] + np.exp(x["sb"]) * eb[of], q["mp"] + np.exp(q["sp"]) * ep, et, eb[of], ep, **more)
+
+    g, bound = at(B.Cells(kinds.u, kinds.j, kinds.k, kinds.n * m[kinds.j], kinds.c, 3, n), np.arange(n), weight=m)
+    plain, all_bound = at(every, kind)
+    assert bound == pytest.approx(all_bound)
+    for k in q:
+        assert g[k] == pytest.approx(np.bincount(kind, plain[k]) if k in ("sa", "mb", "sb") else plain[k]), k
+    slopes, seen = B.Cells.slopes, []
+    monkeypatch.setattr(B, "DRAWN", 60)
+    monkeypatch.setattr(B.Cells, "slopes", lambda self, *x: seen.append(len(self.u)) or slopes(self, *x))
+    got, bounds = B.variational(every, 800, 0.02, 1 << 15, np.random.default_rng(3))
+    assert max(seen) <= 60 and all(len(got[k]) == 240 for k in ("sa", "mb", "sb")) and len({(kind[i], got["mb"][i]) for i in range(240)}) == n
+    monkeypatch.setattr(B, "_alike", lambda cells: (cells, np.ones(cells.items), np.arange(cells.items)))
+    want, all_bounds = B.variational(every, 800, 0.02, 1 << 15, np.random.default_rng(3))
+    assert np.mean(bounds[-200:]) == pytest.approx(np.mean(all_bounds[-200:]), rel=0.1)
+    assert got["mt"] - got["mt"].mean() == pytest.approx(want["mt"] - want["mt"].mean(), abs=0.25)
