@@ -494,9 +494,9 @@ def stream_roi_by_category(spark, d):
 
 
 def _written(spark, df: DataFrame, kind: str) -> str:
-    """Path of df as files of a kind, in the shared folder."""
+    """Path of df as compressed files of a kind, in the shared folder."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    df.write.options(header=True, quoteAll=True, escape='"').format(kind).save(path)
+    df.write.options(header=True, quoteAll=True, escape='"', compression="gzip").format(kind).save(path)
     return path
 
 
@@ -516,8 +516,9 @@ def load_nightly(spark, d):
     outcome = F.to_json(_markets(lambda i: F.get("outcome", i)))
     p = x.select(F.col("forecaster").alias("predictor_name"), "event_ticker", F.col("round").alias("submission_count"), F.to_json(_said("prediction")).alias("prediction"), outcome.alias("market_outcome"), "category")
     asks = F.to_json(_markets(lambda i: F.struct(F.round(100 * F.get("odds", i)).alias("yes_ask"), F.round(100 * F.get("no_odds", i)).alias("no_ask"))))
-    s = x.select("event_ticker", F.col("round").alias("submission_count"), asks.alias("market_data"), F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot_time"), F.date_format("close_time", "yyyy-MM-dd'T'HH:mm:ss").alias("close_time"))
-    x = loaders.nightly(spark, _written(spark, p, "csv"), _written(spark, s.dropDuplicates(["event_ticker", "submission_count"]), "csv"), exclude=("ASIA",))
+    s = x.select("event_ticker", "round", "odds", "no_odds", "snapshot_time", "close_time").dropDuplicates(["event_ticker", "round"])
+    s = s.select("event_ticker", F.col("round").alias("submission_count"), asks.alias("market_data"), F.date_format("snapshot_time", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot_time"), F.date_format("close_time", "yyyy-MM-dd'T'HH:mm:ss").alias("close_time"))
+    x = loaders.nightly(spark, _written(spark, p, "csv"), _written(spark, s, "csv"), exclude=("ASIA",))
     cost = F.aggregate(F.zip_with("odds", "no_odds", lambda a, b: a + b), F.lit(0.0), lambda s, v: s + v)
     x = x.groupBy("forecaster", "category").agg(F.count("*").alias("n"), F.sum(cost).alias("asks"), F.sum(F.size("outcome")).alias("n_markets"), F.avg("time_rank").alias("time_rank"), F.max("close_time").alias("last_close"))
     return _r(x, "asks", "time_rank", to=5)

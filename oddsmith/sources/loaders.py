@@ -48,19 +48,29 @@ def stated(p: Column) -> Column:
     return F.transform(keys, lambda k: F.try_element_at(F.filter(p, lambda x: x["market"] == k), F.lit(-1))["probability"])
 
 
+def _read(x: DataFrame, **schemas: str) -> DataFrame:
+    """x with each named column of texts read as lenient_json reads it, once a row. A text that its schema fits goes no
+    further; the others alone are kept for lenient_json."""
+    fits = {k: F.col(f"_{k}.probabilities").isNotNull() if s == STATED else F.size(F.array_distinct(F.map_keys(f"_{k}"))) == F.size(f"_{k}") for k, s in schemas.items()}
+    x = x.withColumns({f"_{k}": F.from_json(k, s, {"allowSingleQuotes": "true"}) for k, s in schemas.items()})
+    x = x.withColumns({k: F.when(~F.coalesce(fit, F.lit(False)), F.col(k)) for k, fit in fits.items()})
+    return x.withColumns({k: F.when(F.col(k).isNull(), F.col(f"_{k}")).otherwise(lenient_json(F.col(k), s)) for k, s in schemas.items()}).drop(*(f"_{k}" for k in schemas))
+
+
+def _once(x: DataFrame, *kept: str, **parts: Column) -> DataFrame:
+    """The columns `kept`, and `parts`, worked out once a row: Spark moves no later filter or join condition before a generator, where it
+    would read the JSON anew for each use, and within lambdas for each element."""
+    return x.select(*kept, F.inline(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))))
+
+
 def nightly(spark: SparkSession, predictions: str, submissions: str, weight_fn=None, exclude=()) -> DataFrame:
     """The canonical wide frame from a predictions and a submissions CSV."""
-    p = _csv(spark, predictions).select("predictor_name", "event_ticker", F.col("submission_count").cast("int").alias("submission_count"), "prediction", "market_outcome", "category")
-    s = _csv(spark, submissions).select("event_ticker", F.col("submission_count").cast("int").alias("submission_count"), "market_data", "snapshot_time", "close_time")
-    x = p.where(~F.col("predictor_name").isin(*exclude)) if exclude else p
-    x = x.join(s, ["event_ticker", "submission_count"])
-    market, outcome = lenient_json(F.col("market_data"), ASKS), lenient_json(F.col("market_outcome"), "map<string, double>")
-    x = x.withColumn("m", market).withColumn("o", outcome).withColumn("s", lenient_json(F.col("prediction"), STATED))
-    x = x.select(
-        F.col("predictor_name").alias("forecaster"), "event_ticker", F.col("submission_count").alias("round"), "category", stated(F.col("s.probabilities")).alias("prediction"),
-        F.transform(_sorted_keys(F.col("o")), lambda k: F.col("o")[k]).alias("outcome"), asks(F.col("m"), "yes_ask").alias("odds"), asks(F.col("m"), "no_ask").alias("no_odds"),
-        F.col("snapshot_time").try_cast("timestamp").alias("snapshot_time"), F.col("close_time").try_cast("timestamp").alias("close_time"),
-    )
+    p = _csv(spark, predictions).select(F.col("predictor_name").alias("forecaster"), "event_ticker", F.col("submission_count").cast("int").alias("round"), "category", F.col("prediction").alias("s"), F.col("market_outcome").alias("o"))
+    p = _read(p.where(~F.col("forecaster").isin(*exclude)) if exclude else p, s=STATED, o="map<string, double>")
+    p = _once(p, "forecaster", "event_ticker", "round", "category", prediction=stated(F.col("s.probabilities")), outcome=F.transform(_sorted_keys(F.col("o")), lambda k: F.col("o")[k]))
+    s = _csv(spark, submissions).select("event_ticker", F.col("submission_count").cast("int").alias("round"), F.col("market_data").alias("m"), *(F.col(c).try_cast("timestamp").alias(c) for c in ("snapshot_time", "close_time")))
+    s = _once(_read(s, m=ASKS), "event_ticker", "round", "snapshot_time", "close_time", odds=asks(F.col("m"), "yes_ask"), no_odds=asks(F.col("m"), "no_ask"))
+    x = p.join(s, ["event_ticker", "round"]).select("forecaster", "event_ticker", "round", "category", "prediction", "outcome", "odds", "no_odds", "snapshot_time", "close_time")
     x = with_time_rank(x.where("size(odds) = size(prediction) and size(odds) = size(outcome)")).withColumn("weight", F.lit(1.0))
     return x.transform(weight_fn) if weight_fn else x
 

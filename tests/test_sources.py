@@ -89,3 +89,18 @@ def test_metadata_of_challenges(spark, tmp_path):
     (tmp_path / "said.json").write_text('[{"problem_id": 1, "username": "x", "timestamp": "2024-01-01T00:00:00Z", "prediction": [1.0]}]')
     a, b = str(tmp_path / "said.json"), str(tmp_path / "gjo_metadata.json")
     assert loaders.JsonChallenge.from_files(spark, a, b).metadata() == {"title": "gjo", "problems": 2, "forecasters": 1, "predictions_file": a, "metadata_file": b}
+
+
+ODD = ['{"A": {"yes_ask": 1, "no_ask": 2}}', "{'A': {'yes_ask': None, 'no_ask': 5,}}", '{"A": {"yes_ask": 1', '{"A": {"yes_ask": 1}, "A": {"yes_ask": 2}}', '{"A": 3, "B": null}', "[1]", "", None]
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """Conditions on what a text says, with which it was read anew for each element, do not reach the text; and it says what it said."""
+    x = spark.createDataFrame(list(enumerate(ODD)), "i int, t string")
+    want = {r["i"]: r["v"] for r in x.select("i", loaders.lenient_json(F.col("t"), loaders.ASKS).cast("string").alias("v")).collect()}
+    assert {r["i"]: r["v"] for r in loaders._read(x, t=loaders.ASKS).select("i", F.col("t").cast("string").alias("v")).collect()} == want
+    (tmp_path / "p.csv").write_text("predictor_name,event_ticker,submission_count,prediction,market_outcome,category\n")
+    (tmp_path / "s.csv").write_text("event_ticker,submission_count,market_data,snapshot_time,close_time\n")
+    plan = loaders.nightly(spark, str(tmp_path / "p.csv"), str(tmp_path / "s.csv"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and not any("from_json" in line for line in plan.split("\n") if "Join Inner" in line or "Generate" in line or "Filter" in line)
+    assert plan.count("ArrowEvalPython") == 2
