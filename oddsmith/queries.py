@@ -546,9 +546,10 @@ def load_csv_challenge(spark, d):
     state = F.to_json(_markets(lambda i: F.struct(F.lit(100.0 + 0).alias("liquidity"), F.round(100 * F.get("odds", i)).alias("yes_ask"), F.round(100 * F.get("no_odds", i)).alias("no_ask"), F.date_format("close_time", "yyyy-MM-dd").alias("close_time"))))
     rows = x.select("event_ticker", F.col("forecaster").alias("predictor_name"), F.to_json(_said("prediction")).alias("prediction"), state.alias("market_info"), F.to_json(_markets(lambda i: F.get("outcome", i))).alias("market_outcome"), "category")
     problems, forecasts = loaders.CsvChallenge.from_file(spark, _written(spark, rows, "csv"), market_baseline=True).load()
-    x = forecasts.join(problems.select("problem_id", "correct_option_idx", "category"), "problem_id")
     first = lambda c: F.get(c, F.lit(0))
-    x = x.groupBy("username").agg(F.count("*").alias("n"), F.sum(F.size("correct_option_idx")).alias("n_won"), F.avg(first("odds")).alias("odds"), F.avg(first("no_odds")).alias("no_odds"), F.avg(first("unnormalized_probs")).alias("said"))
+    x = forecasts.select("problem_id", "username", first("odds").alias("odds"), first("no_odds").alias("no_odds"), first("unnormalized_probs").alias("said"))
+    x = x.join(problems.select("problem_id", F.size("correct_option_idx").alias("won")), "problem_id")
+    x = x.groupBy("username").agg(F.count("*").alias("n"), F.sum("won").alias("n_won"), F.avg("odds").alias("odds"), F.avg("no_odds").alias("no_odds"), F.avg("said").alias("said"))
     return _r(x, "odds", "no_odds", "said")
 
 

@@ -1,4 +1,4 @@
-"""Loaders. What they return is lazy, but for the rows of CsvChallenge, which are parsed into a table; JSON is parsed by Spark."""
+"""Loaders. What they return is lazy, but for the rows, problems and market baseline of CsvChallenge, which are written as tables; JSON is parsed by Spark."""
 
 from __future__ import annotations
 
@@ -151,23 +151,37 @@ class CsvChallenge(ChallengeLoader):
         return {"title": self.title or "Arena challenge", "problems": r[0], "forecasters": r[1], **(self.files or {"predictions_file": None})}
 
     def load(self):
-        x = self.rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("m", lenient_json(F.col("market_info"), INFO)).withColumn("o", lenient_json(F.col("market_outcome"), "map<string, double>"))
-        x = x.withColumn("keys", _sorted_keys(F.col("m"))).withColumn("p", lenient_json(F.col("prediction"), STATED)["probabilities"])
-        x = cut(x.drop("market_info", "market_outcome", "prediction"))  # texts are parsed once, and rows keep their numbers
-        first = x.groupBy("event_ticker").agg(F.min_by(F.struct("keys", "m", "o", *(c for c in ("category",) if c in x.columns)), "seq").alias("f"), F.min("seq").alias("problem_seq"))
-        won = F.filter(F.transform("f.keys", lambda k, i: F.when(F.col("f.o")[k] == 1, i)), lambda i: i.isNotNull())
-        when = F.array_max(F.transform("f.keys", lambda k: F.col("f.m")[k]["open_time" if self.use_open_time else "close_time"].try_cast("timestamp")))
-        problems = first.select(F.col("event_ticker").alias("problem_id"), "problem_seq", F.col("event_ticker").alias("title"), F.col("f.keys").alias("options"), won.alias("correct_option_idx"), F.size("f.keys").alias("n_options"), when.alias("end_time"), (F.col("f.category") if "category" in x.columns else F.lit(None).cast("string")).alias("category"))
-        said = F.transform("options", lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(F.filter("p", lambda y: y["market"] == k), F.lit(-1))["probability"], F.lit(0.0)))))
-        f = x.drop("category").join(problems.select(F.col("problem_id").alias("event_ticker"), "options"), "event_ticker").withColumn("u", said)
+        x = self.rows.withColumn("seq", F.monotonically_increasing_id())
+        category = F.col("category") if "category" in x.columns else F.lit(None).cast("string").alias("category")
+        x = _read(x.select("event_ticker", "seq", "predictor_name", category, F.col("market_info").alias("m"), F.col("market_outcome").alias("o"), F.col("prediction").alias("p")), m=INFO, o="map<string, double>", p=STATED)
+        x = x.withColumns({"keys": _sorted_keys(F.col("m")), "p": F.col("p.probabilities")})
+        said = lambda p, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_element_at(F.filter(p, lambda y: y["market"] == k), F.lit(-1))["probability"], F.lit(0.0))))
+        won = F.filter(F.transform("keys", lambda k, i: F.when(F.col("o")[k] == 1, i)), lambda i: i.isNotNull())
+        when = F.array_max(F.transform("keys", lambda k: F.col("m")[k]["open_time" if self.use_open_time else "close_time"].try_cast("timestamp")))
+        named = lambda k: F.array_contains(F.coalesce("keys", F.array().cast("array<string>")), k)
+        # Texts are read once, and rows keep their numbers. Vectors are of the row's own markets, and `rest` is of what it says of others.
+        x = cut(
+            x.select(
+                "event_ticker", "seq", "predictor_name", "category", "keys", won.alias("won"), when.alias("end_time"), F.transform("keys", lambda k: said("p", k)).alias("u"), F.filter("p", lambda y: ~named(y["market"])).alias("rest"),
+                implied(F.col("m"), F.col("keys"), self.use_bid).alias("odds"), implied(F.col("m"), F.col("keys"), self.use_bid, "no").alias("no_odds"),
+            )
+        )
+        first = x.groupBy("event_ticker").agg(F.min_by(F.struct("keys", "won", "end_time", "category"), "seq").alias("f"), F.min("seq").alias("problem_seq"), F.min("keys").alias("low"), F.max("keys").alias("high"), F.count("keys").alias("k"), F.count("*").alias("n"))
+        first = cut(first.select("event_ticker", "problem_seq", "f.*", ((F.col("k") == 0) | ((F.col("k") == F.col("n")) & (F.col("low") == F.col("high")))).alias("alike")))
+        problems = first.select(F.col("event_ticker").alias("problem_id"), "problem_seq", F.col("event_ticker").alias("title"), F.col("keys").alias("options"), F.col("won").alias("correct_option_idx"), F.size("keys").alias("n_options"), "end_time", "category")
+        f, others = x.where("event_ticker is not null"), first.where("not alike").select("event_ticker", F.struct("keys").alias("of"))
+        if not others.isEmpty():  # only rows whose markets are not those of the first row of their event need its markets
+            options, at = F.col("of.keys"), lambda k: F.array_position("keys", k)
+            taken = lambda v, k, other: F.when(at(k) > 0, F.get(v, (at(k) - 1).cast("int"))).otherwise(other)
+            moved = {"u": lambda k: taken("u", k, said("rest", k)), "odds": lambda k: taken("odds", k, F.lit(1.0)), "no_odds": lambda k: taken("no_odds", k, F.lit(1.0))}
+            f = f.join(others, "event_ticker", "left").withColumns({c: F.when(F.col("of").isNull() | options.eqNullSafe(F.col("keys")), F.col(c)).otherwise(F.transform(options, body)) for c, body in moved.items()})
         f = f.select(
             F.concat_ws("-", "event_ticker", "seq").alias("forecast_id"), F.col("event_ticker").alias("problem_id"), F.col("seq").alias("forecast_seq"), F.col("predictor_name").alias("username"),
-            F.col("u").alias("unnormalized_probs"), normalized("u").alias("probs"), F.lit(1.0).alias("weight"),
-            smoothed(implied(F.col("m"), F.col("options"), self.use_bid)).alias("odds"), smoothed(implied(F.col("m"), F.col("options"), self.use_bid, "no")).alias("no_odds"),
+            F.col("u").alias("unnormalized_probs"), normalized("u").alias("probs"), F.lit(1.0).alias("weight"), smoothed("odds").alias("odds"), smoothed("no_odds").alias("no_odds"),
         )
         if self.market_baseline:
             m = f.select("problem_id", F.posexplode(F.arrays_zip("odds", "no_odds")).alias("k", "z")).groupBy("problem_id", "k").agg(F.avg("z.odds").alias("a"), F.avg("z.no_odds").alias("b"))
-            m = m.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b"))).alias("z"))
+            m = cut(m.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b"))).alias("z")))
             price = F.transform("z", lambda z: z["a"])
             m = m.select(F.concat_ws("-", "problem_id", F.lit("market")).alias("forecast_id"), "problem_id", F.lit(-1).cast("long").alias("forecast_seq"), F.lit("market-baseline").alias("username"), price.alias("unnormalized_probs"), normalized(price).alias("probs"), F.lit(1.0).alias("weight"), price.alias("odds"), F.transform("z", lambda z: z["b"]).alias("no_odds"))
             f = f.unionByName(m)

@@ -104,3 +104,23 @@ def test_texts_are_read_once(spark, tmp_path):
     plan = loaders.nightly(spark, str(tmp_path / "p.csv"), str(tmp_path / "s.csv"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1 and not any("from_json" in line for line in plan.split("\n") if "Join Inner" in line or "Generate" in line or "Filter" in line)
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_rows_of_a_csv_challenge_are_not_shuffled(spark):
+    """Rows stay where they were read, but where their markets are not those of the first row of their event; and files are compressed."""
+    from oddsmith import queries
+
+    state = lambda **asks: json.dumps({k: {"liquidity": 200, "yes_ask": v, "no_ask": 100 - v} for k, v in asks.items()})
+    said = lambda **p: json.dumps({"probabilities": [{"market": k, "probability": v} for k, v in p.items()]})
+    schema = "event_ticker string, predictor_name string, prediction string, market_info string, market_outcome string"
+    same = [("e", u, said(A=0.3, B=0.6), state(A=40, B=50), '{"A": 1, "B": 0}') for u in "xy"]
+    f = loaders.CsvChallenge(spark.createDataFrame(same, schema)).load()[1]
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and sorted(r["username"] for r in f.collect()) == ["x", "y"]
+    rows = [("e", "x", said(A=0.3, B=0.6), state(A=40, B=50), '{"A": 1, "B": 0}'), ("e", "y", said(B=0.2, A=0.9), state(B=70, C=10), None), (None, "z", None, None, None), ("d", "x", said(C=0.5), "no text", None)]
+    problems, f = loaders.CsvChallenge(spark.createDataFrame(rows, schema).coalesce(1), market_baseline=True).load()
+    got = {(r["problem_id"], r["username"]): (r["unnormalized_probs"], r["odds"]) for r in f.collect()}
+    assert got == {("e", "x"): ([0.3, 0.6], [0.4, 0.5]), ("e", "y"): ([0.9, 0.2], [0.995, 0.7]), ("e", "market-baseline"): ([pytest.approx(0.6975), pytest.approx(0.6)],) * 2, ("d", "x"): (None, None)}
+    assert {r["problem_id"]: (r["options"], r["correct_option_idx"]) for r in problems.collect()} == {"e": (["A", "B"], [0]), "d": (None, None), None: (None, None)}
+    path = queries._written(spark, spark.createDataFrame(same, schema), "csv")
+    assert [r["input"] for r in spark.createDataFrame([(p,) for p in spark.read.text(path).inputFiles()], "input string").collect() if not r["input"].endswith(".csv.gz")] == []
