@@ -69,38 +69,58 @@ class DailyTotals(StatefulProcessor):
         pass
 
 
+BUCKETS = 1 << 12  # of forecast ids, by hash: a call of Python and a value of state serve the ids of a bucket, not one id
+
+
 class FirstForecasts(StatefulProcessor):
     """Of each forecast id: the row of least time (then least seq), given out once the watermark has reached it. Of a closed
-    id a mark stays, so that later rows of it are left out."""
+    id a mark stays, so that later rows of it are left out. State: one value for a bucket of ids, read and written once for a batch, and a timer for the first open id."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "at long, seq long, score double, done boolean")
+        self.all = handle.getValueState("all", "id array<string>, at array<long>, seq array<long>, score array<double>, done array<string>")
+
+    def read(self) -> tuple[dict, list]:
+        """(rows by open id, closed ids)"""
+        v = self.all.get()
+        if v is None:
+            return {}, []
+        return {k: tuple(row) for k, *row in zip(*v[:4])}, list(v[4])
+
+    def write(self, first: dict, done: list) -> None:
+        self.all.update((list(first), *(list(k) for k in (zip(*first.values()) if first else ((), (), ()))), done))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        best = self.first.get()
-        if best is not None and best[3]:
-            for _ in rows:
-                pass
-            return iter(())
-        old = best
+        add: dict = {}
         for x in rows:
-            for at, seq, score in zip(*(x[c].to_numpy().tolist() for c in ("at", "seq", "score"))):
-                if at // 1000 >= mark and (best is None or (at, seq) < tuple(best[:2])):
-                    best = (at, seq, score, False)
-        if best is not None and best is not old:
-            if old is not None:
-                self.handle.deleteTimer(old[0] // 1000 + 1)
-            self.first.update(tuple(best))
-            self.handle.registerTimer(best[0] // 1000 + 1)
+            for name, at, seq, score in zip(*(x[c].tolist() for c in ("forecast_id", "at", "seq", "score"))):
+                if at // 1000 >= mark and (name not in add or (at, seq) < add[name][:2]):
+                    add[name] = (at, seq, score)
+        if add:
+            first, done = self.read()
+            soonest, closed = min((r[0] for r in first.values()), default=None), set(done)
+            new = {k: r for k, r in add.items() if k not in closed and (k not in first or r[:2] < first[k][:2])}
+            if new:
+                first.update(new)
+                self.write(first, done)
+                at = min(r[0] for r in first.values())
+                if soonest is None or at != soonest:
+                    if soonest is not None:
+                        self.handle.deleteTimer(soonest // 1000 + 1)
+                    self.handle.registerTimer(at // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, seq, score, done = self.first.get()
-        if not done:
-            self.first.update((at, seq, score, True))
-            yield pd.DataFrame([(key[0], at, seq, score)], columns=["forecast_id", "at", "seq", "score"])
+        end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        first, done = self.read()
+        out = {k: r for k, r in first.items() if r[0] // 1000 + 1 <= end}
+        if out:
+            first = {k: r for k, r in first.items() if k not in out}
+            self.write(first, done + list(out))
+            if first:
+                self.handle.registerTimer(min(r[0] for r in first.values()) // 1000 + 1)
+            yield pd.DataFrame([(k, *r) for k, r in out.items()], columns=["forecast_id", "at", "seq", "score"])
 
     def close(self) -> None:
         pass
@@ -117,7 +137,7 @@ def daily_totals(scores: DataFrame, late: str = "2 days") -> DataFrame:
 def first_forecasts(rows: DataFrame, late: str = "2 days") -> DataFrame:
     """(forecast_id, ts, seq, score) of a stream (ts, forecast_id, seq, score): each id's first row, whatever order they come in within the lateness."""
     x = rows.where("ts is not null and seq is not null and score is not null").select("ts", "forecast_id", "seq", "score", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
-    x = x.groupBy("forecast_id").transformWithStateInPandas(FirstForecasts(), "forecast_id string, at long, seq long, score double", "Append", "EventTime")
+    x = x.withColumn("bucket", F.pmod(F.xxhash64("forecast_id"), F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(FirstForecasts(), "forecast_id string, at long, seq long, score double", "Append", "EventTime")
     return x.select("forecast_id", F.timestamp_micros("at").alias("ts"), "seq", "score")
 
 

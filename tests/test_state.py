@@ -72,3 +72,43 @@ def test_first_forecasts(spark, tmp_path):
     want = {(k, r[0], r[4], r[2]) for k, r in first.items() if r[0] < mark}
     make = lambda s: state.first_forecasts(s.withColumn("forecast_id", F.concat("forecaster", (F.col("seq") % 15).cast("string"))))
     assert {tuple(r) for r in run(spark, tmp_path, batches, make)} == want and len(want) > 10
+
+
+def test_ids_of_a_bucket_share_a_value_of_state():
+    """A batch costs a bucket of forecast ids one read and one write, however many ids it has; and a timer gives out all that are due."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, v):
+            calls.append("update")
+            self.now = v
+
+    class Handle:
+        getValueState = lambda self, *_: value
+        registerTimer = lambda self, at: calls.append(at)
+        deleteTimer = lambda self, at: calls.append(-at)
+
+    class Timer:
+        mark = 0
+        getCurrentWatermarkInMs = lambda self: self.mark
+        getExpiryTimeInMs = lambda self: self.mark
+
+    value, now = Value(), Timer()
+    p = state.FirstForecasts()
+    p.init(Handle())
+    give = lambda *rows: list(p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["forecast_id", "at", "seq", "score"])]), now))
+    due = lambda: [tuple(r) for x in p.handleExpiredTimer((0,), now, now) for r in x.itertuples(index=False)]
+    assert give(*((f"i{k}", (k + 1) * 10_000_000, k, 0.5) for k in range(50)), ("i7", 1_000_000, 99, 2.0)) == [] and calls == ["get", "update", 1001]
+    now.mark, calls[:] = 30_001, []
+    assert due() == [("i0", 10_000_000, 0, 0.5), ("i1", 20_000_000, 1, 0.5), ("i2", 30_000_000, 2, 0.5), ("i7", 1_000_000, 99, 2.0)] and calls == ["get", "update", 40_001]
+    assert give(("i7", 31_000_000, 1, 1.0), ("i3", 35_000_000, 5, 1.0), ("i4", 20_000_000, 6, 1.0)) == [] and calls[3:] == ["get", "update", -40_001, 35_001]
+    now.mark = 10**9
+    assert len(out := due()) == 46 and ("i3", 35_000_000, 5, 1.0) in out and ("i4", 50_000_000, 4, 0.5) in out and due() == []
