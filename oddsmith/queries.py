@@ -533,7 +533,9 @@ def load_json_challenge(spark, d):
     first = F.array_position("outcome", 1.0)
     meta = x.groupBy(F.col("event_ticker").cast("string").alias("problem_id")).agg(F.first("outcome").alias("outcome"), F.first("close_time").alias("close_time"))
     meta = meta.select("problem_id", F.lit("t").alias("title"), F.transform("outcome", lambda _, i: name(i)).alias("options"), F.when(first > 0, name(first - 1)).otherwise("none").alias("correct_answer"), F.struct(F.date_format("close_time", "yyyy-MM-dd").alias("end_time")).alias("metadata"))
-    loader = loaders.JsonChallenge(spark.read.json(_written(spark, said, "json")), spark.read.json(_written(spark, meta, "json")))
+    read = lambda x: spark.read.schema(x.schema).json(_written(spark, x, "json"))
+    # Sizes of compressed files say little of what they hold, so they must not make Spark broadcast the problems.
+    loader = loaders.JsonChallenge(read(said), read(meta).hint("merge"))
     problems, forecasts = loader.load()
     score = challenge.rule_scores(problems.where("size(correct_option_idx) > 0"), forecasts, "brier")
     return _r(score.groupBy("username").agg(F.avg("score").alias("score"), F.count("*").alias("n"), F.max(F.to_date("end_time")).alias("last_end")), "score")
@@ -548,7 +550,7 @@ def load_csv_challenge(spark, d):
     problems, forecasts = loaders.CsvChallenge.from_file(spark, _written(spark, rows, "csv"), market_baseline=True).load()
     first = lambda c: F.get(c, F.lit(0))
     x = forecasts.select("problem_id", "username", first("odds").alias("odds"), first("no_odds").alias("no_odds"), first("unnormalized_probs").alias("said"))
-    x = x.join(problems.select("problem_id", F.size("correct_option_idx").alias("won")), "problem_id")
+    x = x.join(problems.select("problem_id", F.size("correct_option_idx").alias("won")).hint("merge"), "problem_id")
     x = x.groupBy("username").agg(F.count("*").alias("n"), F.sum("won").alias("n_won"), F.avg("odds").alias("odds"), F.avg("no_odds").alias("no_odds"), F.avg("said").alias("said"))
     return _r(x, "odds", "no_odds", "said")
 

@@ -70,7 +70,7 @@ def nightly(spark: SparkSession, predictions: str, submissions: str, weight_fn=N
     p = _once(p, "forecaster", "event_ticker", "round", "category", prediction=stated(F.col("s.probabilities")), outcome=F.transform(_sorted_keys(F.col("o")), lambda k: F.col("o")[k]))
     s = _csv(spark, submissions).select("event_ticker", F.col("submission_count").cast("int").alias("round"), F.col("market_data").alias("m"), *(F.col(c).try_cast("timestamp").alias(c) for c in ("snapshot_time", "close_time")))
     s = _once(_read(s, m=ASKS), "event_ticker", "round", "snapshot_time", "close_time", odds=asks(F.col("m"), "yes_ask"), no_odds=asks(F.col("m"), "no_ask"))
-    x = p.join(s, ["event_ticker", "round"]).select("forecaster", "event_ticker", "round", "category", "prediction", "outcome", "odds", "no_odds", "snapshot_time", "close_time")
+    x = p.join(s.hint("merge"), ["event_ticker", "round"]).select("forecaster", "event_ticker", "round", "category", "prediction", "outcome", "odds", "no_odds", "snapshot_time", "close_time")
     x = with_time_rank(x.where("size(odds) = size(prediction) and size(odds) = size(outcome)")).withColumn("weight", F.lit(1.0))
     return x.transform(weight_fn) if weight_fn else x
 

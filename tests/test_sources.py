@@ -124,3 +124,13 @@ def test_rows_of_a_csv_challenge_are_not_shuffled(spark):
     assert {r["problem_id"]: (r["options"], r["correct_option_idx"]) for r in problems.collect()} == {"e": (["A", "B"], [0]), "d": (None, None), None: (None, None)}
     path = queries._written(spark, spark.createDataFrame(same, schema), "csv")
     assert [r["input"] for r in spark.createDataFrame([(p,) for p in spark.read.text(path).inputFiles()], "input string").collect() if not r["input"].endswith(".csv.gz")] == []
+
+
+def test_files_of_a_json_challenge_are_compressed(spark):
+    """The files are small, and a join of them does not take their size for that of their rows: nothing is broadcast."""
+    from oddsmith import queries
+
+    df = queries.load_json_challenge(spark, "/root/testdata/sf0.001")
+    assert len(df.inputFiles()) > 1 and all(f.endswith(".json.gz") for f in df.inputFiles())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan and df.count() == 5
